@@ -31,8 +31,9 @@ from plumbline.storage import written
 TRAIN_ROWS = 2000  #: most labelled documents of each domain in the fit
 VOCABULARY = 256  #: most words in the model
 LEAST_DOCS = 3  #: a word of the model occurs in so many labelled documents
-LEAST_Z = 3.0  #: and its log odds are so many standard errors from even
-FIT_STEPS = 30
+LEAST_EVIDENCE = 12.0  #: and its likelihood ratio statistic for some domain is so high
+FIT_STEPS = 60
+RIDGE = 0.3
 STEPS = 12
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -83,33 +84,37 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     domains = sorted(sizes)
     n, k = sum(sizes.values()), range(len(domains))
     counted = train.select("domain", F.explode("terms").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"), *[F.sum((F.col("domain") == d).cast("long")).alias(f"c{i}") for i, d in enumerate(domains)])
-    scores = []
-    for i, d in enumerate(domains):
-        inside, outside, size = F.col(f"c{i}") + 0.5, F.col("df") - F.col(f"c{i}") + 0.5, sizes[d]
-        odds = F.log(inside / (size + 1.0)) - F.log(outside / (n - size + 1.0))
-        scores.append(F.abs(odds) / F.sqrt(1 / inside + 1 / outside))
-    z = F.greatest(*scores, F.lit(0.0))
-    chosen = counted.where(F.col("df") >= LEAST_DOCS).select("word", "df", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(VOCABULARY).collect()
+    evidence = F.greatest(*[_evidence(F.col(f"c{i}"), F.col("df"), sizes[d], n) for i, d in enumerate(domains)], F.lit(0.0))
+    chosen = counted.where(F.col("df") >= LEAST_DOCS).select("word", "df", evidence.alias("g")).where(F.col("g") >= LEAST_EVIDENCE).orderBy(F.desc("g"), "word").limit(VOCABULARY).collect()
     vocabulary = spark.createDataFrame([(r[0], j) for j, r in enumerate(chosen)] or [("", 0)], "word string, j int")
     rows = train.withColumn("row", F.monotonically_increasing_id()).select("row", "domain", F.explode_outer("terms").alias("word"))
     ids = written(rows.join(F.broadcast(vocabulary), "word", "left").groupBy("row", "domain").agg(F.collect_list("j").alias("js")), "mix-ids")
     bias = [math.log(sizes[d] / n) for d in domains]
     weights = [[0.0] * max(1, len(chosen)) for _ in k]
-    speed = [[0.0] * max(1, len(chosen)) for _ in k]
-    for _ in range(FIT_STEPS if chosen and len(domains) > 1 else 0):
-        scored = [_weighed(bias[i], weights[i]) for i in k]
+    before = weights
+    # Step sizes bound the curvature: a row of m words moves with at most m weights.
+    active = max(1.0, float(ids.agg(F.avg(F.size("js"))).first()[0] or 1.0))
+    for step in range(FIT_STEPS if chosen and len(domains) > 1 else 0):
+        ahead = [[w + step / (step + 3) * (w - old) for w, old in zip(*pair, strict=True)] for pair in zip(weights, before, strict=True)]
+        scored = [_weighed(bias[i], ahead[i]) for i in k]
         soft = _softmax(ids.select("js", "domain", *[x.alias(f"z{i}") for i, x in enumerate(scored)]), len(domains), "js", "domain")
         errors = soft.select("js", *[((F.col("domain") == d).cast("double") - F.col(f"p{i}")).alias(f"e{i}") for i, d in enumerate(domains)])
         slopes = errors.select(F.explode("js").alias("j"), *[f"e{i}" for i in k]).groupBy("j").agg(*[F.sum(f"e{i}") for i in k]).collect()
+        before, weights = weights, [list(w) for w in ahead]
         for j, *slope in slopes:
             for i in k:
-                gradient = slope[i] - 0.5 * weights[i][j]
-                speed[i][j] = 0.8 * speed[i][j] + gradient / (chosen[j]["df"] + 1.0)
-                weights[i][j] += speed[i][j]
+                weights[i][j] += 2.0 / active * (slope[i] - RIDGE * ahead[i][j]) / (chosen[j]["df"] + RIDGE)
     table = spark.createDataFrame([(r[0], *[weights[i][j] for i in k]) for j, r in enumerate(chosen)] or [("", *[0.0 for _ in k])], "word string, " + ", ".join(f"w{i} double" for i in k))
     return domains, bias, table
 
 
+def _evidence(inside: Column, df: Column, size: int, n: int) -> Column:
+    """Likelihood ratio statistic of a word's presence against one domain."""
+    cells = ((inside, df * size / n), (df - inside, df * (n - size) / n), (size - inside, (n - df) * size / n), (n - size - df + inside, (n - df) * (n - size) / n))
+    parts = [F.when((seen > 0) & (even > 0), 2 * seen * F.log(seen / even)).otherwise(0.0) for seen, even in cells]
+    return sum(parts[1:], parts[0])
+
+
 def _weighed(bias: float, weights: list[float]) -> Column:
     """The bias and the weights that the numbers in ``js`` pick."""
     table = F.array(*[F.lit(float(x)) for x in weights])
