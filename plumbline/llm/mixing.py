@@ -32,7 +32,7 @@ TRAIN_ROWS = 2000  #: most labelled documents of each domain in the fit
 VOCABULARY = 256  #: most words in the model
 LEAST_DOCS = 3  #: a word of the model occurs in so many labelled documents
 LEAST_EVIDENCE = 12.0  #: and its likelihood ratio statistic for some domain is so high
-FIT_STEPS = 60
+FIT_STEPS = 16
 RIDGE = 0.3
 STEPS = 12
 SPACE = r"[\x20\x09-\x0D]+"
@@ -85,15 +85,17 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     n, k = sum(sizes.values()), range(len(domains))
     counted = train.select("domain", F.explode("terms").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"), *[F.sum((F.col("domain") == d).cast("long")).alias(f"c{i}") for i, d in enumerate(domains)])
     evidence = F.greatest(*[_evidence(F.col(f"c{i}"), F.col("df"), sizes[d], n) for i, d in enumerate(domains)], F.lit(0.0))
-    chosen = counted.where(F.col("df") >= LEAST_DOCS).select("word", "df", evidence.alias("g")).where(F.col("g") >= LEAST_EVIDENCE).orderBy(F.desc("g"), "word").limit(VOCABULARY).collect()
+    chosen = counted.where(F.col("df") >= LEAST_DOCS).select("word", "df", *[f"c{i}" for i in k], evidence.alias("g")).where(F.col("g") >= LEAST_EVIDENCE).orderBy(F.desc("g"), "word").limit(VOCABULARY).collect()
     vocabulary = spark.createDataFrame([(r[0], j) for j, r in enumerate(chosen)] or [("", 0)], "word string, j int")
     rows = train.withColumn("row", F.monotonically_increasing_id()).select("row", "domain", F.explode_outer("terms").alias("word"))
     ids = written(rows.join(F.broadcast(vocabulary), "word", "left").groupBy("row", "domain").agg(F.collect_list("j").alias("js")), "mix-ids")
     bias = [math.log(sizes[d] / n) for d in domains]
-    weights = [[0.0] * max(1, len(chosen)) for _ in k]
-    before = weights
     # Step sizes bound the curvature: a row of m words moves with at most m weights.
+    # The start is each word's own log odds, shared among the words of a row.
     active = max(1.0, float(ids.agg(F.avg(F.size("js"))).first()[0] or 1.0))
+    shares = [[(r[f"c{i}"] + 0.5) / (sizes[d] + 1.0) for i, d in enumerate(domains)] for r in chosen]
+    weights = [[(math.log(x[i]) - sum(map(math.log, x)) / len(x)) / math.sqrt(active) for x in shares] or [0.0] for i in k]
+    before = weights
     for step in range(FIT_STEPS if chosen and len(domains) > 1 else 0):
         ahead = [[w + step / (step + 3) * (w - old) for w, old in zip(*pair, strict=True)] for pair in zip(weights, before, strict=True)]
         scored = [_weighed(bias[i], ahead[i]) for i in k]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import exact_dedup, language_id, mixing, packing, quality_rules, url_filter
+from plumbline.llm import exact_dedup, language_id, mixing, ngram_join, packing, quality_rules, url_filter
 from plumbline.storage import written
 
 URL_RULES = [
@@ -22,6 +22,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's class and links; copies are those with the same n-gram set."""
+    return ngram_join.similarity_classes(read(spark, sf_dir, "documents"))[0]
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digests(read(spark, sf_dir, "documents"))
 
@@ -90,6 +95,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_language_id": op5_language_id,
     "op6_exact_dedup": op6_exact_dedup,
