@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import exact_dedup, language_id, mixing, ngram_join, packing, quality_rules, url_filter
+from plumbline.llm import exact_dedup, kneser_ney, language_id, mixing, ngram_join, packing, quality_rules, url_filter
 from plumbline.storage import written
 
 URL_RULES = [
@@ -27,6 +27,13 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_classes(read(spark, sf_dir, "documents"))[0]
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
+    scored = kneser_ney.score(docs, kneser_ney.fit(docs.where(~held)))
+    return scored.select("doc_id", held.alias("held_out"), *scored.columns[1:])
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digests(read(spark, sf_dir, "documents"))
 
@@ -96,6 +103,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_language_id": op5_language_id,
     "op6_exact_dedup": op6_exact_dedup,
