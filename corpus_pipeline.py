@@ -1,8 +1,74 @@
-"""Corpus pipeline: documents in, packed sequences out, in stages written as Parquet."""
+"""Corpus pipeline: documents in, packed training sequences out.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+as Parquet and read again as the next stage's documents.  All stages but the
+last return the columns of ``documents``.
+
+Cases: rows with null fields pass through each stage by its operator's rules;
+an empty table stays empty (without labelled documents mixing leaves every row).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.llm import exact_dedup, language_id, mixing, ngram_join
+from plumbline.llm import queries as q
+from plumbline.storage import written
+
+LEAST_RATE = 0.5  #: documents with a lower rate round to no copy
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language that can be told go; all others stay."""
+    model = language_id.fit(docs)
+    told = language_id.identify(docs, model).where(F.col("lang_pred") != language_id.UNDETERMINED)
+    keep = written(told.select(F.col("doc_id").alias("__id")).distinct(), "told")
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__id"]), "left_semi")
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the smallest id stays."""
+    return exact_dedup.deduplicated(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays."""
+    return ngram_join.representatives(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose fitted rate rounds to no copy go: those the targets leave no room for."""
+    labels = q.domain_labels(q.read(spark, sf_dir, "labels"))
+    if docs.select("doc_id").join(labels.where("domain is not null").select("doc_id"), "doc_id", "left_semi").isEmpty():
+        return docs
+    rated = mixing.rates(docs, labels, q.DOMAIN_SHARES)
+    gone = written(rated.where(F.col("rate") < LEAST_RATE).select(F.col("doc_id").alias("__id")).distinct(), "gone")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left_anti")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The remaining documents' pieces and their places in sequences of 1024 tokens."""
+    return q.packed_digests(docs)
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("exact_dedup", exact_stage),
+    ("ngram_join", near_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+#: No SQL: the stages fit models and draw hash signatures. tests/llm checks them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"stage-{name}")
+    return docs

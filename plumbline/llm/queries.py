@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import exact_dedup, kneser_ney, language_id, mixing, ngram_join, packing, quality_rules, url_filter
+from plumbline.llm import (
+    exact_dedup,
+    kneser_ney,
+    language_id,
+    mixing,
+    ngram_join,
+    packing,
+    quality_rules,
+    suffix_dedup,
+    token_scan,
+    url_filter,
+)
+from plumbline.llm.shared_files import shared_folder
 from plumbline.storage import written
 
 URL_RULES = [
@@ -27,6 +39,18 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_classes(read(spark, sf_dir, "documents"))[0]
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as flat token files, then the documents' token counts from the files alone."""
+    import public_tokenizers
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = shared_folder(spark, "tokens")
+    wrote = token_scan.write_token_files(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    names = written(wrote.select("doc_id", "file", "doc"), "token-docs")
+    counted = token_scan.count_tokens(spark, folder)
+    return counted.join(names, ["file", "doc"], "left").select("doc_id", "file", "doc", "start", "n_tokens", "closed")
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
@@ -83,6 +107,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rates(read(spark, sf_dir, "documents"), domain_labels(read(spark, sf_dir, "labels")), DOMAIN_SHARES)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(read(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelled URL table: those pages that a rule decides, a bounded sample of them."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
@@ -103,11 +131,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_token_counts": op2_token_counts,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_language_id": op5_language_id,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mixing": op7_mixing,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
 }
