@@ -45,11 +45,12 @@ class ChunkTokenizer:
     that could hold a special token goes to the tokenizer file itself.
     """
 
-    def __init__(self, tokenizer_path: str, ranks_path: str | None, pattern: str | None):
+    def __init__(self, tokenizer_path: str, ranks_path: str | None, pattern: str | None, ordinary: bool = False):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(tokenizer_path)
-        self.marks = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.whole.encode_special_tokens = ordinary
+        self.marks = [] if ordinary else [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.fast = None
         if ranks_path:
             import tiktoken
@@ -61,7 +62,7 @@ class ChunkTokenizer:
         self.recent: dict[str, bytes] = {}
 
     def _encode(self, chunk: str) -> bytes:
-        if self.fast is None or any(m in chunk for m in self.marks):
+        if self.fast is None or (self.marks and any(m in chunk for m in self.marks)):
             ids = self.whole.encode(chunk, add_special_tokens=False).ids
         else:
             ids = self.fast.encode_ordinary(chunk)
@@ -101,11 +102,11 @@ def _plain(text: str) -> bool:
     return text[0] != " " and text[-1] != " " and not any(c.isspace() and c != "\n" for c in set(text) - {" "})
 
 
-def tokenizer(tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None) -> ChunkTokenizer:
-    """This process's tokenizer for the given files."""
-    key = (tokenizer_path, ranks_path)
+def tokenizer(tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None, ordinary: bool = False) -> ChunkTokenizer:
+    """This process's tokenizer for the given files; ``ordinary``: special tokens' strings are plain text."""
+    key = (tokenizer_path, ranks_path, ordinary)
     if key not in _TOKENIZERS:
-        _TOKENIZERS[key] = ChunkTokenizer(tokenizer_path, ranks_path, pattern)
+        _TOKENIZERS[key] = ChunkTokenizer(tokenizer_path, ranks_path, pattern, ordinary)
     return _TOKENIZERS[key]
 
 

@@ -32,13 +32,15 @@ TEXT_END = 50256
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None, end_id: int = TEXT_END, dtype: str = "<u2", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write every partition's texts as one flat file of ids; a null text is empty.
 
+    A text that spells the end token is ordinary text, so it has no end id inside.
+
     Returns (doc_id, file, doc, n_tokens) of every document as the writer saw
     them, to check a scan against; files are written when it is evaluated.
     """
     kind = docs.schema[id_col].dataType
 
     def write(batches):
-        tok = tokenizer(tokenizer_path, ranks_path, pattern)
+        tok = tokenizer(tokenizer_path, ranks_path, pattern, ordinary=True)
         end, name, doc = np.array([end_id], dtype).tobytes(), f"tokens-{TaskContext.get().partitionId():06d}.bin", 0
         with AtomicFile(os.path.join(folder, name)) as out:
             for batch in batches:
