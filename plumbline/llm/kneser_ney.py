@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.kit import mix64, row_slices, tally, utf8, words
-from plumbline.llm.shared_files import save, shared_folder
+from plumbline.llm.shared_files import save, shard_bits, shared_folder
 
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x38B34AE5A1E38B93)
 FLUSH_TOKENS = 2_000_000
@@ -176,7 +176,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
     """Count and store the model of all rows of ``docs``."""
     spark = docs.sparkSession
     folder = shared_folder(spark, "kneser-ney")
-    bits = max(4, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    bits = shard_bits(spark)
     pairs = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count_partition(bits), "shard int, context binary, word binary, n binary")
     bs = ", ".join(f"b{r} long" for r in range(1, 5))
     partial = pairs.groupBy("shard").applyInPandas(_bigram_shard(folder, bits), f"shard int, word binary, n binary, k binary, {bs}")

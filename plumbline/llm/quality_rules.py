@@ -28,6 +28,7 @@ RULES = {
     "repeated_windows": "100 * n_repeat_words > 50 * n_words",
     "symbols": "2 * n_symbols > n_words",
     "duplicate_lines": "2 * n_dup_lines > n_lines",
+    "shouts": "2 * n_shouts > n_words",
     "long_words": "word_chars > 24 * n_words",
     "short_words": "word_chars < 2 * n_words",
 }
@@ -58,12 +59,14 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.filter(F.split("text", SPACE), lambda w: w != "").alias("words"),
         F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.regexp_count("text", F.lit("!!")).cast("long").alias("n_shouts"),
     )
     counted = split.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         "n_symbols",
+        "n_shouts",
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(

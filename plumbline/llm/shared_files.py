@@ -6,7 +6,10 @@ import os
 import uuid
 from urllib.parse import unquote, urlsplit
 
-from pyspark.sql import SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumbline.storage import scratch_path
 
@@ -48,3 +51,56 @@ class AtomicFile:
 def save(path: str, array) -> None:
     with AtomicFile(path) as out:
         out.write(memoryview(array).cast("B") if array.nbytes else b"")
+
+
+def shard_bits(spark: SparkSession) -> int:
+    """Bits that deal hashes to shards: a shard is about a shuffle partition."""
+    return max(4, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+
+
+class HashSet:
+    """A set of 64-bit hashes as sorted arrays in a shared folder, mapped by the workers that ask it.
+
+    Hashes are dealt to files by their first bits, so that no task sorts them
+    all and a look-up touches one array.
+    """
+
+    _open: dict[str, HashSet] = {}
+
+    def __init__(self, folder: str, bits: int):
+        self.folder, self.bits, self.maps = folder, bits, {}
+
+    @classmethod
+    def write(cls, hashes: DataFrame, folder: str, bits: int) -> int:
+        """Store the distinct hashes of a (h long) table; returns how many there are."""
+
+        def build(pdf: pd.DataFrame) -> pd.DataFrame:
+            keys = np.sort(pdf["h"].to_numpy().view(np.uint64))
+            save(f"{folder}/set-{int(pdf['shard'].iloc[0])}.key", keys)
+            return pd.DataFrame({"n": [len(keys)]})
+
+        shard = F.shiftrightunsigned("h", 64 - bits).cast("int")
+        stored = hashes.select("h", shard.alias("shard")).groupBy("shard").applyInPandas(build, "n long")
+        return int(stored.agg(F.sum("n")).first()[0] or 0)
+
+    @classmethod
+    def opened(cls, folder: str, bits: int) -> HashSet:
+        """This process's mapping of the folder."""
+        if folder not in cls._open:
+            cls._open.clear()
+            cls._open[folder] = cls(folder, bits)
+        return cls._open[folder]
+
+    def contains(self, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(keys), bool)
+        shard = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        edges = np.searchsorted(shard[order], np.arange((1 << self.bits) + 1))
+        for s in np.flatnonzero(np.diff(edges)):
+            if s not in self.maps:
+                path = f"{self.folder}/set-{s}.key"
+                self.maps[s] = np.memmap(path, "<u8", "r") if os.path.exists(path) else np.zeros(0, "<u8")
+            own, mine = self.maps[s], order[edges[s] : edges[s + 1]]
+            if len(own):
+                out[mine] = own[np.minimum(np.searchsorted(own, keys[mine]), len(own) - 1)] == keys[mine]
+        return out

@@ -4,17 +4,19 @@
    ``GRAM``-word hash is smallest is selected, so any passage of ``LEAST`` words
    holds a selected position with its n-gram inside.  Only suffixes that begin
    there are kept.
-2. Suffixes whose n-gram stands in one document alone are dropped.
-3. The others carry ``LEAST`` words from the position on and the ``LEAST - GRAM``
-   words before it, which is as far as a passage of ``LEAST`` words around the
-   n-gram can reach.  They are sorted by content, range by range, so that a
-   frequent passage is spread over many tasks.
+2. The hashes of n-grams that stand in more than one document are stored as
+   sorted arrays in the shared folder.  A second scan selects the same positions,
+   asks the arrays, and drops the suffixes whose n-gram is in one document alone.
+3. The others carry the ``LEAST - GRAM`` words after the n-gram and those before
+   it, which is as far as a passage of ``LEAST`` words around the n-gram can
+   reach.  They are sorted by content, range by range, so that a frequent
+   passage is spread over many tasks.
 4. Neighbours of different documents are compared and the match is extended to
    the right and to the left; LEAST words or more make a span of both documents.
    This is done in the order of the right side and in that of the left side.
 5. Spans that overlap or touch are merged for each document.
 
-Word texts are compared, not hashes.  Cases: null, empty and short texts have no
+N-grams are equal by a 64-bit hash; the words around them are compared as texts.  Cases: null, empty and short texts have no
 suffix and no span; they do not appear in the result.  A passage that repeats
 only within one document gives none.  Rows with a null id are left out.  Rows of
 the same id count as one document.  A very long text has as many suffixes as it
@@ -32,11 +34,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.kit import row_slices, utf8, windows, words
+from plumbline.llm.shared_files import HashSet, shard_bits, shared_folder
 from plumbline.storage import written
 
 LEAST = 50
 GRAM = 20
-BROADCAST_IDS = 20_000
 
 
 def minimisers(hashes: np.ndarray, begin: np.ndarray, width: int) -> np.ndarray:
@@ -61,6 +63,15 @@ def minimisers(hashes: np.ndarray, begin: np.ndarray, width: int) -> np.ndarray:
     return np.unique(best[starts])
 
 
+def _selected(data: np.ndarray, offsets: np.ndarray, least: int, gram: int):
+    """Words of some rows and their suffixes: (starts, ends, first, row, word, hash)."""
+    starts, ends, hashes, first = words(data, offsets)
+    grams, at, begin = windows(hashes, first, gram)
+    chosen = minimisers(grams, begin, least - gram + 1)
+    row = np.searchsorted(begin, chosen, side="right") - 1
+    return starts, ends, first, row, at[chosen], grams[chosen]
+
+
 def suffixes(docs: DataFrame, least: int = LEAST, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, at, h: every selected position and the hash of its n-gram."""
     kind = docs.schema[id_col].dataType
@@ -69,37 +80,36 @@ def suffixes(docs: DataFrame, least: int = LEAST, gram: int = GRAM, id_col: str
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for i, j in row_slices(offsets):
-                _, _, hashes, first = words(data, offsets[i : j + 1])
-                grams, at, begin = windows(hashes, first, gram)
-                chosen = minimisers(grams, begin, least - gram + 1)
-                rows = np.searchsorted(chosen, begin)
-                row = np.repeat(np.arange(j - i), np.diff(rows))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(row)), pa.array((at[chosen] - first[:-1][row]).astype(np.int32)), pa.array(grams[chosen].view(np.int64))], names=["doc_id", "at", "h"])
+                _, _, first, row, at, h = _selected(data, offsets[i : j + 1], least, gram)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(row)), pa.array((at - first[:-1][row]).astype(np.int32)), pa.array(h.view(np.int64))], names=["doc_id", "at", "h"])
 
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("at", T.IntegerType()), T.StructField("h", T.LongType())])
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(select, schema)
 
 
-def _contexts(least: int, gram: int):
+def _contexts(least: int, gram: int, folder: str, bits: int):
+    """Suffixes whose n-gram is in the set, with the words around it, once for either order."""
+
     def carry(batches):
+        shared = HashSet.opened(folder, bits)
         for batch in batches:
-            ids, texts, places, hashes = (batch.column(k) for k in range(4))
-            data, offsets = utf8(texts)
-            out = []
-            for r in range(len(ids)):
-                starts, ends, _, _ = words(data, offsets[r : r + 2])
-                own = places[r].values.to_numpy()
-                keys = hashes[r].values.to_numpy()
-                low, high = np.maximum(own - (least - gram), 0), np.minimum(own + least, len(starts))
-                spell = lambda a, b: [data[s:e].tobytes() for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)]
-                for at, h, a, b in zip(own.tolist(), keys.tolist(), low.tolist(), high.tolist(), strict=True):
-                    right, left = b" ".join(spell(at, b)), b" ".join(spell(a, at)[::-1])
-                    out += [(r, h, at, True, right, left), (r, h, at, False, left, right)]
-                if len(out) > 20_000:
-                    yield _context_batch(ids, out)
-                    out = []
-            yield _context_batch(ids, out)
+            ids = batch.column(0)
+            data, offsets = utf8(batch.column(1))
+            for i, j in row_slices(offsets):
+                starts, ends, first, row, at, h = _selected(data, offsets[i : j + 1], least, gram)
+                keep = shared.contains(h)
+                row, at, h = row[keep], at[keep], h[keep]
+                low, high = np.maximum(at - (least - gram), first[:-1][row]), np.minimum(at + least, first[1:][row])
+                spell = lambda a, b: [data[s:e].tobytes() for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)]  # noqa: E731, B023
+                out = []
+                for r, p, q, k, a, b in zip((row + i).tolist(), at.tolist(), (at - first[:-1][row]).tolist(), h.view(np.int64).tolist(), low.tolist(), high.tolist(), strict=True):
+                    right, left = b" ".join(spell(p + gram, b)), b" ".join(spell(a, p)[::-1])
+                    out += [(r, k, q, True, right, left), (r, k, q, False, left, right)]
+                    if len(out) >= 20_000:
+                        yield _context_batch(ids, out)
+                        out = []
+                yield _context_batch(ids, out)
 
     return carry
 
@@ -126,18 +136,18 @@ def common_words(a: bytes, b: bytes) -> int:
     return n
 
 
-def _spans_of(p: tuple, q: tuple, least: int):
+def _spans_of(p: tuple, q: tuple, least: int, gram: int):
     """Spans that two neighbours (doc, h, at, forward, key, other) give, if they match far enough."""
     if p[0] == q[0] or p[1] != q[1] or p[3] != q[3]:
         return
     first, second = common_words(p[4], q[4]), common_words(p[5], q[5])
-    right, left = (first, second) if p[3] else (second, first)
+    right, left = (first + gram, second) if p[3] else (second + gram, first)
     if left + right >= least:
         yield p[0], p[2] - left, p[2] + right, q[0]
         yield q[0], q[2] - left, q[2] + right, p[0]
 
 
-def _compare(least: int):
+def _compare(least: int, gram: int):
     """Spans from neighbours of different documents in a sorted partition.
 
     Rows of one document side by side form a run: each of its rows is compared
@@ -152,10 +162,12 @@ def _compare(least: int):
         first = None
 
         def flush():
-            spans = list(dict.fromkeys(out))
+            best: dict[tuple, object] = {}
+            for doc, low, high, other in out:
+                known = best.get((doc, low, high))
+                best[doc, low, high] = other if known is None or other < known else known
             out.clear()
-            doc, low, high, other = zip(*spans, strict=True) if spans else ((),) * 4
-            return doc, low, high, other
+            return tuple(zip(*((*k, v) for k, v in best.items()), strict=True)) or ((),) * 4
 
         kind = None
         for batch in batches:
@@ -165,10 +177,10 @@ def _compare(least: int):
                     first = row
                 if current and row[0] != current[-1][0]:
                     for old in current:
-                        out.extend(_spans_of(old, row, least))
+                        out.extend(_spans_of(old, row, least, gram))
                     before, current = current[-1], []
                 if before is not None:
-                    out.extend(_spans_of(before, row, least))
+                    out.extend(_spans_of(before, row, least, gram))
                 if current and row[1] != current[-1][1]:
                     current = []  # nothing later has the old n-gram
                 current.append(row)
@@ -201,15 +213,13 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, id_col
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
-    found = written(suffixes(docs, least, gram, id_col, text_col), "suffixes")
+    found = suffixes(docs, least, gram, id_col, text_col)
     shared = found.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("h")
-    kept = found.join(shared, "h").groupBy("doc_id").agg(F.collect_list("at").alias("at"), F.collect_list("h").alias("h"))
-    kept = written(kept, "kept")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    few = kept.count() <= BROADCAST_IDS
-    joined = texts.join(F.broadcast(kept) if few else kept, "doc_id").select("doc_id", "text", "at", "h")
+    folder, bits = shared_folder(spark, "suffixes"), shard_bits(spark)
+    HashSet.write(shared, folder, bits)
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("h", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("forward", T.BooleanType()), T.StructField("key", T.BinaryType()), T.StructField("other", T.BinaryType())])
-    carried = joined.mapInArrow(_contexts(least, gram), schema)
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    carried = rows.mapInArrow(_contexts(least, gram, folder, bits), schema)
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["forward", "h", "key", "other", "doc_id", "at"]
     ranged = carried.repartitionByRange(parts, *order).sortWithinPartitions(*order)
@@ -219,7 +229,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, id_col
             *schema.fields[1:],
         ]
     )
-    compared = written(ranged.mapInArrow(_compare(least), out), "compared")
+    compared = written(ranged.mapInArrow(_compare(least, gram), out), "compared")
     ends = compared.where("edge is not null").select("part", "edge", *schema.names)
     turn = Window.orderBy("part", "edge")  # two rows a partition, whatever the corpus
     named = F.struct("doc_id", "h", "at", "forward", "key", "other")
@@ -229,7 +239,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, id_col
         for batch in batches:
             spans = []
             for row in batch.to_pylist():
-                spans += _spans_of(tuple(row[c] for c in schema.names), tuple(row["next"][c] for c in schema.names), least)
+                spans += _spans_of(tuple(row[c] for c in schema.names), tuple(row["next"][c] for c in schema.names), least, gram)
             doc, low, high, other = zip(*spans, strict=True) if spans else ((),) * 4
             t = batch.schema.field(0).type
             yield pa.RecordBatch.from_arrays([pa.array(doc, t), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(other, t)], names=["doc_id", "low", "high", "other_id"])
