@@ -22,10 +22,7 @@ LEAST_RATE = 0.5  #: documents with a lower rate round to no copy
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language that can be told go; all others stay."""
-    model = language_id.fit(docs)
-    told = language_id.identify(docs, model).where(F.col("lang_pred") != language_id.UNDETERMINED)
-    keep = written(told.select(F.col("doc_id").alias("__id")).distinct(), "told")
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__id"]), "left_semi")
+    return language_id.determined(docs, language_id.fit(docs))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

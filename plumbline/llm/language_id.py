@@ -169,34 +169,50 @@ def _has_letter(text: str | None) -> bool:
     return text is not None and any(c.isalpha() for c in text)
 
 
+def _judged(own: MixtureModel, texts: pa.Array) -> tuple[list, list, list]:
+    """Language, score and shares of every text of one batch."""
+    langs = np.array(own.langs, object)
+    data, offsets = utf8(texts)
+    pred, score, mixed = [], [], []
+    for i, j in row_slices(offsets):
+        shares = _mixtures(own, data, offsets[i : j + 1]) if len(own) else np.zeros((j - i, 1))
+        top = shares.argmax(1)
+        part = data[offsets[i] : offsets[j]]
+        letter = np.concatenate([[0], np.cumsum(((part | 0x20) >= 0x61) & ((part | 0x20) <= 0x7A))])
+        ascii_letters = letter[offsets[i + 1 : j + 1] - offsets[i]] - letter[offsets[i:j] - offsets[i]]
+        for r in range(j - i):
+            if len(own) and shares[r, top[r]] > 0 and (ascii_letters[r] or _has_letter(texts[i + r].as_py())):
+                pred.append(langs[top[r]])
+                score.append(min(1.0, float(shares[r, top[r]])))
+                mixed.append([(langs[k], float(shares[r, k])) for k in np.flatnonzero(shares[r] > 0)])
+            else:
+                pred.append(UNDETERMINED)
+                score.append(0.0)
+                mixed.append([])
+    return pred, score, mixed
+
+
 def identify(docs: DataFrame, model: MixtureModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score (the language's share), and the set as a map lang -> share."""
     kind = docs.schema[id_col].dataType
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches):
-        own = shared.value
-        langs = np.array(own.langs, object)
         for batch in batches:
-            texts = batch.column(1)
-            data, offsets = utf8(texts)
-            pred, score, mixed = [], [], []
-            for i, j in row_slices(offsets):
-                shares = _mixtures(own, data, offsets[i : j + 1]) if len(own) else np.zeros((j - i, 1))
-                top = shares.argmax(1)
-                part = data[offsets[i] : offsets[j]]
-                letter = np.concatenate([[0], np.cumsum(((part | 0x20) >= 0x61) & ((part | 0x20) <= 0x7A))])
-                ascii_letters = letter[offsets[i + 1 : j + 1] - offsets[i]] - letter[offsets[i:j] - offsets[i]]
-                for r in range(j - i):
-                    if len(own) and shares[r, top[r]] > 0 and (ascii_letters[r] or _has_letter(texts[i + r].as_py())):
-                        pred.append(langs[top[r]])
-                        score.append(min(1.0, float(shares[r, top[r]])))
-                        mixed.append([(langs[k], float(shares[r, k])) for k in np.flatnonzero(shares[r] > 0)])
-                    else:
-                        pred.append(UNDETERMINED)
-                        score.append(0.0)
-                        mixed.append([])
+            pred, score, mixed = _judged(shared.value, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(mixed, pa.map_(pa.string(), pa.float64()))], names=["doc_id", "lang_pred", "score", "shares"])
 
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("shares", T.MapType(T.StringType(), T.DoubleType()))])
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(judge, schema)
+
+
+def determined(docs: DataFrame, model: MixtureModel, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language can be told, all columns as they are; nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches):
+        for batch in batches:
+            pred, _, _ = _judged(shared.value, batch.column(0).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays(batch.columns[1:], schema=pa.schema(list(batch.schema)[1:])).filter(pa.array([p != UNDETERMINED for p in pred], pa.bool_()))
+
+    return docs.select(F.col(text_col).cast("string").alias("__text"), *[F.col(f"`{c}`") for c in docs.columns]).mapInArrow(keep, docs.schema)

@@ -158,6 +158,9 @@ def test_language_id(spark):
     nothing = language_id.fit(empty(spark))
     assert {r.lang_pred for r in language_id.identify(docs, nothing).collect()} == {"und"}
     assert language_id.identify(empty(spark), model).count() == 0
+    stay = language_id.determined(docs, model)
+    assert stay.schema == docs.schema
+    assert sorted(str(r.doc_id) for r in stay.collect()) == sorted(str(r.doc_id) for r in docs.collect() if r.doc_id not in (1001, 1002, 1003, 1008))
 
 
 def test_quality_rules(spark):
