@@ -113,3 +113,21 @@ def verdict(value: Column, baseline: Column) -> Column:
 def eligible_series(rows: DataFrame, keys: list[str], place: str, least: int = 5) -> DataFrame:
     """Series with ``least`` rows or more, and the span of their places."""
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("n") >= least)
+
+
+def label_shares(rows: DataFrame, keys: list[str], answer: str, least: float = 0.2) -> DataFrame:
+    """Per key: text, no-text and unsure answers, the share of text among the sure ones, and whether it qualifies."""
+    text, none = F.count_if(F.col(answer) == "text"), F.count_if(F.col(answer) == "no-text")
+    share = text / F.nullif(text + none, F.lit(0))
+    return rows.groupBy(*keys).agg(text.alias("n_text"), none.alias("n_no_text"), F.count_if(F.col(answer) == "unsure").alias("n_unsure"), share.alias("text_share"), F.coalesce(share >= least, F.lit(False)).alias("qualifies"))
+
+
+def block_stats(rows: DataFrame, keys: list[str], values: str, flat: float) -> DataFrame:
+    """(keys, n, mean, median, flat_share) of the numbers in an array column; ``flat``: those under it."""
+    each = rows.select(*keys, F.explode(values).alias("v"))
+    return each.groupBy(*keys).agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.median("v").alias("median"), F.avg((F.col("v") < flat).cast("double")).alias("flat_share"))
+
+
+def verdict_groups(rows: DataFrame, verdict: str, value: str, flat: str) -> DataFrame:
+    """Per verdict: n, mean and median of the value, and the mean flat share."""
+    return rows.groupBy(verdict).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.avg(flat).alias("flat_share"))

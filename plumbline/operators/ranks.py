@@ -164,3 +164,13 @@ def spread_summary(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     q = F.percentile(value, F.array(*[F.lit(p) for p in (0.1, 0.25, 0.5, 0.75, 0.9)]))
     s = rows.groupBy(*keys).agg(F.count(value).alias("n"), q.alias("q"), F.min(value).alias("least"), F.max(value).alias("most"))
     return s.select(*keys, "n", F.col("q")[2].alias("median"), F.col("q")[0].alias("p10"), F.col("q")[4].alias("p90"), ((F.col("q")[3] - F.col("q")[1]) / F.nullif(F.col("q")[2], F.lit(0.0))).alias("iqr_share"), "least", "most")
+
+
+def robustness_grid(rows: DataFrame, settings: list[int], place: str, group: Column, value: str) -> DataFrame:
+    """The one-sided test for each block size: blocks of ``setting`` neighbours are averaged first.
+
+    Settings are rows, so all tests are one grouping.
+    """
+    each = rows.select(place, group.alias("g"), F.col(value).alias("v"), F.explode(F.array(*[F.lit(s) for s in settings])).alias("setting"))
+    blocks = each.groupBy("setting", "g", F.floor(F.col(place) / F.col("setting")).alias("block")).agg(F.avg("v").alias("v"))
+    return mann_whitney_less(blocks, ["setting"], F.col("g"), "v")

@@ -176,3 +176,11 @@ def noise_sigma(voxels: DataFrame, key: str, value: str = "value", sigma: float
     kept = residual.join(zeros, key).where((F.col("zero_share") <= 0.2) | (F.col("v") != 0))
     middle = kept.groupBy(key).agg(F.median("r").alias("m"))
     return kept.join(middle, key).groupBy(key).agg(F.greatest(1.4826 * F.median(F.abs(F.col("r") - F.col("m"))), F.lit(1e-6)).alias("noise_sigma"))
+
+
+def local_contrast(voxels: DataFrame, key: str, value: str = "value", sigma: float = 2.0) -> DataFrame:
+    """Per key: mean absolute difference from a blur, as a share of the 1st to 99th percentile range; the median value."""
+    soft = blurred(voxels, key, sigma, value).withColumnRenamed(value, "soft")
+    q = F.percentile(value, F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99)))
+    each = voxels.join(soft, [key, *AXES]).groupBy(key).agg(F.avg(F.abs(F.col(value) - F.col("soft"))).alias("difference"), q.alias("q"))
+    return each.select(key, (F.col("difference") / F.nullif(F.col("q")[2] - F.col("q")[0], F.lit(0.0))).alias("contrast"), F.col("q")[1].alias("median"))

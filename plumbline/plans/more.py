@@ -140,3 +140,57 @@ def voxel_noise(spark, sf_dir):
 def voxel_planarity(spark, sf_dir):
     """Flatness of the sixteen largest connected sets of each volume: a top-k report."""
     return voxels.planarity(voxels.components(line_voxels(spark, sf_dir).where("value >= 45"), "volume"), "volume")
+
+
+@query("""WITH e AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)
+SELECT vec_id, count(v) AS n, round(avg(v), 6) AS mean, round(median(v), 6) AS median, round(avg((v < -0.1)::INT), 6) AS flat_share FROM e GROUP BY vec_id""")
+def block_stats(spark, sf_dir):
+    return rounded(corpus.block_stats(profiles(spark, sf_dir), ["vec_id"], "profile", -0.1), "mean", "median", "flat_share")
+
+
+@query("""SELECT c_mktsegment, count(*) AS n, round(avg(c_acctbal), 4) AS mean, round(median(c_acctbal), 4) AS median, round(avg(c_nationkey), 6) AS flat_share FROM customer GROUP BY ALL""")
+def verdict_groups(spark, sf_dir):
+    return rounded(rounded(corpus.verdict_groups(table(spark, sf_dir, "customer"), "c_mktsegment", "c_acctbal", "c_nationkey"), "mean", "median", digits=4), "flat_share")
+
+
+@query("""WITH a AS (SELECT c_nationkey, CASE WHEN c_custkey % 5 = 0 THEN 'unsure' WHEN c_acctbal > 7000 THEN 'text' ELSE 'no-text' END AS answer FROM customer)
+SELECT c_nationkey, count(*) FILTER (answer = 'text') AS n_text, count(*) FILTER (answer = 'no-text') AS n_no_text, count(*) FILTER (answer = 'unsure') AS n_unsure,
+  round(count(*) FILTER (answer = 'text') / nullif(count(*) FILTER (answer <> 'unsure'), 0)::DOUBLE, 6) AS text_share, coalesce(count(*) FILTER (answer = 'text') / nullif(count(*) FILTER (answer <> 'unsure'), 0)::DOUBLE >= 0.2, false) AS qualifies FROM a GROUP BY ALL""")
+def label_shares(spark, sf_dir):
+    answer = F.when(F.col("c_custkey") % 5 == 0, "unsure").when(F.col("c_acctbal") > 7000, "text").otherwise("no-text")
+    return rounded(corpus.label_shares(table(spark, sf_dir, "customer").withColumn("answer", answer), ["c_nationkey"], "answer"), "text_share")
+
+
+@query("""SELECT o_orderkey, l_linenumber, concat_ws('__z', CAST(o_custkey AS VARCHAR), CAST(o_orderkey AS VARCHAR)) AS key, l_extendedprice FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'""")
+def composed_key_join(spark, sf_dir):
+    """Scores joined to their index on a key made of two columns."""
+    index = table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws("__z", "o_custkey", "o_orderkey").alias("key"))
+    owner = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    scores = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").join(owner, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat_ws("__z", "o_custkey", "l_orderkey").alias("key"), "l_linenumber", "l_extendedprice")
+    return index.join(scores, "key").select("o_orderkey", "l_linenumber", "key", "l_extendedprice")
+
+
+def _mann_whitney_sql(rows: str, key: str) -> str:
+    """The rank-sum test in SQL over ``rows`` (key, g, v)."""
+    return f"""{rows}, r AS (SELECT {key}, g, rank() OVER (PARTITION BY {key} ORDER BY v) + (count(*) OVER (PARTITION BY {key}, v) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY {key}, v) AS t FROM b),
+s AS (SELECT {key}, count(*) FILTER (g) AS n1, count(*) FILTER (NOT g) AS n2, sum(rk) FILTER (g) AS r1, sum(CAST(t * t - 1 AS DOUBLE)) AS ties FROM r GROUP BY ALL)
+SELECT {key}, n1, n2, round(r1 - n1 * (n1 + 1) / 2.0, 3) AS u, round((r1 - n1 * (n1 + 1) / 2.0 - n1 * n2 / 2.0 + 0.5) / sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1.0)))), 5) AS zscore FROM s"""
+
+
+@query(_mann_whitney_sql("""WITH b AS (SELECT setting, c_mktsegment = 'BUILDING' AS g, c_custkey // setting AS block, avg(c_acctbal) AS v FROM customer, (SELECT CAST(unnest([8, 12, 16]) AS INTEGER) AS setting) GROUP BY ALL)""", "setting"))
+def robustness_grid(spark, sf_dir):
+    found = ranks.robustness_grid(table(spark, sf_dir, "customer"), [8, 12, 16], "c_custkey", F.col("c_mktsegment") == "BUILDING", "c_acctbal")
+    return found.select("setting", "n1", "n2", F.round("u", 3).alias("u"), F.round("zscore", 5).alias("zscore"))
+
+
+@query(_mann_whitney_sql("WITH b AS (SELECT 'pooled' AS series, c_nationkey < 10 AS g, c_acctbal AS v FROM customer)", "series"))
+def pooled_mann_whitney(spark, sf_dir):
+    """Both series' blocks as one sample each: no key but a constant."""
+    found = ranks.mann_whitney_less(table(spark, sf_dir, "customer").withColumn("series", F.lit("pooled")), ["series"], F.col("c_nationkey") < 10, "c_acctbal")
+    return found.select("series", "n1", "n2", F.round("u", 3).alias("u"), F.round("zscore", 5).alias("zscore"))
+
+
+@query()
+def voxel_contrast(spark, sf_dir):
+    """Local contrast of each volume against a blur of two voxels (checked in the tests)."""
+    return voxels.local_contrast(line_voxels(spark, sf_dir), "volume")
