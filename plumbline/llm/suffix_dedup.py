@@ -39,6 +39,8 @@ from plumbline.storage import written
 
 LEAST = 50
 GRAM = 20
+HOT_ROWS = 1000  #: an n-gram with more suffixes is split by its full content
+PREFIX = 24  #: bytes of content that split the others
 
 
 def minimisers(hashes: np.ndarray, begin: np.ndarray, width: int) -> np.ndarray:
@@ -88,11 +90,11 @@ def suffixes(docs: DataFrame, least: int = LEAST, gram: int = GRAM, id_col: str
     return rows.mapInArrow(select, schema)
 
 
-def _contexts(least: int, gram: int, folder: str, bits: int):
+def _contexts(least: int, gram: int, folder: str, hot_folder: str, bits: int):
     """Suffixes whose n-gram is in the set, with the words around it, once for either order."""
 
     def carry(batches):
-        shared = HashSet.opened(folder, bits)
+        shared, frequent = HashSet.opened(folder, bits), HashSet(hot_folder, bits)
         for batch in batches:
             ids = batch.column(0)
             data, offsets = utf8(batch.column(1))
@@ -100,12 +102,13 @@ def _contexts(least: int, gram: int, folder: str, bits: int):
                 starts, ends, first, row, at, h = _selected(data, offsets[i : j + 1], least, gram)
                 keep = shared.contains(h)
                 row, at, h = row[keep], at[keep], h[keep]
+                hot = frequent.contains(h).tolist()
                 low, high = np.maximum(at - (least - gram), first[:-1][row]), np.minimum(at + least, first[1:][row])
                 spell = lambda a, b: [data[s:e].tobytes() for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)]  # noqa: E731, B023
                 out = []
-                for r, p, q, k, a, b in zip((row + i).tolist(), at.tolist(), (at - first[:-1][row]).tolist(), h.view(np.int64).tolist(), low.tolist(), high.tolist(), strict=True):
+                for r, p, q, k, a, b, often in zip((row + i).tolist(), at.tolist(), (at - first[:-1][row]).tolist(), h.view(np.int64).tolist(), low.tolist(), high.tolist(), hot, strict=True):
                     right, left = b" ".join(spell(p + gram, b)), b" ".join(spell(a, p)[::-1])
-                    out += [(r, k, q, True, right, left), (r, k, q, False, left, right)]
+                    out += [(r, k, q, True, right, left, often), (r, k, q, False, left, right, often)]
                     if len(out) >= 20_000:
                         yield _context_batch(ids, out)
                         out = []
@@ -115,10 +118,10 @@ def _contexts(least: int, gram: int, folder: str, bits: int):
 
 
 def _context_batch(ids, rows):
-    r, h, at, forward, key, other = zip(*rows, strict=True) if rows else ((),) * 6
+    r, h, at, forward, key, other, hot = zip(*rows, strict=True) if rows else ((),) * 7
     return pa.RecordBatch.from_arrays(
-        [ids.take(pa.array(r, pa.int64())), pa.array(h, pa.int64()), pa.array(at, pa.int32()), pa.array(forward, pa.bool_()), pa.array(key, pa.binary()), pa.array(other, pa.binary())],
-        names=["doc_id", "h", "at", "forward", "key", "other"],
+        [ids.take(pa.array(r, pa.int64())), pa.array(h, pa.int64()), pa.array(at, pa.int32()), pa.array(forward, pa.bool_()), pa.array(key, pa.binary()), pa.array(other, pa.binary()), pa.array(hot, pa.bool_())],
+        names=["doc_id", "h", "at", "forward", "key", "other", "hot"],
     )
 
 
@@ -214,15 +217,20 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, id_col
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
     found = suffixes(docs, least, gram, id_col, text_col)
-    shared = found.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("h")
-    folder, bits = shared_folder(spark, "suffixes"), shard_bits(spark)
+    shared = written(found.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("h", "n"), "shared")
+    folder, hot_folder, bits = shared_folder(spark, "suffixes"), shared_folder(spark, "hot-suffixes"), shard_bits(spark)
     HashSet.write(shared, folder, bits)
+    HashSet.write(shared.where(F.col("n") > HOT_ROWS), hot_folder, bits)
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("h", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("forward", T.BooleanType()), T.StructField("key", T.BinaryType()), T.StructField("other", T.BinaryType())])
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    carried = rows.mapInArrow(_contexts(least, gram, folder, bits), schema)
+    carried = rows.mapInArrow(_contexts(least, gram, folder, hot_folder, bits), T.StructType([*schema.fields, T.StructField("hot", T.BooleanType())]))
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["forward", "h", "key", "other", "doc_id", "at"]
-    ranged = carried.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # Ranges follow the sort order, but only hot n-grams are split inside their full
+    # content: the bounds are drawn from a sample that the driver sees.
+    inside = [F.when(F.col("hot"), F.col(c)) for c in ("other", "doc_id", "at")]
+    split = ["forward", "h", F.when(F.col("hot"), F.col("key")).otherwise(F.substring("key", 1, PREFIX)), *inside]
+    ranged = carried.repartitionByRange(parts, *split).sortWithinPartitions(*order).drop("hot")
     out = T.StructType(
         [
             T.StructField("doc_id", kind), T.StructField("low", T.IntegerType()), T.StructField("high", T.IntegerType()), T.StructField("other_id", kind), T.StructField("part", T.IntegerType()), T.StructField("edge", T.IntegerType()),

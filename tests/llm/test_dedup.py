@@ -106,7 +106,9 @@ def test_bands_meet_the_recall():
     assert bands * rows <= 128 and 1 - (1 - 0.8**rows) ** bands >= 0.9995
 
 
-def test_repeated_spans(spark):
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_repeated_spans(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", hot)
     docs = awkward(spark)
     passage = " ".join(f"shared{k}" for k in range(57))
     extra = [(4000 + k, f"own{k} " * (3 * k + 1) + passage + f" end{k}" * (2 * k), "en", "s", 1, "g", 1.0) for k in range(6)]
