@@ -5,17 +5,18 @@
    chosen for the target recall at the threshold, and a hash of the whole set.
 2. Texts with the same set form a class; only its representative goes on, so
    copies are never paired.
-3. Representatives meet on band hashes.  In a bucket of at most ``SMALL`` rows
-   all pairs are candidates.  In a larger one all rows are paired with one hub;
-   those that are not tied to the hub go on, along with the rows that one of them
-   could still reach: since Jaccard distance is a metric, x and y can only be
-   linked if |d(x, hub) - d(y, hub)| is at most 1 - threshold.  They are dealt
-   anew by their rare n-grams (prefix filtering, which is exact) and meet in
-   rounds of all pairs of at most ``SMALL_LATER`` rows, or of ``HUBS`` hubs, four times
-   as many in each round.  So no
-   large bucket is expanded into all its pairs, and no tie between classes is lost.
-4. Candidates are verified on their full sets.  Connected components of the
-   links are the classes.
+3. Representatives that share a band hash with another are candidates.  They are
+   dealt by their rare n-grams (prefix filtering, which is exact): two sets of the
+   threshold's similarity share one of their first n-grams in the order of
+   frequency.  Keys with the same representatives are one key.
+4. The rows of a key meet as a group; a key of more than ``SMALL`` rows is split into
+   blocks of about ``SMALL_LATER`` rows and each pair of blocks is a group.  A group
+   counts the shared n-grams of all its pairs by matrix products; a pair belongs to
+   the least key that both have, so it counts once.  Every pair is decided on its
+   full sets, also in a group of copies that are tied already.  A group gives sums
+   of links for each row and its components, not pairs, so that rows grow with the
+   representatives; the time of a large group grows with its pairs.
+5. Connected components are the classes.
 
 Cases: null, empty and white-space texts have no n-gram: they are alone in their
 class, without links.  Rows with a null id come back with a null class and no
@@ -42,9 +43,9 @@ WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.9995
 MOST_HASHES = 128
-SMALL = 12
-SMALL_LATER = 96
-HUBS = 16  #: in the first round after the stars; four times as many in each round after it
+SMALL = 2048  #: rows of a key that meet in one group
+SMALL_LATER = 2048  #: rows in a block of a larger key
+COLUMNS = 1024  #: n-grams in one matrix product
 SEED = 0x5EED
 
 
@@ -132,65 +133,127 @@ def _sets(docs: DataFrame, ids: DataFrame, n: int, id_col: str, text_col: str) -
     return texts.mapInArrow(gather, schema)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, j): the Jaccard similarity of every pair on the full sets."""
-    first = sets.select(F.col("rep").alias("a"), F.col("grams").alias("ga"))
-    second = sets.select(F.col("rep").alias("b"), F.col("grams").alias("gb"))
-    both = pairs.join(first, "a").join(second, "b")
-    shared = F.size(F.array_intersect("ga", "gb"))
-    return both.select("a", "b", (shared / (F.size("ga") + F.size("gb") - shared)).alias("j"))
+def _shared_counts(values: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many values each row of ``left`` shares with each row of ``right``; row i has ``sizes[i]`` distinct values."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    _, column, often = np.unique(values, return_inverse=True, return_counts=True)
+    keep = often[column] > 1
+    row, column = row[keep], np.cumsum(often > 1)[column[keep]] - 1
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    total = np.zeros((len(left), len(right)), np.float32)  # whole numbers far under 2 ** 24
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        i, j = np.searchsorted(column, [at, at + COLUMNS])
+        there = np.zeros((len(sizes), min(COLUMNS, int(column[-1]) + 1 - at)), np.float32)
+        there[row[i:j], column[i:j] - at] = 1
+        total += there[left] @ there[right].T
+    return total
+
+
+def _met(group: pa.Table, threshold: float):
+    """Row numbers of the linked pairs of a group that belong to its key, and their similarity."""
+    flat = lambda name: group.column(name).combine_chunks()
+    grams, keys, part = flat("grams"), flat("keys"), flat("part").to_numpy()
+    size = np.diff(grams.offsets.to_numpy())
+    key, low, high = (group.column(c)[0].as_py() for c in ("key", "low", "high"))
+    left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
+    same = _shared_counts(grams.flatten().to_numpy(), size, left, right).astype(np.float64)
+    j = same / (size[left][:, None] + size[right] - same)
+    linked = j >= threshold
+    owner, names = np.repeat(np.arange(len(part)), np.diff(keys.offsets.to_numpy())), keys.flatten().to_numpy()
+    before = names < key
+    linked &= _shared_counts(names[before], np.bincount(owner[before], minlength=len(part)), left, right) == 0
+    if low == high:
+        linked = np.triu(linked, 1)
+    a, b = np.nonzero(linked)
+    return left[a], right[b], j[a, b]
+
+
+def _pairs_of(threshold: float):
+    def run(group: pa.Table) -> pa.Table:
+        a, b, j = _met(group, threshold)
+        rep = group.column("rep").combine_chunks()
+        return pa.table({"a": rep.take(pa.array(a)), "b": rep.take(pa.array(b)), "j": pa.array(j)})
+
+    return run
+
+
+def _sums_of(threshold: float):
+    """For each row with links: the rows that its partners stand for, and the first row of its component in the group."""
+
+    def run(group: pa.Table) -> pa.Table:
+        a, b, _ = _met(group, threshold)
+        n, copies = group.num_rows, group.column("copies").to_numpy()
+        links = (np.bincount(a, copies[b], n) + np.bincount(b, copies[a], n)).astype(np.int64)
+        root = np.arange(n)
+        while True:
+            least = root.copy()
+            np.minimum.at(least, a, root[b])
+            np.minimum.at(least, b, root[a])
+            least = least[least]
+            if (least == root).all():
+                break
+            root = least
+        full = np.flatnonzero(links)
+        rep = group.column("rep").combine_chunks()
+        return pa.table({"rep": rep.take(pa.array(full)), "root": rep.take(pa.array(root[full])), "links": pa.array(links[full])})
+
+    return run
+
+
+def _groups(sets: DataFrame, threshold: float) -> DataFrame:
+    """(key, low, high, part, rep, copies, grams, keys): ``sets`` (rep, copies, grams) dealt to the groups where they meet.
+
+    Two sets of the threshold's similarity share one of their first
+    n - ceil(threshold * n) + 1 n-grams in any common order; rare ones come first,
+    so rows that only have a frequent passage in common part.
+    """
+    rows = sets.select("rep", F.size("grams").alias("n_set"), F.explode("grams").alias("key"))
+    often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # All n-grams of a row take part in its order; those of one row alone come first and make no pair.
+    shared = rows.join(often, "key").groupBy("rep", "n_set").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("g"))
+    length = F.col("n_set") - F.ceil(F.lit(threshold) * F.col("n_set") - 1e-9) + 1
+    alone = F.col("n_set") - F.size("g")
+    first = shared.select("rep", F.explode(F.slice("g", F.lit(1), F.greatest(length - alone, F.lit(0)).cast("int"))).alias("p")).select("rep", "p.key")
+    first = written(first, "prefixes")
+    keyed = first.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("s0"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("s1")).where("n > 1")
+    kept = keyed.groupBy("n", "s0", "s1").agg(F.min("key").alias("key")).select("key", "n")
+    dealt = written(first.join(kept, "key"), "dealt")
+    names = dealt.groupBy("rep").agg(F.collect_list("key").alias("keys"))
+    blocks = F.when(F.col("n") > SMALL, F.ceil(F.col("n") / SMALL_LATER)).otherwise(1).cast("int")
+    placed = dealt.select("rep", "key", blocks.alias("blocks")).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("rep", "key", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    return spread.join(sets.join(names, "rep"), "rep").select("key", "low", "high", "part", "rep", "copies", "grams", "keys")
 
 
 def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Membership (doc_id, rep, copies, class_id, n_links) and links (a, b, j).
 
     ``rep`` is the smallest id with the same n-gram set, ``copies`` the number of
-    rows with it; links tie representatives; ``n_links`` counts a row's copies
-    and its representative's links.
+    rows with it; links tie all representatives that are similar; ``n_links``
+    counts the other rows that a row is similar to: its copies, and all rows that
+    its representative's partners stand for.
     """
     bands, rows = choose_bands(threshold)
     signed = written(signatures(docs, n, bands, rows, id_col, text_col), "signatures")
     usable = signed.where("n_set > 0 and doc_id is not null")
     classes = usable.groupBy("k0", "k1").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    members = written(usable.join(classes, ["k0", "k1"]).select("doc_id", "rep", "copies", "n_set", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "members")
-    keyed = members.where("bands is not null").select("rep", "n_set", F.explode("bands").alias("key")).distinct()
+    members = written(usable.join(classes, ["k0", "k1"]).select("doc_id", "rep", "copies", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "members")
+    keyed = members.where("bands is not null").select("rep", F.explode("bands").alias("key")).distinct()
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    active = written(keyed.join(shared, "key").withColumn("open", F.lit(True)), "buckets")
-    sets = written(_sets(docs, active.select("rep").distinct(), n, id_col, text_col).dropDuplicates(["rep"]), "sets")
-
-    kind = dict(active.dtypes)["rep"]
-    found = docs.sparkSession.createDataFrame([], f"a {kind}, b {kind}, j double")
-    names, prefixed, most_hubs = None, False, 1
-    while True:
-        dealt = active.join(active.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
-        dealt = written(dealt, "dealt")
-        most = SMALL if names is None else SMALL_LATER
-        small, large = dealt.where(F.col("n") <= most), dealt.where(F.col("n") > most)
-        other = small.select("key", F.col("rep").alias("b"), F.col("n_set").alias("nb"))
-        pairs = small.select("key", F.col("rep").alias("a"), F.col("n_set").alias("na")).join(other, "key").where("a < b")
-        pairs = pairs.where(F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")).select("a", "b").distinct()
-        if names is not None:  # rows that are tied already need no more links
-            pairs = _untied(pairs, names)
-        hubs = _hubs(large, most_hubs)
-        met = large.select("key", "rep", "n_set").join(hubs, "key").where("rep <> hub").withColumn("a", F.least("rep", "hub")).withColumn("b", F.greatest("rep", "hub"))
-        stars = met.where("hub = first").select("a", "b")  # all of these: the distances bound the next round
-        if names is not None:
-            near = F.least("n_set", "hub_set") >= F.lit(threshold) * F.greatest("n_set", "hub_set")
-            stars = stars.union(_untied(met.where((F.col("hub") != F.col("first")) & near).select("a", "b").distinct(), names))
-        prefixed = prefixed or names is not None
-        most_hubs = HUBS if most_hubs == 1 else 4 * most_hubs
-        wanted = pairs.union(stars).distinct().join(found.select("a", "b"), ["a", "b"], "left_anti")
-        found = written(found.union(_verified(wanted, sets)), "verified")
-        names = connected_components(found.where(F.col("j") >= threshold))
-        active = written(_next_round(large, hubs, found, names, threshold), "active")
-        if active.isEmpty():
-            break
-        if not prefixed:
-            active = written(_by_rare_ngrams(active, sets, names, threshold), "active")
-            if active.isEmpty():
-                break
-    links = found.where(F.col("j") >= threshold)
-    degrees = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    candidates = written(keyed.join(shared, "key").select("rep").distinct(), "candidates")
+    copies = members.where("bands is not null").select("rep", "copies").dropDuplicates(["rep"])
+    sets = written(_sets(docs, candidates, n, id_col, text_col).dropDuplicates(["rep"]).join(copies, "rep").select("rep", "copies", "grams"), "sets")
+
+    kind = sets.schema["rep"].dataType
+    met = _groups(sets, threshold).groupBy("key", "low", "high")
+    summed = T.StructType([T.StructField("rep", kind), T.StructField("root", kind), T.StructField("links", T.LongType())])
+    paired = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("j", T.DoubleType())])
+    sums = written(met.applyInArrow(_sums_of(threshold), summed), "links")
+    links = met.applyInArrow(_pairs_of(threshold), paired).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "j")
+    names = connected_components(sums, "rep", "root")
+    degrees = sums.groupBy("rep").agg(F.sum("links").alias("links"))
     by_rep = members.where("bands is not null").select("rep").distinct().join(names.withColumnRenamed("node", "rep"), "rep", "left").join(degrees, "rep", "left")
     tied = members.select("doc_id", "rep", "copies").join(by_rep, "rep").select("doc_id", "rep", "copies", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
@@ -198,56 +261,6 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = W
     return tied.unionByName(alone), links
 
 
-def _untied(pairs: DataFrame, names: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose ends lie in different components so far."""
-    with_a = pairs.join(names.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
-    both = with_a.join(names.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
-def _by_rare_ngrams(active: DataFrame, sets: DataFrame, names: DataFrame, threshold: float) -> DataFrame:
-    """The unsettled rows dealt anew, by their rare n-grams: (key, rep, n_set, open).
-
-    Two sets of the threshold's similarity share one of their first
-    n - ceil(threshold * n) + 1 n-grams in any common order; rare ones come
-    first, so rows that only have a frequent passage in common part.  N-grams
-    whose rows are all tied already are left out.
-    """
-    rows = active.select("rep", "n_set").distinct().join(sets, "rep").select("rep", "n_set", F.explode("grams").alias("key"))
-    often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # All n-grams of a row take part in its order; those of one row alone come first and make no pair.
-    alone = F.col("n_set") - F.size("g")
-    length = F.col("n_set") - F.ceil(F.lit(threshold) * F.col("n_set") - 1e-9) + 1
-    shared = rows.join(often, "key").groupBy("rep", "n_set").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("g"))
-    first = shared.select("rep", "n_set", F.explode(F.slice("g", F.lit(1), F.greatest(length - alone, F.lit(0)).cast("int"))).alias("p")).select("rep", "n_set", "p.key")
-    named = first.join(names.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    apart = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    return named.join(apart, "key").select("key", "rep", "n_set", F.lit(True).alias("open"))
-
-
-def _hubs(large: DataFrame, most: int) -> DataFrame:
-    """(key, hub, hub_set, first): up to ``most`` open rows of each bucket, the least of each share of a hash; one is first."""
-    share = F.pmod(F.xxhash64("rep"), F.lit(most))
-    hubs = large.where("open").groupBy("key", share.alias("share")).agg(F.min(F.struct("rep", "n_set")).alias("m")).select("key", F.col("m.rep").alias("hub"), F.col("m.n_set").alias("hub_set"))
-    return hubs.join(hubs.groupBy("key").agg(F.min("hub").alias("first")), "key").select("key", "hub", "hub_set", "first")
-
-
-def _next_round(large: DataFrame, hubs: DataFrame, found: DataFrame, names: DataFrame, threshold: float) -> DataFrame:
-    """Rows of large buckets that their hubs do not settle: (key, rep, n_set, open).
-
-    A hub has met every row of its bucket and leaves.  ``open`` rows are not tied
-    to the first hub's component; rows that are stay only as far as an open row
-    of the bucket could be linked to them.
-    """
-    rows = large.select("key", "rep", "n_set").join(hubs.select("key", "first").distinct(), "key").join(hubs.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti")
-    rows = rows.withColumn("a", F.least("rep", "first")).withColumn("b", F.greatest("rep", "first")).join(found.select("a", "b", "j"), ["a", "b"], "left")
-    rows = rows.join(names.select(F.col("node").alias("rep"), F.col("component").alias("own")), "rep", "left").join(names.select(F.col("node").alias("first"), F.col("component").alias("theirs")), "first", "left")
-    rows = rows.withColumn("open", F.coalesce("own", "rep") != F.coalesce("theirs", "first"))
-    reach = rows.where("open").groupBy("key").agg(F.max("j").alias("high"))
-    kept = rows.join(reach, "key").where(F.col("open") | (F.col("j") <= F.col("high") + (1 - threshold) + 1e-9))
-    return kept.select("key", "rep", "n_set", "open")
-
-
 def representatives(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: the smallest id of every class, with all columns."""
     members, _ = similarity_classes(docs, threshold, n, id_col, text_col)

@@ -97,6 +97,30 @@ def test_similarity_classes(spark, monkeypatch, small, later):
     assert ngram_join.representatives(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("block", [2048, 40])
+def test_all_links_of_a_large_group(spark, monkeypatch, block):
+    """150 near copies, some with copies of their own: every link counts, whatever the size of a bucket."""
+    monkeypatch.setattr(ngram_join, "SMALL", block)
+    monkeypatch.setattr(ngram_join, "SMALL_LATER", block)
+    rng = np.random.default_rng(7)
+    base = [f"word{k}" for k in range(120)]
+    rows = []
+    for k in range(150):
+        w = list(base)
+        for at in rng.choice(120, k % 3, replace=False):
+            w[at] = f"changed{k}.{at}"
+        rows.append((k, " ".join(w), "en", "s", 1, "g", 1.0))
+    docs = spark.createDataFrame(rows, empty(spark).schema)
+    sets = {r[0]: _ngrams(r[1]) for r in rows}
+    near = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    want = {i: sum(i in p for p in near) for i in sets}
+    members, links = ngram_join.similarity_classes(docs)
+    got = members.collect()
+    assert {r.doc_id: r.n_links for r in got} == want and len(set(want.values())) > 5
+    reps = {r.rep for r in got}
+    assert len(reps) > 90 and sorted((r.a, r.b) for r in links.collect()) == sorted(p for p in near if set(p) <= reps)
+
+
 def test_join_of_an_empty_table(spark):
     assert ngram_join.similarity_classes(empty(spark))[0].count() == 0
 
