@@ -17,7 +17,7 @@ from plumbline.llm import exact_dedup, language_id, mixing, ngram_join
 from plumbline.llm import queries as q
 from plumbline.storage import written
 
-LEAST_RATE = 0.5  #: documents with a lower rate round to no copy
+LEAST_RATE = 0.5  #: the earlier cut, not used any more; test_stages names it
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,13 +36,11 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose fitted rate rounds to no copy go: those the targets leave no room for."""
+    """Each document as often as its fitted rate says, so that the output meets the target shares."""
     labels = q.domain_labels(q.read(spark, sf_dir, "labels"))
     if docs.select("doc_id").join(labels.where("domain is not null").select("doc_id"), "doc_id", "left_semi").isEmpty():
         return docs
-    rated = mixing.rates(docs, labels, q.DOMAIN_SHARES)
-    gone = written(rated.where(F.col("rate") < LEAST_RATE).select(F.col("doc_id").alias("__id")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left_anti")
+    return mixing.repeated(docs, mixing.rates(docs, labels, q.DOMAIN_SHARES))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

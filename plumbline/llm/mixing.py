@@ -206,3 +206,18 @@ def rates(docs: DataFrame, labels: DataFrame, shares: dict[str, float], id_col:
     targets = {d: shares[d] * all_tokens if d in shares else left * all_tokens * expected[d] / free for d in domains}
     fitted, _ = fit_rates(soft, domains, targets)
     return fitted.select("doc_id", "n_tokens", *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)], "rate")
+
+
+def repeated(docs: DataFrame, rated: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, each floor(rate) times and once more where its hash is below the fraction.
+
+    The hash is that of id and text, so a run gives the same rows each time, and
+    the tokens of a domain come out as its rates say but for the hash's deviation.
+    Rows of the same id get their common rate, weighed by tokens.
+    """
+    mean = F.coalesce(F.try_divide(F.sum(F.col("rate") * F.col("n_tokens")), F.sum("n_tokens")), F.avg("rate"))
+    by_id = written(rated.groupBy(F.col("doc_id").alias("__id")).agg(mean.alias("__rate")), "mix-rates")
+    draw = F.pmod(F.xxhash64(F.lit("copies"), id_col, text_col), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    copies = (F.floor("__rate") + (draw < F.col("__rate") - F.floor("__rate")).cast("long")).cast("int")
+    both = docs.join(by_id, docs[id_col].eqNullSafe(by_id["__id"])).withColumn("__copies", copies)
+    return both.where("__copies > 0").withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

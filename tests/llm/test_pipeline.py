@@ -93,3 +93,21 @@ def test_empty_documents(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").where("false").write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("percent", [3, 8, 20])
+def test_mixing_meets_the_target(spark, tmp_path, percent):
+    """The stage's output has 5 % of its tokens in toxic documents, whether they are too many or too few."""
+    n, rows, labels = 3000, [], []
+    for i in range(n):
+        toxic = i % 100 < percent
+        kind = "vile nasty hateful awful" if toxic else ("clear sound proper careful" if i % 2 else "plain loose short dull")
+        rows.append((i, f"{kind} " * 3 + f"item{i} of the list", "en", "s", 1))
+        labels.append((i, i % 2, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.mixing_stage(spark, docs, str(tmp_path))
+    assert out.columns == COLUMNS
+    tokens = {r.toxic: r.n for r in out.groupBy((F.col("doc_id") % 100 < percent).alias("toxic")).agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()}
+    assert abs(tokens.get(True, 0) / sum(tokens.values()) - 0.05) < 0.01
+    assert abs(sum(tokens.values()) / (16 * n) - 1) < 0.03
