@@ -7,16 +7,18 @@
 2. The hashes of n-grams that stand in more than one document are stored as
    sorted arrays in the shared folder.  A second scan selects the same positions,
    asks the arrays, and drops the suffixes whose n-gram is in one document alone.
-3. The others carry the ``LEAST - GRAM`` words after the n-gram and those before
-   it, which is as far as a passage of ``LEAST`` words around the n-gram can
-   reach.  They are sorted by content, range by range, so that a frequent
-   passage is spread over many tasks.
-4. Neighbours of different documents are compared and the match is extended to
-   the right and to the left; LEAST words or more make a span of both documents.
-   This is done in the order of the right side and in that of the left side.
+3. N-grams that begin more than ``HOT_ROWS`` suffixes are settled by windows: all
+   ``LEAST``-word windows around their positions are hashed, and those that stand in
+   more than one document are stored as arrays that a last scan asks.  So each
+   suffix is held against all others, and a frequent passage is only counted.
+4. Of the other n-grams, which have one suffix in each of two documents, suffixes
+   carry the ``LEAST - GRAM`` words after the n-gram and those before it, which is as
+   far as a passage of ``LEAST`` words around it can reach.  They are sorted by
+   content, and neighbours of different documents are compared; the match is extended
+   to both sides, and LEAST words or more make a span of both documents.
 5. Spans that overlap or touch are merged for each document.
 
-N-grams are equal by a 64-bit hash; the words around them are compared as texts.  Cases: null, empty and short texts have no
+N-grams and windows are equal by a 64-bit hash; carried words are compared as texts.  Cases: null, empty and short texts have no
 suffix and no span; they do not appear in the result.  A passage that repeats
 only within one document gives none.  Rows with a null id are left out.  Rows of
 the same id count as one document.  A very long text has as many suffixes as it
@@ -33,13 +35,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.kit import row_slices, utf8, windows, words
+from plumbline.llm.kit import mix64, row_slices, utf8, windows, words
 from plumbline.llm.shared_files import HashSet, shard_bits, shared_folder
 from plumbline.storage import written
 
 LEAST = 50
 GRAM = 20
-HOT_ROWS = 1000  #: an n-gram with more suffixes is split by its full content
+HOT_ROWS = 2  #: an n-gram with more suffixes is settled by windows, since sorted neighbours could hide a partner
 PREFIX = 24  #: bytes of content that split the others
 
 
@@ -90,11 +92,71 @@ def suffixes(docs: DataFrame, least: int = LEAST, gram: int = GRAM, id_col: str
     return rows.mapInArrow(select, schema)
 
 
-def _contexts(least: int, gram: int, folder: str, hot_folder: str, bits: int):
+def _windows_of(data: np.ndarray, offsets: np.ndarray, least: int, gram: int, frequent: HashSet):
+    """(row, start, hash) of the ``least``-word windows around selected positions whose n-gram is in ``frequent``."""
+    _, _, hashes, first = words(data, offsets)
+    grams, at, begin = windows(hashes, first, gram)
+    chosen = minimisers(grams, begin, least - gram + 1)
+    chosen = chosen[frequent.contains(grams[chosen])]
+    row = np.searchsorted(begin, chosen, side="right") - 1
+    change = np.zeros(len(hashes) + 1, np.int64)
+    np.add.at(change, np.maximum(at[chosen] - (least - gram), first[:-1][row]), 1)
+    np.add.at(change, at[chosen] + 1, -1)
+    starts = np.flatnonzero(np.cumsum(change) > 0)
+    row = np.searchsorted(first, starts, side="right") - 1
+    whole = starts + least <= first[1:][row]
+    row, starts = row[whole], starts[whole]
+    out = np.zeros(len(starts), np.uint64)
+    for k in range(least if len(starts) else 0):
+        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + hashes[starts + k] + np.uint64(k + 1))
+    return row, starts - first[:-1][row], out
+
+
+def _window_spans(rows: DataFrame, frequent: DataFrame, least: int, gram: int) -> DataFrame:
+    """(doc_id, low, high, other_id): spans of the windows around frequent n-grams that several documents hold."""
+    spark, kind = rows.sparkSession, rows.schema["doc_id"].dataType
+    folder, shared_at, bits = shared_folder(spark, "frequent"), shared_folder(spark, "windows"), shard_bits(spark)
+    HashSet.write(frequent, folder, bits)
+
+    def spell(batches):
+        wanted = HashSet(folder, bits)
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            for i, j in row_slices(offsets):
+                row, _, h = _windows_of(data, offsets[i : j + 1], least, gram, wanted)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(row)), pa.array(h.view(np.int64))], names=["doc_id", "h"])
+
+    spelled = rows.mapInArrow(spell, T.StructType([T.StructField("doc_id", kind), T.StructField("h", T.LongType())]))
+    shared = written(spelled.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b"), "windows")
+    HashSet.write(shared.select("h"), shared_at, bits)
+
+    def join(batches):
+        wanted, common = HashSet(folder, bits), HashSet(shared_at, bits)
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            for i, j in row_slices(offsets):
+                row, start, h = _windows_of(data, offsets[i : j + 1], least, gram, wanted)
+                keep = common.contains(h)
+                row, start, h = row[keep], start[keep], h[keep]
+                fresh = np.ones(len(row), bool)
+                fresh[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
+                head = np.flatnonzero(fresh)
+                tail = np.append(head[1:], len(row))[: len(head)] - 1
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, j - i).take(pa.array(row[head])), pa.array(start[head].astype(np.int32)), pa.array((start[tail] + least).astype(np.int32)), pa.array(h[head].view(np.int64))],
+                    names=["doc_id", "low", "high", "h"],
+                )
+
+    fields = [T.StructField("doc_id", kind), T.StructField("low", T.IntegerType()), T.StructField("high", T.IntegerType()), T.StructField("h", T.LongType())]
+    spans = rows.mapInArrow(join, T.StructType(fields)).join(shared, "h")
+    return spans.select("doc_id", "low", "high", F.when(F.col("doc_id") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("other_id"))
+
+
+def _contexts(least: int, gram: int, folder: str, bits: int):
     """Suffixes whose n-gram is in the set, with the words around it, once for either order."""
 
     def carry(batches):
-        shared, frequent = HashSet.opened(folder, bits), HashSet(hot_folder, bits)
+        shared = HashSet.opened(folder, bits)
         for batch in batches:
             ids = batch.column(0)
             data, offsets = utf8(batch.column(1))
@@ -102,13 +164,12 @@ def _contexts(least: int, gram: int, folder: str, hot_folder: str, bits: int):
                 starts, ends, first, row, at, h = _selected(data, offsets[i : j + 1], least, gram)
                 keep = shared.contains(h)
                 row, at, h = row[keep], at[keep], h[keep]
-                hot = frequent.contains(h).tolist()
                 low, high = np.maximum(at - (least - gram), first[:-1][row]), np.minimum(at + least, first[1:][row])
                 spell = lambda a, b: [data[s:e].tobytes() for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)]  # noqa: E731, B023
                 out = []
-                for r, p, q, k, a, b, often in zip((row + i).tolist(), at.tolist(), (at - first[:-1][row]).tolist(), h.view(np.int64).tolist(), low.tolist(), high.tolist(), hot, strict=True):
+                for r, p, q, k, a, b in zip((row + i).tolist(), at.tolist(), (at - first[:-1][row]).tolist(), h.view(np.int64).tolist(), low.tolist(), high.tolist(), strict=True):
                     right, left = b" ".join(spell(p + gram, b)), b" ".join(spell(a, p)[::-1])
-                    out += [(r, k, q, True, right, left, often), (r, k, q, False, left, right, often)]
+                    out += [(r, k, q, True, right, left), (r, k, q, False, left, right)]
                     if len(out) >= 20_000:
                         yield _context_batch(ids, out)
                         out = []
@@ -118,10 +179,10 @@ def _contexts(least: int, gram: int, folder: str, hot_folder: str, bits: int):
 
 
 def _context_batch(ids, rows):
-    r, h, at, forward, key, other, hot = zip(*rows, strict=True) if rows else ((),) * 7
+    r, h, at, forward, key, other = zip(*rows, strict=True) if rows else ((),) * 6
     return pa.RecordBatch.from_arrays(
-        [ids.take(pa.array(r, pa.int64())), pa.array(h, pa.int64()), pa.array(at, pa.int32()), pa.array(forward, pa.bool_()), pa.array(key, pa.binary()), pa.array(other, pa.binary()), pa.array(hot, pa.bool_())],
-        names=["doc_id", "h", "at", "forward", "key", "other", "hot"],
+        [ids.take(pa.array(r, pa.int64())), pa.array(h, pa.int64()), pa.array(at, pa.int32()), pa.array(forward, pa.bool_()), pa.array(key, pa.binary()), pa.array(other, pa.binary())],
+        names=["doc_id", "h", "at", "forward", "key", "other"],
     )
 
 
@@ -218,19 +279,14 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, id_col
     kind = docs.schema[id_col].dataType
     found = suffixes(docs, least, gram, id_col, text_col)
     shared = written(found.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("h", "n"), "shared")
-    folder, hot_folder, bits = shared_folder(spark, "suffixes"), shared_folder(spark, "hot-suffixes"), shard_bits(spark)
-    HashSet.write(shared, folder, bits)
-    HashSet.write(shared.where(F.col("n") > HOT_ROWS), hot_folder, bits)
+    folder, bits = shared_folder(spark, "suffixes"), shard_bits(spark)
+    HashSet.write(shared.where(F.col("n") <= HOT_ROWS).select("h"), folder, bits)
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("h", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("forward", T.BooleanType()), T.StructField("key", T.BinaryType()), T.StructField("other", T.BinaryType())])
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    carried = rows.mapInArrow(_contexts(least, gram, folder, hot_folder, bits), T.StructType([*schema.fields, T.StructField("hot", T.BooleanType())]))
+    carried = rows.mapInArrow(_contexts(least, gram, folder, bits), schema)
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["forward", "h", "key", "other", "doc_id", "at"]
-    # Ranges follow the sort order, but only hot n-grams are split inside their full
-    # content: the bounds are drawn from a sample that the driver sees.
-    inside = [F.when(F.col("hot"), F.col(c)) for c in ("other", "doc_id", "at")]
-    split = ["forward", "h", F.when(F.col("hot"), F.col("key")).otherwise(F.substring("key", 1, PREFIX)), *inside]
-    ranged = carried.repartitionByRange(parts, *split).sortWithinPartitions(*order).drop("hot")
+    ranged = carried.repartitionByRange(parts, "forward", "h", F.substring("key", 1, PREFIX)).sortWithinPartitions(*order)
     out = T.StructType(
         [
             T.StructField("doc_id", kind), T.StructField("low", T.IntegerType()), T.StructField("high", T.IntegerType()), T.StructField("other_id", kind), T.StructField("part", T.IntegerType()), T.StructField("edge", T.IntegerType()),
@@ -254,7 +310,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, id_col
 
     across = beside.mapInArrow(stitch, T.StructType(out.fields[:4]))
     spans = compared.where("edge is null").select("doc_id", "low", "high", "other_id").union(across)
-    return merged(spans)
+    return merged(spans.union(_window_spans(rows, shared.where(F.col("n") > HOT_ROWS).select("h"), least, gram)))
 
 
 def merged(spans: DataFrame) -> DataFrame:

@@ -159,3 +159,17 @@ def test_repeated_spans(spark, monkeypatch, hot):
         assert r.other_id != r.doc_id
     assert got == want
     assert suffix_dedup.repeated_spans(empty(spark)).count() == 0
+
+
+def test_spans_hidden_by_half_matches(spark):
+    """A and B share 15 words left and right of a 20-gram; C-like texts share only one half, closer in the sort order."""
+    gram = [f"g{k}" for k in range(20)]
+    left, right = [f"l{k}" for k in range(15)], [f"r{k}" for k in range(15)]
+    texts = {1: [*left, *gram, *right, "m"], 2: [*left, *gram, *right, "p"]}
+    texts[1], texts[2] = ["m", *texts[1]], ["p", *texts[2]]
+    for k in range(20):
+        texts[10 + k] = [f"x{k}", *gram, *right, f"n{k}"]
+        texts[50 + k] = [f"n{k}", *left, *gram, f"y{k}"]
+    rows = [(i, " ".join(w), "en", "s", 1, "g", 1.0) for i, w in texts.items()]
+    got = suffix_dedup.repeated_spans(spark.createDataFrame(rows, empty(spark).schema)).collect()
+    assert sorted((r.doc_id, r.start_word, r.end_word, r.other_id) for r in got) == [(1, 1, 51, 2), (2, 1, 51, 1)]
