@@ -66,10 +66,10 @@ def _near(spark):
     return docs.union(spark.createDataFrame(rows, docs.schema))
 
 
-@pytest.mark.parametrize(("small", "later"), [(12, 96), (2, 3)])
-def test_similarity_classes(spark, monkeypatch, small, later):
-    monkeypatch.setattr(ngram_join, "SMALL", small)
-    monkeypatch.setattr(ngram_join, "SMALL_LATER", later)
+@pytest.mark.parametrize(("rows", "grams"), [(2048, 2_000_000), (2, 900)])
+def test_similarity_classes(spark, monkeypatch, rows, grams):
+    monkeypatch.setattr(ngram_join, "MOST_ROWS", rows)
+    monkeypatch.setattr(ngram_join, "MOST_GRAMS", grams)
     docs = _near(spark)
     sets = {r.doc_id: _ngrams(r.text) for r in docs.collect() if r.doc_id is not None}
     name = {i: i for i in sets}
@@ -100,8 +100,7 @@ def test_similarity_classes(spark, monkeypatch, small, later):
 @pytest.mark.parametrize("block", [2048, 40])
 def test_all_links_of_a_large_group(spark, monkeypatch, block):
     """150 near copies, some with copies of their own: every link counts, whatever the size of a bucket."""
-    monkeypatch.setattr(ngram_join, "SMALL", block)
-    monkeypatch.setattr(ngram_join, "SMALL_LATER", block)
+    monkeypatch.setattr(ngram_join, "MOST_ROWS", block)
     rng = np.random.default_rng(7)
     base = [f"word{k}" for k in range(120)]
     rows = []
