@@ -79,16 +79,19 @@ def seen_summary(seen: DataFrame) -> DataFrame:
     )
 
 
-def overlap_consistency(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+def overlap_consistency(labels: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """IoU, Dice and disagreement of two patches' labels where they overlap.
 
-    ``labels`` (id, z, y, x, on) in global coordinates; ``pairs`` (a, b), a < b.
-    Two labels that are both empty agree fully.
+    ``labels`` (id, z, y, x, on) in global coordinates.  Patches meet voxel by
+    voxel, so two of them cost no more than what they share; ``pairs`` (a, b)
+    keeps to those.  Two labels that are both empty agree fully.
     """
     at = ["z", "y", "x"]
     first = labels.select(F.col("id").alias("a"), *at, F.col("on").alias("on_a"))
     second = labels.select(F.col("id").alias("b"), *at, F.col("on").alias("on_b"))
-    both = pairs.distinct().where("a < b").join(first, "a").join(second, ["b", *at])
+    both = first.join(second, at).where("a < b")
+    if pairs is not None:
+        both = both.join(pairs.select("a", "b").distinct(), ["a", "b"], "left_semi")
     inter, union = F.count_if(F.col("on_a") & F.col("on_b")), F.count_if(F.col("on_a") | F.col("on_b"))
     sizes = F.count_if("on_a") + F.count_if("on_b")
     return both.groupBy("a", "b").agg(

@@ -160,10 +160,10 @@ def bootstrap(rows: DataFrame, keys: list[str], row_id: str, value: str, resampl
 
 
 def spread_summary(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """n, median, p10, p90, IQR as a share of the median, min and max of a value per key."""
+    """n, median, p10, p90, IQR as a share of the median (1e-9 at least), min and max of a value per key."""
     q = F.percentile(value, F.array(*[F.lit(p) for p in (0.1, 0.25, 0.5, 0.75, 0.9)]))
     s = rows.groupBy(*keys).agg(F.count(value).alias("n"), q.alias("q"), F.min(value).alias("least"), F.max(value).alias("most"))
-    return s.select(*keys, "n", F.col("q")[2].alias("median"), F.col("q")[0].alias("p10"), F.col("q")[4].alias("p90"), ((F.col("q")[3] - F.col("q")[1]) / F.nullif(F.col("q")[2], F.lit(0.0))).alias("iqr_share"), "least", "most")
+    return s.select(*keys, "n", F.col("q")[2].alias("median"), F.col("q")[0].alias("p10"), F.col("q")[4].alias("p90"), ((F.col("q")[3] - F.col("q")[1]) / F.greatest(F.col("q")[2], F.lit(1e-9))).alias("iqr_share"), "least", "most")
 
 
 def robustness_grid(rows: DataFrame, settings: list[int], place: str, group: Column, value: str) -> DataFrame:

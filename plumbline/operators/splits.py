@@ -12,18 +12,23 @@ from pyspark.sql import functions as F
 from plumbline.operators.boxes import AXES
 from plumbline.operators.graph import connected_components
 from plumbline.operators.leakage import contaminated, declared_folds
+from plumbline.storage import written
 
 MOST_NAMES = 5_000_000  #: a permutation is one array of the driver; more rows are refused
 
 
-def _numbered(names: DataFrame) -> tuple[DataFrame, int]:
-    """(name, i): places in name order, from per-range counts, so no task holds all names."""
-    from plumbline.storage import written
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with ``place``, from 0 in the given order: ranges are numbered from their counts, so no task holds all rows."""
+    ranged = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__own", F.monotonically_increasing_id()), "numbered")
+    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__own").alias("__least"))
+    base = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a partition
+    joined = ranged.join(F.broadcast(sizes.select("__part", "__least", base.alias("__base"))), "__part")
+    return joined.select(*rows.columns, (F.col("__base") + F.col("__own") - F.col("__least")).alias("place"))
+
 
-    ranged = written(names.select("name").distinct().repartitionByRange("name").sortWithinPartitions("name").withColumn("part", F.spark_partition_id()).withColumn("own", F.monotonically_increasing_id()), "names")
-    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("least"))
-    base = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = ranged.join(F.broadcast(sizes.withColumn("base", base)), "part").select("name", (F.col("base") + F.col("own") - F.col("least")).cast("int").alias("i"))
+def _numbered(names: DataFrame) -> tuple[DataFrame, int]:
+    """(name, i): places in name order."""
+    placed = numbered(names.select("name").distinct(), "name").select("name", F.col("place").cast("int").alias("i"))
     return placed, placed.count()
 
 
@@ -69,6 +74,27 @@ def random_trials(spark: SparkSession, n: int, graph: DataFrame, k: int = 5, tri
     )
 
 
+def hashed_trials(ids: DataFrame, graph: DataFrame, k: int = 5, trials: int = 200, seed: int = 0) -> DataFrame:
+    """The statistics of ``random_trials`` for any number of ids: each trial deals the ids in the order of their md5.
+
+    ``ids`` (id); ``graph`` (a, b, fraction), both directions.  The folds of a
+    trial are even, as those of a shuffle; nothing but the result reaches the driver.
+    """
+    each = ids.select("id", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
+    drawn = each.withColumn("draw", F.md5(F.concat_ws("#", F.lit(str(seed)), F.col("trial").cast("string"), F.col("id").cast("string"))))
+    placed = numbered(drawn, "trial", "draw", "id")
+    n = max(1, ids.count())
+    dealt = written(placed.select("trial", "id", (F.pmod(F.col("place"), F.lit(n)) % k).cast("int").alias("fold")), "trials")
+    other = dealt.select("trial", F.col("id").alias("b"), F.col("fold").alias("other"))
+    touched = dealt.join(graph.withColumnRenamed("a", "id"), "id").join(other, ["trial", "b"]).where("fold <> other").groupBy("trial", "id").agg(F.max("fraction").alias("shared"))
+    per_trial = touched.groupBy("trial").agg((100.0 * F.count(F.lit(1)) / n).alias("contaminated"), (100.0 * F.sum("shared") / n).alias("shared"))
+    all_trials = ids.sparkSession.range(trials).select(F.col("id").cast("int").alias("trial")).join(per_trial, "trial", "left").fillna(0.0)
+    return all_trials.agg(
+        F.lit(k).alias("k"), F.lit(trials).alias("trials"), F.avg("contaminated").alias("contaminated_pct_mean"),
+        F.coalesce(F.stddev_samp("contaminated"), F.lit(0.0)).alias("contaminated_pct_sd"), F.avg("shared").alias("mean_max_shared_pct"),
+    )
+
+
 def block_of(size: dict[str, Column | int]) -> list[Column]:
     """Block numbers of a box's centre (integer half size), for blocks of the given edges."""
     return [F.floor((F.col(f"{a}0") + F.floor((F.col(f"{a}1") - F.col(f"{a}0")) / 2)) / size[a]).alias(f"b{a}") for a in AXES]
@@ -81,21 +107,49 @@ def blocks(boxes: DataFrame, factor: int = 4) -> DataFrame:
     return boxes.select("id", "volume", *block_of(size))
 
 
-def deal_groups(groups: DataFrame, k: int = 5, most: int = 1_000_000) -> DataFrame:
+def deal_plan(histogram: dict[int, int], k: int) -> list[tuple[int, int, int, list[int]]]:
+    """(size, first rank, number, folds in turn): each group to the fold that is smallest so far, larger groups first.
+
+    Once the folds lie within one group of each other, equal groups go round them
+    in a fixed order; so a run of any number of equal groups is one entry.
+    """
+    filled, plan = [0] * k, []
+    for size in sorted(histogram, reverse=True):
+        rank, count = 0, histogram[size]
+        while rank < count:
+            if max(filled) - min(filled) < size:  # a fold that gets one comes behind all others
+                turn = sorted(range(k), key=lambda f: (filled[f], f))
+                plan.append((size, rank, count - rank, turn))
+                rounds, rest = divmod(count - rank, k)
+                for place, f in enumerate(turn):
+                    filled[f] += size * (rounds + (place < rest))
+                break
+            fold = min(range(k), key=lambda f: (filled[f], f))
+            plan.append((size, rank, 1, [fold]))
+            filled[fold] += size
+            rank += 1
+    return plan
+
+
+def deal_groups(groups: DataFrame, k: int = 5) -> DataFrame:
     """(group, fold): groups (group, n) by size, each to the fold that is smallest so far.
 
-    Groups of equal size go in the order of their names' hashes.  Groups are far
-    fewer than rows; ``most`` bounds what the greedy step gets.
+    Groups of equal size go in the order of their names' md5.  The plan needs the
+    number of groups of each size (for N rows at most sqrt(2 N) sizes); groups take
+    their folds by their rank within their size, so none passes the driver.
     """
-    ordered = groups.orderBy(F.desc("n"), F.md5("group"), "group").limit(most + 1).collect()
-    if len(ordered) > most:
-        raise ValueError(f"more than {most} groups; use larger blocks")
-    filled, out = [0] * k, []
-    for row in ordered:
-        fold = min(range(k), key=lambda f: (filled[f], f))
-        filled[fold] += row["n"]
-        out.append((row["group"], fold))
-    return groups.sparkSession.createDataFrame(out or [("", 0)], "group string, fold int")
+    spark = groups.sparkSession
+    sizes = {int(r["n"]): int(r["count"]) for r in groups.groupBy("n").count().collect()}
+    bases, at = [], 0
+    for size in sorted(sizes, reverse=True):
+        bases.append((size, at))
+        at += sizes[size]
+    base = spark.createDataFrame(bases or [(0, 0)], "n long, base long")
+    plan = spark.createDataFrame(deal_plan(sizes, k) or [(0, 0, 0, [0])], "n long, first long, many long, turn array<int>")
+    ranked = numbered(groups.select((-F.col("n")).alias("order"), F.md5("group").alias("hash"), "group", "n"), "order", "hash", "group")
+    within = ranked.join(base, "n").select("group", "n", (F.col("place") - F.col("base")).alias("rank"))
+    met = within.join(plan, "n").where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("many")))
+    return met.select("group", F.get("turn", F.pmod(F.col("rank") - F.col("first"), F.size("turn")).cast("int")).alias("fold"))
 
 
 def blocked_kfold(boxes: DataFrame, graph: DataFrame, k: int = 5, mode: str = "block", factor: int = 4) -> DataFrame:
@@ -108,7 +162,7 @@ def blocked_kfold(boxes: DataFrame, graph: DataFrame, k: int = 5, mode: str = "b
     else:
         raise ValueError(f"unknown mode {mode!r}")
     folds = deal_groups(keyed.groupBy("group").agg(F.count(F.lit(1)).alias("n")), k)
-    return keyed.join(F.broadcast(folds), "group").select("id", "fold")
+    return keyed.join(folds, "group").select("id", "fold")
 
 
 def splits_json(folds: DataFrame) -> DataFrame:
@@ -125,4 +179,4 @@ def write_splits(folds: DataFrame, path: str) -> None:
         json.dump([json.loads(r["split"]) for r in splits_json(folds).collect()], out, indent=1)
 
 
-__all__ = ["blocked_kfold", "blocks", "contaminated", "deal_groups", "declared_folds", "random_trials", "seeded_split", "splits_json", "write_splits"]
+__all__ = ["blocked_kfold", "blocks", "contaminated", "deal_groups", "deal_plan", "declared_folds", "hashed_trials", "numbered", "random_trials", "seeded_split", "splits_json", "write_splits"]

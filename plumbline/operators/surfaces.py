@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import profiles as pf
 from plumbline.operators.graph import connected_components
 from plumbline.operators.ranks import MAD_SCALE, line_scores
-from plumbline.operators.voxels import AXES, eigenvalues, trilinear
+from plumbline.operators.voxels import AXES, covariances, principal_axis, trilinear, with_eigenvalues
 from plumbline.storage import written
 
 FEW_STEPS = 17  #: samples along an edge
@@ -220,19 +220,36 @@ def surface_intensity(mesh: DataFrame, volume: DataFrame) -> DataFrame:
     return sampled.join(level, "mesh").groupBy("mesh").agg(F.first("level").alias("level"), (MAD_SCALE * F.median(F.abs(F.col("sample") - F.col("level")))).alias("spread"))
 
 
-def spacing_profiles(mesh: DataFrame, volume: DataFrame, span: float = 40.0, step: float = 0.5) -> DataFrame:
-    """(mesh, n, profile): mean intensity along the normals of the valid vertices."""
-    facing = normals(mesh).where("valid")
-    count = int(2 * span / step) + 1
-    each = facing.select("mesh", "r", "c", *AXES, *[f"n{a}" for a in AXES], F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("i"))
-    o = F.lit(-span) + F.col("i") * step
-    points = each.select(F.lit(0).alias("key"), F.struct("mesh", "r", "c", "i").alias("pid"), *[(F.col(a) + F.col(f"n{a}") * o).alias(a) for a in AXES])
-    sampled = trilinear(points, volume.withColumn("key", F.lit(0)), "key", "pid").select("pid.mesh", "pid.i", "sample")
+def walk_length(steps: DataFrame, key: str = "mesh", step: str = "grid_step", reach: float = 6.0) -> DataFrame:
+    """(key, span, along_step, n_along) of the walk that looks for the next winding: ``reach`` grid steps, 40 voxels at least."""
+    span = F.greatest(reach * F.coalesce(F.col(step), F.lit(0.0)), F.lit(40.0))
+    sized = steps.select(key, span.alias("span")).withColumn("along_step", F.greatest(F.col("span") / 120.0, F.lit(0.5)))
+    return sized.withColumn("n_along", F.ceil((2.0 * F.col("span") + 1.0) / F.col("along_step") - 1e-9).cast("int"))
+
+
+def along_walk() -> Column:
+    """Offsets of the walk in the columns of ``walk_length``."""
+    return F.transform(F.sequence(F.lit(0), F.col("n_along") - 1), lambda i: i * F.col("along_step") - F.col("span"))
+
+
+def spacing_profiles(facing: DataFrame, volume: DataFrame, walks: DataFrame) -> DataFrame:
+    """(mesh, n, profile): mean intensity along the unit normals of points (mesh, pid, z, y, x, nz, ny, nx)."""
+    each = facing.join(walks, "mesh").select("mesh", "pid", *AXES, *[f"n{a}" for a in AXES], "span", "along_step", F.explode(F.sequence(F.lit(0), F.col("n_along") - 1)).alias("i"))
+    o = F.col("i") * F.col("along_step") - F.col("span")
+    points = each.select(F.lit(0).alias("key"), F.struct("mesh", "pid", "i").alias("at"), *[(F.col(a) + F.col(f"n{a}") * o).alias(a) for a in AXES])
+    sampled = trilinear(points, volume.withColumn("key", F.lit(0)), "key", "at").select("at.mesh", "at.i", "sample")
     means = sampled.groupBy("mesh", "i").agg(F.avg("sample").alias("v"), F.count(F.lit(1)).alias("n"))
     return means.groupBy("mesh").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("profile"))
 
 
-def sheet_switches(mesh: DataFrame, volume: DataFrame, z_threshold: float = Z_THRESHOLD, steps: int = FEW_STEPS, span: float = 40.0) -> DataFrame:
+def winding_spacings(facing: DataFrame, volume: DataFrame, steps: DataFrame, step: str = "grid_step") -> DataFrame:
+    """(mesh, winding_spacing): distance to the next layer along the normals; ``steps`` (mesh, ``step``)."""
+    walks = walk_length(steps, step=step)
+    curves = spacing_profiles(facing, volume, walks).join(walks, "mesh").select("mesh", pf.smoothed(F.col("profile"), 3.0).alias("curve"), along_walk().alias("along"))
+    return curves.select("mesh", pf.winding_spacing(F.col("curve"), F.col("along")).alias("winding_spacing"))
+
+
+def sheet_switches(mesh: DataFrame, volume: DataFrame, z_threshold: float = Z_THRESHOLD, steps: int = FEW_STEPS) -> DataFrame:
     """One row a surface: where it appears to jump to a neighbouring layer, or why that cannot be said.
 
     A grid line whose edges dip together (robust z at the threshold) is a seam.
@@ -246,9 +263,9 @@ def sheet_switches(mesh: DataFrame, volume: DataFrame, z_threshold: float = Z_TH
     scores = written(line_scores(dips, ["mesh", "axis"], "line", "dip"), "scores")
     seam = F.when(F.col("z") >= z_threshold, F.struct((-F.col("z")).alias("order"), "axis", "line", "z", F.col("line_mean").alias("mean_dip")))
     lines = scores.groupBy("mesh").agg(F.array_sort(F.collect_list(seam)).alias("seams"), F.max("z").alias("max_z"))
-    along = pf.offsets(span, 0.5)
-    spacing = spacing_profiles(mesh, volume, span).select("mesh", pf.winding_spacing(pf.smoothed(F.col("profile"), 3.0), along).alias("winding_spacing"))
-    joined = grid_step(mesh).join(lines, "mesh", "left").join(spacing, "mesh", "left").join(surface_intensity(mesh, volume), "mesh", "left")
+    sized = written(edges.groupBy("mesh").agg(F.count(F.lit(1)).alias("n_edges"), F.median(_length("a", "b")).alias("grid_step")), "grid-steps")
+    spacing = winding_spacings(normals(mesh).where("valid").withColumn("pid", F.struct("r", "c")), volume, sized)
+    joined = sized.join(lines, "mesh", "left").join(spacing, "mesh", "left").join(surface_intensity(mesh, volume), "mesh", "left")
     joined = joined.withColumn("adequate", ~F.isnan("winding_spacing") & (F.col("grid_step") <= 0.5 * F.col("winding_spacing"))).withColumn("degenerate", F.coalesce(F.col("level") < LEAST_DIP, F.lit(False)))
     none = F.array().cast("array<struct<order:double,axis:int,line:int,z:double,mean_dip:double>>")
     seams = F.coalesce("seams", none)
@@ -260,22 +277,68 @@ def sheet_switches(mesh: DataFrame, volume: DataFrame, z_threshold: float = Z_TH
     )
 
 
+def edge_lengths(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(mesh, edge_length): the median length of the edges (mesh, u, v)."""
+    return _placed(edges, vertices).groupBy("mesh").agg(F.median(_length("a", "b")).alias("edge_length"))
+
+
+def _placed(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """``edges`` (mesh, u, v) with both ends' coordinates, az to bx."""
+    for end, p in (("u", "a"), ("v", "b")):
+        edges = edges.join(vertices.select("mesh", F.col("v").alias("__v"), *[F.col(a).alias(f"{p}{a}") for a in AXES]).withColumnsRenamed({"mesh": "__m"}), (F.col("mesh") == F.col("__m")) & (F.col(end) == F.col("__v"))).drop("__m", "__v")
+    return edges
+
+
+def displaced_vertices(vertices: DataFrame, facing: DataFrame, distance: float) -> DataFrame:
+    """A planted control: the vertices beyond the median of the mesh's widest axis pushed along their normals."""
+    low_high = vertices.groupBy("mesh").agg(*[(F.max(a) - F.min(a)).alias(f"s{a}") for a in AXES], *[F.median(a).alias(f"m{a}") for a in AXES])
+    widest = F.when((F.col("sz") >= F.col("sy")) & (F.col("sz") >= F.col("sx")), F.col("z") > F.col("mz")).when(F.col("sy") >= F.col("sx"), F.col("y") > F.col("my")).otherwise(F.col("x") > F.col("mx"))
+    moved = vertices.join(facing, ["mesh", "v"], "left").join(low_high, "mesh").withColumn("__there", widest)
+    return moved.select("mesh", "v", *[F.when(F.col("__there"), F.col(a) + F.coalesce(f"n{a}", F.lit(0.0)) * distance).otherwise(F.col(a)).alias(a) for a in AXES])
+
+
 def flagged_components(edges: DataFrame, dips: DataFrame, vertices: DataFrame, z_threshold: float = Z_THRESHOLD, least: int = 4, span: float = 0.4) -> DataFrame:
-    """Seams of triangle meshes: connected sets of flagged edges that are long enough.
+    """Seams of triangle meshes: connected sets of flagged edges that run across the mesh.
 
     ``edges`` (mesh, u, v), ``dips`` (mesh, u, v, dip), ``vertices`` (mesh, v, z, y, x).
-    An edge is flagged by its robust z over the mesh; a set of ``least`` edges or
-    more counts if its extent (by its moments) is ``span`` of the mesh's.
+    An edge is flagged by its robust z over the mesh.  A set of ``least`` edges or
+    more counts if its vertices reach, along their first axis, over ``span`` of
+    the mesh's largest extent.
     """
     named = edges.join(dips, ["mesh", "u", "v"]).withColumn("edge", F.struct("u", "v"))
-    scored = line_scores(named, ["mesh"], "edge", "dip").where(F.col("z") >= z_threshold).select("mesh", "edge.u", "edge.v", "z")
-    flagged = written(scored.select("mesh", F.concat_ws("/", F.col("mesh").cast("string"), F.col("u").cast("string")).alias("a"), F.concat_ws("/", F.col("mesh").cast("string"), F.col("v").cast("string")).alias("b"), "u", "v", "z"), "flagged")
+    scored = line_scores(named, ["mesh"], "edge", "dip").where(F.col("z") >= z_threshold).select("mesh", "edge.u", "edge.v", "z", F.col("line_mean").alias("dip"))
+    node = lambda v: F.concat_ws("/", F.col("mesh").cast("string"), F.col(v).cast("string"))
+    flagged = written(scored.select("mesh", node("u").alias("a"), node("v").alias("b"), "u", "v", "z", "dip"), "flagged")
     groups = connected_components(flagged).withColumnRenamed("node", "a")
-    ends = flagged.join(groups, "a").select("mesh", "component", "z", F.explode(F.array("u", "v")).alias("v"))
-    placed = ends.join(vertices, ["mesh", "v"])
-    cov = [F.covar_pop(a, b).alias(f"c{a}{b}") for i, a in enumerate(AXES) for b in AXES[i:]]
-    first, _, _ = eigenvalues(*[F.col(f"c{a}{b}") for i, a in enumerate(AXES) for b in AXES[i:]])
-    whole = vertices.groupBy("mesh").agg(*cov).select("mesh", F.sqrt(first).alias("mesh_spread"))
-    each = placed.groupBy("mesh", "component").agg((F.count(F.lit(1)) / 2).cast("long").alias("n_edges"), F.max("z").alias("max_z"), *cov).withColumn("own", F.sqrt(first))
-    share = F.col("own") / F.greatest(F.col("mesh_spread"), F.lit(1e-9))
-    return each.join(whole, "mesh").withColumn("span_fraction", share).where((F.col("n_edges") >= least) & (F.col("span_fraction") >= span)).select("mesh", "component", "n_edges", "max_z", "span_fraction")
+    each = written(flagged.join(groups, "a"), "flagged-sets")
+    ends = each.select("mesh", "component", F.explode(F.array("u", "v")).alias("v")).distinct()
+    placed = written(ends.join(vertices.select("mesh", "v", *AXES), ["mesh", "v"]), "flagged-ends")
+    clouds = with_eigenvalues(placed.groupBy("mesh", "component").agg(F.count(F.lit(1)).alias("n_vertices"), *covariances())).select("mesh", "component", "n_vertices", principal_axis("e2", "e3").alias("axis"))
+    along = sum([F.col(a) * F.get("axis", F.lit(i)) for i, a in enumerate(AXES) if i], F.col("z") * F.get("axis", F.lit(0)))
+    reach = placed.join(clouds, ["mesh", "component"]).groupBy("mesh", "component").agg(F.first("n_vertices").alias("n_vertices"), (F.max(along) - F.min(along)).alias("reach"))
+    extent = vertices.groupBy("mesh").agg(F.greatest(*[F.max(a) - F.min(a) for a in AXES]).alias("extent"))
+    sizes = each.groupBy("mesh", "component").agg(F.count(F.lit(1)).alias("n_edges"), F.max("z").alias("max_z"), F.avg("z").alias("mean_z"), F.avg("dip").alias("mean_dip"))
+    share = F.coalesce(F.col("reach") / F.when(F.col("extent") > 0, F.col("extent")), F.lit(0.0))
+    found = sizes.join(reach, ["mesh", "component"]).join(extent, "mesh").withColumn("span_fraction", share)
+    return found.where((F.col("n_edges") >= least) & (F.col("span_fraction") >= span)).select("mesh", "component", "n_edges", "n_vertices", "max_z", "mean_z", "mean_dip", "span_fraction")
+
+
+def triangle_switches(vertices: DataFrame, faces: DataFrame, volume: DataFrame, z_threshold: float = Z_THRESHOLD, steps: int = FEW_STEPS, least: int = 4, span: float = 0.4) -> DataFrame:
+    """One row a triangle mesh: its seams, or why they cannot be told; gates as for grid meshes."""
+    edges = written(unique_edges(faces, ("mesh",)), "tri-edges")
+    placed = written(_placed(edges, vertices), "tri-placed")
+    dips = written(edge_dips(placed, volume, ["mesh", "u", "v"], steps), "tri-dips")
+    sized = written(placed.groupBy("mesh").agg(F.count(F.lit(1)).alias("n_edges"), F.median(_length("a", "b")).alias("edge_length")), "tri-steps")
+    facing = vertices.join(triangle_normals(vertices, faces), ["mesh", "v"]).withColumnRenamed("v", "pid")
+    spacing = winding_spacings(facing, volume, sized, "edge_length")
+    scores = line_scores(dips.withColumn("edge", F.struct("u", "v")), ["mesh"], "edge", "dip").groupBy("mesh").agg(F.max("z").alias("max_z"), F.median("line_mean").alias("median_dip"))
+    seams = flagged_components(edges, dips, vertices, z_threshold, least, span).groupBy("mesh").agg(F.array_sort(F.collect_list(F.struct((-F.col("span_fraction")).alias("order"), "component", "n_edges", "n_vertices", "max_z", "mean_z", "mean_dip", "span_fraction"))).alias("seams"))
+    points = vertices.withColumn("valid", F.lit(True)).withColumns({"r": F.col("v"), "c": F.lit(0)})
+    joined = sized.join(scores, "mesh", "left").join(spacing, "mesh", "left").join(seams, "mesh", "left").join(surface_intensity(points, volume), "mesh", "left")
+    joined = joined.withColumn("adequate", F.coalesce(~F.isnan("winding_spacing") & (F.col("edge_length") <= 0.5 * F.col("winding_spacing")), F.lit(False))).withColumn("degenerate", F.coalesce(F.col("level") < LEAST_DIP, F.lit(False)))
+    found = F.coalesce(F.size("seams"), F.lit(0))
+    usable = F.col("adequate") & ~F.col("degenerate")
+    return joined.select(
+        "mesh", "n_edges", "edge_length", "winding_spacing", "adequate", "degenerate", "level", "spread", F.when(F.col("degenerate"), 0.0).otherwise(F.coalesce("max_z", F.lit(0.0))).alias("max_z"), "median_dip",
+        F.when(usable, found).otherwise(0).alias("n_seams"), F.when(usable, F.transform("seams", lambda s: s.dropFields("order"))).alias("seams"), F.when(~F.col("adequate") & ~F.col("degenerate"), found).otherwise(0).alias("n_unreliable"),
+    )

@@ -19,6 +19,8 @@ from plumbline.storage import written
 AXES = ("z", "y", "x")
 FACES = [d for d in product((-1, 0, 1), repeat=3) if sum(map(abs, d)) == 1]
 ALL_AROUND = [d for d in product((-1, 0, 1), repeat=3) if any(d)]
+MOST_EROSIONS = 24  #: rungs of the thickness ladder
+LEAST_CLOUD = 8  #: voxels that a plane is fitted to
 
 
 def shifted(voxels: DataFrame, steps: list[tuple[int, int, int]], keep: list[str]) -> DataFrame:
@@ -34,23 +36,33 @@ def eroded(voxels: DataFrame, key: str, shape: dict[str, int]) -> DataFrame:
     return voxels.select(key, *AXES).join(around, [key, *AXES]).where(F.col("n") + edge >= 6).select(key, *AXES)
 
 
-def erosion_depth(voxels: DataFrame, key: str, shape: dict[str, int], most: int = 12) -> DataFrame:
-    """(key, z, y, x, depth): after how many erosions a voxel goes; ``most`` where it outlives them."""
+def erosion_depth(voxels: DataFrame, key: str, shape: dict[str, int], most: int = MOST_EROSIONS, probe: int = 4, bulk: float = 0.5) -> DataFrame:
+    """(key, z, y, x, depth, standing): after how many erosions a voxel goes.
+
+    A key's peeling stops after ``most`` erosions, or after ``probe`` or more once
+    over a ``bulk`` share of its voxels still stands: that is no sheet.  Voxels
+    left then are ``standing``, and their depth is a lower bound.
+    """
     left = written(voxels.select(key, *AXES).distinct(), "erosion")
-    depths = left.withColumn("depth", F.lit(1))
-    for step in range(2, most + 1):
-        left = written(eroded(left, key, shape), "erosion")
-        if left.isEmpty():
+    total = left.groupBy(key).agg(F.count(F.lit(1)).alias("total"))
+    depths = left.select("*", F.lit(1).alias("depth"), F.lit(False).alias("standing"))
+    for step in range(1, most + 1):
+        after = written(eroded(left, key, shape), "erosion")
+        alive = after.groupBy(key).agg(F.count(F.lit(1)).alias("alive")).join(total, key)
+        stops = F.lit(True) if step == most else (F.col("alive") > bulk * F.col("total")) & F.lit(step >= probe)
+        judged = written(after.join(alive.select(key, stops.alias("standing")), key), "erosion")
+        if judged.isEmpty():
             break
-        depths = depths.union(left.withColumn("depth", F.lit(step)))
-    return depths.groupBy(key, *AXES).agg(F.max("depth").alias("depth"))
+        depths = depths.union(judged.select(key, *AXES, (F.lit(step + 1) - F.col("standing").cast("int")).alias("depth"), "standing"))
+        left = judged.where("not standing").drop("standing")
+    return depths.groupBy(key, *AXES).agg(F.max("depth").alias("depth"), F.bool_or("standing").alias("standing"))
 
 
-def thickness_stats(voxels: DataFrame, key: str, shape: dict[str, int], most: int = 12) -> DataFrame:
-    """Per key: twice the depth as median, 95th percentile, maximum, mean, and the saturated share."""
+def thickness_stats(voxels: DataFrame, key: str, shape: dict[str, int], most: int = MOST_EROSIONS) -> DataFrame:
+    """Per key: twice the depth as median, 95th percentile, maximum, mean, and the share still standing at the end."""
     t = 2.0 * F.col("depth")
     return erosion_depth(voxels, key, shape, most).groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), F.median(t).alias("median"), F.percentile(t, F.lit(0.95)).alias("p95"), F.max(t).alias("max"), F.avg(t).alias("mean"), F.avg((F.col("depth") >= most).cast("double")).alias("saturated")
+        F.count(F.lit(1)).alias("n"), F.median(t).alias("median"), F.percentile(t, F.lit(0.95)).alias("p95"), F.max(t).alias("max"), F.avg(t).alias("mean"), F.avg(F.col("standing").cast("double")).alias("saturated")
     )
 
 
@@ -73,17 +85,21 @@ def component_stats(labelled: DataFrame, key: str, least: int = 64) -> DataFrame
     )
 
 
-def planarity(labelled: DataFrame, key: str, most: int = 16) -> DataFrame:
-    """Per component of the ``most`` largest of its key: the second moments and how flat they are.
+def planarity(labelled: DataFrame, key: str, most: int = 16, least: int = 64) -> DataFrame:
+    """(key, component, n, e1, e2, e3, planarity) of the ``most`` largest components of ``least`` voxels or more.
 
-    Flatness is 1 - least / middle eigenvalue of the covariance; eigenvalues of a
+    Planarity is the least eigenvalue's share of the covariance's trace: 0 for a
+    plane, a third for a ball; null where the trace is zero.  Eigenvalues of a
     symmetric 3 x 3 matrix have a closed form.
     """
-    cov = [F.covar_pop(a, b).alias(f"c{a}{b}") for i, a in enumerate(AXES) for b in AXES[i:]]
-    each = labelled.groupBy(key, "component").agg(F.count(F.lit(1)).alias("n"), *cov)
-    top = each.withColumn("turn", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "component"))).where(F.col("turn") <= most)
-    first, second, third = eigenvalues(*[F.col(f"c{a}{b}") for i, a in enumerate(AXES) for b in AXES[i:]])
-    return top.select(key, "component", "n", first.alias("e1"), second.alias("e2"), third.alias("e3")).withColumn("planarity", F.when(F.col("e2") > 1e-12, 1 - F.col("e3") / F.col("e2")).otherwise(0.0))
+    each = labelled.groupBy(key, "component").agg(F.count(F.lit(1)).alias("n"), *covariances()).where(F.col("n") >= max(least, LEAST_CLOUD))
+    top = with_eigenvalues(each.withColumn("turn", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "component"))).where(F.col("turn") <= most))
+    return top.select(key, "component", "n", "e1", "e2", "e3", (F.col("e3") / F.nullif(F.col("czz") + F.col("cyy") + F.col("cxx"), F.lit(0.0))).alias("planarity"))
+
+
+def planarity_summary(flatness: DataFrame, key: str) -> DataFrame:
+    """Per key: components measured, and the median and largest planarity."""
+    return flatness.groupBy(key).agg(F.count("planarity").alias("n_measured"), F.median("planarity").alias("median_planarity"), F.max("planarity").alias("worst_planarity"))
 
 
 def eigenvalues(zz: Column, zy: Column, zx: Column, yy: Column, yx: Column, xx: Column) -> tuple[Column, Column, Column]:
@@ -99,6 +115,35 @@ def eigenvalues(zz: Column, zy: Column, zx: Column, yy: Column, yx: Column, xx:
     return first, 3 * q - first - third, F.greatest(third, F.lit(0.0))
 
 
+COVARIANCE = [f"c{a}{b}" for i, a in enumerate(AXES) for b in AXES[i:]]
+
+
+def covariances(prefix: str = "") -> list[Column]:
+    """Aggregates czz, czy, czx, cyy, cyx, cxx of the points in ``prefix`` z, y, x."""
+    return [F.covar_samp(f"{prefix}{a}", f"{prefix}{b}").alias(f"c{a}{b}") for i, a in enumerate(AXES) for b in AXES[i:]]
+
+
+def with_eigenvalues(rows: DataFrame) -> DataFrame:
+    """``rows`` with e1 >= e2 >= e3 of the matrix in the ``COVARIANCE`` columns."""
+    return rows.withColumns(dict(zip(("e1", "e2", "e3"), eigenvalues(*map(F.col, COVARIANCE)), strict=True)))
+
+
+def principal_axis(p: str, q: str) -> Column:
+    """Unit eigenvector (array z, y, x) of the matrix in ``COVARIANCE`` for the eigenvalue that is neither ``p`` nor ``q``.
+
+    Each column of (A - p)(A - q) is such a vector; the longest is taken, and the
+    z axis where all three vanish.
+    """
+    zz, zy, zx, yy, yx, xx = map(F.col, COVARIANCE)
+    matrix = [[zz, zy, zx], [zy, yy, yx], [zx, yx, xx]]
+    less = lambda e: [[matrix[r][c] - F.col(e) if r == c else matrix[r][c] for c in range(3)] for r in range(3)]
+    first, second = less(p), less(q)
+    columns = [[sum((first[r][k] * second[k][c] for k in (1, 2)), first[r][0] * second[0][c]) for r in range(3)] for c in range(3)]
+    sized = F.array(*[F.struct(sum((x * x for x in v[1:]), v[0] * v[0]).alias("n"), F.lit(-c).alias("c"), F.array(*v).alias("v")) for c, v in enumerate(columns)])
+    unit = lambda best: F.when(best["n"] > 1e-24, F.transform(best["v"], lambda x: x / F.sqrt(best["n"]))).otherwise(F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0)))
+    return F.get(F.transform(F.array(F.array_max(sized)), unit), F.lit(0))
+
+
 def block_key(side: int, shift: int = 0) -> list[Column]:
     """Block number of a coordinate along each axis."""
     return [F.floor((F.col(a) + shift) / side).cast("int").alias(f"b{a}") for a in AXES]
@@ -128,19 +173,74 @@ def trilinear(points: DataFrame, voxels: DataFrame, key: str, point_id: str, val
     return hit.groupBy(key, point_id).agg(F.sum(F.col("w") * F.coalesce("v", F.lit(0.0))).alias("sample"))
 
 
-def nearest_neighbours(points: DataFrame, key: str, point_id: str, k: int, cell: float) -> DataFrame:
-    """(key, point_id, neighbour, distance, turn): the k nearest points within ``cell``, itself included.
+def _search_edges(references: DataFrame, key: str, k: int) -> DataFrame:
+    """(key, __n, __edge, __reach): per key the points, a first cell edge that a ball of some 3 k points fits, and the box's diagonal."""
+    spans = [F.max(a) - F.min(a) for a in AXES]
+    boxes = references.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), *[s.alias(f"s{a}") for a, s in zip(AXES, spans, strict=True)])
+    longest = F.greatest(*[F.col(f"s{a}").cast("double") for a in AXES], F.lit(1e-3))
+    room = reduce(lambda x, y: x * y, [F.greatest(F.col(f"s{a}"), longest * 1e-3) for a in AXES])
+    edge = F.least(F.pow(room * (0.75 * k) / F.col("__n"), F.lit(1.0 / 3.0)), longest)
+    return boxes.select(key, "__n", edge.alias("__edge"), F.sqrt(sum([F.col(f"s{a}") ** 2 for a in AXES[1:]], F.col("sz") ** 2)).alias("__reach"))
+
+
+def nearest_points(queries: DataFrame, references: DataFrame, key: str, query_id: str, reference_id: str, k: int) -> DataFrame:
+    """(key, query_id, neighbour, distance, turn): the k nearest references of every query of the same key.
 
-    Points are dealt to cells of that edge and meet the 27 cells around them; a
-    point with fewer than k others so near gets those that there are.
+    Both sides are (key, id, z, y, x).  They are dealt to cells and a query meets
+    the 27 cells around it; the first edge follows from the key's mean density.
+    Queries whose k-th neighbour is not within the edge go on with the edge
+    doubled, until it covers the key's box; so the result is complete.  Ties go
+    to the smaller id; a key of fewer references gives all of them.
     """
-    celled = points.select(key, F.col(point_id).alias("q"), *[F.col(a).alias(f"q{a}") for a in AXES], *[F.floor(F.col(a) / cell).cast("int").alias(a) for a in AXES])
-    spread = shifted(celled, [(0, 0, 0), *ALL_AROUND], [key, "q", *[f"q{a}" for a in AXES]])
-    own = points.select(key, F.col(point_id).alias("neighbour"), *[F.col(a).alias(f"n{a}") for a in AXES], *[F.floor(F.col(a) / cell).cast("int").alias(a) for a in AXES])
-    d = F.sqrt(sum([(F.col(f"q{a}") - F.col(f"n{a}")) ** 2 for a in AXES[1:]], (F.col("qz") - F.col("nz")) ** 2))
-    pairs = spread.join(own, [key, *AXES]).withColumn("distance", d).where(F.col("distance") <= cell)
-    turn = F.row_number().over(Window.partitionBy(key, "q").orderBy("distance", "neighbour"))
-    return pairs.withColumn("turn", turn).where(F.col("turn") <= k).select(key, F.col("q").alias(point_id), "neighbour", "distance", "turn")
+    scale = written(_search_edges(references.select(key, *AXES).unionByName(queries.select(key, *AXES)), key, k), "knn-scale")
+    counts = references.groupBy(key).agg(F.count(F.lit(1)).alias("__have"))
+    scale = written(scale.join(counts, key), "knn-scale")
+    left = queries.select(key, F.col(query_id).alias("__q"), *[F.col(a).cast("double").alias(f"q{a}") for a in AXES])
+    own = references.select(key, F.col(reference_id).alias("neighbour"), *[F.col(a).cast("double").alias(f"n{a}") for a in AXES])
+    distance = F.sqrt(sum([(F.col(f"q{a}") - F.col(f"n{a}")) ** 2 for a in AXES[1:]], (F.col("qz") - F.col("nz")) ** 2))
+    turn = F.row_number().over(Window.partitionBy(key, "__q").orderBy("distance", "neighbour"))
+    found, grow = None, 1.0
+    while True:
+        sized = scale.withColumn("__edge", F.col("__edge") * grow)
+        cell = lambda p: [F.floor(F.col(f"{p}{a}") / F.col("__edge")).cast("long").alias(a) for a in AXES]  # noqa: B023, E731
+        spread = shifted(left.join(sized, key).select("*", *cell("q")), [(0, 0, 0), *ALL_AROUND], [key, "__q", *[f"q{a}" for a in AXES], "__edge", "__reach", "__have"])
+        placed = own.join(sized.select(key, "__edge"), key).select(key, "neighbour", *[f"n{a}" for a in AXES], *cell("n"))
+        pairs = spread.join(placed, [key, *AXES]).select(key, "__q", "neighbour", distance.alias("distance"), "__edge", "__reach", "__have")
+        near = pairs.where((F.col("distance") <= F.col("__edge")) | (F.col("__edge") >= F.col("__reach")))
+        best = near.withColumn("turn", turn).where(F.col("turn") <= k)
+        own_count = F.count(F.lit(1)).over(Window.partitionBy(key, "__q"))
+        best = written(best.withColumn("__whole", own_count >= F.least(F.lit(k), F.col("__have"))).select(key, "__q", "neighbour", "distance", "turn", "__whole"), "knn")
+        ready = best.where("__whole").drop("__whole")
+        found = ready if found is None else found.unionByName(ready)
+        left = written(left.join(scale.select(key), key, "left_semi").join(ready.select(key, "__q").distinct(), [key, "__q"], "left_anti"), "knn-open")
+        if left.isEmpty():
+            return found.withColumnRenamed("__q", query_id)
+        grow *= 2.0
+
+
+def nearest_neighbours(points: DataFrame, key: str, point_id: str, k: int) -> DataFrame:
+    """(key, point_id, neighbour, distance, turn): the k nearest points of the key, itself included."""
+    return nearest_points(points, points, key, point_id, point_id, k)
+
+
+def knn_edges(points: DataFrame, key: str, point_id: str, k: int) -> DataFrame:
+    """(key, a, b, distance): each point with its k nearest others."""
+    near = nearest_neighbours(points, key, point_id, k + 1).where("turn > 1")
+    return near.select(key, F.col(point_id).alias("a"), F.col("neighbour").alias("b"), "distance")
+
+
+def nearest_values(queries: DataFrame, seeds: DataFrame, key: str, query_id: str, seed_id: str, values: list[str]) -> DataFrame:
+    """(key, query_id, values): each query with the values of its nearest seed."""
+    near = nearest_points(queries, seeds, key, query_id, seed_id, 1).select(key, query_id, F.col("neighbour").alias(seed_id))
+    return near.join(seeds.select(key, seed_id, *values), [key, seed_id]).select(key, query_id, *values)
+
+
+def point_normals(points: DataFrame, key: str, point_id: str, k: int = 40) -> DataFrame:
+    """(key, point_id, nz, ny, nx): unsigned unit normals, the direction of least extent among the k nearest points."""
+    near = nearest_neighbours(points, key, point_id, k).select(key, point_id, "neighbour")
+    around = near.join(points.select(key, F.col(point_id).alias("neighbour"), *AXES), [key, "neighbour"])
+    facing = with_eigenvalues(around.groupBy(key, point_id).agg(*covariances())).withColumn("axis", principal_axis("e1", "e2"))
+    return facing.select(key, point_id, *[F.get("axis", F.lit(i)).alias(f"n{a}") for i, a in enumerate(AXES)])
 
 
 def gradient(voxels: DataFrame, key: str, value: str = "value") -> DataFrame:

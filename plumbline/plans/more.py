@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import profiles as pf
 from plumbline.operators import corpus, leakage, ranks, surfaces, voxels
-from plumbline.plans.proxies import line_voxels, table
-from plumbline.plans.registry import _GRID_SQL, _PROFILE_SQL, _grid, profiles, query, rounded
+from plumbline.operators import boxes as bx
+from plumbline.plans.proxies import BOXES_SQL, VOXELS_SQL, line_voxels, part_boxes, table
+from plumbline.plans.registry import _GRID_SQL, _PROFILE_SQL, _grid, components_sql, profiles, query, rounded
 from plumbline.sources import reports, zarr
 from plumbline.streaming import resume
 
@@ -17,8 +18,7 @@ c AS (SELECT a.id AS a, b.id AS b, CASE WHEN count(*) FILTER (a.o OR b.o) = 0 TH
 
 def _consistency(spark, sf_dir):
     lab = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 8).alias("id"), (F.col("l_orderkey") % 60).alias("z"), (F.col("l_partkey") % 20).alias("y"), F.col("l_linenumber").alias("x")).agg(F.bool_or(F.col("l_quantity") > 25).alias("on"))
-    ids = lab.select("id").distinct()
-    return leakage.overlap_consistency(lab, ids.select(F.col("id").alias("a")).join(ids.select(F.col("id").alias("b")), F.col("a") < F.col("b")))
+    return leakage.overlap_consistency(lab)
 
 
 @query(f"""WITH {_CONSISTENCY_SQL} SELECT count(*) AS n_pairs, round(avg(iou), 6) AS mean, round(median(iou), 6) AS median, round(min(iou), 6) AS min, count(*) FILTER (iou < 0.9) AS n_below_90, count(*) FILTER (iou < 0.5) AS n_below_50 FROM c""")
@@ -59,19 +59,25 @@ def surface_bounds(spark, sf_dir):
     return surfaces.bounds(_grid(spark, sf_dir), "mesh", 8)
 
 
-@query()
+@query(f"""WITH {_GRID_SQL}, {VOXELS_SQL}, o AS (SELECT z, y, x, max(value) AS v FROM voxels GROUP BY ALL), p AS (SELECT mesh, r, c, z % 24 AS z, y % 24 AS y, x % 24 AS x FROM g),
+k AS (SELECT mesh, r, c, floor(z) + dz AS z, floor(y) + dy AS y, floor(x) + dx AS x, (CASE dz WHEN 1 THEN z - floor(z) ELSE 1 - z + floor(z) END) * (CASE dy WHEN 1 THEN y - floor(y) ELSE 1 - y + floor(y) END) * (CASE dx WHEN 1 THEN x - floor(x) ELSE 1 - x + floor(x) END) AS w FROM p, range(0, 2) a(dz), range(0, 2) b(dy), range(0, 2) e(dx)),
+s AS (SELECT k.mesh, k.r, k.c, sum(w * coalesce(o.v, 0)) AS s FROM k LEFT JOIN o ON o.z = k.z AND o.y = k.y AND o.x = k.x GROUP BY ALL), m AS (SELECT mesh, median(s) AS level FROM s GROUP BY mesh)
+SELECT s.mesh, round(max(level), 6) AS level, round(1.4826 * median(abs(s.s - level)), 6) AS spread FROM s JOIN m ON m.mesh = s.mesh GROUP BY s.mesh""")
 def surface_intensity(spark, sf_dir):
-    """Median and spread of the line items' volume at the orders' vertices (trilinear; checked in the tests)."""
+    """Median and spread of the line items' volume at the orders' vertices."""
     grid = _grid(spark, sf_dir).withColumns({a: F.col(a) % 24 for a in "zyx"})
-    return surfaces.surface_intensity(grid, line_voxels(spark, sf_dir).groupBy("z", "y", "x").agg(F.max("value").alias("value")))
+    return rounded(surfaces.surface_intensity(grid, line_voxels(spark, sf_dir).groupBy("z", "y", "x").agg(F.max("value").alias("value"))), "level", "spread")
 
 
-@query()
+@query("""WITH v AS (SELECT p_partkey % 500 AS v, CAST(max(p_size) AS DOUBLE) AS z, max(p_retailprice) AS y, p_partkey % 500 * 1.0 AS x FROM part GROUP BY p_partkey % 500), f AS (SELECT l_orderkey % 500 AS a, l_partkey % 500 AS b, l_suppkey % 500 AS c FROM lineitem),
+n AS (SELECT [f.a, f.b, f.c] AS corners, (b.y - a.y) * (c.x - a.x) - (b.x - a.x) * (c.y - a.y) AS nz, (b.x - a.x) * (c.z - a.z) - (b.z - a.z) * (c.x - a.x) AS ny, (b.z - a.z) * (c.y - a.y) - (b.y - a.y) * (c.z - a.z) AS nx FROM f JOIN v a ON a.v = f.a JOIN v b ON b.v = f.b JOIN v c ON c.v = f.c),
+t AS (SELECT v, sum(nz) AS nz, sum(ny) AS ny, sum(nx) AS nx FROM (SELECT unnest(corners) AS v, nz, ny, nx FROM n) GROUP BY v)
+SELECT v, round(nz / sqrt(nz * nz + ny * ny + nx * nx), 6) AS nz, round(ny / sqrt(nz * nz + ny * ny + nx * nx), 6) AS ny, round(nx / sqrt(nz * nz + ny * ny + nx * nx), 6) AS nx FROM t""")
 def triangle_vertex_normals(spark, sf_dir):
-    """Area-weighted normals of triangles between parts (checked against NumPy in the tests)."""
+    """Area-weighted normals of triangles between parts."""
     v = table(spark, sf_dir, "part").select((F.col("p_partkey") % 500).alias("v"), "p_size", "p_retailprice").groupBy("v").agg(F.max("p_size").cast("double").alias("z"), F.max("p_retailprice").alias("y")).select(F.lit(0).alias("mesh"), "v", "z", "y", (F.col("v") * 1.0).alias("x"))
     f = table(spark, sf_dir, "lineitem").select(F.lit(0).alias("mesh"), (F.col("l_orderkey") % 500).alias("a"), (F.col("l_partkey") % 500).alias("b"), (F.col("l_suppkey") % 500).alias("c"))
-    return surfaces.triangle_normals(v, f)
+    return rounded(surfaces.triangle_normals(v, f).drop("mesh"), "nz", "ny", "nx")
 
 
 @query(f"""WITH {_PROFILE_SQL}, t AS (SELECT label, vec_id % 4 AS tile, i, avg(v) AS v, count(*) AS n FROM x GROUP BY ALL)
@@ -130,16 +136,32 @@ def event_rates(spark, sf_dir):
     return rounded(resume.event_rates(table(spark, sf_dir, "events")), "mean")
 
 
-@query()
+def _blur_sql(sigma: float) -> str:
+    """``soft``: the voxels' values after a blur along each axis, with weights renormalised where there is no voxel."""
+    reach, steps, source = int(4 * sigma + 0.5), [], "voxels"
+    for k, axis in enumerate("zyx"):
+        meets = " AND ".join(f"b.{o} = a.{o}" + (" + k" if o == axis else "") for o in "zyx")
+        steps.append(f"blur{k} AS (SELECT a.volume, a.z, a.y, a.x, sum(b.value * w) / sum(w) AS value FROM voxels a, kernel, {source} b WHERE b.volume = a.volume AND {meets} GROUP BY ALL)")
+        source = f"blur{k}"
+    return f"kernel AS (SELECT k, exp(-0.5 * (k / {sigma}) ** 2) AS w FROM range({-reach}, {reach + 1}) t(k)), {', '.join(steps)}, soft AS (SELECT volume, z, y, x, v.value, b.value AS soft FROM voxels v JOIN {source} b USING (volume, z, y, x))"
+
+
+@query(f"""WITH {VOXELS_SQL}, {_blur_sql(1.0)}, m AS (SELECT volume, median(value - soft) AS m FROM soft GROUP BY volume)
+SELECT volume, round(greatest(1.4826 * median(abs(value - soft - m)), 1e-6), 6) AS noise_sigma FROM soft JOIN m USING (volume) GROUP BY volume""")
 def voxel_noise(spark, sf_dir):
-    """Noise of each volume after a Gaussian blur (checked against NumPy in the tests)."""
-    return voxels.noise_sigma(line_voxels(spark, sf_dir), "volume")
+    """Noise of each volume after a Gaussian blur; the voxels have no zeros."""
+    return rounded(voxels.noise_sigma(line_voxels(spark, sf_dir), "volume"), "noise_sigma")
 
 
-@query()
+@query(f"""WITH RECURSIVE {components_sql(45)}, c AS (SELECT volume, root, count(*) AS n, covar_pop(z, z) AS zz, covar_pop(z, y) AS zy, covar_pop(z, x) AS zx, covar_pop(y, y) AS yy, covar_pop(y, x) AS yx, covar_pop(x, x) AS xx FROM sets GROUP BY ALL HAVING count(*) >= 8), m AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY volume ORDER BY n DESC, root) <= 16),
+q AS (SELECT *, (zz + yy + xx) / 3 AS q, sqrt(((zz - (zz + yy + xx) / 3) ** 2 + (yy - (zz + yy + xx) / 3) ** 2 + (xx - (zz + yy + xx) / 3) ** 2 + 2 * (zy * zy + zx * zx + yx * yx)) / 6) AS p FROM m),
+d AS (SELECT *, ((zz - q) * ((yy - q) * (xx - q) - yx * yx) - zy * (zy * (xx - q) - yx * zx) + zx * (zy * yx - (yy - q) * zx)) / (2 * p ** 3) AS r FROM q),
+e AS (SELECT volume, greatest(q + 2 * p * cos(acos(greatest(-1, least(1, r))) / 3 + 2.0943951023931953), 0) / (3 * q) AS planarity FROM d)
+SELECT volume, count(planarity) AS n_measured, round(median(planarity), 6) AS median_planarity, round(max(planarity), 6) AS worst_planarity FROM e GROUP BY volume""")
 def voxel_planarity(spark, sf_dir):
-    """Flatness of the sixteen largest connected sets of each volume: a top-k report."""
-    return voxels.planarity(voxels.components(line_voxels(spark, sf_dir).where("value >= 45"), "volume"), "volume")
+    """Flatness of the sixteen largest connected sets of eight voxels or more in each volume (a top-k report): median and worst."""
+    flat = voxels.planarity(voxels.components(line_voxels(spark, sf_dir).where("value >= 45"), "volume"), "volume", least=8)
+    return rounded(voxels.planarity_summary(flat, "volume"), "median_planarity", "worst_planarity")
 
 
 @query("""WITH e AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)
@@ -190,7 +212,37 @@ def pooled_mann_whitney(spark, sf_dir):
     return found.select("series", "n1", "n2", F.round("u", 3).alias("u"), F.round("zscore", 5).alias("zscore"))
 
 
-@query()
+@query(f"""WITH {VOXELS_SQL}, {_blur_sql(2.0)}
+SELECT volume, round(avg(abs(value - soft)) / nullif(quantile_cont(value, 0.99) - quantile_cont(value, 0.01), 0), 6) AS contrast, round(median(value), 6) AS median FROM soft GROUP BY volume""")
 def voxel_contrast(spark, sf_dir):
-    """Local contrast of each volume against a blur of two voxels (checked in the tests)."""
-    return voxels.local_contrast(line_voxels(spark, sf_dir), "volume")
+    """Local contrast of each volume against a blur of two voxels."""
+    return rounded(voxels.local_contrast(line_voxels(spark, sf_dir), "volume"), "contrast", "median")
+
+
+@query("""WITH p AS (SELECT vec_id, vec_id % 2 AS mesh, CAST(vec_id // 32 // 8 AS INTEGER) AS tr, CAST(vec_id % 32 // 8 AS INTEGER) AS tc, embedding FROM embeddings), x AS (SELECT mesh, tr, tc, i - 1 AS i, avg(CAST(embedding[i] AS DOUBLE)) AS v, count(*) AS n FROM p, range(1, 65) t(i) GROUP BY ALL)
+SELECT mesh, tr, tc, max(n) AS n, round(max(v) - min(v), 6) AS range, round(max(v) FILTER (i = 32), 6) AS at_zero, CAST(arg_max(i, v) - 32 AS DOUBLE) AS peak_offset FROM x GROUP BY ALL HAVING max(n) >= 32 AND max(v) > 0""")
+def onsheet_blocks(spark, sf_dir):
+    """Mean profiles of tiles of 8 x 8 cells, at least half of them filled: the embeddings as the cells of two surfaces."""
+    v = F.col("vec_id")
+    cells = profiles(spark, sf_dir).select((v % 2).alias("mesh"), F.floor(v / 32).alias("r"), (v % 32).alias("c"), "profile")
+    return rounded(surfaces.block_profiles(cells, "mesh", 8, 32.0, 1.0), "range", "at_zero")
+
+
+@query("""WITH p AS (SELECT c_custkey AS pid, c_nationkey AS s, c_custkey % 97 * 1.0 AS z, c_custkey % 89 * 1.0 AS y, c_acctbal / 100 AS x FROM customer), e AS (SELECT s_suppkey AS sid, s_nationkey AS s, s_suppkey % 97 * 1.0 AS z, s_suppkey % 89 * 1.0 AS y, s_acctbal / 100 AS x FROM supplier)
+SELECT pid, arg_min(sid, (sqrt((p.z - e.z) ** 2 + (p.y - e.y) ** 2 + (p.x - e.x) ** 2), sid)) AS sid FROM p JOIN e ON e.s = p.s GROUP BY pid""")
+def nearest_seed(spark, sf_dir):
+    """Each customer's nearest supplier of its nation."""
+    at = lambda k, b: [(F.col(k) % 97).cast("double").alias("z"), (F.col(k) % 89).cast("double").alias("y"), (F.col(b) / 100).alias("x")]
+    points = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("s"), F.col("c_custkey").alias("pid"), *at("c_custkey", "c_acctbal"))
+    seeds = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("s"), F.col("s_suppkey").alias("sid"), *at("s_suppkey", "s_acctbal"))
+    return voxels.nearest_points(points, seeds, "s", "pid", "sid", 1).select("pid", F.col("neighbour").alias("sid"))
+
+
+@query(f"""WITH {BOXES_SQL} SELECT a.id AS a, b.id AS b, greatest(a.z0 - b.z1, b.z0 - a.z1, a.y0 - b.y1, b.y0 - a.y1, a.x0 - b.x1, b.x0 - a.x1, 0) AS gap FROM boxes a JOIN boxes b ON a.volume = b.volume AND (a.z0 < b.z0 OR (a.z0 = b.z0 AND a.id < b.id))
+  AND b.z0 < a.z1 + 30 AND a.y0 <= b.y1 + 30 AND b.y0 <= a.y1 + 30 AND a.x0 <= b.x1 + 30 AND b.x0 <= a.x1 + 30""")
+def box_gaps(spark, sf_dir):
+    """The gap of every two boxes that lie within 30 of each other."""
+    boxes = part_boxes(spark, sf_dir)
+    side = lambda p: boxes.select(F.col("id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in boxes.columns if c != "id"])
+    pairs = bx.overlap_pairs(boxes, 30).select("a", "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", bx.gap("a_", "b_").alias("gap"))

@@ -1,7 +1,8 @@
 """Scratch space that driver and executors share.
 
 The cluster names the folder in ``spark.checkpoint.dir``.  Only where that
-setting is absent (tests, a laptop) does the library choose one itself.
+setting is absent and the session is local (tests, a laptop) does the library
+choose one itself; a folder of one machine's own would split a cluster's data.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         context.setCheckpointDir(named)
     return named.rstrip("/")

@@ -69,12 +69,87 @@ def test_erosion_and_components(spark):
         p = np.pad(left, 1, constant_values=True)
         left = left & p[2:, 1:-1, 1:-1] & p[:-2, 1:-1, 1:-1] & p[1:-1, 2:, 1:-1] & p[1:-1, :-2, 1:-1] & p[1:-1, 1:-1, 2:] & p[1:-1, 1:-1, :-2]
     v = _voxels(spark, a)
-    got = {(r.z, r.y, r.x): r.depth for r in voxels.erosion_depth(v, "volume", {"z": 9, "y": 12, "x": 12}).collect()}
+    got = {(r.z, r.y, r.x): r.depth for r in voxels.erosion_depth(v, "volume", {"z": 9, "y": 12, "x": 12}, bulk=1.0).collect()}
     assert got == {tuple(map(int, at)): int(depth[tuple(at)]) for at in np.argwhere(a)}
     labelled = voxels.components(v, "volume")
     assert labelled.select("component").distinct().count() == 2
     flat = voxels.planarity(voxels.components(_voxels(spark, np.ones((1, 9, 9))), "volume"), "volume").first()
-    assert flat.planarity == pytest.approx(1.0) and flat.e1 == pytest.approx(20 / 3, rel=1e-6)
+    assert flat.planarity == pytest.approx(0.0) and flat.e1 == pytest.approx(20 / 3 * 81 / 80, rel=1e-6)
+
+
+def test_planarity_is_the_least_share_of_the_trace(spark):
+    rng = np.random.default_rng(8)
+    bent = np.zeros((14, 14, 14), bool)
+    bent[3:5, 1:13, 2:11] = True
+    bent[3:9, 1:3, 2:11] = True
+    ball = sum((i - 6) ** 2 for i in np.indices((14, 14, 14))) <= 25
+    specks = rng.random((14, 14, 14)) < 0.004
+    for a in (bent, ball, specks):
+        labelled = voxels.components(_voxels(spark, a), "volume")
+        want = []
+        for r in labelled.groupBy("component").agg(F.collect_list(F.array("z", "y", "x")).alias("p")).collect():
+            if len(r.p) >= 64:
+                e = np.linalg.eigvalsh(np.cov(np.array(r.p, float), rowvar=False))
+                want.append(e[0] / e.sum())
+        got = sorted(r.planarity for r in voxels.planarity(labelled, "volume").collect())
+        assert got == pytest.approx(sorted(want), abs=1e-9)
+        s = voxels.planarity_summary(voxels.planarity(labelled, "volume"), "volume").collect()
+        assert [(x.median_planarity, x.worst_planarity) for x in s] == ([(pytest.approx(np.median(want)), pytest.approx(max(want)))] if want else [])
+
+
+def _ladder(mask, most, probe=4, bulk=0.5):
+    depth, left, total = np.zeros(mask.shape, int), mask.copy(), mask.sum()
+    for step in range(1, most + 1):
+        depth[left] = step
+        p = np.pad(left, 1, constant_values=True)
+        left = left & p[2:, 1:-1, 1:-1] & p[:-2, 1:-1, 1:-1] & p[1:-1, 2:, 1:-1] & p[1:-1, :-2, 1:-1] & p[1:-1, 1:-1, 2:] & p[1:-1, 1:-1, :-2]
+        if not left.any() or (step >= probe and left.sum() > bulk * total):
+            break
+    t = 2.0 * depth[mask]
+    return [np.median(t), np.percentile(t, 95), t.max(), t.mean(), left.sum() / total]
+
+
+def test_thickness_stops_at_bulk_and_counts_what_stands(spark):
+    thin, bulk, deep = np.zeros((26, 26, 26), bool), np.zeros((26, 26, 26), bool), np.zeros((26, 26, 26), bool)
+    thin[10:13] = True
+    bulk[:, :, 1:] = True
+    deep[2:24, 2:24, 2:24] = True
+    rows = _voxels(spark, thin, "thin").union(_voxels(spark, bulk, "bulk")).union(_voxels(spark, deep, "deep"))
+    for most in (24, 6):
+        got = {r.volume: [r["median"], r.p95, r["max"], r["mean"], r.saturated] for r in voxels.thickness_stats(rows, "volume", dict.fromkeys("zyx", 26), most).collect()}
+        for name, mask in (("thin", thin), ("bulk", bulk), ("deep", deep)):
+            assert got[name] == pytest.approx(_ladder(mask, most)), (name, most)
+
+
+def test_nearest_neighbours_are_complete(spark):
+    rng = np.random.default_rng(9)
+    clouds = {"even": rng.random((60, 3)) * 50, "far": np.r_[rng.random((50, 3)), [[900.0, -700.0, 3.0]], rng.random((9, 3)) * 4000], "few": rng.random((3, 3)), "same": np.ones((7, 3)), "flat": np.c_[np.zeros(40), rng.random((40, 2)) * 30]}
+    rows = [(key, i, *map(float, p)) for key, c in clouds.items() for i, p in enumerate(c)]
+    df = spark.createDataFrame(rows, "k string, id int, z double, y double, x double")
+    got = {(r.k, r.id, r.turn): (r.neighbour, r.distance) for r in voxels.nearest_neighbours(df, "k", "id", 5).collect()}
+    want = {}
+    for key, c in clouds.items():
+        d = np.sqrt(((c[:, None] - c) ** 2).sum(2))
+        for i in range(len(c)):
+            for turn, j in enumerate(sorted(range(len(c)), key=lambda j: (d[i, j], j))[:5], 1):
+                want[key, i, turn] = (j, pytest.approx(d[i, j], abs=1e-9))
+    assert got == want
+    assert voxels.knn_edges(df, "k", "id", 2).where("k = 'few'").count() == 6
+    seeds = df.where("id < 3").withColumn("name", F.concat("k", F.lit("-"), "id"))
+    named = {(r.k, r.id): r.name for r in voxels.nearest_values(df, seeds.withColumnRenamed("id", "sid"), "k", "id", "sid", ["name"]).collect()}
+    for key, c in clouds.items():
+        d = np.sqrt(((c[:, None] - c[:3]) ** 2).sum(2))
+        assert all(named[key, i] == f"{key}-{min(range(3), key=lambda j: (d[i, j], j))}" for i in range(len(c)))
+
+
+def test_point_normals_are_the_direction_of_least_extent(spark):
+    rng = np.random.default_rng(10)
+    p = np.c_[rng.normal(0, 0.05, 120), rng.random((120, 2)) * 10] @ np.linalg.qr(rng.normal(size=(3, 3)))[0]
+    df = spark.createDataFrame([("v", i, *map(float, q)) for i, q in enumerate(p)], "k string, id int, z double, y double, x double")
+    d = ((p[:, None] - p) ** 2).sum(2)
+    for r in voxels.point_normals(df, "k", "id", 12).collect():
+        _, v = np.linalg.eigh(np.cov(p[np.argsort(d[r.id], kind="stable")[:12]], rowvar=False))
+        assert abs(np.dot(v[:, 0], [r.nz, r.ny, r.nx])) == pytest.approx(1, abs=1e-6)
 
 
 def _wrapped(depth=60, side=28):
@@ -130,3 +205,73 @@ def test_mann_whitney_and_auc(spark):
     got = ranks.mann_whitney_less(df, ["k"], F.col("g") == "a", "v").first()
     assert got.u == pytest.approx(u) and 0 < got.p < 0.05
     assert ranks.auc(df, ["k"], F.col("g") == "a", "v").first().auc == pytest.approx(1 - u / 1200)
+
+
+def test_walk_for_the_next_winding_follows_the_grid_step(spark):
+    steps = spark.createDataFrame([("a", 3.0), ("b", 10.0), ("c", 40.0)], "mesh string, grid_step double")
+    for r in surfaces.walk_length(steps).withColumn("along", surfaces.along_walk()).collect():
+        span = max(6 * {"a": 3, "b": 10, "c": 40}[r.mesh], 40.0)
+        assert r.along == pytest.approx(np.arange(-span, span + 1.0, max(span / 120.0, 0.5)))
+
+
+def _sheet_mesh(step=3.0, n=16):
+    at = {(r, c): r * n + c for r in range(n) for c in range(n)}
+    v = [("m", i, 22.0, step * r + 2, step * c + 2) for (r, c), i in at.items()]
+    f = [("m", k, *t) for k, t in enumerate(t for r in range(n - 1) for c in range(n - 1) for t in ((at[r, c], at[r, c + 1], at[r + 1, c]), (at[r, c + 1], at[r + 1, c + 1], at[r + 1, c])))]
+    return v, f
+
+
+def test_seams_of_triangle_meshes(spark):
+    volume = _voxels(spark, _wrapped(side=52)).drop("volume")
+    v, f = _sheet_mesh()
+    rng = np.random.default_rng(3)
+    flat = [(m, i, z + float(rng.normal(0, 0.2)), y, x) for m, i, z, y, x in v]
+    cut = [("cut", i, z + (16.0 if x > 24 else 0.0), y, x) for _, i, z, y, x in flat]
+    nick = [("nick", i, z + (16.0 if x > 24 and 14 < y < 21 and x < 31 else 0.0), y, x) for _, i, z, y, x in flat]
+    vertices = spark.createDataFrame(flat + cut + nick, "mesh string, v int, z double, y double, x double")
+    faces = spark.createDataFrame(f + [("cut", *t[1:]) for t in f] + [("nick", *t[1:]) for t in f], "mesh string, f int, a int, b int, c int")
+    got = {r.mesh: r for r in surfaces.triangle_switches(vertices, faces, volume).collect()}
+    assert all(r.adequate and r.winding_spacing == pytest.approx(16, abs=1) for r in got.values())
+    assert got["m"].n_seams == 0 and got["nick"].n_seams == 0 and got["nick"].max_z > 5
+    assert got["cut"].n_seams == 1 and got["cut"].seams[0].span_fraction > 0.9
+    assert got["cut"].edge_length == pytest.approx(3.0, abs=0.2)
+    edges = surfaces.unique_edges(faces, ("mesh",)).where("mesh = 'cut'")
+    dips = edges.withColumn("dip", F.when(F.col("u") < 6, 50.0).otherwise(F.col("v") % 7 * 0.1))
+    own = vertices.where("mesh = 'cut'")
+    r = surfaces.flagged_components(edges, dips, own, span=0.0).first()
+    ends = {i for e in edges.where("u < 6").collect() for i in (e.u, e.v)}
+    p = np.array([c[2:] for c in cut if c[1] in ends])
+    q = np.array([c[2:] for c in cut])
+    centred = p - p.mean(0)
+    along = centred @ np.linalg.svd(centred, full_matrices=False)[2][0]
+    assert r.span_fraction == pytest.approx((along.max() - along.min()) / (q.max(0) - q.min(0)).max()) and r.n_vertices == len(ends)
+
+
+def test_displaced_vertices_move_one_side(spark):
+    v, f = _sheet_mesh(n=5)
+    vertices, faces = spark.createDataFrame(v, "mesh string, v int, z double, y double, x double"), spark.createDataFrame(f, "mesh string, f int, a int, b int, c int")
+    moved = {r.v: r.z for r in surfaces.displaced_vertices(vertices, surfaces.triangle_normals(vertices, faces), 7.0).collect()}
+    ys = {i: y for _, i, _, y, _ in v}
+    assert {i for i, z in moved.items() if abs(z - 22.0) > 1e-6} == {i for i, y in ys.items() if y > np.median(list(ys.values()))}
+    assert {abs(round(z - 22.0, 6)) for z in moved.values()} == {0.0, 7.0}
+
+
+def test_polarity_and_edge_dip(spark):
+    df = spark.createDataFrame([([5.0, 5.0, 1.0, 1.0, 1.0, 5.0, 5.0], [9.0, 4.0, 6.0, 8.0]), ([1.0, 1.0, 5.0, 5.0, 5.0, 1.0, 1.0], [None, 4.0, 6.0])], "p array<double>, s array<double>")
+    got = df.select(pf.polarity(F.col("p"), "auto").alias("auto"), pf.polarity(F.col("p"), "dark").alias("dark"), pf.edge_dip(F.col("s")).alias("dip")).collect()
+    assert got[0].auto == [-5.0, -5.0, -1.0, -1.0, -1.0, -5.0, -5.0] and got[1].auto == [1.0, 1.0, 5.0, 5.0, 5.0, 1.0, 1.0]
+    assert got[1].dark[2] == -5.0 and [r.dip for r in got] == [4.0, None]
+
+
+def test_onsheet_verdicts_and_comparison(spark):
+    rng = np.random.default_rng(12)
+    rows = [(m, float(v), 0.5) for m, c in (("base", 20), ("good", 18), ("poor", 7), ("off", 2)) for v in rng.normal(c, 1, 40)]
+    blocks = spark.createDataFrame(rows, "mesh string, range double, peak_offset double")
+    got = {r.mesh: r for r in audit.onsheet(blocks, "base").collect()}
+    assert {m: r.verdict for m, r in got.items()} == {"base": "ON SHEET", "good": "ON SHEET", "poor": "marginal", "off": "OFF SHEET"}
+    ranges = np.array([v for m, v, _ in rows if m == "poor"])
+    assert got["poor"]["median"] == pytest.approx(np.median(ranges)) and got["poor"].iqr_share == pytest.approx((np.percentile(ranges, 75) - np.percentile(ranges, 25)) / np.median(ranges))
+    r = audit.compare(blocks, "poor", "good").first()
+    assert r.p < 1e-6 and r.u == 0
+    zero = spark.createDataFrame([("z", 0.0), ("z", 0.0), ("z", 0.0), ("z", 4.0)], "mesh string, range double")
+    assert ranks.spread_summary(zero, ["mesh"], "range").first().iqr_share == pytest.approx(1.0 / 1e-9)

@@ -103,3 +103,53 @@ def test_random_trials_shuffle_what_the_last_left(spark):
         shares.append(10.0 * sum(any(fold[i] != fold[j] for j in (i - 1, i + 1) if 0 <= j < 10) for i in range(10)))
     got = splits.random_trials(spark, 10, g, 5, 4)
     assert got.first().contaminated_pct_mean == pytest.approx(sum(shares) / 4)
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_groups_go_to_the_smallest_fold(spark, k):
+    import hashlib
+
+    r = random.Random(k)
+    sizes = {f"g{i}": r.choice((1, 1, 1, 2, 3, 3, 8, 40)) for i in range(90)} | {"huge": 200}
+    filled, want = [0] * k, {}
+    for name, n in sorted(sizes.items(), key=lambda x: (-x[1], hashlib.md5(x[0].encode()).hexdigest(), x[0])):
+        want[name] = min(range(k), key=lambda f: (filled[f], f))
+        filled[want[name]] += n
+    got = splits.deal_groups(spark.createDataFrame(list(sizes.items()), "group string, n long"), k).collect()
+    assert {x.group: x.fold for x in got} == want and len(got) == len(want)
+
+
+def test_hashed_trials(spark):
+    import hashlib
+
+    n, k = 23, 5
+    edges = [(a, b, 0.1 * (a % 7 + 1)) for a in range(n) for b in range(n) if abs(a - b) in (1, 4)]
+    shares, fractions = [], []
+    for trial in range(6):
+        order = sorted(range(n), key=lambda i: (hashlib.md5(f"3#{trial}#{i}".encode()).hexdigest(), i))
+        fold = {i: p % k for p, i in enumerate(order)}
+        hit = {}
+        for a, b, f in edges:
+            if fold[a] != fold[b]:
+                hit[a] = max(hit.get(a, 0), f)
+        shares.append(100 * len(hit) / n)
+        fractions.append(100 * sum(hit.values()) / n)
+    ids = spark.createDataFrame([(i,) for i in range(n)], "id long")
+    got = splits.hashed_trials(ids, spark.createDataFrame(edges, "a long, b long, fraction double"), k, 6, 3).first()
+    assert got.contaminated_pct_mean == pytest.approx(sum(shares) / 6) and got.mean_max_shared_pct == pytest.approx(sum(fractions) / 6)
+
+
+def test_places_follow_the_order(spark):
+    rows = [(i * 37 % 101, i % 3) for i in range(101)]
+    got = splits.numbered(spark.createDataFrame(rows, "a long, n long"), "n", "a").collect()
+    assert [(r.a, r.n) for r in sorted(got, key=lambda r: r.place)] == sorted(rows, key=lambda r: (r[1], r[0])) and sorted(r.place for r in got) == list(range(101))
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from plumbline.storage import shared_dir
+
+    bare = SimpleNamespace(getConf=lambda: SimpleNamespace(get=lambda k: None), getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(sparkContext=bare))
