@@ -5,7 +5,8 @@
 2. Each partition builds a counting quotient filter of its fingerprints: the
    high bits (quotient) give the run, the low bits (remainder) are kept sorted
    within the run, each with a count.  Filters of all partitions merge by
-   sorted remainders without loss, shard by shard.
+   sorted remainders without loss, shard by shard; there are as many shards as
+   shuffle partitions, so that their size is the cluster's choice.
 3. Fingerprints whose merged count is above one route their texts to byte
    verification: a grouping on the normalised bytes themselves.  All other
    texts are alone.
@@ -13,7 +14,9 @@
 Cases: a null text counts as empty, and all empty texts are equal.  Repeated
 rows (same id, same text) form a group in which one row is kept.  A null id is
 kept where its text has no other row; ids are compared null-safely.  An empty
-table gives an empty result.  Extra columns of the input do not matter.
+table gives an empty result.  A text of any length is hashed and compared as a
+whole.  Ties cannot occur: the smallest id stays.  Extra columns of the input do
+not matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,10 +31,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm.kit import begins, unused
+from plumbline.llm.shared_files import shard_bits
 from plumbline.storage import written
 
-REMAINDER_BITS = 52  #: 12 quotient bits: 4096 runs a filter
-SHARD_BITS = 7  #: merged filters are dealt out by their first bits
+RUN_BITS = 5  #: quotient bits besides those that deal filters to shards: runs of a filter
 BROADCAST_FINGERPRINTS = 200_000  #: 1.6 MB; more of them are joined by a shuffle
 
 _ONE_SPACE = bytes.maketrans(b"\t\n\v\f\r", b"     ")
@@ -46,6 +50,7 @@ def normalised(text: bytes) -> bytes:
 
 
 def _prints(batches):
+    begins("prints")
     for batch in batches:
         texts = batch.column(1)
         fps, shas, sizes = [], [], []
@@ -68,21 +73,26 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class QuotientFilter:
-    """A counting quotient filter, as arrays: length of each run, remainders, counts."""
+    """A counting quotient filter, as arrays: length of each run, remainders, counts.
 
-    def __init__(self, first: int, runs: np.ndarray, remainders: np.ndarray, counts: np.ndarray):
-        self.first, self.runs, self.remainders, self.counts = first, runs, remainders, counts
+    ``bits``: how many first bits of a key are the quotient; the runs begin at
+    quotient ``first``.
+    """
+
+    def __init__(self, bits: int, first: int, runs: np.ndarray, remainders: np.ndarray, counts: np.ndarray):
+        self.bits, self.first, self.runs, self.remainders, self.counts = bits, first, runs, remainders, counts
 
     @classmethod
-    def build(cls, keys: np.ndarray, counts: np.ndarray, first: int, quotients: int) -> QuotientFilter:
+    def build(cls, keys: np.ndarray, counts: np.ndarray, bits: int, first: int, quotients: int) -> QuotientFilter:
         """From sorted distinct keys whose quotients lie in [first, first + quotients)."""
-        quotient = (keys >> np.uint64(REMAINDER_BITS)).astype(np.int64) - first
-        return cls(first, np.bincount(quotient, minlength=quotients).astype(np.uint32), keys & np.uint64((1 << REMAINDER_BITS) - 1), counts.astype(np.int64))
+        rest = np.uint64(64 - bits)
+        quotient = (keys >> rest).astype(np.int64) - first
+        return cls(bits, first, np.bincount(quotient, minlength=quotients).astype(np.uint32), keys & ((np.uint64(1) << rest) - np.uint64(1)), counts.astype(np.int64))
 
     def keys(self) -> np.ndarray:
         """The fingerprints again; nothing is lost."""
         quotient = np.repeat(np.arange(self.first, self.first + len(self.runs), dtype=np.uint64), self.runs)
-        return (quotient << np.uint64(REMAINDER_BITS)) | self.remainders
+        return (quotient << np.uint64(64 - self.bits)) | self.remainders
 
     @classmethod
     def merge(cls, filters: list[QuotientFilter]) -> QuotientFilter:
@@ -93,41 +103,48 @@ class QuotientFilter:
         keys, counts = keys[order], counts[order]
         at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
         summed = np.add.reduceat(counts, at) if len(at) else counts
-        return cls.build(keys[at], summed, filters[0].first, len(filters[0].runs))
-
-
-def _partition_filters(batches):
-    """One filter for each shard from all fingerprints of a partition."""
-    seen = [np.asarray(b.column(0)).astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63) for b in batches]
-    if not seen:
-        return
-    keys, counts = np.unique(np.concatenate(seen), return_counts=True)
-    shard = (keys >> np.uint64(64 - SHARD_BITS)).astype(np.int64)
-    width = 1 << (64 - REMAINDER_BITS - SHARD_BITS)
-    rows = []
-    for s in np.unique(shard):
-        low, high = np.searchsorted(shard, [s, s + 1])
-        f = QuotientFilter.build(keys[low:high], counts[low:high], int(s) * width, width)
-        rows.append((int(s), f.runs.tobytes(), f.remainders.tobytes(), f.counts.tobytes()))
-    yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["shard", "runs", "remainders", "counts"]), schema=pa.schema([("shard", pa.int32()), ("runs", pa.binary()), ("remainders", pa.binary()), ("counts", pa.binary())]), preserve_index=False)
-
-
-def _merge_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    width = 1 << (64 - REMAINDER_BITS - SHARD_BITS)
-    first = int(pdf.shard.iloc[0]) * width
-    parts = [QuotientFilter(first, np.frombuffer(r, np.uint32), np.frombuffer(m, np.uint64), np.frombuffer(c, np.int64)) for r, m, c in zip(pdf.runs, pdf.remainders, pdf.counts, strict=True)]
-    merged = QuotientFilter.merge(parts)
-    often = merged.counts > 1
-    return pd.DataFrame({"fp": (merged.keys()[often] ^ np.uint64(1 << 63)).view(np.int64), "n": merged.counts[often]})
+        return cls.build(keys[at], summed, filters[0].bits, filters[0].first, len(filters[0].runs))
+
+
+def _partition_filters(shards: int):
+    """One filter for each of 2 ** ``shards`` shards from all fingerprints of a partition."""
+
+    def build(batches):
+        seen = [np.asarray(b.column(0)).astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63) for b in batches]
+        if not seen:
+            return
+        keys, counts = np.unique(np.concatenate(seen), return_counts=True)
+        shard = (keys >> np.uint64(64 - shards)).astype(np.int64)
+        rows = []
+        for s in np.unique(shard):
+            low, high = np.searchsorted(shard, [s, s + 1])
+            f = QuotientFilter.build(keys[low:high], counts[low:high], shards + RUN_BITS, int(s) << RUN_BITS, 1 << RUN_BITS)
+            rows.append((int(s), f.runs.tobytes(), f.remainders.tobytes(), f.counts.tobytes()))
+        yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["shard", "runs", "remainders", "counts"]), schema=pa.schema([("shard", pa.int32()), ("runs", pa.binary()), ("remainders", pa.binary()), ("counts", pa.binary())]), preserve_index=False)
+
+    return build
+
+
+def _merge_shard(shards: int):
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = int(pdf.shard.iloc[0]) << RUN_BITS
+        parts = [QuotientFilter(shards + RUN_BITS, first, np.frombuffer(r, np.uint32), np.frombuffer(m, np.uint64), np.frombuffer(c, np.int64)) for r, m, c in zip(pdf.runs, pdf.remainders, pdf.counts, strict=True)]
+        merged = QuotientFilter.merge(parts)
+        often = merged.counts > 1
+        return pd.DataFrame({"fp": (merged.keys()[often] ^ np.uint64(1 << 63)).view(np.int64), "n": merged.counts[often]})
+
+    return merge
 
 
 def repeated(prints: DataFrame) -> DataFrame:
     """Fingerprints that all partitions together hold more than once, with counts."""
-    filters = prints.select("fp").mapInArrow(_partition_filters, "shard int, runs binary, remainders binary, counts binary")
-    return filters.groupBy("shard").applyInPandas(_merge_shard, "fp long, n long")
+    bits = shard_bits(prints.sparkSession)
+    filters = prints.select("fp").mapInArrow(_partition_filters(bits), "shard int, runs binary, remainders binary, counts binary")
+    return filters.groupBy("shard").applyInPandas(_merge_shard(bits), "fp long, n long")
 
 
 def _normal_rows(batches):
+    begins("prints")
     for batch in batches:
         norms = [normalised(v.as_buffer().to_pybytes() if v.is_valid else b"") for v in batch.column(1)]
         yield pa.RecordBatch.from_arrays(
@@ -172,9 +189,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    verdict = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    own, sha = (unused(n, docs.columns) for n in ("kept_id", "kept_sha"))
+    verdict = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(own), F.col("text_sha256").alias(f"{sha}_of"))
     norm = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    names = docs.columns
-    keyed = docs.withColumn("__sha", F.sha2(norm, 256))
-    left = keyed.join(verdict, keyed[id_col].eqNullSafe(verdict["__id"]) & (keyed["__sha"] == verdict["__sha"]), "left_semi")
-    return left.dropDuplicates([id_col, "__sha"]).select(*names)
+    keyed = docs.withColumn(sha, F.sha2(norm, 256))
+    left = keyed.join(verdict, keyed[id_col].eqNullSafe(verdict[own]) & (keyed[sha] == verdict[f"{sha}_of"]), "left_semi")
+    return left.dropDuplicates([id_col, sha]).drop(sha)

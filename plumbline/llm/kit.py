@@ -7,12 +7,13 @@ no Python object is made for a word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 _RNG = np.random.Generator(np.random.PCG64(20240117))
 _EXACT = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -23,6 +24,22 @@ _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _POWERS: dict[str, np.ndarray] = {}
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def holds(name: str, free: Callable[[], None]) -> None:
+    """``free`` gives back what the operator of that name keeps in this worker process."""
+    _HELD[name] = free
+
+
+def begins(name: str) -> None:
+    """A task of the operator of that name begins: what others keep goes, as workers serve one stage after another."""
+    others = [n for n in _HELD if n != name]
+    for other in others:
+        _HELD.pop(other)()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -36,7 +53,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS["up"]) < n:
-        size = 1 << max(16, int(n).bit_length())
+        size = (max(int(n), 1) + 0xFFFF) & ~0xFFFF
         for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
@@ -159,6 +176,14 @@ def tally(keys: np.ndarray, counts: np.ndarray | None = None):
     return keys[at], (np.add.reduceat(counts, at) if len(at) else counts[:0])
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def lists(values: np.ndarray, begin: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list column of the given rows."""
     return pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(values, kind))

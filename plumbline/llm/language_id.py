@@ -4,16 +4,21 @@ A word's likelihood under a language is the product over its byte trigrams
 (A-Z and the Latin-1 capitals in lower case, everything that is no letter as a
 gap), from counts hashed to ``BUCKETS``.  For each document, expectation
 maximisation estimates the proportions of the languages over its words, and
-backward elimination keeps the language set of the best penalised likelihood:
-log likelihood - PENALTY * (languages in the set) * log(words + 1).
+backward elimination from all languages keeps the set of the best penalised
+likelihood: log likelihood - PENALTY * (languages in the set) * log(words + 1).
+Languages go together where the likelihood that their words' posteriors can
+lose is less than their penalties, which lowers the cost for certain; else the
+weakest goes alone.
 
 The model is languages x BUCKETS counts (at most ``MOST_LANGUAGES``; more is an
 error), so it is small enough for every task whatever the corpus.
 
 Cases: a text that is null, empty or without a letter is ``und`` with score 0.
 Rows with a null lang or text are not learned from.  A tie between languages
-goes to the first by name.  Repeated rows get equal results.  An empty learning
-set makes every row ``und``.  A text of any length is judged as a whole.
+goes to the first by name.  Repeated rows get equal results; rows with a null id
+are judged as any other.  An empty learning set makes every row ``und``, and
+``determined`` leaves every row.  A text of any length is judged as a whole.
+Extra columns are not read, so none can clash; ``determined`` keeps them.
 """
 
 from __future__ import annotations
@@ -24,14 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.kit import row_slices, utf8
+from plumbline.llm.kit import begins, row_slices, utf8
 
 BUCKETS = 1 << 16
 MOST_LANGUAGES = 128
 SMOOTHING = 0.5
 PENALTY = 2.0
 EM_STEPS = 5
-START_SET = 6  #: languages that elimination starts from, the best of a first EM over all
 UNDETERMINED = "und"
 
 _LETTER = np.full(256, 0x20, np.uint8)
@@ -70,6 +74,7 @@ def _joined(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _count(batches):
+    begins("language")
     seen: dict[str, np.ndarray] = {}
     for batch in batches:
         data, offsets = utf8(batch.column(0))
@@ -113,17 +118,31 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mixt
 
 
 def _em(p: np.ndarray, first: np.ndarray, row: np.ndarray, allowed: np.ndarray, steps: int):
-    """Proportions of the allowed languages in each row, and the rows' log likelihoods."""
+    """Proportions of the allowed languages in each row, the rows' log likelihoods, and the words' posteriors."""
     n = np.maximum(np.diff(first), 1)[:, None]
     share = allowed / allowed.sum(1, keepdims=True)
     for step in range(steps + 1):
         weighted = p * share[row].astype(np.float32)
         total = weighted.sum(1)
-        if step == steps:
-            break
         np.divide(weighted, total[:, None], out=weighted)
-        share = np.add.reduceat(weighted, first[:-1], axis=0, dtype=np.float64) / n
-    return share, np.add.reduceat(np.log(total), first[:-1], dtype=np.float64)
+        if step < steps:
+            share = np.add.reduceat(weighted, first[:-1], axis=0, dtype=np.float64) / n
+    return share, np.add.reduceat(np.log(total), first[:-1], dtype=np.float64), weighted
+
+
+def _leaving(share: np.ndarray, posterior: np.ndarray, first: np.ndarray, row: np.ndarray, allowed: np.ndarray, penalty: np.ndarray) -> np.ndarray:
+    """Which of the allowed languages each row does without next; rows of one language lose none.
+
+    Without the languages of a set, a word keeps at least the share of its
+    likelihood that its posterior gives the others.
+    """
+    lost = lambda taken: np.add.reduceat(-np.log1p(-np.minimum(taken, 1 - 1e-6)), first[:-1], axis=0, dtype=np.float64)
+    idle = allowed & (lost(posterior) < penalty[:, None] / 2)
+    idle[np.arange(len(idle)), share.argmax(1)] = False
+    sure = idle.any(1) & (lost((posterior * idle[row]).sum(1)) <= idle.sum(1) * penalty)
+    weakest = np.zeros_like(allowed)
+    weakest[np.arange(len(idle)), np.argmin(np.where(allowed, share, np.inf), axis=1)] = True
+    return np.where(sure[:, None], idle, weakest) & (allowed.sum(1) > 1)[:, None]
 
 
 def _mixtures(model: MixtureModel, data: np.ndarray, offsets: np.ndarray):
@@ -146,21 +165,22 @@ def _mixtures(model: MixtureModel, data: np.ndarray, offsets: np.ndarray):
     full = np.flatnonzero(np.diff(bounds))
     first = np.append(bounds[:-1][full], len(starts))
     row = np.repeat(np.arange(len(full)), np.diff(first))
-    words = np.diff(first)
-    allowed = np.ones((len(full), len(model)), bool)
-    if len(model) > START_SET:
-        share, _ = _em(p, first, row, allowed, EM_STEPS)
-        allowed = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1) < START_SET
-    best, least = np.zeros(allowed.shape), np.full(len(full), np.inf)
-    for _ in range(min(len(model), START_SET)):
-        share, loglik = _em(p, first, row, allowed, EM_STEPS)
-        cost = PENALTY * allowed.sum(1) * np.log(words + 1.0) - loglik
-        better = cost < least
-        best[better], least[better] = share[better], cost[better]
-        if allowed.sum(1).max() == 1:
-            break
-        weakest = np.argmin(np.where(allowed, share, np.inf), axis=1)
-        allowed[np.arange(len(full)), weakest] = False
+    penalty = PENALTY * np.log(np.diff(first) + 1.0)
+    best, least = np.zeros((len(full), len(model))), np.full(len(full), np.inf)
+    open_rows, allowed = np.arange(len(full)), np.ones((len(full), len(model)), bool)
+    while len(open_rows):
+        share, loglik, posterior = _em(p, first, row, allowed, EM_STEPS if len(model) > 1 else 0)
+        cost = allowed.sum(1) * penalty[open_rows] - loglik
+        better = cost < least[open_rows]
+        best[open_rows[better]], least[open_rows[better]] = share[better], cost[better]
+        stay = allowed.sum(1) > 1  # a row of one language is settled
+        allowed &= ~_leaving(share, posterior, first, row, allowed, penalty[open_rows])
+        if not stay.all():
+            keep = stay[row]
+            p, sizes = p[keep], np.diff(first)[stay]
+            open_rows, allowed = open_rows[stay], allowed[stay]
+            first = np.concatenate([[0], np.cumsum(sizes)])
+            row = np.repeat(np.arange(len(open_rows)), sizes)
     shares[full] = best
     return shares
 
@@ -198,6 +218,7 @@ def identify(docs: DataFrame, model: MixtureModel, id_col: str = "doc_id", text_
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches):
+        begins("language")
         for batch in batches:
             pred, score, mixed = _judged(shared.value, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(mixed, pa.map_(pa.string(), pa.float64()))], names=["doc_id", "lang_pred", "score", "shares"])
@@ -208,11 +229,14 @@ def identify(docs: DataFrame, model: MixtureModel, id_col: str = "doc_id", text_
 
 def determined(docs: DataFrame, model: MixtureModel, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose language can be told, all columns as they are; nothing is shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    if not len(model):
+        return docs
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def keep(batches):
+        begins("language")
         for batch in batches:
-            pred, _, _ = _judged(shared.value, batch.column(0).cast(pa.string()))
-            yield pa.RecordBatch.from_arrays(batch.columns[1:], schema=pa.schema(list(batch.schema)[1:])).filter(pa.array([p != UNDETERMINED for p in pred], pa.bool_()))
+            pred, _, _ = _judged(shared.value, batch.column(at).cast(pa.string()))
+            yield batch.filter(pa.array([p != UNDETERMINED for p in pred], pa.bool_()))
 
-    return docs.select(F.col(text_col).cast("string").alias("__text"), *[F.col(f"`{c}`") for c in docs.columns]).mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(keep, docs.schema)

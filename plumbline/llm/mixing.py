@@ -1,22 +1,27 @@
 """Soft-membership mixing: rates for documents that meet domain token targets.
 
-1. A multinomial classifier over a bounded vocabulary is fitted on a labelled
-   table (doc_id, domain) of bounded size.
+1. A multinomial classifier is fitted on a labelled table (doc_id, domain), of which
+   at most ``TRAIN_ROWS`` rows a domain are used; its words are all those of these
+   rows whose evidence for a domain is high enough.
 2. Every document gets a posterior over the domains from all its words.
 3. Projected-gradient least squares finds rates r >= 0, starting from 1, so
    that the expected domain tokens sum(r * tokens * posterior) meet the targets.
    A step is one aggregation (K sums and K * K curvature sums) over the rows
    that are still above zero; r follows from the K numbers of each step, so no
-   state is kept for a document.
-
-DataFrame functions only.  The vocabulary (``VOCABULARY`` words) is the only
-broadcast side; a document's words never leave its task but as partial sums.
-
-Cases: a null or empty text has no tokens; its posterior is the domains' prior.  Repeated rows count each for themselves.  An empty labelled
-table is an error, since there is nothing to learn from; an empty document table
-gives an empty result.  A target that no rates can meet ends in the
-least squared gap found.
-Extra columns of the input are not touched by ``rates``.
+   state is kept for a document.  A step that widens the squared gap is halved.
+
+DataFrame functions only.  The words of the model, which the labelled sample
+bounds, are the only broadcast side; a document's words never leave its task but
+as partial sums.
+
+Cases: a null or empty text has no tokens and no terms; its posterior is the
+domains' prior.  Repeated rows count each for themselves; so do rows with a null
+id, whose labels nothing tells.  A text of any length gives its distinct terms.
+Ties between words are broken by the word.  An empty labelled table is an error,
+since there is nothing to learn from; an empty document table gives an empty
+result.  A target that no rates can meet ends in the least squared gap found.
+Extra columns of the input are not touched by ``rates``; ``repeated`` keeps them,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -26,10 +31,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.kit import unused
 from plumbline.storage import written
 
 TRAIN_ROWS = 2000  #: most labelled documents of each domain in the fit
-VOCABULARY = 256  #: most words in the model
 LEAST_DOCS = 3  #: a word of the model occurs in so many labelled documents
 LEAST_EVIDENCE = 12.0  #: and its likelihood ratio statistic for some domain is so high
 FIT_STEPS = 16
@@ -42,7 +47,7 @@ def _marks(text: Column, words: Column) -> Column:
     """Words of the text's shape: many symbols, many exclamations, capitals only, few different words."""
     n = F.size(words)
     many = lambda pattern: 4 * F.regexp_count(text, F.lit(pattern)) > n
-    shapes = {"#symbols": many(r"[#*$%&|<>]"), "#exclaims": many("!!"), "#capitals": text == F.upper(text), "#repeats": 5 * F.size(F.array_distinct(words)) < 2 * n}
+    shapes = {"#symbols": many(r"[#*$%&|<>]"), "#exclaims": many("!!"), "#capitals": (text == F.upper(text)) & (n > 0), "#repeats": 5 * F.size(F.array_distinct(words)) < 2 * n}
     return F.filter(F.array(*[F.when(test, F.lit(name)) for name, test in shapes.items()]), lambda x: x.isNotNull())
 
 
@@ -71,9 +76,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """Domains, their biases, and the word table (word, w0, w1, ...: one weight a domain).
 
     Multinomial logistic regression on the presence of the words whose log odds
-    between domains stand out most.  Each step is one aggregation over the
-    labelled sample; a row's words are numbers into the weights, which are an
-    array of at most ``VOCABULARY`` numbers for each domain.
+    between domains stand out.  Each step is one aggregation over the labelled
+    sample; a row's words are numbers into the weights, an array for each domain.
     """
     spark = docs.sparkSession
     sample = written(labelled_sample(labels), "mix-labels")
@@ -85,7 +89,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     n, k = sum(sizes.values()), range(len(domains))
     counted = train.select("domain", F.explode("terms").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"), *[F.sum((F.col("domain") == d).cast("long")).alias(f"c{i}") for i, d in enumerate(domains)])
     evidence = F.greatest(*[_evidence(F.col(f"c{i}"), F.col("df"), sizes[d], n) for i, d in enumerate(domains)], F.lit(0.0))
-    chosen = counted.where(F.col("df") >= LEAST_DOCS).select("word", "df", *[f"c{i}" for i in k], evidence.alias("g")).where(F.col("g") >= LEAST_EVIDENCE).orderBy(F.desc("g"), "word").limit(VOCABULARY).collect()
+    chosen = counted.where(F.col("df") >= LEAST_DOCS).select("word", "df", *[f"c{i}" for i in k], evidence.alias("g")).where(F.col("g") >= LEAST_EVIDENCE).orderBy(F.desc("g"), "word").collect()
     vocabulary = spark.createDataFrame([(r[0], j) for j, r in enumerate(chosen)] or [("", 0)], "word string, j int")
     rows = train.withColumn("row", F.monotonically_increasing_id()).select("row", "domain", F.explode_outer("terms").alias("word"))
     ids = written(rows.join(F.broadcast(vocabulary), "word", "left").groupBy("row", "domain").agg(F.collect_list("j").alias("js")), "mix-ids")
@@ -170,24 +174,34 @@ def fit_rates(soft: DataFrame, domains: list[str], targets: dict[str, float], st
     k = range(len(domains))
     p = [F.col(f"p{i}") for i in k]
     want = [float(targets[d]) for d in domains]
-    soft_now = soft.withColumn("rate", F.lit(1.0))
-    moves: list[list[float]] = []
-    history = []
+
+    def rated(moves: list[list[float]]) -> Column:
+        if not moves:
+            return F.lit(1.0)
+        taken = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in moves])
+        return F.aggregate(taken, F.lit(1.0), lambda r, c: F.greatest(F.lit(0.0), r + sum((c[i] * p[i] for i in k[1:]), c[0] * p[0])))
+
+    kept: list[list[float]] = []
+    least, step, history = math.inf, [0.0 for _ in k], []
+    moves = kept
     for _ in range(steps):
         mass = [F.sum(F.col("rate") * F.col("n_tokens") * p[i]) for i in k]
         curve = [F.sum(F.when(F.col("rate") > 0, F.col("n_tokens") * p[i] * p[j]).otherwise(0.0)) for i in k for j in k]
-        got = [float(x or 0.0) for x in soft_now.agg(*mass, *curve).first()]
+        got = [float(x or 0.0) for x in soft.withColumn("rate", rated(moves)).agg(*mass, *curve).first()]
         totals, flat = got[: len(domains)], got[len(domains) :]
         history.append(dict(zip(domains, totals, strict=True)))
         gap = [w - t for w, t in zip(want, totals, strict=True)]
-        if max(abs(g) for g in gap) <= 1e-6 * max(1.0, sum(want)):
-            break
-        ridge = 1e-6 * max(flat, default=0.0) + 1e-12
-        moves.append(_solve([[flat[i * len(domains) + j] + (ridge if i == j else 0.0) for j in k] for i in k], gap))
-        taken = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in moves])
-        rate = F.aggregate(taken, F.lit(1.0), lambda r, c: F.greatest(F.lit(0.0), r + sum((c[i] * p[i] for i in k[1:]), c[0] * p[0])))
-        soft_now = soft.withColumn("rate", rate)
-    return soft_now, history
+        square = sum(g * g for g in gap)
+        if square < least:
+            least, kept = square, moves
+            if max(abs(g) for g in gap) <= 1e-6 * max(1.0, sum(want)):
+                break
+            ridge = 1e-6 * max(flat, default=0.0) + 1e-12
+            step = _solve([[flat[i * len(domains) + j] + (ridge if i == j else 0.0) for j in k] for i in k], gap)
+        else:  # beyond the least gap on this line
+            step = [x / 2 for x in step]
+        moves = [*kept, step]
+    return soft.withColumn("rate", rated(kept)), history
 
 
 def rates(docs: DataFrame, labels: DataFrame, shares: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,9 +229,10 @@ def repeated(docs: DataFrame, rated: DataFrame, id_col: str = "doc_id", text_col
     the tokens of a domain come out as its rates say but for the hash's deviation.
     Rows of the same id get their common rate, weighed by tokens.
     """
+    own, rate, copies, turn = (unused(n, docs.columns) for n in ("rated_id", "rated", "rated_copies", "rated_turn"))
     mean = F.coalesce(F.try_divide(F.sum(F.col("rate") * F.col("n_tokens")), F.sum("n_tokens")), F.avg("rate"))
-    by_id = written(rated.groupBy(F.col("doc_id").alias("__id")).agg(mean.alias("__rate")), "mix-rates")
+    by_id = written(rated.groupBy(F.col("doc_id").alias(own)).agg(mean.alias(rate)), "mix-rates")
     draw = F.pmod(F.xxhash64(F.lit("copies"), id_col, text_col), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    copies = (F.floor("__rate") + (draw < F.col("__rate") - F.floor("__rate")).cast("long")).cast("int")
-    both = docs.join(by_id, docs[id_col].eqNullSafe(by_id["__id"])).withColumn("__copies", copies)
-    return both.where("__copies > 0").withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    times = (F.floor(rate) + (draw < F.col(rate) - F.floor(rate)).cast("long")).cast("int")
+    both = docs.join(by_id, docs[id_col].eqNullSafe(by_id[own])).withColumn(copies, times)
+    return both.where(F.col(copies) > 0).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[docs[c] for c in docs.columns])

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.kit import lists, mix64, row_slices, unique_in_rows, utf8, windows, words
+from plumbline.llm.kit import begins, lists, mix64, row_slices, unique_in_rows, utf8, windows, words
 from plumbline.llm.shared_files import HashSet, shard_bits, shared_folder
 from plumbline.operators.graph import connected_components
 from plumbline.storage import written
@@ -88,6 +88,7 @@ def signatures(docs: DataFrame, n: int = WORDS, bands: int | None = None, rows:
     kind = docs.schema[id_col].dataType
 
     def sign(batches):
+        begins("ngrams")
         draw = np.random.Generator(np.random.PCG64(SEED))
         times = draw.integers(0, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in batches:
@@ -126,6 +127,7 @@ def _sets(docs: DataFrame, ids: DataFrame, n: int, id_col: str, text_col: str) -
     texts = docs.where(F.col(id_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.col(text_col).cast("string").alias("text"))
 
     def gather(batches):
+        begins("ngrams")
         wanted = HashSet.opened(folder, bits)
         for batch in batches:
             batch = batch.filter(pa.array(wanted.contains(batch.column(0).to_numpy().view(np.uint64))))

@@ -6,12 +6,14 @@
    decreasing, many equal bins in one step.  The plan is a list of slots:
    length, first rank, number of them, first sequence, place in the sequence.
 3. Pieces take slots by joining on their rank within their length.  Ranks come
-   from counts of (bucket, length), so that one length that holds most pieces is
-   still numbered in parallel.
-
-Cases: a null or empty text is the end id alone.  Repeated rows are separate
-pieces.  Equal lengths are ranked by bucket, id and piece.  An empty table gives
-an empty result.  A very long text is cut into as many pieces as it needs.
+   from the counts of ranges of (length, id, piece), so that one length that holds
+   most pieces is still numbered in parallel.
+
+Cases: a null or empty text is the end id alone.  Repeated rows, and rows with a
+null id, are separate pieces.  Equal lengths are ranked by id and piece; ties
+take either place.  An empty table gives an empty result.  A very long text is
+cut into as many pieces as it needs.  ``pieces`` reads the id and the text alone;
+``pack`` keeps all columns of its input, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,13 +24,16 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm.kit import begins, holds, unused
+from plumbline.operators.splits import numbered
+
 SEQUENCE = 1024
 END_ID = 2
-BUCKETS = 64
+MOST_SLOTS = 200_000  #: slots that are broadcast (10 MB); a longer plan is joined by a shuffle
 CACHE_CHUNKS = 400_000  #: chunks of text whose ids a worker remembers
 SPLIT = r"(?<=\S)(?= \S)"  #: before a single space between two characters that are no white space
 
@@ -105,6 +110,8 @@ def _plain(text: str) -> bool:
 def tokenizer(tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None, ordinary: bool = False) -> ChunkTokenizer:
     """This process's tokenizer for the given files; ``ordinary``: special tokens' strings are plain text."""
     key = (tokenizer_path, ranks_path, ordinary)
+    begins("tokenizer")
+    holds("tokenizer", _TOKENIZERS.clear)
     if key not in _TOKENIZERS:
         _TOKENIZERS[key] = ChunkTokenizer(tokenizer_path, ranks_path, pattern, ordinary)
     return _TOKENIZERS[key]
@@ -203,17 +210,17 @@ def pack(parts: DataFrame, size: int = SEQUENCE, by: tuple[str, ...] = ("doc_id"
     pass a written table where it is costly to make.
     """
     spark = parts.sparkSession
-    bucketed = parts.withColumn("__bucket", F.pmod(F.xxhash64(*by), F.lit(BUCKETS)).cast("int"))
-    counts = bucketed.groupBy("__bucket", "length").agg(F.count(F.lit(1)).alias("n"))
-    counted = counts.toPandas()  # at most BUCKETS * size rows
-    histogram = {int(k): int(v) for k, v in counted.groupby("length").n.sum().items()}
-    slots = spark.createDataFrame(plan(histogram, size) or [(0, 0, 0, 0, 0)], "length long, __rank long, __n long, __seq long, __at long")
-    counted = counted.sort_values(["length", "__bucket"])
-    counted["__base"] = counted.groupby("length").n.cumsum() - counted.n
-    rows = [(int(b), int(k), int(x)) for b, k, x in counted[["__bucket", "length", "__base"]].itertuples(index=False)]
-    bases = spark.createDataFrame(rows or [(0, 0, 0)], "__bucket int, length long, __base long")
-    within = F.row_number().over(Window.partitionBy("__bucket", "length").orderBy(*by)) - 1
-    ranked = bucketed.withColumn("__own", within).join(F.broadcast(bases), ["__bucket", "length"]).withColumn("__r", F.col("__base") + F.col("__own"))
-    slots = slots.withColumnRenamed("length", "__length")
-    placed = ranked.join(F.broadcast(slots), (F.col("length") == F.col("__length")) & (F.col("__r") >= F.col("__rank")) & (F.col("__r") < F.col("__rank") + F.col("__n")))
-    return placed.select(*parts.columns, (F.col("__seq") + F.col("__r") - F.col("__rank")).alias("sequence_id"), F.col("__at").alias("offset"))
+    histogram = {int(r["length"]): int(r["count"]) for r in parts.groupBy("length").count().collect()}  # at most ``size`` rows
+    slots = plan(histogram, size)
+    bases, below = [], 0
+    for length in sorted(histogram):
+        bases.append((length, below))
+        below += histogram[length]
+    names = {n: unused(n, parts.columns) for n in ("__length", "__rank", "__n", "__seq", "__at", "__base", "__of", "__r")}
+    slot_table = spark.createDataFrame(slots or [(0, 0, 0, 0, 0)], ", ".join(f"`{names[n]}` long" for n in ("__length", "__rank", "__n", "__seq", "__at")))
+    base_table = spark.createDataFrame(bases or [(0, 0)], f"`{names['__of']}` long, `{names['__base']}` long")
+    col = {n: F.col(f"`{c}`") for n, c in names.items()}
+    placed = numbered(parts, "length", *by).join(F.broadcast(base_table), F.col("length") == col["__of"]).withColumn(names["__r"], F.col("place") - col["__base"])
+    fits = (F.col("length") == col["__length"]) & (col["__r"] >= col["__rank"]) & (col["__r"] < col["__rank"] + col["__n"])
+    met = placed.join(F.broadcast(slot_table) if len(slots) <= MOST_SLOTS else slot_table, fits)
+    return met.select(*[F.col(f"`{c}`") for c in parts.columns], (col["__seq"] + col["__r"] - col["__rank"]).alias("sequence_id"), col["__at"].alias("offset"))

@@ -13,8 +13,7 @@ def test_quotient_filters_merge_without_loss():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 2**57, 4000, dtype=np.uint64)
     parts = [np.unique(rng.choice(keys, 1500), return_counts=True) for _ in range(5)]
-    width = 1 << (64 - exact_dedup.REMAINDER_BITS - exact_dedup.SHARD_BITS)
-    merged = exact_dedup.QuotientFilter.merge([exact_dedup.QuotientFilter.build(k, c, 0, width) for k, c in parts])
+    merged = exact_dedup.QuotientFilter.merge([exact_dedup.QuotientFilter.build(k, c, 12, 0, 1 << 5) for k, c in parts])
     want = defaultdict(int)
     for k, c in parts:
         for x, n in zip(k, c, strict=True):

@@ -1,6 +1,6 @@
 """The corpus pipeline against a brute-force version of each stage."""
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 import numpy as np
@@ -72,12 +72,17 @@ def test_stages(spark, folder, tmp_path):
     assert set(after) == {i for i in ids if find(i) == i} and len(after) < len(before)
 
     before, after = map(texts, seen["mixing"])
-    rated = mixing.rates(seen["mixing"][0], queries.domain_labels(spark.read.parquet(f"{folder}/labels.parquet")), queries.DOMAIN_SHARES)
-    assert set(after) == {r.doc_id for r in rated.where(F.col("rate") >= corpus_pipeline.LEAST_RATE).collect()}
+    rated = {r.doc_id: r.rate for r in mixing.rates(seen["mixing"][0], queries.domain_labels(spark.read.parquet(f"{folder}/labels.parquet")), queries.DOMAIN_SHARES).collect()}
+    times = Counter(r.doc_id for r in seen["mixing"][1].collect())
+    assert set(rated) == set(before) and all(after[i] == before[i] for i in after)
+    assert all(times[i] in (int(rate), int(rate) + 1) for i, rate in rated.items())
 
-    before, rows = texts(seen["packing"][0]), seen["packing"][1].collect()
+    given = [(r.doc_id, r.text) for r in seen["packing"][0].collect()]
+    rows = seen["packing"][1].collect()
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    want = {i: len(tok.encode(t, add_special_tokens=False).ids) + 1 for i, t in before.items()}
+    want = defaultdict(int)
+    for i, t in given:  # a document comes as often as its rate says
+        want[i] += len(tok.encode(t, add_special_tokens=False).ids) + 1
     got, places = defaultdict(int), defaultdict(list)
     for r in rows:
         got[r.doc_id] += r.length
