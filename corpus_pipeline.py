@@ -5,7 +5,11 @@ as Parquet and read again as the next stage's documents.  All stages but the
 last return the columns of ``documents``.
 
 Cases: rows with null fields pass through each stage by its operator's rules;
-an empty table stays empty (without labelled documents mixing leaves every row).
+repeated rows become one in the exact stage, and the mixing stage gives a row as
+often as its rate says; texts of any length are whole in each stage; ties go to
+the smallest id; extra columns pass through all stages but the last; an empty
+table stays empty (without labelled documents mixing leaves every row, and
+without a language to learn the first stage does).
 """
 
 from __future__ import annotations
@@ -17,8 +21,6 @@ from plumbline.llm import exact_dedup, language_id, mixing, ngram_join
 from plumbline.llm import queries as q
 from plumbline.storage import written
 
-LEAST_RATE = 0.5  #: the earlier cut, not used any more; test_stages names it
-
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language that can be told go; all others stay."""
