@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 20
 
@@ -164,16 +166,9 @@ def unique_in_rows(values: np.ndarray, begin: np.ndarray):
     return values, np.searchsorted(row, np.arange(len(begin)), side="left")
 
 
-def tally(keys: np.ndarray, counts: np.ndarray | None = None):
-    """Distinct sorted keys with the sum of their counts."""
-    if counts is None:
-        return np.unique(keys, return_counts=True)
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    fresh = np.ones(len(keys), bool)
-    fresh[1:] = keys[1:] != keys[:-1]
-    at = np.flatnonzero(fresh)
-    return keys[at], (np.add.reduceat(counts, at) if len(at) else counts[:0])
+def constant_array(values: list[float]) -> Column:
+    """An array of numbers as one constant of the plan, however many they are."""
+    return F.split(F.lit(",".join(map(repr, map(float, values)))), ",").cast("array<double>")
 
 
 def unused(name: str, columns: list[str]) -> str:

@@ -1,10 +1,12 @@
 """Interpolated modified Kneser-Ney bigram model, counted in Spark.
 
 Counting: each partition reduces its (context, word) pairs to distinct ones
-with counts and deals them to shards by the context's hash, as arrays.  A shard
-sums them, writes its sorted hash arrays (bigrams, contexts) to the shared
-folder, and deals each word's counts (occurrences, distinct contexts) to shards
-by the word's hash, which write the unigrams.  The driver sees a few totals.
+with counts and deals them to shards by the pair's hash, as arrays, so that a
+frequent context is spread over all shards.  A shard sums them, writes its sorted
+hash array of bigrams to the shared folder, and deals what it has of each context
+(total, words seen once, twice, more often) and of each word (occurrences,
+distinct contexts), one row each, to shards by their hashes, which add up and
+write the contexts and the unigrams.  The driver sees a few totals.
 
 Scoring: workers map the arrays into memory and look hashes up by bisection.
 
@@ -16,7 +18,9 @@ the V known ones has the share rest / (V + 1).  The order is two: three-word
 entries of such a corpus would not fit the disk budget (see README).
 
 Cases: tokens are words with A-Z in lower case, then one end.  A null or empty
-text is the end alone.  Repeated rows count as often as they stand.  With no
+text is the end alone.  Repeated rows count as often as they stand, and rows with
+a null id as any other.  Ties cannot occur.  A text of any length is scored as a
+whole.  Only the id and the text are read, so no other column can clash.  With no
 training text every token has probability 1.  Counts are 64-bit where one word
 can gather a share of the corpus.
 """
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.kit import mix64, row_slices, tally, utf8, words
+from plumbline.llm.kit import begins, mix64, row_slices, utf8, words
 from plumbline.llm.shared_files import save, shard_bits, shared_folder
 
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x38B34AE5A1E38B93)
@@ -61,13 +65,14 @@ def tokens(data: np.ndarray, offsets: np.ndarray):
 
 def _by_shard(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """An order by the keys' first bits, and where each shard begins in it."""
-    shard = (keys >> np.uint64(64 - bits)).astype(np.uint16)
+    shard = (keys >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
     order = np.argsort(shard, kind="stable")
     return order, np.searchsorted(shard[order], np.arange((1 << bits) + 1))
 
 
 def _count_partition(bits: int):
     def count(batches):
+        begins("counts")
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
         for batch in batches:
@@ -85,21 +90,32 @@ def _count_partition(bits: int):
     return count
 
 
+def _cuts(keys: np.ndarray, bits: int, *columns: np.ndarray) -> list:
+    """Shards of the sorted keys, and each column's bytes shard by shard."""
+    edges = np.searchsorted((keys >> np.uint64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
+    full = np.flatnonzero(np.diff(edges))
+    return [full.astype(np.int32), *[[c[edges[s] : edges[s + 1]].tobytes() for s in full] for c in columns]]
+
+
 def _reduced(held, bits: int) -> pa.RecordBatch:
     context, word = (np.concatenate(x) for x in zip(*held, strict=True))
-    _, at, n = np.unique(_pair(context, word), return_index=True, return_counts=True)
-    at, n = at[(order := np.argsort(context[at], kind="stable"))], n[order].astype("<u4")
-    context, word = context[at], word[at]  # sorted by context, so by shard
-    edges = np.searchsorted((context >> np.uint64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
-    full = np.flatnonzero(np.diff(edges))
-    cut = lambda a: pa.array([a[edges[s] : edges[s + 1]].tobytes() for s in full], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), cut(context), cut(word), cut(n)], names=["shard", "context", "word", "n"])
+    key, at, n = np.unique(_pair(context, word), return_index=True, return_counts=True)
+    shard, *parts = _cuts(key, bits, context[at], word[at], n.astype("<u4"))
+    return pa.RecordBatch.from_arrays([pa.array(shard), *[pa.array(x, pa.binary()) for x in parts]], names=["shard", "context", "word", "n"])
 
 
 def _joined(column: pd.Series, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column), kind)
 
 
+def _sums(keys: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    """Sorted distinct keys, and the sum of each column over equal keys."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return [keys[at], *[np.add.reduceat(c[order], at) if len(at) else c[:0] for c in columns]]
+
+
 def _bigram_shard(folder: str, bits: int):
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         shard = int(pdf["shard"].iloc[0])
@@ -112,38 +128,39 @@ def _bigram_shard(folder: str, bits: int):
         key, context, word = key[at], context[order][at], word[order][at]
         save(f"{folder}/bigram-{shard}.key", key)
         save(f"{folder}/bigram-{shard}.n", np.minimum(count, 2**32 - 1).astype("<u4"))
-        order = np.argsort(context, kind="stable")
-        own, own_n = context[order], count[order]
-        at = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        save(f"{folder}/context-{shard}.key", own[at])
-        save(f"{folder}/context-{shard}.n", np.add.reduceat(own_n, at))
-        kinds = np.stack([np.add.reduceat((own_n == 1).astype("<u4"), at), np.add.reduceat((own_n == 2).astype("<u4"), at), np.add.reduceat((own_n > 2).astype("<u4"), at)], 1)
-        save(f"{folder}/context-{shard}.kinds", np.ascontiguousarray(kinds.astype("<u4")))
-        names, summed = tally(word, count)
-        _, distinct = tally(word)
-        order, edges = _by_shard(names, bits)
-        full = np.flatnonzero(np.diff(edges))
-        cut = lambda a: [a[order[edges[s] : edges[s + 1]]].tobytes() for s in full]
-        out = pd.DataFrame({"shard": full.astype(np.int32), "word": cut(names), "n": cut(summed.astype("<i8")), "k": cut(distinct.astype("<u4"))})
+        kinds = [(count == 1).astype("<u4"), (count == 2).astype("<u4"), (count > 2).astype("<u4")]
+        out = []
+        for what, (names, total, *counted) in (("context", _sums(context, count, *kinds)), ("word", _sums(word, count, np.ones(len(word), "<u4")))):
+            to, *parts = _cuts(names, bits, names, total.astype("<i8"), np.stack(counted, 1).astype("<u4"))
+            out.append(pd.DataFrame({"what": what, "shard": to, **dict(zip(("name", "total", "kinds"), parts, strict=True))}))
+        frame = pd.concat(out, ignore_index=True)
         for r in range(1, 5):  # counts of counts travel with the first row
-            out[f"b{r}"] = 0
-            out.loc[0, f"b{r}"] = int((count == r).sum())
-        return out
+            frame[f"b{r}"] = 0
+            frame.loc[0, f"b{r}"] = int((count == r).sum())
+        return frame
 
     return build
 
 
-def _word_shard(folder: str):
+def _sum_shard(folder: str):
+    """Sums of a shard's contexts or words, written; words add to the totals."""
+
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard = int(pdf["shard"].iloc[0])
-        word, n, k = _joined(pdf.word, "<u8"), _joined(pdf.n, "<i8"), _joined(pdf.k, "<u4").astype(np.int64)
-        names, count = tally(word, n)
-        _, contexts = tally(word, k)
-        save(f"{folder}/word-{shard}.key", names)
-        save(f"{folder}/word-{shard}.n", count)
-        save(f"{folder}/word-{shard}.k", contexts)
-        row = {"vocabulary": len(names), "tokens": int(count.sum()), "contexts": int(contexts.sum()), "more": int((contexts > 2).sum())}
-        row |= {f"b{r}": int(pdf[f"b{r}"].sum()) for r in range(1, 5)} | {f"u{r}": int((contexts == r).sum()) for r in range(1, 5)}
+        what, shard = pdf["what"].iloc[0], int(pdf["shard"].iloc[0])
+        wide = 3 if what == "context" else 1
+        kinds = _joined(pdf.kinds, "<u4").astype(np.int64).reshape(-1, wide)
+        names, total, *counted = _sums(_joined(pdf.name, "<u8"), _joined(pdf.total, "<i8"), *kinds.T)
+        save(f"{folder}/{what}-{shard}.key", names)
+        save(f"{folder}/{what}-{shard}.n", total)
+        row = {f"b{r}": int(pdf[f"b{r}"].sum()) for r in range(1, 5)}
+        row |= {"vocabulary": 0, "tokens": 0, "contexts": 0, "more": 0} | {f"u{r}": 0 for r in range(1, 5)}
+        if what == "context":
+            save(f"{folder}/context-{shard}.kinds", np.ascontiguousarray(np.stack(counted, 1).astype("<i8")))
+        else:
+            (contexts,) = counted
+            save(f"{folder}/word-{shard}.k", contexts)
+            row |= {"vocabulary": len(names), "tokens": int(total.sum()), "contexts": int(contexts.sum()), "more": int((contexts > 2).sum())}
+            row |= {f"u{r}": int((contexts == r).sum()) for r in range(1, 5)}
         return pd.DataFrame([row])
 
     return build
@@ -179,9 +196,9 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
     bits = shard_bits(spark)
     pairs = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count_partition(bits), "shard int, context binary, word binary, n binary")
     bs = ", ".join(f"b{r} long" for r in range(1, 5))
-    partial = pairs.groupBy("shard").applyInPandas(_bigram_shard(folder, bits), f"shard int, word binary, n binary, k binary, {bs}")
+    partial = pairs.groupBy("shard").applyInPandas(_bigram_shard(folder, bits), f"what string, shard int, name binary, total binary, kinds binary, {bs}")
     names = ["vocabulary", "tokens", "contexts", "more", *[f"b{r}" for r in range(1, 5)], *[f"u{r}" for r in range(1, 5)]]
-    totals = partial.groupBy("shard").applyInPandas(_word_shard(folder), ", ".join(f"{c} long" for c in names))
+    totals = partial.groupBy("what", "shard").applyInPandas(_sum_shard(folder), ", ".join(f"{c} long" for c in names))
     t = {c: int(v or 0) for c, v in totals.agg(*[F.sum(c).alias(c) for c in names]).first().asDict().items()}
     word_d = discounts(*[t[f"u{r}"] for r in range(1, 5)])
     rest = (word_d[0] * t["u1"] + word_d[1] * t["u2"] + word_d[2] * t["more"]) / t["contexts"] if t["contexts"] else 1.0
@@ -191,7 +208,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
 class Arrays:
     """The mapped arrays of one kind, by shard."""
 
-    KINDS = {"n": {"bigram": "<u4", "context": "<i8", "word": "<i8"}, "k": {"word": "<i8"}, "kinds": {"context": "<u4"}}
+    KINDS = {"n": {"bigram": "<u4", "context": "<i8", "word": "<i8"}, "k": {"word": "<i8"}, "kinds": {"context": "<i8"}}
 
     def __init__(self, model: Model):
         self.model, self.maps = model, {}
@@ -204,11 +221,11 @@ class Arrays:
             self.maps[key] = np.memmap(path, kind, "r") if whole else np.zeros(0, kind)
         return self.maps[key]
 
-    def find(self, name: str, keys: np.ndarray, by: np.ndarray, parts: tuple[str, ...]) -> list[np.ndarray]:
-        """For each part, the values of the keys; absent keys give zero. ``by``: what deals to shards."""
+    def find(self, name: str, keys: np.ndarray, parts: tuple[str, ...]) -> list[np.ndarray]:
+        """For each part, the values of the keys; absent keys give zero."""
         wide = {"kinds": 3}
         out = [np.zeros((len(keys), wide[p]) if p in wide else len(keys), np.int64) for p in parts]
-        order, edges = _by_shard(by, self.model.bits)
+        order, edges = _by_shard(keys, self.model.bits)
         for shard in np.flatnonzero(np.diff(edges)):
             mine = order[edges[shard] : edges[shard + 1]]
             own = self._map(name, int(shard), "key", "<u8")
@@ -232,12 +249,12 @@ def _discounted(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray
 def token_scores(model: Model, arrays: Arrays, context: np.ndarray, word: np.ndarray):
     """log10 probability, base log10 probability and count of every token."""
     names, inverse = np.unique(word, return_inverse=True)
-    n, k = (x[inverse] for x in arrays.find("word", names, names, ("n", "k")))
+    n, k = (x[inverse] for x in arrays.find("word", names, ("n", "k")))
     base = np.log10((n + 0.5) / (model.tokens + 0.5 * (model.vocabulary + 1)))
     single = model.rest / (model.vocabulary + 1) + (_discounted(k, model.word_discounts) / model.contexts if model.contexts else 0.0)
     names, inverse = np.unique(context, return_inverse=True)
-    total, kinds = (x[inverse] for x in arrays.find("context", names, names, ("n", "kinds")))
-    (pair,) = arrays.find("bigram", _pair(context, word), context, ("n",))
+    total, kinds = (x[inverse] for x in arrays.find("context", names, ("n", "kinds")))
+    (pair,) = arrays.find("bigram", _pair(context, word), ("n",))
     spread = kinds @ np.array(model.pair_discounts)
     p = np.where(total > 0, (_discounted(pair, model.pair_discounts) + spread * single) / np.maximum(total, 1), single)
     return np.log10(p), base, n
@@ -248,6 +265,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType
 
     def run(batches):
+        begins("counts")
         arrays = _OPEN.get(model.folder)
         if arrays is None:
             _OPEN.clear()

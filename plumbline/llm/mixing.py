@@ -31,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.kit import unused
+from plumbline.llm.kit import constant_array, unused
 from plumbline.storage import written
 
 TRAIN_ROWS = 2000  #: most labelled documents of each domain in the fit
@@ -123,7 +123,7 @@ def _evidence(inside: Column, df: Column, size: int, n: int) -> Column:
 
 def _weighed(bias: float, weights: list[float]) -> Column:
     """The bias and the weights that the numbers in ``js`` pick."""
-    table = F.array(*[F.lit(float(x)) for x in weights])
+    table = constant_array(weights)
     return F.aggregate("js", F.lit(bias), lambda total, j: total + F.get(table, j))
 
 

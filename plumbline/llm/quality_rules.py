@@ -9,8 +9,10 @@ DataFrame functions only.  The repeated-window count sorts hashes within the
 row, so that a text of any length costs n log n and nothing is shuffled.
 
 Cases: a null text has no words (it fails ``few_words``); texts of one or two
-words have no window; repeated rows get equal ledgers; an empty table gives an
-empty ledger.  Extra columns are left out, so none can clash.
+words have no window; repeated rows get equal ledgers, and rows with a null id one
+as any other; a text of any length is measured as a whole; a rule is met or not,
+so there are no ties; an empty table gives an empty ledger.  Extra columns are
+left out, so none can clash.
 """
 
 from __future__ import annotations

@@ -26,6 +26,10 @@ URL_RULES = [
     url_filter.Rule("block", "example.com", "/de/"),
     url_filter.Rule("allow", "org", "/fr/"),
 ]
+#: The small labelled URL table: hosts of two names, from what filter lists and ordinary directories call such sites.
+BLOCKED_NAMES = "casino poker betting lottery pills viagra pharma loans payday escort porn xxx spam ads adserver track tracker popup click cheap replica torrent crack keygen warez".split()
+ORDINARY_NAMES = "news blog museum library garden school weather recipes history science college books travel health forum wiki music city photo docs theatre river kitchen village market".split()
+SHARED_PARTS = ("com", "en/12"), ("org", "de/345.html"), ("net", "fr/6?page=2"), ("info", "es/78/"), ("com", ""), ("org", "en/901?ref=x")
 #: Share of all tokens that a domain of the labels table shall have; the others keep their proportions.
 DOMAIN_SHARES = {"toxic": 0.05}
 
@@ -111,13 +115,20 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_spans(read(spark, sf_dir, "documents"))
 
 
+def labelled_urls(spark: SparkSession) -> DataFrame:
+    """(url, label): each name with the six names after it, on top-level domains and paths that both classes share."""
+    rows = []
+    for label, names in ((1, BLOCKED_NAMES), (0, ORDINARY_NAMES)):
+        for k, name in enumerate(names):
+            for step, (top, path) in enumerate(SHARED_PARTS, 1):
+                joint = "-" if (k + step) % 2 else ""
+                rows.append((f"http://{'www.' if step % 2 else ''}{name}{joint}{names[(k + step) % len(names)]}.{top}/{path}", label))
+    return spark.createDataFrame(rows, "url string, label int")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labelled URL table: those pages that a rule decides, a bounded sample of them."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
-    host, path = url_filter.host_and_path(F.col("url"))
-    ruled = pages.select("url", url_filter.rule_for(host, path, URL_RULES)["verdict"].alias("verdict")).where("verdict is not null")
-    labelled = url_filter.bounded_sample(ruled.select("url", (F.col("verdict") == "block").cast("int").alias("label")))
-    return url_filter.judge(pages, URL_RULES, url_filter.fit(labelled))
+    return url_filter.judge(pages, URL_RULES, url_filter.fit(url_filter.bounded_sample(labelled_urls(spark))))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,6 +140,29 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_LEDGER_SQL = r"""
+texts AS (SELECT doc_id, row_number() OVER () AS k, coalesce(text, '') AS text FROM documents),
+split AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM texts),
+each AS (SELECT k, unnest(words) AS a, generate_subscripts(words, 1) AS i FROM split), next AS (SELECT k, i, a, lead(a) OVER w AS b, lead(a, 2) OVER w AS c FROM each WINDOW w AS (PARTITION BY k ORDER BY i)),
+grams AS (SELECT k, i, count(*) OVER (PARTITION BY k, a, b, c) AS n FROM next WHERE c IS NOT NULL),
+covered AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS p FROM grams WHERE n > 1) GROUP BY k),
+lines AS (SELECT k, count(*) AS n, count(*) - count(DISTINCT line) AS twice FROM (SELECT k, unnest(string_split(text, chr(10))) AS line FROM texts) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY k),
+measured AS (SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(regexp_extract_all(text, '!!')) AS n_shouts,
+  coalesce(l.n, 0) AS n_lines, coalesce(l.twice, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM split LEFT JOIN lines l USING (k) LEFT JOIN covered c USING (k)),
+ledger AS (SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (2 * n_symbols > n_words)::BIGINT + 8 * (2 * n_dup_lines > n_lines)::BIGINT + 16 * (2 * n_shouts > n_words)::BIGINT
+  + 32 * (word_chars > 24 * n_words)::BIGINT + 64 * (word_chars < 2 * n_words)::BIGINT AS failed FROM measured)"""
+OP10_SQL = f"""WITH {_LEDGER_SQL} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed, n_lines, 3 AS policy FROM ledger"""
+ABLATIONS_SQL = f"""WITH {_LEDGER_SQL}, rules AS (SELECT * FROM (VALUES ('few_words', 1, 1), ('repeated_windows', 2, 1), ('symbols', 4, 2), ('duplicate_lines', 8, 3), ('shouts', 16, 3), ('long_words', 32, 3), ('short_words', 64, 3)) r(rule, b, since)),
+policies AS (SELECT * FROM (VALUES (1, 3), (2, 7), (3, 127)) p(policy, mask))
+SELECT policy, rule, count(*) AS n_documents, count(*) FILTER (failed & b <> 0) AS n_failed, count(*) FILTER (failed & mask = b) AS n_only_this FROM ledger, rules JOIN policies ON policy >= since GROUP BY policy, rule"""
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule rejects, and what it alone rejects, under each policy: from the stored ledger, not the texts."""
+    book = written(quality_rules.ledger(read(spark, sf_dir, "documents")).select("failed"), "ledger")
+    return quality_rules.ablations(book)
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_token_counts": op2_token_counts,
@@ -140,5 +174,6 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
+    "quality_ablations": quality_ablations,
 }
-ORACLE_SQL = {"op6_exact_dedup": OP6_SQL}
+ORACLE_SQL = {"op6_exact_dedup": OP6_SQL, "op10_quality_rules": OP10_SQL, "quality_ablations": ABLATIONS_SQL}

@@ -11,38 +11,44 @@
    ``LEAST``-word windows around their positions are hashed, and those that stand in
    more than one document are stored as arrays that a last scan asks.  So each
    suffix is held against all others, and a frequent passage is only counted.
-4. Of the other n-grams, which have one suffix in each of two documents, suffixes
-   carry the ``LEAST - GRAM`` words after the n-gram and those before it, which is as
-   far as a passage of ``LEAST`` words around it can reach.  They are sorted by
-   content, and neighbours of different documents are compared; the match is extended
-   to both sides, and LEAST words or more make a span of both documents.
+4. Of the other n-grams, suffixes carry the hashes of the ``LEAST - GRAM`` words
+   after the n-gram and of those before it, which is as far as a passage of
+   ``LEAST`` words around it can reach.  They are sorted by n-gram and content, so
+   that suffixes of one n-gram are neighbours; these are compared, the match is
+   extended to both sides, and LEAST words or more make a span of both documents.
 5. Spans that overlap or touch are merged for each document.
 
-N-grams and windows are equal by a 64-bit hash; carried words are compared as texts.  Cases: null, empty and short texts have no
-suffix and no span; they do not appear in the result.  A passage that repeats
-only within one document gives none.  Rows with a null id are left out.  Rows of
-the same id count as one document.  A very long text has as many suffixes as it
-has selected positions; a span longer than the carried words is the union of
-the spans of its positions.
+N-grams, windows and carried words are equal by 64-bit hashes.  Nothing is missed:
+a passage of ``LEAST`` words in two documents has a selected position in it, at the
+same place of the passage in both, whose n-gram has either few suffixes, all of
+which are compared, or windows, one of which is the passage.
+
+Cases: null, empty and short texts have no suffix and no span; they do not appear
+in the result.  A passage that repeats only within one document gives none.  Rows
+with a null id are left out.  Rows of the same id count as one document.  Of equal
+hashes in a window of positions the last is selected, in any document.  A very
+long text has as many suffixes as it has selected positions; a span longer than
+the carried words is the union of the spans of its positions.  Only the id and
+the text are read, so no other column can clash.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.kit import mix64, row_slices, utf8, windows, words
+from plumbline.llm.kit import begins, mix64, row_slices, utf8, windows, words
 from plumbline.llm.shared_files import HashSet, shard_bits, shared_folder
 from plumbline.storage import written
 
 LEAST = 50
 GRAM = 20
-HOT_ROWS = 2  #: an n-gram with more suffixes is settled by windows, since sorted neighbours could hide a partner
-PREFIX = 24  #: bytes of content that split the others
+HOT_ROWS = 2  #: an n-gram with more suffixes is settled by windows; of others, all pairs are compared
+CARRIED_ROWS = 8192  #: suffixes in a batch with their words
 
 
 def minimisers(hashes: np.ndarray, begin: np.ndarray, width: int) -> np.ndarray:
@@ -68,12 +74,12 @@ def minimisers(hashes: np.ndarray, begin: np.ndarray, width: int) -> np.ndarray:
 
 
 def _selected(data: np.ndarray, offsets: np.ndarray, least: int, gram: int):
-    """Words of some rows and their suffixes: (starts, ends, first, row, word, hash)."""
-    starts, ends, hashes, first = words(data, offsets)
+    """Words of some rows and their suffixes: (word hashes, first, row, word, n-gram hash)."""
+    _, _, hashes, first = words(data, offsets)
     grams, at, begin = windows(hashes, first, gram)
     chosen = minimisers(grams, begin, least - gram + 1)
     row = np.searchsorted(begin, chosen, side="right") - 1
-    return starts, ends, first, row, at[chosen], grams[chosen]
+    return hashes, first, row, at[chosen], grams[chosen]
 
 
 def suffixes(docs: DataFrame, least: int = LEAST, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -81,10 +87,11 @@ def suffixes(docs: DataFrame, least: int = LEAST, gram: int = GRAM, id_col: str
     kind = docs.schema[id_col].dataType
 
     def select(batches):
+        begins("suffixes")
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for i, j in row_slices(offsets):
-                _, _, first, row, at, h = _selected(data, offsets[i : j + 1], least, gram)
+                _, first, row, at, h = _selected(data, offsets[i : j + 1], least, gram)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(row)), pa.array((at - first[:-1][row]).astype(np.int32)), pa.array(h.view(np.int64))], names=["doc_id", "at", "h"])
 
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("at", T.IntegerType()), T.StructField("h", T.LongType())])
@@ -94,14 +101,12 @@ def suffixes(docs: DataFrame, least: int = LEAST, gram: int = GRAM, id_col: str
 
 def _windows_of(data: np.ndarray, offsets: np.ndarray, least: int, gram: int, frequent: HashSet):
     """(row, start, hash) of the ``least``-word windows around selected positions whose n-gram is in ``frequent``."""
-    _, _, hashes, first = words(data, offsets)
-    grams, at, begin = windows(hashes, first, gram)
-    chosen = minimisers(grams, begin, least - gram + 1)
-    chosen = chosen[frequent.contains(grams[chosen])]
-    row = np.searchsorted(begin, chosen, side="right") - 1
+    hashes, first, row, at, h = _selected(data, offsets, least, gram)
+    keep = frequent.contains(h)
+    row, at = row[keep], at[keep]
     change = np.zeros(len(hashes) + 1, np.int64)
-    np.add.at(change, np.maximum(at[chosen] - (least - gram), first[:-1][row]), 1)
-    np.add.at(change, at[chosen] + 1, -1)
+    np.add.at(change, np.maximum(at - (least - gram), first[:-1][row]), 1)
+    np.add.at(change, at + 1, -1)
     starts = np.flatnonzero(np.cumsum(change) > 0)
     row = np.searchsorted(first, starts, side="right") - 1
     whole = starts + least <= first[1:][row]
@@ -153,123 +158,89 @@ def _window_spans(rows: DataFrame, frequent: DataFrame, least: int, gram: int) -
 
 
 def _contexts(least: int, gram: int, folder: str, bits: int):
-    """Suffixes whose n-gram is in the set, with the words around it, once for either order."""
+    """Suffixes whose n-gram is in the set, with the words around it: as many as there are, and their hashes."""
+    side = least - gram
+    reach = np.arange(side)
 
     def carry(batches):
+        begins("suffixes")
         shared = HashSet.opened(folder, bits)
         for batch in batches:
-            ids = batch.column(0)
             data, offsets = utf8(batch.column(1))
             for i, j in row_slices(offsets):
-                starts, ends, first, row, at, h = _selected(data, offsets[i : j + 1], least, gram)
-                keep = shared.contains(h)
-                row, at, h = row[keep], at[keep], h[keep]
-                low, high = np.maximum(at - (least - gram), first[:-1][row]), np.minimum(at + least, first[1:][row])
-                spell = lambda a, b: [data[s:e].tobytes() for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)]  # noqa: E731, B023
-                out = []
-                for r, p, q, k, a, b in zip((row + i).tolist(), at.tolist(), (at - first[:-1][row]).tolist(), h.view(np.int64).tolist(), low.tolist(), high.tolist(), strict=True):
-                    right, left = b" ".join(spell(p + gram, b)), b" ".join(spell(a, p)[::-1])
-                    out += [(r, k, q, True, right, left), (r, k, q, False, left, right)]
-                    if len(out) >= 20_000:
-                        yield _context_batch(ids, out)
-                        out = []
-                yield _context_batch(ids, out)
+                hashes, first, row, at, h = _selected(data, offsets[i : j + 1], least, gram)
+                keep = np.flatnonzero(shared.contains(h))
+                for k in range(0, len(keep), CARRIED_ROWS):
+                    part = keep[k : k + CARRIED_ROWS]
+                    r, p = row[part], at[part]
+                    before, after = np.minimum(p - first[:-1][r], side), np.minimum(first[1:][r] - p - gram, side)
+                    left, right = (hashes[np.clip(x, 0, len(hashes) - 1)] for x in ((p - 1)[:, None] - reach, (p + gram)[:, None] + reach))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0).slice(i, j - i).take(pa.array(r)), pa.array(h[part].view(np.int64)), pa.array((p - first[:-1][r]).astype(np.int32)), pa.array(before.astype(np.int32)), pa.array(after.astype(np.int32)),
+                            _fixed(left), _fixed(right),
+                        ],
+                        names=["doc_id", "h", "at", "before", "after", "left", "right"],
+                    )
 
     return carry
 
 
-def _context_batch(ids, rows):
-    r, h, at, forward, key, other = zip(*rows, strict=True) if rows else ((),) * 6
-    return pa.RecordBatch.from_arrays(
-        [ids.take(pa.array(r, pa.int64())), pa.array(h, pa.int64()), pa.array(at, pa.int32()), pa.array(forward, pa.bool_()), pa.array(key, pa.binary()), pa.array(other, pa.binary())],
-        names=["doc_id", "h", "at", "forward", "key", "other"],
-    )
+def _fixed(rows: np.ndarray) -> pa.Array:
+    """Rows of numbers as binary values."""
+    rows = np.ascontiguousarray(rows)
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * (rows.shape[1] * rows.itemsize)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows)])
 
 
-def common_words(a: bytes, b: bytes) -> int:
-    """How many whole words two texts share from their beginning."""
-    if not a or not b:
-        return 0
-    if a == b:
-        return a.count(b" ") + 1
-    n = 0
-    for x, y in zip(a.split(b" "), b.split(b" "), strict=False):
-        if x != y:
-            break
-        n += 1
-    return n
+def _shared_words(values: np.ndarray, known: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many values rows ``a`` and ``b`` share from their beginning, of the ``known`` ones of each."""
+    differs = values[a] != values[b]
+    same = np.where(differs.any(1), differs.argmax(1), values.shape[1])
+    return np.minimum(same, np.minimum(known[a], known[b]))
 
 
-def _spans_of(p: tuple, q: tuple, least: int, gram: int):
-    """Spans that two neighbours (doc, h, at, forward, key, other) give, if they match far enough."""
-    if p[0] == q[0] or p[1] != q[1] or p[3] != q[3]:
-        return
-    first, second = common_words(p[4], q[4]), common_words(p[5], q[5])
-    right, left = (first + gram, second) if p[3] else (second + gram, first)
-    if left + right >= least:
-        yield p[0], p[2] - left, p[2] + right, q[0]
-        yield q[0], q[2] - left, q[2] + right, p[0]
+def _compared(rows: pa.Table, least: int, gram: int) -> pa.RecordBatch:
+    """Spans of all pairs of rows of one n-gram and different documents; rows are sorted by n-gram."""
+    column = lambda c: rows.column(c).combine_chunks()
+    doc, h, at = column("doc_id"), column("h").to_numpy(), column("at").to_numpy()
+    sides = {c: np.frombuffer(b"".join(column(c).to_pylist()), np.uint64).reshape(len(h), least - gram) for c in ("left", "right")}
+    known = {c: column(k).to_numpy() for c, k in (("left", "before"), ("right", "after"))}
+    found, step = [], 1
+    while len(a := np.flatnonzero(h[step:] == h[:-step])):
+        b = a + step
+        left, right = (_shared_words(sides[c], known[c], a, b) for c in ("left", "right"))
+        far = left + right + gram >= least
+        other = pc.not_equal(doc.take(pa.array(a)), doc.take(pa.array(b))).to_numpy(zero_copy_only=False)
+        a, b, left, right = (x[far & other] for x in (a, b, left, right))
+        found += [(a, at[a] - left, at[a] + gram + right, b), (b, at[b] - left, at[b] + gram + right, a)]
+        step += 1
+    own, low, high, other = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
+    return pa.RecordBatch.from_arrays([doc.take(pa.array(own)), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), doc.take(pa.array(other))], names=["doc_id", "low", "high", "other_id"])
 
 
 def _compare(least: int, gram: int):
-    """Spans from neighbours of different documents in a sorted partition.
-
-    Rows of one document side by side form a run: each of its rows is compared
-    with the last row before the run and the first one after it.  The rows at
-    the partition's edges go out too (``edge`` 0: first, 1: last), to be compared
-    with those of the partitions beside it.
-    """
+    """Spans from a partition sorted by n-gram; the last n-gram of a batch waits for the next batch."""
 
     def run(batches):
-        part = TaskContext.get().partitionId()
-        before, current, out = None, [], []
-        first = None
-
-        def flush():
-            best: dict[tuple, object] = {}
-            for doc, low, high, other in out:
-                known = best.get((doc, low, high))
-                best[doc, low, high] = other if known is None or other < known else known
-            out.clear()
-            return tuple(zip(*((*k, v) for k, v in best.items()), strict=True)) or ((),) * 4
-
-        kind = None
+        waiting = None
         for batch in batches:
-            kind = batch.schema.field(0).type
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if first is None:
-                    first = row
-                if current and row[0] != current[-1][0]:
-                    for old in current:
-                        out.extend(_spans_of(old, row, least, gram))
-                    before, current = current[-1], []
-                if before is not None:
-                    out.extend(_spans_of(before, row, least, gram))
-                if current and row[1] != current[-1][1]:
-                    current = []  # nothing later has the old n-gram
-                current.append(row)
-            yield _span_batch(kind, part, flush(), ())
-        if first is not None:
-            yield _span_batch(kind, part, flush(), ((0, first), (1, current[-1])))
+            rows = pa.Table.from_batches([batch])
+            if waiting is not None:
+                rows = pa.concat_tables([waiting, rows])
+            if not rows.num_rows:
+                continue
+            h = rows.column("h").to_numpy()
+            cut = int(np.flatnonzero(h != h[-1])[-1]) + 1 if (h != h[-1]).any() else 0
+            waiting = rows.slice(cut)
+            if cut:
+                yield _compared(rows.slice(0, cut), least, gram)
+        if waiting is not None:
+            yield _compared(waiting, least, gram)
 
     return run
 
 
-def _span_batch(kind, part, spans, edges):
-    doc, low, high, other = spans
-    rows = [r for _, r in edges]
-    n, m = len(doc), len(edges)
-    pad = [None] * n
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([*doc, *(r[0] for r in rows)], kind), pa.array([*low, *[None] * m], pa.int32()), pa.array([*high, *[None] * m], pa.int32()), pa.array([*other, *[None] * m], kind),
-            pa.array([part] * (n + m), pa.int32()), pa.array([*pad, *(e for e, _ in edges)], pa.int32()), pa.array([*pad, *(r[1] for r in rows)], pa.int64()), pa.array([*pad, *(r[2] for r in rows)], pa.int32()),
-            pa.array([*pad, *(r[3] for r in rows)], pa.bool_()), pa.array([*pad, *(r[4] for r in rows)], pa.binary()), pa.array([*pad, *(r[5] for r in rows)], pa.binary()),
-        ],
-        names=["doc_id", "low", "high", "other_id", "part", "edge", "h", "at", "forward", "key", "other"],
-    )
-
-
 def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start_word, end_word, n_words, other_id: each repeated passage of each document.
 
@@ -281,35 +252,13 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, id_col
     shared = written(found.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("h", "n"), "shared")
     folder, bits = shared_folder(spark, "suffixes"), shard_bits(spark)
     HashSet.write(shared.where(F.col("n") <= HOT_ROWS).select("h"), folder, bits)
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("h", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("forward", T.BooleanType()), T.StructField("key", T.BinaryType()), T.StructField("other", T.BinaryType())])
+    ints, binaries = [T.StructField(c, T.IntegerType()) for c in ("at", "before", "after")], [T.StructField(c, T.BinaryType()) for c in ("left", "right")]
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("h", T.LongType()), *ints, *binaries])
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     carried = rows.mapInArrow(_contexts(least, gram, folder, bits), schema)
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["forward", "h", "key", "other", "doc_id", "at"]
-    ranged = carried.repartitionByRange(parts, "forward", "h", F.substring("key", 1, PREFIX)).sortWithinPartitions(*order)
-    out = T.StructType(
-        [
-            T.StructField("doc_id", kind), T.StructField("low", T.IntegerType()), T.StructField("high", T.IntegerType()), T.StructField("other_id", kind), T.StructField("part", T.IntegerType()), T.StructField("edge", T.IntegerType()),
-            *schema.fields[1:],
-        ]
-    )
-    compared = written(ranged.mapInArrow(_compare(least, gram), out), "compared")
-    ends = compared.where("edge is not null").select("part", "edge", *schema.names)
-    turn = Window.orderBy("part", "edge")  # two rows a partition, whatever the corpus
-    named = F.struct("doc_id", "h", "at", "forward", "key", "other")
-    beside = ends.withColumn("next", F.lead(named).over(turn)).where("edge = 1 and next is not null").select(*schema.names, "next")
-
-    def stitch(batches):
-        for batch in batches:
-            spans = []
-            for row in batch.to_pylist():
-                spans += _spans_of(tuple(row[c] for c in schema.names), tuple(row["next"][c] for c in schema.names), least, gram)
-            doc, low, high, other = zip(*spans, strict=True) if spans else ((),) * 4
-            t = batch.schema.field(0).type
-            yield pa.RecordBatch.from_arrays([pa.array(doc, t), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(other, t)], names=["doc_id", "low", "high", "other_id"])
-
-    across = beside.mapInArrow(stitch, T.StructType(out.fields[:4]))
-    spans = compared.where("edge is null").select("doc_id", "low", "high", "other_id").union(across)
+    array = carried.repartition("h").sortWithinPartitions("h", "right", "left", "doc_id", "at")
+    out = T.StructType([T.StructField("doc_id", kind), T.StructField("low", T.IntegerType()), T.StructField("high", T.IntegerType()), T.StructField("other_id", kind)])
+    spans = array.mapInArrow(_compare(least, gram), out)
     return merged(spans.union(_window_spans(rows, shared.where(F.col("n") > HOT_ROWS).select("h"), least, gram)))
 
 

@@ -8,7 +8,9 @@ ends so far, last end so far) stitches documents that cross block boundaries.
 Cases: two end ids in a row are a document of no tokens.  Tokens after the last
 end id make a document with ``closed`` false.  An empty file gives no row.  A
 trailing fraction of an id is an error.  A file of any length is read in blocks;
-a document of any length only adds to two numbers.
+a document of any length only adds to two numbers.  Documents of equal texts, and
+rows with a null id, are documents of their own; ties cannot occur, as a document
+is named by its file and place.  Of a table only the id and the text are written.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import types as T
 
 from plumbline.llm.packing import tokenizer
 from plumbline.llm.shared_files import AtomicFile
+from plumbline.storage import written
 
 BLOCK_TOKENS = 1 << 22
 TEXT_END = 50256
@@ -93,17 +96,20 @@ def count_tokens(spark: SparkSession, folder: str, end_id: int = TEXT_END, dtype
     """
     dealt = blocks(spark, "file://" + folder, dtype, block_tokens)
     found = scan_blocks(dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file", "block"), folder, end_id, dtype)
+    found = written(found, "token-ends")
+    # Only a block's number of ends and its last one go through the prefix scan.
+    ended = F.when(F.size("ends") > 0, F.element_at("ends", -1))
+    brief = found.select("file", "block", (F.col("start") + F.col("n")).alias("stop"), F.size("ends").alias("n_ends"), ended.alias("last_end"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     last = F.max("block").over(Window.partitionBy("file"))
-    scanned = found.select(
-        "file", "ends", (F.col("start") + F.col("n")).alias("stop"), (F.col("block") == last).alias("final"),
-        F.coalesce(F.sum(F.size("ends")).over(earlier), F.lit(0)).alias("docs_before"),
-        F.coalesce(F.max(F.element_at("ends", F.when(F.size("ends") > 0, -1))).over(earlier), F.lit(-1)).alias("end_before"),
+    scanned = brief.select(
+        "file", "block", "stop", "n_ends", "last_end", (F.col("block") == last).alias("final"),
+        F.coalesce(F.sum("n_ends").over(earlier), F.lit(0)).alias("docs_before"), F.coalesce(F.max("last_end").over(earlier), F.lit(-1)).alias("end_before"),
     )
-    closed = scanned.select("file", "docs_before", "end_before", "ends", F.posexplode("ends").alias("i", "end")).select(
+    each = found.select("file", "block", "ends").join(scanned.select("file", "block", "docs_before", "end_before"), ["file", "block"])
+    closed = each.select("file", "docs_before", "end_before", "ends", F.posexplode("ends").alias("i", "end")).select(
         "file", (F.col("docs_before") + F.col("i")).alias("doc"),
         (F.when(F.col("i") == 0, F.col("end_before")).otherwise(F.get("ends", F.col("i") - 1)) + 1).alias("start"), "end", F.lit(True).alias("closed"),
     )
-    tail_from = F.coalesce(F.element_at("ends", F.when(F.size("ends") > 0, -1)), F.col("end_before")) + 1
-    tail = scanned.where("final").select("file", (F.col("docs_before") + F.size("ends")).alias("doc"), tail_from.alias("start"), F.col("stop").alias("end"), F.lit(False).alias("closed")).where("end > start")
+    tail = scanned.where("final").select("file", (F.col("docs_before") + F.col("n_ends")).alias("doc"), (F.coalesce("last_end", "end_before") + 1).alias("start"), F.col("stop").alias("end"), F.lit(False).alias("closed")).where("end > start")
     return closed.union(tail).select("file", "doc", "start", (F.col("end") - F.col("start")).alias("n_tokens"), "closed")

@@ -2,13 +2,15 @@
 
 The features are character n-grams of the host and of the path, hashed to a
 fixed number of buckets.  The model is trained by full-batch gradient descent,
-one aggregation a step, on a labelled URL table of bounded size; its weights
-are a table of at most ``DIM`` + 1 rows, which is the broadcast side when all
-URLs are scored.  DataFrame functions only.
+one aggregation a step, on a labelled URL table of bounded size; its ``DIM`` + 1
+weights are an array that every row looks its features up in, so pages are
+judged in their scan, without a join or a shuffle.  DataFrame functions only.
 
 Cases: a null URL, or one without ``://``, has an empty host and path, fits no
 rule and has no n-gram but the edge marks; the model still judges it.  Repeated
-rows get equal verdicts.  An empty labelled table, or one of a single class,
+rows get equal verdicts; a null id is kept as it is.  A score of exactly a half
+allows.  A URL of any length is judged by all its n-grams.  Extra columns are not
+read, so none can clash.  An empty labelled table, or one of a single class,
 gives a model that answers with the class it saw (allow where there is none).
 """
 
@@ -19,14 +21,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.kit import constant_array
 from plumbline.storage import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DIM = 4096  #: hash buckets: the bound of the weight table
 GRAM = 4  #: characters in an n-gram
 TRAIN_ROWS = 2000  #: most labelled URLs used for the fit, half of each class
-STEPS = 12
-RATE = 4.0
+STEPS = 24
+RATE = 40.0
 RIDGE = 1e-4
 
 
@@ -67,8 +70,8 @@ def grams(text: Column, kind: str) -> Column:
 
 
 def features(host: Column, path: Column) -> Column:
-    """Distinct buckets of a URL; -1 is the bias."""
-    return F.array_distinct(F.concat(F.array(F.lit(-1)), grams(host, "h"), grams(path, "p")))
+    """Distinct buckets of a URL; the last one, ``DIM``, is the bias."""
+    return F.array_distinct(F.concat(F.array(F.lit(DIM)), grams(host, "h"), grams(path, "p")))
 
 
 def bounded_sample(labelled: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
@@ -78,48 +81,32 @@ def bounded_sample(labelled: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
     return distinct.where("label = 1").orderBy(*order).limit(most // 2).unionByName(distinct.where("label = 0").orderBy(*order).limit(most // 2))
 
 
-def fit(labelled: DataFrame) -> DataFrame:
-    """Weights (feature, w) from a labelled table (url, label: 1 block, 0 allow) of bounded size.
+def _score(fs: Column, weights: list[float]) -> Column:
+    """The model's probability of ``block``."""
+    table = constant_array(weights)
+    total = F.aggregate(fs, F.lit(0.0), lambda z, f: z + F.get(table, f))
+    return 1 / (1 + F.exp(-total / F.sqrt(F.size(fs))))
 
-    Each step is one join with the weights and one aggregation; the step's
-    weights (at most ``DIM`` + 1 rows) come to the driver and go out again.
-    """
-    spark = labelled.sparkSession
+
+def fit(labelled: DataFrame) -> list[float]:
+    """``DIM`` + 1 weights from a labelled table (url, label: 1 block, 0 allow) of bounded size."""
     host, path = host_and_path(F.col("url"))
-    rows = written(labelled.select("url", F.col("label").cast("double").alias("y"), features(host, path).alias("fs")).where("y is not null"), "url-train")
-    each = rows.select("url", "y", (F.lit(1.0) / F.sqrt(F.size("fs"))).alias("x"), F.explode("fs").alias("feature"))
-    n = max(1, rows.count())
-    weights: dict[int, float] = {}
+    rows = written(labelled.select(F.col("label").cast("double").alias("y"), features(host, path).alias("fs")).where("y is not null"), "url-train")
+    n, weights = max(1, rows.count()), [0.0] * (DIM + 1)
     for _ in range(STEPS):
-        table = spark.createDataFrame(list(weights.items()) or [(-1, 0.0)], "feature int, w double")
-        scored = each.join(F.broadcast(table), "feature", "left").groupBy("url", "y").agg(F.sum(F.coalesce("w", F.lit(0.0)) * F.col("x")).alias("z"))
-        error = scored.select("url", (F.col("y") - 1 / (1 + F.exp(-F.col("z")))).alias("error"))
-        slopes = each.join(error, "url").groupBy("feature").agg((F.sum(F.col("error") * F.col("x")) / n).alias("slope"))
+        error = (F.col("y") - _score(F.col("fs"), weights)) / F.sqrt(F.size("fs"))
+        slopes = rows.select(F.explode("fs").alias("feature"), error.alias("e")).groupBy("feature").agg(F.sum("e").alias("slope"))
         for feature, slope in slopes.collect():
-            old = weights.get(feature, 0.0)
-            weights[feature] = old + RATE * (slope - RIDGE * old) * 10
-    return spark.createDataFrame(list(weights.items()) or [(-1, 0.0)], "feature int, w double")
-
+            weights[feature] += RATE * (slope / n - RIDGE * weights[feature])
+    return weights
 
-def judge(pages: DataFrame, rules: list[Rule], weights: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """page id, host, path, rule, score and verdict of every row.
 
-    Distinct (host, path) are scored once, so that a host with many pages, or a
-    page that repeats, is no heavier than its distinct paths.
-    """
+def judge(pages: DataFrame, rules: list[Rule], weights: list[float], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """page id, host, path, rule, verdict and, where no rule decides, the model's score of every row."""
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias(id_col), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("r", rule_for(F.col("host"), F.col("path"), rules))
-    fs = features(F.col("host"), F.col("path"))
-    open_rows = rows.where("r.verdict is null").select("host", "path").distinct()
-    each = open_rows.withColumn("fs", fs).select("host", "path", (F.lit(1.0) / F.sqrt(F.size("fs"))).alias("x"), F.explode("fs").alias("feature"))
-    scores = each.join(F.broadcast(weights), "feature", "left").groupBy("host", "path").agg((1 / (1 + F.exp(-F.sum(F.coalesce("w", F.lit(0.0)) * F.col("x"))))).alias("score"))
-    joined = rows.join(scores, ["host", "path"], "left")
-    return joined.select(
-        id_col,
-        "host",
-        "path",
-        F.col("r.rule").alias("rule"),
-        F.coalesce("r.verdict", F.when(F.col("score") > 0.5, "block").otherwise("allow")).alias("verdict"),
-        F.when(F.col("r.verdict").isNull(), F.col("score")).alias("score"),
+    score = F.when(F.col("r.verdict").isNull(), _score(features(F.col("host"), F.col("path")), weights))
+    return rows.withColumn("score", score).select(
+        id_col, "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", F.when(F.col("score") > 0.5, "block").otherwise("allow")).alias("verdict"), "score"
     )

@@ -211,6 +211,122 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.where("false"), queries.URL_RULES, weights).count() == 0
 
 
+def _model(rows):
+    """Hashed n-gram logistic regression by plain gradient descent, from (features, label)."""
+    x = np.zeros((len(rows), url_filter.DIM + 1))
+    for k, (fs, _) in enumerate(rows):
+        x[k, fs] = 1 / np.sqrt(len(fs))
+    y, w = np.array([label for _, label in rows], float), np.zeros(x.shape[1])
+    for _ in range(url_filter.STEPS):
+        touched = x.any(0)
+        w += url_filter.RATE * ((y - 1 / (1 + np.exp(-x @ w))) @ x / len(rows) - url_filter.RIDGE * w) * touched
+    return w
+
+
+def test_url_scores_and_held_out_labels(spark):
+    table = queries.labelled_urls(spark)
+    host, path = url_filter.host_and_path(F.col("url"))
+    rows = table.select("url", "label", url_filter.features(host, path).alias("fs")).collect()
+    assert len(rows) == len({r.url for r in rows}) == 300
+    want = _model([(r.fs, r.label) for r in rows])
+    got = url_filter.fit(table)
+    assert np.allclose(got, want, atol=1e-9)
+    pages = spark.createDataFrame([(k, r.url) for k, r in enumerate(rows)] + [(900, None), (901, "x" * 20_000), (902, "http://ads-track.example.org/en/3"), (903, "http://river-museum.example.com/en/3")], "page_id long, url string")
+    scores = {r.page_id: r for r in url_filter.judge(pages, [], got).collect()}
+    for k, r in enumerate(rows):
+        z = sum(want[f] for f in r.fs) / np.sqrt(len(r.fs))
+        assert abs(scores[k].score - 1 / (1 + np.exp(-z))) < 1e-9 and scores[k].verdict == ("block" if scores[k].score > 0.5 else "allow")
+    assert scores[902].verdict == "block" and scores[903].verdict == "allow"
+    # Held out: all URLs that hold one of a fifth of the names.
+    right = total = 0
+    for fold in range(5):
+        held = set(queries.BLOCKED_NAMES[fold::5]) | set(queries.ORDINARY_NAMES[fold::5])
+        out = [r for r in rows if any(n in r.url for n in held)]
+        w = _model([(r.fs, r.label) for r in rows if r not in out])
+        right += sum((sum(w[f] for f in r.fs) > 0) == bool(r.label) for r in out)
+        total += len(out)
+    assert right / total > 0.75, right / total
+
+
+def test_quality_rules_against_sql(spark, tmp_path):
+    import duckdb
+
+    docs = awkward(spark, 60).select("doc_id", "text")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for name in ("op10_quality_rules", "quality_ablations"):
+        got = queries.QUERIES[name](spark, str(tmp_path))
+        want = con.sql(queries.ORACLE_SQL[name]).select(*got.columns).fetchall()
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def _mixture(model, text):
+    """Proportions by plain EM, elimination one by one, for one text."""
+    word, grams_of = [], []
+    body = language_id._LETTER[np.frombuffer(text.encode(), np.uint8)]
+    grams = language_id._trigrams(language_id._letters(np.frombuffer(text.encode(), np.uint8)))
+    for k, c in enumerate(body):
+        if c != 0x20:
+            word.append(grams[k])
+        if word and (c == 0x20 or k == len(body) - 1):
+            grams_of.append(word)
+            word = []
+    p = np.exp(np.array([[sum(model.table[lang][g] for g in w) for lang in range(len(model))] for w in grams_of], float))
+    p /= p.max(1, keepdims=True)
+    allowed, best = np.ones(len(model), bool), (np.inf, None)
+    while allowed.any():
+        share = allowed / allowed.sum()
+        for _ in range(language_id.EM_STEPS):
+            q = p * share
+            share = (q / q.sum(1, keepdims=True)).mean(0)
+        cost = language_id.PENALTY * allowed.sum() * np.log(len(p) + 1) - np.log((p * share).sum(1)).sum()
+        best = min(best, (cost, tuple(share)), key=lambda x: x[0])
+        allowed[np.argmin(np.where(allowed, share, np.inf))] = False
+    return np.array(best[1])
+
+
+def test_language_mixtures_of_many_languages(spark):
+    """Nine invented languages: no set of languages is left out before the likelihood is looked at."""
+    rng = np.random.default_rng(5)
+    syllables = {f"l{k}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 3)) for _ in range(25)] for k in range(9)}
+    write = lambda lang, n: " ".join("".join(rng.choice(syllables[lang], 2)) for _ in range(n))
+    train = spark.createDataFrame([(k * 10 + j, write(lang, 200), lang) for k, lang in enumerate(syllables) for j in range(4)], "doc_id long, text string, lang string")
+    model = language_id.fit(train)
+    assert len(model) == 9
+    texts = [write(lang, n) for lang in syllables for n in (2, 8, 60)] + [write("l1", 40) + " " + write("l7", 25), " ".join(write(lang, 30) for lang in syllables), "zzz qqq"]
+    got = language_id.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for r in got:
+        if texts[r.doc_id] == "zzz qqq":  # no language knows it: a tie, which goes to the first by name
+            assert r.shares == {"l0": 1.0}
+            continue
+        want = _mixture(model, texts[r.doc_id])
+        assert np.allclose([r.shares.get(lang, 0.0) for lang in model.langs], want, atol=2e-3), (r.doc_id, r.shares, want)
+    assert set(got[27].shares) == {"l1", "l7"} and len(got[28].shares) == 9
+
+
+def test_rates_against_least_squares(spark):
+    """Projected-gradient rates meet what a plain solver says can be met."""
+    rng = np.random.default_rng(11)
+    for targets in ({"a": 3000.0, "b": 1000.0, "c": 500.0}, {"a": 0.0, "b": 9000.0, "c": 0.0}):
+        p = rng.dirichlet([0.4, 0.4, 0.4], 120)
+        n = rng.integers(1, 60, 120)
+        soft = spark.createDataFrame([(k, int(n[k]), *map(float, p[k])) for k in range(120)], "doc_id long, n_tokens long, p0 double, p1 double, p2 double")
+        rated, history = mixing.fit_rates(soft, ["a", "b", "c"], targets)
+        r = np.array([x.rate for x in rated.orderBy("doc_id").collect()])
+        gap = np.array(list(targets.values())) - (r * n) @ p
+        rate, step = np.ones(120), 1 / np.linalg.norm((n[:, None] * p).T @ (n[:, None] * p), 2)
+        for _ in range(4000):
+            rate = np.maximum(0, rate + step * (n[:, None] * p * (np.array(list(targets.values())) - (rate[:, None] * n[:, None] * p).sum(0))).sum(1))
+        best = np.linalg.norm(np.array(list(targets.values())) - (rate * n) @ p)
+        known = [np.linalg.norm([targets[d] - h[d] for d in targets]) for h in history]
+        assert (r >= 0).all() and abs(np.linalg.norm(gap) - min(known)) < 1e-6 * sum(targets.values())
+        if targets["a"]:  # a target within reach is met; at the edge of the cone the fit has STEPS steps
+            assert best < 1 and np.linalg.norm(gap) < 1
+        else:
+            assert np.linalg.norm(gap) < 0.5 * known[0]
+
+
 def test_mixing(spark):
     docs = spark.createDataFrame([(k, ("fine words here " if k % 4 else "nasty trash there ") * (3 + k % 5) + f"doc{k}", "x") for k in range(400)] + [(900, None, "x"), (901, "", "x"), (5, "fine words here", "x")], "doc_id long, text string, rate string")
     labels = spark.createDataFrame([(k, "good" if k % 4 else "bad") for k in range(0, 200)], "doc_id long, domain string")
