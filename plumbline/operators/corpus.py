@@ -83,15 +83,19 @@ def joined_by_name_or_prefix(left: DataFrame, right: DataFrame, name: str = "nam
 def choose_containing(items: DataFrame, holders: DataFrame, keys: list[str], size: str, bounds: tuple[str, str], order: list[str]) -> DataFrame:
     """Each item with the first holder (by ``order``) of its key whose bounds contain its size; null if none.
 
-    ``holders`` is a catalogue of some tens of rows a key; the join is on the key
-    with the containment as residual.
+    Holders are dealt to bands of sizes as wide as their mean bounds, or a 64th of
+    the widest ones, and an item meets those of its key and band.
     """
     low, high = bounds
-    near = [F.col(f"i.{k}") == F.col(f"h.{k}") for k in keys]
-    condition = (F.col(f"i.{size}") >= F.col(f"h.{low}")) & (F.col(f"i.{size}") <= F.col(f"h.{high}"))
-    for n in near:
-        condition = n & condition
-    joined = items.alias("i").join(holders.alias("h"), condition, "left")
+    wide = F.col(high) - F.col(low)
+    widths = holders.agg(F.avg(wide).alias("mean"), F.max(wide).alias("most")).first()
+    band = max(float(widths["mean"] or 0), float(widths["most"] or 0) / 64, 1e-9)
+    at = lambda c: F.floor(F.col(c) / band)
+    dealt = holders.where(wide >= 0).withColumn("__band", F.explode(F.sequence(at(low), at(high))))
+    condition = (F.col("i.__band") == F.col("h.__band")) & (F.col(f"i.{size}") >= F.col(f"h.{low}")) & (F.col(f"i.{size}") <= F.col(f"h.{high}"))
+    for k in keys:
+        condition = (F.col(f"i.{k}") == F.col(f"h.{k}")) & condition
+    joined = items.withColumn("__band", at(size)).alias("i").join(dealt.alias("h"), condition, "left")
     pick = F.when(F.col(f"h.{low}").isNotNull(), F.struct(*[F.col(f"h.{o}").alias(o) for o in order]))
     return joined.groupBy(*[F.col(f"i.{c}").alias(c) for c in items.columns]).agg(F.min(pick).alias("holder"))
 

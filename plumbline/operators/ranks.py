@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.storage import written
+
 MAD_SCALE = 1.4826
 LEAST_MAD = 1e-6
 LEAST_LINES = 4
@@ -33,23 +35,34 @@ def line_scores(values: DataFrame, keys: list[str], line: str, value: str) -> Da
     return with_middle.join(mad, keys).select(*keys, line, "line_mean", z.alias("z"))
 
 
+def running_totals(rows: DataFrame, keys: list[str], order: str, amount: str) -> DataFrame:
+    """``rows`` with ``upto``: the sum of ``amount`` over the rows of the key up to and with this one, one row an order.
+
+    Ranges of (keys, order) are summed on their own and begin at what the key's
+    earlier ranges hold, so a key of any size, or a constant one, is no single task.
+    """
+    ranged = written(rows.repartitionByRange(*keys, order).withColumn("__part", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of the key
+    bases = ranged.groupBy("__part", *keys).agg(F.sum(amount).alias("__sum")).withColumn("__base", F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum")
+    own = F.sum(amount).over(Window.partitionBy("__part", *keys).orderBy(order))
+    return ranged.withColumn("__own", own).join(bases, ["__part", *keys]).select(*rows.columns, (F.col("__own") + F.col("__base")).alias("upto"))
+
+
 def midrank_percentile(rows: DataFrame, keys: list[str], value: str, alias: str = "midrank") -> DataFrame:
     """P(x < v) + P(x = v) / 2 within the group: not ``percent_rank``.
 
     Counts of distinct values are ranked, so ties and repeated rows cost nothing.
     """
-    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties"))
-    by = Window.partitionBy(*keys)
-    upto = F.sum("ties").over(by.orderBy(value))
-    share = (upto - F.col("ties") / 2) / F.sum("ties").over(by)
-    return rows.join(counts.select(*keys, value, share.alias(alias)), [*keys, value])
+    counts = running_totals(rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties")), keys, value, "ties")
+    sizes = counts.groupBy(*keys).agg(F.sum("ties").alias("__n"))
+    share = (F.col("upto") - F.col("ties") / 2) / F.col("__n")
+    return rows.join(counts.join(sizes, keys).select(*keys, value, share.alias(alias)), [*keys, value])
 
 
 def _rank_sums(rows: DataFrame, keys: list[str], group: Column, value: str) -> DataFrame:
     """Per key: sizes n1 (group true) and n2, the rank sum of the first, and sum of t^3 - t over ties."""
     counts = rows.select(*keys, F.col(value).alias("v"), group.alias("g")).where("v is not null and g is not null").groupBy(*keys, "v").agg(F.count_if("g").alias("a"), F.count(F.lit(1)).alias("t"))
-    by = Window.partitionBy(*keys).orderBy("v")
-    ranked = counts.withColumn("rank", F.sum("t").over(by) - (F.col("t") - 1) / 2)
+    ranked = running_totals(counts, keys, "v", "t").withColumn("rank", F.col("upto") - (F.col("t") - 1) / 2)
     t = F.col("t").cast("double")
     return ranked.groupBy(*keys).agg(F.sum("a").alias("n1"), F.sum(F.col("t") - F.col("a")).alias("n2"), F.sum(F.col("rank") * F.col("a")).alias("r1"), F.sum(t * t * t - t).alias("ties"))
 
@@ -97,8 +110,6 @@ def even_bins(rows: DataFrame, keys: list[str], order: list[str], bins: int = 4)
         place = F.row_number().over(w.orderBy(*order)) - 1
         return rows.withColumn("bin", F.least(F.floor(place / F.greatest(F.floor(F.count(F.lit(1)).over(w) / bins), F.lit(1))), F.lit(bins - 1)).cast("int"))
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__own", F.monotonically_increasing_id())
-    from plumbline.storage import written
-
     ranged = written(ranged, "bins")
     sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__own").alias("__least"))
     upto = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
@@ -142,6 +153,8 @@ def bootstrap(rows: DataFrame, keys: list[str], row_id: str, value: str, resampl
     """
     if statistic != "avg":
         raise ValueError("only avg is resampled")
+    if not keys:
+        return bootstrap(rows.withColumn("__all", F.lit(0)), ["__all"], row_id, value, resamples, statistic, least).drop("__all")
     each = rows.where(F.col(value).isNotNull()).select(*keys, F.col(row_id).alias("__id"), F.col(value).cast("double").alias("__v"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("__b"))
     u = F.pmod(F.xxhash64("__id", "__b"), F.lit(1 << 30)) / float(1 << 30)
     # inverse of the Poisson(1) distribution function, to 8
@@ -154,7 +167,7 @@ def bootstrap(rows: DataFrame, keys: list[str], row_id: str, value: str, resampl
     sums = each.withColumn("__w", weight).groupBy(*keys, "__b").agg((F.sum(F.col("__w") * F.col("__v")) / F.nullif(F.sum("__w"), F.lit(0))).alias("__s"))
     spread = sums.groupBy(*keys).agg(F.percentile("__s", F.lit(0.025)).alias("low"), F.percentile("__s", F.lit(0.975)).alias("high"))
     plain = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("estimate"))
-    joined = plain.join(spread, keys) if keys else plain.crossJoin(spread)  # one row each
+    joined = plain.join(spread, keys)
     enough = F.col("n") >= least
     return joined.select(*keys, "n", F.when(enough, F.col("estimate")).alias("estimate"), F.when(enough, F.col("low")).alias("low"), F.when(enough, F.col("high")).alias("high"), F.when(enough, (F.col("low") > 0) | (F.col("high") < 0)).alias("excludes_zero"))
 

@@ -32,7 +32,7 @@ def scan(spark: SparkSession, labels: str, images: str | None = None, headers_on
     shape = heads.where("error is null").select(F.col("name").alias("volume"), F.col("n_pages").alias("sz"), F.col("height").alias("sy"), F.col("width").alias("sx"))
     schemes = census.label_scheme(v, shape)
     of = schemes.groupBy("volume").agg(F.concat_ws(",", F.transform(F.sort_array(F.collect_list("value")), lambda x: x.cast("string"))).alias("scheme"))
-    return out | {"schemes": schemes, "mode": census.mode_scheme(of, "scheme"), "off_scheme": of.join(census.mode_scheme(of, "scheme").select(F.col("scheme").alias("mode")), F.col("scheme") != F.col("mode"))}
+    return out | {"schemes": schemes, "mode": census.mode_scheme(of, "scheme"), "off_scheme": census.off_scheme(of.withColumn("all", F.lit(0)), ["all"], "scheme").drop("all")}
 
 
 def leak(names: DataFrame, sizes: DataFrame | None = None, size: int = 300, k: int = 5, buffer: int = 0, mode: str = "block", trials: int = 20) -> dict[str, DataFrame]:
@@ -52,23 +52,59 @@ def leak(names: DataFrame, sizes: DataFrame | None = None, size: int = 300, k: i
     }
 
 
-def align(volume: DataFrame, points: DataFrame, shape: tuple[int, int, int], radius: float = 6.0, step: float = 0.5, cell: float = 64, least: int = 200) -> tuple[DataFrame, DataFrame]:
-    """Cells and summary of where a label lies relative to the ridge.
+def label_points(label: DataFrame, k: int = 40) -> DataFrame:
+    """(volume, pid, z, y, x, nz, ny, nx): label voxels (volume, z, y, x) with unit normals of their ``k`` nearest ones.
 
-    ``volume`` (volume, z, y, x, value); ``points`` (volume, pid, z, y, x, nz, ny,
-    nx): label points with unit normals.  A point counts if its whole walk is
-    inside the volume.
+    A normal is turned so that its longest part is positive; which side that is
+    says nothing about the surface, so only an offset's size and its changes count.
     """
+    named = written(label.select("volume", F.concat_ws(",", "z", "y", "x").alias("pid"), *[F.col(a).cast("double").alias(a) for a in "zyx"]).dropDuplicates(["volume", "pid"]), "label-points")
+    facing = voxels.point_normals(named, "volume", "pid", k)
+    n = [F.col(f"n{a}") for a in "zyx"]
+    most = F.greatest(*[F.abs(c) for c in n])
+    sign = F.signum(F.when(F.abs(n[0]) == most, n[0]).when(F.abs(n[1]) == most, n[1]).otherwise(n[2]))
+    return named.join(facing.withColumns({f"n{a}": c * sign for a, c in zip("zyx", n, strict=True)}), ["volume", "pid"])
+
+
+def _sampled(volume: DataFrame, points: DataFrame, shape: tuple[int, int, int], radius: float, step: float) -> DataFrame:
+    """(volume, pid, z, y, x, profile) of the points whose whole walk is inside the volume."""
     along = pf.offsets(radius, step)
     point, normal = F.struct("z", "y", "x"), F.struct(*[F.col(f"n{a}").alias(a) for a in "zyx"])
     inside = points.where(pf.walk_inside(point, normal, radius, shape))
     walked = inside.select("volume", "pid", F.posexplode(pf.walk(point, normal, along)).alias("i", "p")).select("volume", F.struct("pid", "i").alias("at"), *[F.col(f"p.{a}").alias(a) for a in "zyx"])
     sampled = voxels.trilinear(walked, volume, "volume", "at", outside="clamp", shape=dict(zip("zyx", shape, strict=True))).select("volume", "at.pid", "at.i", "sample")
     profiles = sampled.groupBy("volume", "pid").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "sample"))), lambda s: s["sample"]).alias("profile"))
-    noise = voxels.noise_sigma(volume, "volume").agg(F.median("noise_sigma")).first()[0]
-    rows = inside.select("volume", "pid", "z", "y", "x").join(profiles, ["volume", "pid"])
+    return inside.select("volume", "pid", "z", "y", "x").join(profiles, ["volume", "pid"])
+
+
+def ridge_spacing(volume: DataFrame, points: DataFrame, shape: tuple[int, int, int], most: float = 45.0, step: float = 0.5) -> DataFrame:
+    """(volume, centre, positive, negative, spacing, radius): the neighbouring ridges of the mean profile, and how far a search may reach."""
+    reach = float(min(most, 0.4 * min(shape)))
+    means = surfaces.mean_profiles(_sampled(volume, points, shape, reach, step), ["volume"], "profile")
+    return means.select("volume", pf.neighbour_ridges(pf.smoothed(F.col("profile"), max(2.0 / step, 1.0)), pf.offsets(reach, step)).alias("n")).select("volume", "n.*")
+
+
+def align(volume: DataFrame, points: DataFrame, shape: tuple[int, int, int], radius: float = 6.0, step: float = 0.5, cell: float = 64, least: int = 200, least_snr: float = 2.0) -> tuple[DataFrame, DataFrame]:
+    """Cells and summary of where a label lies relative to the ridge.
+
+    ``volume`` (volume, z, y, x, value); ``points`` (volume, pid, z, y, x, nz, ny,
+    nx): label points with unit normals.  A point counts if its whole walk is
+    inside the volume.  The summary's ``global_offset`` is null where the mean
+    profile's contrast is under ``least_snr`` times the volume's noise, or the
+    noise could not be estimated; the raw figure stays beside it.
+    """
+    rows = written(_sampled(volume, points, shape, radius, step), "profiles")
+    noises = written(voxels.noise_sigma(volume, "volume"), "noise")
+    noise = noises.agg(F.median("noise_sigma")).first()[0]
     cells = written(surfaces.aligned_cells(rows, "volume", radius, step, noise or 1e-6, cell, least), "cells")
-    return cells, surfaces.alignment_summary(cells, "volume")
+    along, smooth = pf.offsets(radius, step), max(0.5 / step, 0.5)
+    whole = surfaces.mean_profiles(rows, ["volume"], "profile").join(noises, "volume", "left").select(
+        "volume", F.col("n").alias("n_points"), "noise_sigma", pf.value_range(F.col("profile")).alias("contrast"), pf.peak_offset(pf.smoothed(F.col("profile"), smooth), along).alias("global_offset_raw")
+    )
+    snr = F.col("contrast") / F.col("noise_sigma")
+    reliable = F.coalesce((snr >= least_snr) & (F.col("noise_sigma") > 1e-5), F.lit(False))
+    gate = whole.withColumns({"global_snr": snr, "reliable": reliable}).withColumn("global_offset", F.when(F.col("reliable"), F.col("global_offset_raw")))
+    return cells, gate.join(surfaces.alignment_summary(cells, "volume"), "volume", "left")
 
 
 def regularise(label: DataFrame, cells: DataFrame, cell: float = 64, most: float = 4.0, least_cells: int = 2) -> DataFrame:
@@ -88,7 +124,7 @@ def regularise(label: DataFrame, cells: DataFrame, cell: float = 64, most: float
     return placed.select("volume", "z", "y", "x", F.when(enough, shift).alias("shift"), F.when(enough, "moved").otherwise("refused: too few resolved cells").alias("status"))
 
 
-def sheetswitch(mesh: DataFrame, volume: DataFrame, plant: float = 0.0, window: int = 0, every: int = 1) -> DataFrame:
+def sheetswitch(mesh: DataFrame, volume: DataFrame, plant: float = 0.0, window: int = 0, every: int = 1, z_threshold: float = surfaces.Z_THRESHOLD, steps: int = surfaces.FEW_STEPS) -> DataFrame:
     """Seams of delivered surfaces, and, with ``plant``, of the same ones with one half displaced."""
     own = mesh
     if window:
@@ -97,11 +133,11 @@ def sheetswitch(mesh: DataFrame, volume: DataFrame, plant: float = 0.0, window:
         own = own.join(at, "mesh").where((F.col("r") >= F.col("r0")) & (F.col("r") < F.col("r0") + window) & (F.col("c") >= F.col("c0")) & (F.col("c") < F.col("c0") + window)).withColumns({"r": F.col("r") - F.col("r0"), "c": F.col("c") - F.col("c0")}).drop("r0", "c0")
     if every > 1:
         own = surfaces.decimated(own, every)
-    real = surfaces.sheet_switches(own, volume).withColumn("kind", F.lit("real"))
+    real = surfaces.sheet_switches(own, volume, z_threshold, steps).withColumn("kind", F.lit("real"))
     if not plant:
         return real
     moved = surfaces.displaced(surfaces.normals(own), plant).select("mesh", "r", "c", "z", "y", "x", "valid")
-    return real.unionByName(surfaces.sheet_switches(written(moved, "planted"), volume).withColumn("kind", F.lit("plant")))
+    return real.unionByName(surfaces.sheet_switches(written(moved, "planted"), volume, z_threshold, steps).withColumn("kind", F.lit("plant")))
 
 
 def onsheet(blocks: DataFrame, baseline: str | None = None, key: str = "mesh") -> DataFrame:

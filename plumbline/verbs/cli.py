@@ -8,8 +8,10 @@ import os
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators import census, surfaces
 from plumbline.operators.splits import write_splits
 from plumbline.sources import reports, tables, tiff
+from plumbline.storage import written
 from plumbline.verbs import audit
 
 
@@ -20,6 +22,9 @@ def parser() -> argparse.ArgumentParser:
     scan.add_argument("--labels", required=True)
     scan.add_argument("--images")
     scan.add_argument("--headers-only", action="store_true")
+    scan.add_argument("--names-file", help="keep to these names")
+    scan.add_argument("--sample", type=int, default=0, help="a seeded sample of so many volumes")
+    scan.add_argument("--seed", type=int, default=0)
     leak = verbs.add_parser("leakage", help="patches that share space, and a split that does not leak")
     leak.add_argument("--names-file", required=True)
     leak.add_argument("--patch-size", type=int, default=300)
@@ -33,18 +38,53 @@ def parser() -> argparse.ArgumentParser:
     switch.add_argument("--plant", type=float, default=0.0)
     switch.add_argument("--window", type=int, default=0)
     switch.add_argument("--decimate", type=int, default=1)
-    for verb in (scan, leak, switch):
+    switch.add_argument("--z-threshold", type=float, default=surfaces.Z_THRESHOLD)
+    switch.add_argument("--steps", type=int, default=surfaces.FEW_STEPS)
+    align = verbs.add_parser("align", help="offset of labels from the ridge in the scan")
+    align.add_argument("--min-global-snr", type=float, default=2.0)
+    regularise = verbs.add_parser("regularise", help="each label point's correction along its normal")
+    regularise.add_argument("--max-shift", type=float, default=4.0)
+    for verb in (align, regularise):
+        verb.add_argument("--images", required=True)
+        verb.add_argument("--labels", required=True)
+        verb.add_argument("--surface-class", type=int, default=1)
+        verb.add_argument("--radius", type=float, default=6.0)
+        verb.add_argument("--cell", type=int, default=64)
+        verb.add_argument("--min-per-cell", type=int, default=200)
+    sheet = verbs.add_parser("onsheet", help="verdicts from blocks (mesh, range, peak_offset) in a Parquet table")
+    sheet.add_argument("--blocks", required=True)
+    sheet.add_argument("--baseline")
+    sheet.add_argument("--compare", nargs=2, metavar=("A", "B"))
+    for verb in (scan, leak, switch, align, regularise, sheet):
         verb.add_argument("--out", default="plumbline_out")
     return top
 
 
+def _aligned(spark: SparkSession, args):
+    """Cells, summaries and label points of all volumes, one pass for each shape."""
+    heads = tiff.volume_headers(spark, args.labels).where("error is null").select(F.col("name").alias("volume"), "n_pages", "height", "width")
+    image = tiff.voxels(tiff.volume_planes(spark, args.images), keep_zero=True)
+    label = tiff.voxels(tiff.volume_planes(spark, args.labels)).where(F.col("value") == args.surface_class)
+    points = written(audit.label_points(label), "points")
+    cells = summary = None
+    for size in heads.select("n_pages", "height", "width").distinct().collect():  # as many rows as there are shapes
+        own = heads.where((F.col("n_pages") == size[0]) & (F.col("height") == size[1]) & (F.col("width") == size[2])).select("volume")
+        found = audit.align(image.join(own, "volume", "left_semi"), points.join(own, "volume", "left_semi"), tuple(size), args.radius, cell=args.cell, least=args.min_per_cell, least_snr=getattr(args, "min_global_snr", 2.0))
+        cells, summary = found if cells is None else (cells.unionByName(found[0]), summary.unionByName(found[1]))
+    return cells, summary, points
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     os.makedirs(args.out, exist_ok=True)
     if args.verb == "scan":
+        keep = tables.names(spark, args.names_file) if args.names_file else None
         found = audit.scan(spark, args.labels, args.images, args.headers_only)
-        reports.write_csv(found["rows"], f"{args.out}/scan.csv")
+        rows = found["rows"] if keep is None else found["rows"].join(keep, "name", "left_semi")
+        if args.sample:
+            rows = census.seeded_sample(rows, "name", args.sample, args.seed)
+        reports.write_csv(rows, f"{args.out}/scan.csv")
         reports.write_html(f"{args.out}/scan.html", "scan", {"volumes": found["rows"].count()}, {k: v for k, v in found.items() if k != "rows"})
     elif args.verb == "leakage":
         names = tables.names(spark, args.names_file)
@@ -52,13 +92,25 @@ def main(argv: list[str] | None = None) -> int:
             return 2
         found = audit.leak(names, None, args.patch_size, args.k, args.buffer, args.mode, args.trials)
         reports.write_json(found["usual"], f"{args.out}/leakage.json")
-
         write_splits(found["folds"].select("fold", "role", F.col("id").alias("name")), f"{args.out}/splits_final.json")
         reports.write_html(f"{args.out}/leakage.html", "leakage", {}, {k: found[k] for k in ("overlap", "usual", "random", "stats")})
+    elif args.verb in ("align", "regularise"):
+        cells, summary, points = _aligned(spark, args)
+        if cells is None:
+            return 2
+        reports.write_csv(summary, f"{args.out}/align.csv")
+        reports.write_csv(cells, f"{args.out}/cells.csv")
+        if args.verb == "regularise":
+            reports.write_csv(audit.regularise(points.select("volume", "z", "y", "x"), cells, args.cell, args.max_shift), f"{args.out}/shifts.csv")
+    elif args.verb == "onsheet":
+        blocks = spark.read.parquet(args.blocks)
+        reports.write_csv(audit.onsheet(blocks, args.baseline), f"{args.out}/onsheet.csv")
+        if args.compare:
+            reports.write_json(audit.compare(blocks, *args.compare), f"{args.out}/compare.json")
     else:
         mesh = tiff.tifxyz(spark, args.mesh)
         volume = tiff.voxels(tiff.volume_planes(spark, args.volume)).drop("volume")
-        found = audit.sheetswitch(mesh, volume, args.plant, args.window, args.decimate)
+        found = audit.sheetswitch(mesh, volume, args.plant, args.window, args.decimate, args.z_threshold, args.steps)
         reports.write_csv(found, f"{args.out}/sheetswitch.csv")
     return 0
 

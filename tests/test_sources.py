@@ -150,10 +150,35 @@ def test_scan_and_leakage_verbs(spark, tmp_path):
     assert cli.main(["leakage", "--names-file", str(tmp_path / "empty.txt"), "--out", str(tmp_path / "out")]) == 2
 
 
-@pytest.mark.parametrize("name", ["split_leakage", "midrank", "mean_profiles", "voxel_erosion", "overlap_components"])
+def test_align_regularise_and_onsheet_verbs(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    z = np.arange(40)
+    scan = np.broadcast_to((40 + 140 * np.exp(-0.5 * ((z - 20) / 1.6) ** 2))[:, None, None], (40, 24, 24)) + rng.normal(0, 3, (40, 24, 24))
+    label = np.zeros((40, 24, 24), np.uint8)
+    label[17] = 1
+    for folder, name, a in (("images", "s1_z0_y0_x0_0000.tif", np.clip(scan, 0, 255).astype(np.uint8)), ("labels", "s1_z0_y0_x0.tif", label)):
+        (tmp_path / folder).mkdir()
+        write_tiff(tmp_path / folder / name, a)
+    args = ["--images", str(tmp_path / "images"), "--labels", str(tmp_path / "labels"), "--radius", "8", "--cell", "12", "--min-per-cell", "20", "--out", str(tmp_path / "out")]
+    assert cli.main(["align", *args]) == 0
+    r = spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "out" / "align.csv")).first()
+    assert r.reliable and r.global_offset == pytest.approx(3.0, abs=0.3) and r["median"] == pytest.approx(3.0, abs=0.3) and r.global_snr > 2
+    assert cli.main(["align", *args, "--min-global-snr", "1000"]) == 0
+    r = spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "out" / "align.csv")).first()
+    assert not r.reliable and r.global_offset is None and r.global_offset_raw == pytest.approx(3.0, abs=0.3)
+    assert cli.main(["regularise", *args]) == 0
+    assert spark.read.option("header", True).csv(str(tmp_path / "out" / "shifts.csv")).where("status = 'moved'").count() == 24 * 24
+    spark.createDataFrame([(m, float(v), 0.5) for m, c in (("a", 20), ("b", 4)) for v in range(c, c + 9)], "mesh string, range double, peak_offset double").write.parquet(str(tmp_path / "blocks"))
+    assert cli.main(["onsheet", "--blocks", str(tmp_path / "blocks"), "--baseline", "a", "--compare", "b", "a", "--out", str(tmp_path / "out")]) == 0
+    got = {r.mesh: r.verdict for r in spark.read.option("header", True).csv(str(tmp_path / "out" / "onsheet.csv")).collect()}
+    assert got == {"a": "ON SHEET", "b": "marginal"}
+    assert json.loads((tmp_path / "out" / "compare.json").read_text())["p"] < 0.01
+
+
+@pytest.mark.parametrize("name", ["split_leakage", "midrank", "mean_profiles", "voxel_erosion", "overlap_components", "pooled_mann_whitney", "robustness_grid", "containment_choice", "random_split_baseline", "nearest_seed", "box_gaps", "onsheet_blocks", "profile_peaks", "voxel_planarity"])
 def test_registered_queries_match_their_sql(spark, sf, name):
     import duckdb
-    from plumbline.plans import registry
+    from plumbline.plans import more, registry  # noqa: F401  (more adds its queries)
 
     con = duckdb.connect()
     for t in "customer supplier part orders lineitem events documents embeddings".split():
