@@ -168,7 +168,7 @@ def unique_in_rows(values: np.ndarray, begin: np.ndarray):
 
 def constant_array(values: list[float]) -> Column:
     """An array of numbers as one constant of the plan, however many they are."""
-    return F.split(F.lit(",".join(map(repr, map(float, values)))), ",").cast("array<double>")
+    return F.split(F.lit(",".join(f"{float(v):.9g}" for v in values)), ",").cast("array<double>")
 
 
 def unused(name: str, columns: list[str]) -> str:
