@@ -159,3 +159,10 @@ def orientation_quality(profile: Column, along: Column) -> Column:
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda t, p: t + p["v"] - base) / F.greatest(F.size(a), F.lit(1))
     pos, neg = mean(side(lambda p: p["o"] > 0)), mean(side(lambda p: p["o"] < 0))
     return F.coalesce(F.abs(pos - neg) / F.nullif(F.abs(pos) + F.abs(neg), F.lit(0.0)), F.lit(0.0))
+
+
+def interpolated(x: Column, xs: Column, ys: Column) -> Column:
+    """Piecewise linear value at x of the curve through ascending ``xs`` and ``ys``; the ends' values beyond them."""
+    below = F.size(F.filter(xs, lambda v: v <= x))
+    x0, x1, y0, y1 = (F.get(a, i) for a, i in ((xs, below - 1), (xs, below), (ys, below - 1), (ys, below)))
+    return F.when(below == 0, F.get(ys, F.lit(0))).when(below == F.size(xs), F.get(ys, below - 1)).otherwise(y0 + (y1 - y0) * (x - x0) / (x1 - x0))

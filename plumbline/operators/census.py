@@ -45,6 +45,16 @@ def seeded_sample(rows: DataFrame, name: str, n: int, seed: int = 0) -> DataFram
     return rows.orderBy(F.md5(F.concat_ws("#", F.col(name).cast("string"), F.lit(str(seed)))), name).limit(n).orderBy(name)
 
 
+def first_pairs(pairs: DataFrame, n: int) -> DataFrame:
+    """The first n pairs by name, for a trial run; all of them for n = 0."""
+    return pairs.orderBy("name").limit(n) if n else pairs
+
+
+def class_list(values: Column, most: int = 4) -> Column:
+    """The non-zero class values of an array in order, ``most`` of them."""
+    return F.slice(F.array_sort(F.filter(F.array_distinct(values), lambda v: v != 0)), 1, most)
+
+
 def counted(rows: DataFrame, *by: str) -> DataFrame:
     """Value counts."""
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))

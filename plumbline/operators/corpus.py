@@ -135,3 +135,26 @@ def block_stats(rows: DataFrame, keys: list[str], values: str, flat: float) -> D
 def verdict_groups(rows: DataFrame, verdict: str, value: str, flat: str) -> DataFrame:
     """Per verdict: n, mean and median of the value, and the mean flat share."""
     return rows.groupBy(verdict).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.avg(flat).alias("flat_share"))
+
+
+def keyed_labels(labels: DataFrame, key: DataFrame, predictors: DataFrame, code: str = "code", base: str = "base") -> DataFrame:
+    """Labels under a blind code, their base names from the key, and the base's predictors: inner joins."""
+    return labels.join(key, code).join(predictors, base)
+
+
+def metric_summary(rows: DataFrame, metrics: list[str]) -> DataFrame:
+    """(metric, n_measurable, n_attempted, median, mean, least, most) of each metric over the rows that have it."""
+    each = rows.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("e")).select("e.*")
+    v = F.when(~F.isnan("v"), F.col("v"))
+    return each.groupBy("metric").agg(F.count(v).alias("n_measurable"), F.count(F.lit(1)).alias("n_attempted"), F.median(v).alias("median"), F.avg(v).alias("mean"), F.min(v).alias("least"), F.max(v).alias("most"))
+
+
+def top(rows: DataFrame, by: str, n: int = 40, ties: tuple[str, ...] = (), by_size: bool = False) -> DataFrame:
+    """The n rows of the largest value (``by_size``: of the largest absolute value): a top-k report; nulls come last."""
+    order = F.abs(F.col(by)) if by_size else F.col(by)
+    return rows.orderBy(order.desc_nulls_last(), *ties).limit(n)
+
+
+def neighbourhood(rows: DataFrame, keys: list[str], place: str, low: float, high: float, value: str) -> DataFrame:
+    """Per key: n, least and median value of the rows whose place lies in [low, high]."""
+    return rows.where((F.col(place) >= low) & (F.col(place) <= high)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("least"), F.median(value).alias("median"))

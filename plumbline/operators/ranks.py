@@ -148,11 +148,12 @@ def bootstrap(rows: DataFrame, keys: list[str], row_id: str, value: str, resampl
 
     Poisson bootstrap: a row's weight in a resample comes from a hash of its id
     and the resample, so weights are the same wherever the row is, no resample
-    needs the group in one place, and each resample is a weighted sum.  Only
-    ``avg`` keeps sums; groups under ``least`` rows give nulls.
+    needs the group in one place, and each resample is a weighted sum (``avg``) or
+    a weighted ``median``, which keeps the counts of distinct values.  Groups
+    under ``least`` rows give nulls.
     """
-    if statistic != "avg":
-        raise ValueError("only avg is resampled")
+    if statistic not in ("avg", "median"):
+        raise ValueError("avg or median is resampled")
     if not keys:
         return bootstrap(rows.withColumn("__all", F.lit(0)), ["__all"], row_id, value, resamples, statistic, least).drop("__all")
     each = rows.where(F.col(value).isNotNull()).select(*keys, F.col(row_id).alias("__id"), F.col(value).cast("double").alias("__v"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("__b"))
@@ -164,14 +165,22 @@ def bootstrap(rows: DataFrame, keys: list[str], row_id: str, value: str, resampl
         steps.append(total)
         term /= k + 1
     weight = sum([(u >= s).cast("int") for s in steps[1:]], (u >= steps[0]).cast("int"))
-    sums = each.withColumn("__w", weight).groupBy(*keys, "__b").agg((F.sum(F.col("__w") * F.col("__v")) / F.nullif(F.sum("__w"), F.lit(0))).alias("__s"))
+    weighted = each.withColumn("__w", weight).where("__w > 0")
+    of = F.sum(F.col("__w") * F.col("__v")) / F.sum("__w") if statistic == "avg" else F.percentile("__v", F.lit(0.5), F.col("__w"))
+    sums = weighted.groupBy(*keys, "__b").agg(of.alias("__s"))
     spread = sums.groupBy(*keys).agg(F.percentile("__s", F.lit(0.025)).alias("low"), F.percentile("__s", F.lit(0.975)).alias("high"))
-    plain = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("estimate"))
+    plain = rows.groupBy(*keys).agg(F.count(value).alias("n"), (F.avg(value) if statistic == "avg" else F.median(value)).alias("estimate"))
     joined = plain.join(spread, keys)
     enough = F.col("n") >= least
     return joined.select(*keys, "n", F.when(enough, F.col("estimate")).alias("estimate"), F.when(enough, F.col("low")).alias("low"), F.when(enough, F.col("high")).alias("high"), F.when(enough, (F.col("low") > 0) | (F.col("high") < 0)).alias("excludes_zero"))
 
 
+def paired_bootstrap(rows: DataFrame, keys: list[str], row_id: str, first: str, second: str, resamples: int = 2000) -> DataFrame:
+    """``bootstrap`` of the mean of ``second`` - ``first``; rows without both are left out."""
+    both = rows.withColumn("__gain", nan_to_null(F.col(second).cast("double")) - nan_to_null(F.col(first).cast("double"))).where("__gain is not null")
+    return bootstrap(both, keys, row_id, "__gain", resamples)
+
+
 def spread_summary(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """n, median, p10, p90, IQR as a share of the median (1e-9 at least), min and max of a value per key."""
     q = F.percentile(value, F.array(*[F.lit(p) for p in (0.1, 0.25, 0.5, 0.75, 0.9)]))

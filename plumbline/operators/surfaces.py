@@ -145,6 +145,63 @@ def best_window(mesh: DataFrame, size: int) -> DataFrame:
     return sums.groupBy("mesh").agg(F.min(F.struct((-F.col("n")).alias("m"), F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"))).alias("b")).select("mesh", "b.r", "b.c", (-F.col("b.m")).alias("n"))
 
 
+def strided_window(mesh: DataFrame, size: int, steps: int = 6) -> DataFrame:
+    """(mesh, r, c, n): the densest ``size`` x ``size`` window whose corner lies on ``steps`` strides along each side.
+
+    The stride follows from the mesh's own shape; a vertex counts in each window it lies in.
+    """
+    shape = mesh.groupBy("mesh").agg(*[F.greatest(F.max(a) + 1 - size, F.lit(0)).alias(f"last_{a}") for a in "rc"])
+    stride = {a: F.greatest(F.floor(F.col(f"last_{a}") / steps), F.lit(1)).cast("int") for a in "rc"}
+    sized = shape.withColumns({f"s{a}": stride[a] for a in "rc"})
+    starts = lambda a: F.sequence(F.greatest(F.ceil((F.col(a) - size + 1) / F.col(f"s{a}")), F.lit(0)).cast("int"), F.least(F.floor(F.col(a) / F.col(f"s{a}")), F.floor(F.col(f"last_{a}") / F.col(f"s{a}"))).cast("int"))
+    held = mesh.where("valid").join(sized, "mesh").where(" and ".join(f"greatest(ceil(({a} - {size} + 1) / s{a}), 0) <= least(floor({a} / s{a}), floor(last_{a} / s{a}))" for a in "rc"))
+    each = held.withColumn("wr", F.explode(starts("r"))).withColumn("wc", F.explode(starts("c")))
+    counts = each.groupBy("mesh", (F.col("wr") * F.col("sr")).alias("r"), (F.col("wc") * F.col("sc")).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("mesh").agg(F.min(F.struct((-F.col("n")).alias("m"), "r", "c")).alias("b")).select("mesh", "b.r", "b.c", (-F.col("b.m")).alias("n"))
+
+
+def chosen_tiles(tiles: DataFrame, key: str, most: int, seed: int = 0) -> DataFrame:
+    """The first ``most`` tiles (key, tr, tc, ...) of each key in the order of their md5: a sampling operator."""
+    draw = F.md5(F.concat_ws("#", F.lit(str(seed)), F.col(key).cast("string"), F.col("tr").cast("string"), F.col("tc").cast("string")))
+    turn = F.row_number().over(Window.partitionBy(key).orderBy(draw, "tr", "tc"))
+    return tiles.withColumn("__turn", turn).where(F.col("__turn") <= most).drop("__turn")
+
+
+def arc_lengths(points: DataFrame, keys: list[str], place: str) -> DataFrame:
+    """``points`` (keys, place, z, y, x) with ``arc``: the length of the line from its first point."""
+    line = Window.partitionBy(*keys).orderBy(place)
+    step = F.sqrt(sum([(F.col(a) - F.lag(a).over(line)) ** 2 for a in AXES[1:]], (F.col("z") - F.lag("z").over(line)) ** 2))
+    return points.withColumn("__step", F.coalesce(step, F.lit(0.0))).withColumn("arc", F.sum("__step").over(line.rowsBetween(Window.unboundedPreceding, 0))).drop("__step")
+
+
+def naive_alignment(samples: DataFrame, key: str, radius: float, step: float) -> DataFrame:
+    """(key, n, median, abs_median, abs_p90): each point's own largest sample, kept for comparison; it follows the radius."""
+    along = pf.offsets(radius, step)
+    each = samples.select(key, F.get(along, pf.argmax(pf.smoothed(F.col("profile"), max(0.5 / step, 0.5))).cast("int")).alias("o"))
+    return each.groupBy(key).agg(F.count("o").alias("n"), F.median("o").alias("median"), F.median(F.abs("o")).alias("abs_median"), F.percentile(F.abs("o"), F.lit(0.9)).alias("abs_p90"))
+
+
+def oriented(points: DataFrame, volume: DataFrame, keys: list[str], reach: float = 3.0) -> DataFrame:
+    """Points with normals turned, for each of ``keys`` as a whole, to the side where the volume is brighter.
+
+    ``points`` (key, ..., pid, z, y, x, nz, ny, nx), ``volume`` (key, z, y, x,
+    value) with ``keys[0]`` as key; the sign is that of the sum of the
+    differences ``reach`` voxels to both sides.
+    """
+    key = keys[0]
+    moved = [points.select(key, F.struct("pid", F.lit(s).alias("side")).alias("at"), *[(F.col(a) + s * reach * F.col(f"n{a}")).alias(a) for a in AXES]) for s in (1, -1)]
+    sampled = trilinear(moved[0].unionByName(moved[1]), volume, key, "at").select(key, "at.pid", (F.col("at.side") * F.col("sample")).alias("d"))
+    signs = points.select(*keys, "pid").join(sampled, [key, "pid"]).groupBy(*keys).agg(F.when(F.sum("d") < 0, -1.0).otherwise(1.0).alias("__sign"))
+    return points.join(signs, keys).withColumns({f"n{a}": F.col(f"n{a}") * F.col("__sign") for a in AXES}).drop("__sign")
+
+
+def oriented_by(points: DataFrame, field: DataFrame, keys: list[str]) -> DataFrame:
+    """Points with normals turned, for each of ``keys``, so that most agree with a field (keys[0], pid, gz, gy, gx)."""
+    dot = sum([F.col(f"n{a}") * F.col(f"g{a}") for a in AXES[1:]], F.col("nz") * F.col("gz"))
+    signs = points.join(field, [keys[0], "pid"]).groupBy(*keys).agg(F.when(F.sum(F.signum(dot)) < 0, -1.0).otherwise(1.0).alias("__sign"))
+    return points.join(signs, keys).withColumns({f"n{a}": F.col(f"n{a}") * F.col("__sign") for a in AXES}).drop("__sign")
+
+
 def mean_profiles(rows: DataFrame, keys: list[str], profile: str, least: int = 1) -> DataFrame:
     """(keys, n, profile): the element-wise mean of each group of ``least`` profiles or more.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import profiles as pf
-from plumbline.operators import corpus, leakage, ranks, surfaces, voxels
+from plumbline.operators import census, corpus, leakage, ranks, surfaces, voxels
 from plumbline.operators import boxes as bx
 from plumbline.plans.proxies import BOXES_SQL, VOXELS_SQL, line_voxels, part_boxes, table
 from plumbline.plans.registry import _GRID_SQL, _PROFILE_SQL, _grid, components_sql, profiles, query, rounded
@@ -246,3 +246,76 @@ def box_gaps(spark, sf_dir):
     side = lambda p: boxes.select(F.col("id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in boxes.columns if c != "id"])
     pairs = bx.overlap_pairs(boxes, 30).select("a", "b")
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", bx.gap("a_", "b_").alias("gap"))
+
+
+@query("""SELECT metric, count(v) AS n_measurable, count(*) AS n_attempted, round(median(v), 4) AS median, round(avg(v), 4) AS mean, min(v) AS least, max(v) AS most FROM (
+  SELECT 'acctbal' AS metric, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS v FROM customer UNION ALL SELECT 'nation', CAST(c_nationkey AS DOUBLE) FROM customer) GROUP BY metric""")
+def metric_summary(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("acctbal"), F.col("c_nationkey").alias("nation"))
+    return rounded(corpus.metric_summary(rows, ["acctbal", "nation"]), "median", "mean", digits=4)
+
+
+@query("""SELECT c_custkey, c_acctbal - 4500 AS off FROM customer ORDER BY abs(c_acctbal - 4500) DESC, c_custkey LIMIT 40""")
+def worst_by_size(spark, sf_dir):
+    """A top-k report: the forty rows farthest from the middle, on either side."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") - 4500).alias("off"))
+    return corpus.top(rows, "off", 40, ("c_custkey",), by_size=True)
+
+
+@query("""SELECT c_nationkey, count(*) AS n, min(c_acctbal) AS least, round(median(c_acctbal), 4) AS median FROM customer WHERE c_custkey % 200 BETWEEN 105 AND 155 GROUP BY ALL""")
+def neighbourhood_band(spark, sf_dir):
+    """The rows whose winding lies in the band around a suspect one."""
+    rows = table(spark, sf_dir, "customer").withColumn("winding", F.col("c_custkey") % 200)
+    return rounded(corpus.neighbourhood(rows, ["c_nationkey"], "winding", 105, 155, "c_acctbal"), "median", digits=4)
+
+
+@query("""SELECT c_custkey, n_name, c_acctbal, round(avg(o_totalprice), 4) AS spend FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN orders ON o_custkey = c_custkey GROUP BY ALL""")
+def keyed_labels(spark, sf_dir):
+    """Labels under a code, the key of codes, and predictors by name."""
+    labels = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("code"), F.col("c_custkey").alias("base"), "c_acctbal")
+    key = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("code"), "n_name")
+    spend = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("base")).agg(F.round(F.avg("o_totalprice"), 4).alias("spend"))
+    return corpus.keyed_labels(labels, key, spend).select(F.col("base").alias("c_custkey"), "n_name", "c_acctbal", "spend")
+
+
+@query(f"""WITH {_PROFILE_SQL}, q AS (SELECT vec_id, 0.37 + (vec_id % 63) AS place FROM embeddings)
+SELECT q.vec_id, round(max(v) FILTER (i = floor(place)) + (max(v) FILTER (i = floor(place) + 1) - max(v) FILTER (i = floor(place))) * (max(place) - floor(max(place))), 6) AS v FROM q JOIN x ON x.vec_id = q.vec_id GROUP BY q.vec_id""")
+def interpolated_profiles(spark, sf_dir):
+    """Profiles read between their samples."""
+    rows = profiles(spark, sf_dir).withColumn("along", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: i.cast("double")))
+    return rounded(rows.select("vec_id", pf.interpolated(0.37 + F.col("vec_id") % 63, F.col("along"), F.col("profile")).alias("v")), "v")
+
+
+@query(f"""WITH {_GRID_SQL}, d AS (SELECT mesh, greatest(max(r) + 1 - 20, 0) AS lr, greatest(max(c) + 1 - 20, 0) AS lc FROM g GROUP BY mesh), t AS (SELECT mesh, lr, lc, CAST(greatest(lr // 6, 1) AS INTEGER) AS sr, CAST(greatest(lc // 6, 1) AS INTEGER) AS sc FROM d),
+w AS (SELECT mesh, r0, c0, sr, sc FROM t, LATERAL (SELECT unnest(range(0, lr + 1, sr)) AS r0), LATERAL (SELECT unnest(range(0, lc + 1, sc)) AS c0)),
+n AS (SELECT w.mesh, r0, c0, count(*) AS n FROM w JOIN g ON g.mesh = w.mesh AND g.r >= r0 AND g.r < r0 + 20 AND g.c >= c0 AND g.c < c0 + 20 GROUP BY ALL)
+SELECT mesh, CAST(r0 AS INTEGER) AS r, CAST(c0 AS INTEGER) AS c, n FROM n QUALIFY row_number() OVER (PARTITION BY mesh ORDER BY n DESC, r0, c0) = 1""")
+def strided_window(spark, sf_dir):
+    return surfaces.strided_window(_grid(spark, sf_dir), 20).select("mesh", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), "n")
+
+
+@query(f"""WITH {_GRID_SQL}, t AS (SELECT DISTINCT mesh, r // 8 AS tr, c // 8 AS tc FROM g)
+SELECT mesh, CAST(tr AS INTEGER) AS tr, CAST(tc AS INTEGER) AS tc FROM t QUALIFY row_number() OVER (PARTITION BY mesh ORDER BY md5(concat_ws('#', '7', mesh, CAST(tr AS VARCHAR), CAST(tc AS VARCHAR))), tr, tc) <= 5""")
+def chosen_tiles(spark, sf_dir):
+    """A sampling operator: five tiles of each surface."""
+    tiles = _grid(spark, sf_dir).select("mesh", F.floor(F.col("r") / 8).cast("int").alias("tr"), F.floor(F.col("c") / 8).cast("int").alias("tc")).distinct()
+    return surfaces.chosen_tiles(tiles, "mesh", 5, 7)
+
+
+@query(f"""WITH {_GRID_SQL}, s AS (SELECT *, coalesce(sqrt((z - lag(z) OVER w) ** 2 + (y - lag(y) OVER w) ** 2 + (x - lag(x) OVER w) ** 2), 0) AS step FROM g WINDOW w AS (PARTITION BY mesh, r ORDER BY c))
+SELECT mesh, r, c, round(sum(step) OVER (PARTITION BY mesh, r ORDER BY c ROWS UNBOUNDED PRECEDING), 4) AS arc FROM s""")
+def row_arc_lengths(spark, sf_dir):
+    return rounded(surfaces.arc_lengths(_grid(spark, sf_dir), ["mesh", "r"], "c").select("mesh", "r", "c", "arc"), "arc", digits=4)
+
+
+@query("""SELECT source, list_slice(list_sort(list_distinct(list(n_chars % 7) FILTER (n_chars % 7 <> 0))), 1, 4) AS classes FROM documents GROUP BY source""")
+def class_lists(spark, sf_dir):
+    """The first four non-zero classes of each source."""
+    values = table(spark, sf_dir, "documents").groupBy("source").agg(F.collect_set(F.col("n_chars") % 7).alias("v"))
+    return values.select("source", census.class_list(F.col("v")).alias("classes"))
+
+
+@query()
+def bootstrap_medians(spark, sf_dir):
+    """Intervals of medians from hashed Poisson resamples: no SQL twin, as the hash is Spark's."""
+    return ranks.bootstrap(table(spark, sf_dir, "customer"), ["c_mktsegment"], "c_custkey", "c_acctbal", 200, "median")

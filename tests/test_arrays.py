@@ -275,3 +275,36 @@ def test_onsheet_verdicts_and_comparison(spark):
     assert r.p < 1e-6 and r.u == 0
     zero = spark.createDataFrame([("z", 0.0), ("z", 0.0), ("z", 0.0), ("z", 4.0)], "mesh string, range double")
     assert ranks.spread_summary(zero, ["mesh"], "range").first().iqr_share == pytest.approx(1.0 / 1e-9)
+
+
+def test_bootstraps_of_medians_and_pairs(spark):
+    rng = np.random.default_rng(14)
+    v = rng.normal(5, 2, 300)
+    df = spark.createDataFrame([("k", i, float(x), float(x + g)) for i, (x, g) in enumerate(zip(v, rng.normal(0.5, 1, 300)))] + [("k", 900, None, 1.0), ("few", 901, 1.0, 2.0)], "k string, id int, a double, b double")
+    got = {r.k: r for r in ranks.bootstrap(df, ["k"], "id", "a", 400, "median").collect()}
+    boot = [np.median(rng.choice(v, 300)) for _ in range(2000)]
+    assert got["k"].estimate == pytest.approx(np.median(v)) and [got["k"].low, got["k"].high] == pytest.approx(np.percentile(boot, [2.5, 97.5]), abs=0.15)
+    assert got["few"].low is None
+    r = {x.k: x for x in ranks.paired_bootstrap(df, ["k"], "id", "a", "b", 400).collect()}["k"]
+    assert r.n == 300 and 0.2 < r.low < r.estimate < r.high < 0.8 and r.excludes_zero
+    whole = ranks.bootstrap(df.where("k = 'k'"), [], "id", "a", 100).first()
+    assert whole.low < np.mean(v) < whole.high
+
+
+def test_normals_turn_to_the_brighter_side(spark):
+    volume = _voxels(spark, np.broadcast_to((np.arange(20) + 1.0)[:, None, None], (20, 8, 8)))
+    points = spark.createDataFrame([("v", k, 10.0, float(k), 4.0, s, 0.0, 0.0) for k, s in enumerate((-1.0, -1.0, 1.0, -1.0))], "volume string, pid int, z double, y double, x double, nz double, ny double, nx double")
+    assert [r.nz for r in surfaces.oriented(points, volume, ["volume"]).orderBy("pid").collect()] == [1.0, 1.0, -1.0, 1.0]
+    field = points.select("volume", "pid", F.lit(1.0).alias("gz"), F.lit(0.0).alias("gy"), F.lit(0.0).alias("gx"))
+    assert [r.nz for r in surfaces.oriented_by(points, field, ["volume"]).orderBy("pid").collect()] == [1.0, 1.0, -1.0, 1.0]
+
+
+def test_interpolation_and_naive_alignment(spark):
+    xs, ys = [0.0, 1.0, 4.0, 6.0], [2.0, 5.0, -1.0, 3.0]
+    at = [-1.0, 0.0, 0.25, 1.0, 3.9, 6.0, 8.0]
+    df = spark.createDataFrame([(x, xs, ys) for x in at], "x double, xs array<double>, ys array<double>")
+    assert [r.v for r in df.select(pf.interpolated(F.col("x"), F.col("xs"), F.col("ys")).alias("v")).collect()] == pytest.approx(list(np.interp(at, xs, ys)))
+    offsets = np.arange(-6, 6.25, 0.5)
+    rows = spark.createDataFrame([("v", [float(x) for x in np.exp(-0.5 * (offsets - c) ** 2)]) for c in (-2.0, 1.0, 1.5)], "volume string, profile array<double>")
+    r = surfaces.naive_alignment(rows, "volume", 6, 0.5).first()
+    assert (r.n, r["median"], r.abs_median) == (3, 1.0, 1.5)
