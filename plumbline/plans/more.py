@@ -72,7 +72,7 @@ def surface_intensity(spark, sf_dir):
 @query("""WITH v AS (SELECT p_partkey % 500 AS v, CAST(max(p_size) AS DOUBLE) AS z, max(p_retailprice) AS y, p_partkey % 500 * 1.0 AS x FROM part GROUP BY p_partkey % 500), f AS (SELECT l_orderkey % 500 AS a, l_partkey % 500 AS b, l_suppkey % 500 AS c FROM lineitem),
 n AS (SELECT [f.a, f.b, f.c] AS corners, (b.y - a.y) * (c.x - a.x) - (b.x - a.x) * (c.y - a.y) AS nz, (b.x - a.x) * (c.z - a.z) - (b.z - a.z) * (c.x - a.x) AS ny, (b.z - a.z) * (c.y - a.y) - (b.y - a.y) * (c.z - a.z) AS nx FROM f JOIN v a ON a.v = f.a JOIN v b ON b.v = f.b JOIN v c ON c.v = f.c),
 t AS (SELECT v, sum(nz) AS nz, sum(ny) AS ny, sum(nx) AS nx FROM (SELECT unnest(corners) AS v, nz, ny, nx FROM n) GROUP BY v)
-SELECT v, round(nz / sqrt(nz * nz + ny * ny + nx * nx), 6) AS nz, round(ny / sqrt(nz * nz + ny * ny + nx * nx), 6) AS ny, round(nx / sqrt(nz * nz + ny * ny + nx * nx), 6) AS nx FROM t""")
+SELECT v, round(nz / sqrt(nz * nz + ny * ny + nx * nx), 6) + 0.0 AS nz, round(ny / sqrt(nz * nz + ny * ny + nx * nx), 6) + 0.0 AS ny, round(nx / sqrt(nz * nz + ny * ny + nx * nx), 6) + 0.0 AS nx FROM t""")
 def triangle_vertex_normals(spark, sf_dir):
     """Area-weighted normals of triangles between parts."""
     v = table(spark, sf_dir, "part").select((F.col("p_partkey") % 500).alias("v"), "p_size", "p_retailprice").groupBy("v").agg(F.max("p_size").cast("double").alias("z"), F.max("p_retailprice").alias("y")).select(F.lit(0).alias("mesh"), "v", "z", "y", (F.col("v") * 1.0).alias("x"))

@@ -379,7 +379,7 @@ def smoothed_profiles(spark, sf_dir):
 
 _PEAKS_SQL = f"""{_PROFILE_SQL}, k AS (SELECT k, exp(-0.5 * (k / 1.5) ** 2) AS w FROM range(-6, 7) t(k)),
 s AS (SELECT x.vec_id, x.i, sum(y.v * k.w) / (SELECT sum(w) FROM k) AS v FROM x, k JOIN x y ON y.vec_id = x.vec_id AND y.i = CASE WHEN x.i + k < 0 THEN -1 - (x.i + k) WHEN x.i + k > 63 THEN 127 - (x.i + k) ELSE x.i + k END GROUP BY ALL),
-n AS (SELECT vec_id, i, v, i - 31.5 AS o, lag(v) OVER w AS b, lead(v) OVER w AS f, min(v) OVER e AS lo, max(v) OVER e AS hi FROM s WINDOW w AS (PARTITION BY vec_id ORDER BY i), e AS (PARTITION BY vec_id)),
+n AS (SELECT vec_id, i, v, CAST(i - 31.5 AS DOUBLE) AS o, lag(v) OVER w AS b, lead(v) OVER w AS f, min(v) OVER e AS lo, max(v) OVER e AS hi FROM s WINDOW w AS (PARTITION BY vec_id ORDER BY i), e AS (PARTITION BY vec_id)),
 t AS (SELECT *, CASE WHEN i = 0 OR i = 63 THEN 0 WHEN abs(b - 2 * v + f) > 1e-9 THEN greatest(-1, least(1, 0.5 * (b - f) / (b - 2 * v + f))) ELSE 0 END AS shift FROM n),
 ridge AS (SELECT vec_id, coalesce(arg_min(i, (abs(o), i)) FILTER (i BETWEEN 1 AND 62 AND v >= b AND v >= f AND v >= lo + 0.6 * (hi - lo)), arg_max(i, (v, -i))) AS i, greatest(1, least(arg_max(i, (v, -i)), 62)) AS top FROM n GROUP BY vec_id),
 sharp AS (SELECT *, max(v) OVER (PARTITION BY vec_id) AS strongest FROM n WHERE i BETWEEN 2 AND 61 AND v > b AND v > f),
@@ -436,7 +436,7 @@ o AS (SELECT * FROM g ANTI JOIN voxels USING (volume, z, y, x)),
 d AS (SELECT v.volume, v.z, v.y, v.x, coalesce(min(abs(v.z - o.z) + abs(v.y - o.y) + abs(v.x - o.x)), 1000) AS depth FROM voxels v LEFT JOIN o ON v.volume = o.volume GROUP BY ALL),
 l AS (SELECT volume, s, count(*) FILTER (depth > s) AS alive, count(*) AS total FROM d, range(1, 25) t(s) GROUP BY ALL),
 e AS (SELECT volume, min(s) AS stop FROM l WHERE alive = 0 OR s = 24 OR (s >= 4 AND alive > 0.5 * total) GROUP BY volume),
-t AS (SELECT d.volume, 2.0 * least(depth, stop) AS t, (depth > stop)::INT AS standing FROM d JOIN e USING (volume))
+t AS (SELECT d.volume, CAST(2 * least(depth, stop) AS DOUBLE) AS t, (depth > stop)::INT AS standing FROM d JOIN e USING (volume))
 SELECT volume, count(*) AS n, round(median(t), 6) AS median, round(quantile_cont(t, 0.95), 6) AS p95, CAST(max(t) AS DOUBLE) AS max, round(avg(t), 6) AS mean, round(avg(standing), 6) AS saturated FROM t GROUP BY volume""")
 def voxel_thickness(spark, sf_dir):
     """Erosion depths of every volume; a depth is the city-block distance to the nearest background."""
@@ -445,8 +445,8 @@ def voxel_thickness(spark, sf_dir):
 
 def components_sql(least: int) -> str:
     """26-connected sets of the voxels of at least that value, named by their least voxel, as SQL."""
-    return f"""{VOXELS_SQL}, s AS (SELECT volume, z, y, x, row_number() OVER (ORDER BY volume, z, y, x) AS id FROM voxels WHERE value >= {least}),
-edges AS (SELECT a.id AS a, b.id AS b FROM s a, range(-1, 2) i(dz), range(-1, 2) j(dy), range(-1, 2) k(dx), s b WHERE b.volume = a.volume AND b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx),
+    return f"""{VOXELS_SQL}, s AS MATERIALIZED (SELECT volume, z, y, x, row_number() OVER (ORDER BY volume, z, y, x) AS id FROM voxels WHERE value >= {least}),
+edges AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM s a, range(-1, 2) i(dz), range(-1, 2) j(dy), range(-1, 2) k(dx), s b WHERE b.volume = a.volume AND b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx),
 reach AS (SELECT id AS node, id AS root FROM s UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.node),
 sets AS (SELECT s.*, r.root FROM s JOIN (SELECT node, min(root) AS root FROM reach GROUP BY node) r ON r.node = s.id)"""
 
