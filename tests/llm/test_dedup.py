@@ -119,6 +119,19 @@ def test_all_links_of_a_large_group(spark, monkeypatch, block):
     assert len(reps) > 90 and sorted((r.a, r.b) for r in links.collect()) == sorted(p for p in near if set(p) <= reps)
 
 
+def test_repeated_ids_and_rows(spark):
+    """Rows of one id with different texts are judged each by its text; of repeated rows one stays."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    near = a.replace("a59", "other")
+    rows = [(1, a), (7, near), (7, b), (3, b), (9, c), (9, c), (None, c), (None, c)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "g", 1.0) for i, t in rows], empty(spark).schema)
+    members, links = ngram_join.similarity_classes(docs)
+    assert sorted((r.doc_id or 0, r.class_id or 0, r.n_links) for r in members.collect()) == [(0, 0, 0), (0, 0, 0), (1, 1, 1), (3, 3, 1), (7, 1, 1), (7, 3, 1), (9, 9, 1), (9, 9, 1)]
+    assert [(r.a, r.b) for r in links.collect()] == [(1, 7)]
+    kept = ngram_join.representatives(docs)
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(1, a), (3, b), (9, c), (0, c), (0, c)])
+
+
 def test_join_of_an_empty_table(spark):
     assert ngram_join.similarity_classes(empty(spark))[0].count() == 0
 
