@@ -48,6 +48,7 @@ RECALL = 0.9995
 MOST_HASHES = 128
 MOST_ROWS = 2048  #: nodes of a block
 MOST_GRAMS = 2_000_000  #: n-grams of a block, but for one node's own
+BROADCAST_IDS = 200_000  #: ids that are broadcast (some MB); more of them are joined by a shuffle
 COLUMNS = 1024  #: n-grams in one matrix product
 SEED = 0x5EED
 
@@ -301,7 +302,8 @@ def representatives(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORD
     members, _ = similarity_classes(docs, threshold, n, id_col, text_col)
     ids = written(members.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("class_id")).alias("stays"), F.count(F.lit(1)).alias("rows")), "stays")
     gone = ids.where("not stays").select(F.col("doc_id").alias("__gone"))
-    kept = docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    few = gone.count() <= BROADCAST_IDS  # then no text is shuffled
+    kept = docs.join(F.broadcast(gone) if few else gone, docs[id_col] == gone["__gone"], "left_anti")
     twice = ids.where("stays and rows > 1").select(F.col("doc_id").alias("__twice"))
     if twice.isEmpty():
         return kept
