@@ -1,8 +1,9 @@
 """Interpolated modified Kneser-Ney bigram model, counted in Spark.
 
 Counting: each partition reduces its (context, word) pairs to distinct ones
-with counts and deals them to shards by the pair's hash, as arrays, so that a
-frequent context is spread over all shards.  A shard sums them, writes its sorted
+with counts and deals them to shards by half the bits of the context's hash and
+half of the word's, as arrays, so that a frequent context is spread over many
+shards.  A shard sums them, writes its sorted
 hash array of bigrams to the shared folder, and deals what it has of each context
 (total, words seen once, twice, more often) and of each word (occurrences,
 distinct contexts), one row each, to shards by their hashes, which add up and
@@ -44,8 +45,11 @@ BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x38B34AE5A1E38B93)
 FLUSH_TOKENS = 2_000_000
 
 
-def _pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix64(context * np.uint64(0x9E3779B97F4A7C15) + word)
+def _pair(context: np.ndarray, word: np.ndarray, bits: int) -> np.ndarray:
+    """Hash of a pair; its first ``bits`` bits, which name its shard, are half the context's first bits and half the word's."""
+    by_word = bits // 2
+    shard = ((context >> np.uint64(64 - bits + by_word)) << np.uint64(by_word)) | (word >> np.uint64(64 - by_word))
+    return (shard << np.uint64(64 - bits)) | (mix64(context * np.uint64(0x9E3779B97F4A7C15) + word) >> np.uint64(bits))
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray):
@@ -91,7 +95,7 @@ def _count_partition(bits: int):
 
 
 def _cuts(keys: np.ndarray, bits: int, *columns: np.ndarray) -> list:
-    """Shards of the sorted keys, and each column's bytes shard by shard."""
+    """Shards of the keys, which are sorted by shard, and each column's bytes shard by shard."""
     edges = np.searchsorted((keys >> np.uint64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
     full = np.flatnonzero(np.diff(edges))
     return [full.astype(np.int32), *[[c[edges[s] : edges[s + 1]].tobytes() for s in full] for c in columns]]
@@ -99,7 +103,9 @@ def _cuts(keys: np.ndarray, bits: int, *columns: np.ndarray) -> list:
 
 def _reduced(held, bits: int) -> pa.RecordBatch:
     context, word = (np.concatenate(x) for x in zip(*held, strict=True))
-    key, at, n = np.unique(_pair(context, word), return_index=True, return_counts=True)
+    key, at, n = np.unique(_pair(context, word, bits), return_index=True, return_counts=True)
+    order = np.lexsort((context[at], key >> np.uint64(64 - bits)))  # contexts side by side, which shuffles take as less
+    key, at, n = key[order], at[order], n[order]
     shard, *parts = _cuts(key, bits, context[at], word[at], n.astype("<u4"))
     return pa.RecordBatch.from_arrays([pa.array(shard), *[pa.array(x, pa.binary()) for x in parts]], names=["shard", "context", "word", "n"])
 
@@ -120,7 +126,7 @@ def _bigram_shard(folder: str, bits: int):
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         shard = int(pdf["shard"].iloc[0])
         context, word, n = _joined(pdf.context, "<u8"), _joined(pdf.word, "<u8"), _joined(pdf.n, "<u4").astype(np.int64)
-        key = _pair(context, word)
+        key = _pair(context, word, bits)
         order = np.argsort(key, kind="stable")
         key = key[order]
         at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -254,7 +260,7 @@ def token_scores(model: Model, arrays: Arrays, context: np.ndarray, word: np.nda
     single = model.rest / (model.vocabulary + 1) + (_discounted(k, model.word_discounts) / model.contexts if model.contexts else 0.0)
     names, inverse = np.unique(context, return_inverse=True)
     total, kinds = (x[inverse] for x in arrays.find("context", names, ("n", "kinds")))
-    (pair,) = arrays.find("bigram", _pair(context, word), ("n",))
+    (pair,) = arrays.find("bigram", _pair(context, word, model.bits), ("n",))
     spread = kinds @ np.array(model.pair_discounts)
     p = np.where(total > 0, (_discounted(pair, model.pair_discounts) + spread * single) / np.maximum(total, 1), single)
     return np.log10(p), base, n
