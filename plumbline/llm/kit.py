@@ -83,9 +83,9 @@ def row_slices(offsets: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[i
         i = j
 
 
-def _hash_block(data: np.ndarray, breaks: np.ndarray, table: np.ndarray):
+def _hash_block(data: np.ndarray, breaks: np.ndarray, table: np.ndarray, outside: np.ndarray):
     """Starts, ends and hashes of the words of one block; a word ends at each break."""
-    inside = ~_SPACE[data]
+    inside = ~outside[data]
     start = inside.copy()
     start[1:] &= ~inside[:-1]
     inner = breaks[(breaks > 0) & (breaks < len(data))]
@@ -104,25 +104,25 @@ def _hash_block(data: np.ndarray, breaks: np.ndarray, table: np.ndarray):
     return starts, ends, mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, fold: bool = False):
-    """Words of the rows that ``offsets`` delimit.
+def words(data: np.ndarray, offsets: np.ndarray, fold: bool = False, outside: np.ndarray = _SPACE):
+    """Words of the rows that ``offsets`` delimit: maximal runs of bytes that ``outside`` (256 flags) does not hold.
 
     Returns (starts, ends, hashes, first): byte positions within ``data``, a
     64-bit hash of each word (``fold``: of the word with A-Z in lower case), and
     per row the index of its first word, with one more entry for the total.
-    Long rows are hashed block by block, cut at white space.
+    Long rows are hashed block by block, cut at bytes outside of words.
     """
     table = _FOLDED if fold else _EXACT
     low, high = int(offsets[0]), int(offsets[-1])
     parts, at = [], low
     while at < high:
         to = min(high, at + BLOCK_BYTES)
-        while to < high and not _SPACE[data[to]]:  # to the next white space
+        while to < high and not outside[data[to]]:  # to the next byte outside of words
             step = data[to : to + 4096]
-            found = np.flatnonzero(_SPACE[step])
+            found = np.flatnonzero(outside[step])
             to = min(high, to + (int(found[0]) if len(found) else len(step)))
         i, j = np.searchsorted(offsets, [at, to], side="left")
-        starts, ends, hashes = _hash_block(data[at:to], np.asarray(offsets[i : j + 1], np.int64) - at, table)
+        starts, ends, hashes = _hash_block(data[at:to], np.asarray(offsets[i : j + 1], np.int64) - at, table, outside)
         parts.append((starts + at, ends + at, hashes))
         at = to
     if parts:

@@ -13,6 +13,7 @@ from plumbline.llm import (
     ngram_join,
     packing,
     quality_rules,
+    spelling,
     suffix_dedup,
     token_scan,
     url_filter,
@@ -163,6 +164,10 @@ def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.ablations(book)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_token_counts": op2_token_counts,
@@ -174,6 +179,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
+    "op11_spelling_variants": op11_spelling_variants,
     "quality_ablations": quality_ablations,
 }
 ORACLE_SQL = {"op6_exact_dedup": OP6_SQL, "op10_quality_rules": OP10_SQL, "quality_ablations": ABLATIONS_SQL}
