@@ -13,6 +13,7 @@ from plumbline.llm import (
     ngram_join,
     packing,
     quality_rules,
+    secrets,
     spelling,
     suffix_dedup,
     token_scan,
@@ -168,6 +169,11 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(read(spark, sf_dir, "documents"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return secrets.digests(secrets.find_secrets(docs, secrets.lexicon(docs)))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_token_counts": op2_token_counts,
@@ -180,6 +186,7 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
     "op11_spelling_variants": op11_spelling_variants,
+    "op13_secret_scan": op13_secret_scan,
     "quality_ablations": quality_ablations,
 }
 ORACLE_SQL = {"op6_exact_dedup": OP6_SQL, "op10_quality_rules": OP10_SQL, "quality_ablations": ABLATIONS_SQL}

@@ -8,6 +8,7 @@ from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,16 +92,71 @@ class HashSet:
             cls._open[folder] = cls(folder, bits)
         return cls._open[folder]
 
-    def contains(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), bool)
+    def _hits(self, keys: np.ndarray):
+        """For each shard that is asked: the shard, the keys that it holds, and where it holds them."""
         shard = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
         edges = np.searchsorted(shard[order], np.arange((1 << self.bits) + 1))
         for s in np.flatnonzero(np.diff(edges)):
-            if s not in self.maps:
-                path = f"{self.folder}/set-{s}.key"
-                self.maps[s] = np.memmap(path, "<u8", "r") if os.path.exists(path) else np.zeros(0, "<u8")
-            own, mine = self.maps[s], order[edges[s] : edges[s + 1]]
+            own, mine = self._map(s, "key", "<u8"), order[edges[s] : edges[s + 1]]
             if len(own):
-                out[mine] = own[np.minimum(np.searchsorted(own, keys[mine]), len(own) - 1)] == keys[mine]
+                at = np.minimum(np.searchsorted(own, keys[mine]), len(own) - 1)
+                hit = own[at] == keys[mine]
+                yield s, mine[hit], at[hit]
+
+    def _map(self, shard: int, part: str, kind: str) -> np.ndarray:
+        if (shard, part) not in self.maps:
+            path = f"{self.folder}/set-{shard}.{part}"
+            self.maps[shard, part] = np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, kind)
+        return self.maps[shard, part]
+
+    def contains(self, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(keys), bool)
+        for _, mine, _ in self._hits(keys):
+            out[mine] = True
+        return out
+
+
+class HashCounts(HashSet):
+    """64-bit hashes with a count each, stored likewise."""
+
+    _open: dict[str, HashCounts] = {}
+
+    @classmethod
+    def write(cls, counts: DataFrame, folder: str, bits: int) -> int:
+        """Store a (h long, n long) table of distinct hashes; returns how many there are."""
+
+        def build(pdf: pd.DataFrame) -> pd.DataFrame:
+            keys, shard = pdf["h"].to_numpy().view(np.uint64), int(pdf["shard"].iloc[0])
+            order = np.argsort(keys)
+            save(f"{folder}/set-{shard}.key", keys[order])
+            save(f"{folder}/set-{shard}.n", pdf["n"].to_numpy()[order].astype("<i8"))
+            return pd.DataFrame({"n": [len(keys)]})
+
+        shard = F.shiftrightunsigned("h", 64 - bits).cast("int")
+        stored = counts.select("h", "n", shard.alias("shard")).groupBy("shard").applyInPandas(build, "n long")
+        return int(stored.agg(F.sum("n")).first()[0] or 0)
+
+    @classmethod
+    def close(cls) -> None:
+        cls._open.clear()
+
+    @classmethod
+    def histogram(cls, spark: SparkSession, folder: str, bits: int, step) -> DataFrame:
+        """(step, n): how many hashes have a count of each step; ``step`` gives those of an array of counts."""
+
+        def run(batches):
+            counts = cls(folder, bits)
+            for batch in batches:
+                for s in batch.column(0).to_pylist():
+                    found, n = np.unique(step(np.asarray(counts._map(s, "n", "<i8"))), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n, pa.int64())], names=["step", "n"])
+
+        return spark.range(1 << bits).mapInArrow(run, "step long, n long").groupBy("step").agg(F.sum("n").alias("n"))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The keys' counts; 0 for those that are not stored."""
+        out = np.zeros(len(keys), np.int64)
+        for s, mine, at in self._hits(keys):
+            out[mine] = self._map(s, "n", "<i8")[at]
         return out
