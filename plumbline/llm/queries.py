@@ -9,6 +9,7 @@ from plumbline.llm import (
     exact_dedup,
     kneser_ney,
     language_id,
+    lexical_search,
     mixing,
     ngram_join,
     packing,
@@ -169,6 +170,25 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(read(spark, sf_dir, "documents"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH lower_docs AS (SELECT row_number() OVER () AS k, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+split AS (SELECT k, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM lower_docs),
+totals AS (SELECT count(*) FILTER (len(terms) > 0)::BIGINT AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM split),
+items AS (SELECT row_number() OVER () AS q, item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM benchmark),
+asked AS (SELECT DISTINCT q, item_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM items),
+each AS (SELECT k, doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM split),
+held AS (SELECT k, doc_id, n, term, count(*)::BIGINT AS tf FROM each WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*)::BIGINT AS df FROM held GROUP BY term), totals),
+parts AS (SELECT k, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))) AS part FROM held JOIN weights USING (term), totals),
+scores AS (SELECT q, item_id, k, doc_id, sum(part)::BIGINT AS score FROM asked JOIN parts USING (term) GROUP BY ALL HAVING sum(part) > 0)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM scores) WHERE rank <= 10
+"""
+
+
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return secrets.digests(secrets.find_secrets(docs, secrets.lexicon(docs)))
@@ -186,7 +206,8 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_lexical_search": op12_lexical_search,
     "op13_secret_scan": op13_secret_scan,
     "quality_ablations": quality_ablations,
 }
-ORACLE_SQL = {"op6_exact_dedup": OP6_SQL, "op10_quality_rules": OP10_SQL, "quality_ablations": ABLATIONS_SQL}
+ORACLE_SQL = {"op6_exact_dedup": OP6_SQL, "op10_quality_rules": OP10_SQL, "op12_lexical_search": OP12_SQL, "quality_ablations": ABLATIONS_SQL}
