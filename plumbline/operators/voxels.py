@@ -173,7 +173,7 @@ def trilinear(points: DataFrame, voxels: DataFrame, key: str, point_id: str, val
     return hit.groupBy(key, point_id).agg(F.sum(F.col("w") * F.coalesce("v", F.lit(0.0))).alias("sample"))
 
 
-def _search_edges(references: DataFrame, key: str, k: int) -> DataFrame:
+def search_edges(references: DataFrame, key: str, k: int) -> DataFrame:
     """(key, __n, __edge, __reach): per key the points, a first cell edge that a ball of some 3 k points fits, and the box's diagonal."""
     spans = [F.max(a) - F.min(a) for a in AXES]
     boxes = references.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), *[s.alias(f"s{a}") for a, s in zip(AXES, spans, strict=True)])
@@ -192,7 +192,7 @@ def nearest_points(queries: DataFrame, references: DataFrame, key: str, query_id
     doubled, until it covers the key's box; so the result is complete.  Ties go
     to the smaller id; a key of fewer references gives all of them.
     """
-    scale = written(_search_edges(references.select(key, *AXES).unionByName(queries.select(key, *AXES)), key, k), "knn-scale")
+    scale = written(search_edges(references.select(key, *AXES).unionByName(queries.select(key, *AXES)), key, k), "knn-scale")
     counts = references.groupBy(key).agg(F.count(F.lit(1)).alias("__have"))
     scale = written(scale.join(counts, key), "knn-scale")
     left = queries.select(key, F.col(query_id).alias("__q"), *[F.col(a).cast("double").alias(f"q{a}") for a in AXES])
