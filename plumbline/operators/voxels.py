@@ -1,8 +1,8 @@
 """Dense 3-D work as joins over voxel tables.
 
 A voxel table has integer coordinates and a key of the volume they belong to.
-Neighbourhoods are equi-joins on shifted coordinates, so a volume is split by
-voxel and never held by one task.
+Neighbourhoods are worked on in blocks with a halo, or are equi-joins on shifted
+coordinates, so no task holds a volume.
 """
 
 from __future__ import annotations
@@ -10,9 +10,11 @@ from __future__ import annotations
 from functools import reduce
 from itertools import product
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators import blocks
 from plumbline.operators.graph import connected_components
 from plumbline.storage import written
 
@@ -31,9 +33,14 @@ def shifted(voxels: DataFrame, steps: list[tuple[int, int, int]], keep: list[str
 
 def eroded(voxels: DataFrame, key: str, shape: dict[str, int]) -> DataFrame:
     """Voxels whose six neighbours are all in the set; a face of the volume is no background."""
+
+    def work(c: np.ndarray):
+        there = ~np.isnan(c)
+        beside = sum(np.roll(there, s, a)[1:-1, 1:-1, 1:-1].astype(np.int64) for a in range(3) for s in (-1, 1))
+        return there[1:-1, 1:-1, 1:-1], {"n": beside}
+
     edge = sum([((F.col(a) == 0).cast("int") + (F.col(a) == shape[a] - 1).cast("int")) for a in AXES[1:]], (F.col("z") == 0).cast("int") + (F.col("z") == shape["z"] - 1).cast("int"))
-    around = shifted(voxels, FACES, [key]).groupBy(key, *AXES).agg(F.count(F.lit(1)).alias("n"))
-    return voxels.select(key, *AXES).join(around, [key, *AXES]).where(F.col("n") + edge >= 6).select(key, *AXES)
+    return blocks.each_block(blocks.blocks(voxels, key, None), key, work, {"n": "long"}).where(F.col("n") + edge >= 6).select(key, *AXES)
 
 
 def erosion_depth(voxels: DataFrame, key: str, shape: dict[str, int], most: int = MOST_EROSIONS, probe: int = 4, bulk: float = 0.5) -> DataFrame:
@@ -158,19 +165,14 @@ def touched_blocks(points: DataFrame, side: int, key: str) -> DataFrame:
 def trilinear(points: DataFrame, voxels: DataFrame, key: str, point_id: str, value: str = "value", outside: str = "zero", shape: dict[str, int] | None = None) -> DataFrame:
     """(key, point_id, sample): trilinear samples of a sparse voxel table at float points.
 
-    Eight corner look-ups a point are an equi-join on the voxel; a voxel that is
-    not there counts zero (``outside = zero``), or coordinates are first cut to
-    the volume (``clamp``, with ``shape``).  A point that is repeated is sampled
-    once for each row.
+    Points meet blocks of voxels, so a point is shuffled once and not once a
+    corner; a voxel that is not there counts zero (``outside = zero``), or coordinates
+    are first cut to the volume (``clamp``, with ``shape``).  A point that is repeated
+    is sampled once for each row.
     """
     if outside == "clamp":
         points = points.withColumns({a: F.greatest(F.lit(0.0), F.least(F.lit(float(shape[a] - 1)), F.col(a))) for a in AXES})
-    corners = F.explode(F.array(*[F.struct(*[F.lit(s).alias(f"d{a}") for a, s in zip(AXES, step, strict=True)]) for step in product((0, 1), repeat=3)]))
-    each = points.select(key, point_id, *[F.floor(a).cast("int").alias(f"f{a}") for a in AXES], *[(F.col(a) - F.floor(a)).alias(f"r{a}") for a in AXES], corners.alias("d"))
-    weight = reduce(lambda a, b: a * b, [F.when(F.col(f"d.d{a}") == 1, F.col(f"r{a}")).otherwise(1 - F.col(f"r{a}")) for a in AXES])
-    each = each.select(key, point_id, *[(F.col(f"f{a}") + F.col(f"d.d{a}")).alias(a) for a in AXES], weight.alias("w"))
-    hit = each.join(voxels.select(key, *AXES, F.col(value).cast("double").alias("v")), [key, *AXES], "left")
-    return hit.groupBy(key, point_id).agg(F.sum(F.col("w") * F.coalesce("v", F.lit(0.0))).alias("sample"))
+    return blocks.trilinear(points, blocks.blocks(voxels, key, value), key, point_id)
 
 
 def search_edges(references: DataFrame, key: str, k: int) -> DataFrame:
@@ -256,16 +258,23 @@ def gradient(voxels: DataFrame, key: str, value: str = "value") -> DataFrame:
 
 def blurred(voxels: DataFrame, key: str, sigma: float, value: str = "value", truncate: float = 4.0) -> DataFrame:
     """Gaussian blur of a dense voxel table, axis by axis, with weights renormalised at the edges."""
-    import math
-
     reach = int(truncate * sigma + 0.5)
-    kernel = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(math.exp(-0.5 * (k / sigma) ** 2)).alias("w")) for k in range(-reach, reach + 1)]))
-    out = voxels.select(key, *AXES, F.col(value).cast("double").alias(value))
-    for a in AXES:
-        spread = out.select(key, *AXES, value, kernel.alias("m")).select(key, *[(F.col(b) + F.col("m.k")).alias(b) if b == a else F.col(b) for b in AXES], (F.col(value) * F.col("m.w")).alias("s"), F.col("m.w").alias("w"))
-        summed = spread.groupBy(key, *AXES).agg((F.sum("s") / F.sum("w")).alias(value))
-        out = voxels.select(key, *AXES).join(summed, [key, *AXES])
-    return out
+    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    side = max(blocks.SIDE, reach)
+
+    def work(c: np.ndarray):
+        there = ~np.isnan(c)
+        soft = np.where(there, c, 0.0)
+        for a in range(3):
+            total, weight = np.zeros_like(soft), np.zeros_like(soft)
+            for k, w in zip(range(-reach, reach + 1), kernel, strict=True):
+                total += w * np.roll(soft, k, a)
+                weight += w * np.roll(there, k, a)
+            soft = np.where(there, total / np.maximum(weight, 1e-300), 0.0)
+        inner = slice(reach, c.shape[0] - reach)
+        return there[inner, inner, inner], {value: soft[inner, inner, inner]}
+
+    return blocks.each_block(blocks.blocks(voxels, key, value, side, reach), key, work, {value: "double"}, side, reach)
 
 
 def noise_sigma(voxels: DataFrame, key: str, value: str = "value", sigma: float = 1.0) -> DataFrame:
