@@ -12,10 +12,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def offsets(radius: float, step: float) -> Column:
-    """-R, -R + step, ... up to R (and a half step more, against rounding)."""
-    n = int(math.ceil((2 * radius + step / 2) / step))
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lit(-float(radius)) + i * float(step))
+def offsets(radius: float | Column, step: float) -> Column:
+    """-R, -R + step, ... up to R (and a half step more, against rounding); R may be a column."""
+    r = F.lit(float(radius)) if isinstance(radius, (int, float)) else radius
+    last = F.ceil((2 * r + step / 2) / step).cast("int") - 1
+    return F.transform(F.sequence(F.lit(0), last), lambda i: -r + i * float(step))
 
 
 def walk(point: Column, normal: Column, along: Column) -> Column:
@@ -23,12 +24,12 @@ def walk(point: Column, normal: Column, along: Column) -> Column:
     return F.transform(along, lambda o: F.struct(*[(point[a] + normal[a] * o).alias(a) for a in ("z", "y", "x")]))
 
 
-def walk_inside(point: Column, normal: Column, radius: float, shape: tuple[int, int, int]) -> Column:
+def walk_inside(point: Column, normal: Column, radius: float | Column, shape: tuple[int, int, int]) -> Column:
     """Whether the whole walk lies in [0, shape - 1]: it is a segment, so its ends decide."""
     out = F.lit(True)
     for a, size in zip(("z", "y", "x"), shape, strict=True):
         for sign in (-1.0, 1.0):
-            end = point[a] + normal[a] * (sign * radius)
+            end = point[a] + normal[a] * (radius * sign)
             out = out & (end >= 0) & (end <= size - 1)
     return out
 

@@ -174,11 +174,26 @@ def arc_lengths(points: DataFrame, keys: list[str], place: str) -> DataFrame:
     return points.withColumn("__step", F.coalesce(step, F.lit(0.0))).withColumn("arc", F.sum("__step").over(line.rowsBetween(Window.unboundedPreceding, 0))).drop("__step")
 
 
-def naive_alignment(samples: DataFrame, key: str, radius: float, step: float) -> DataFrame:
-    """(key, n, median, abs_median, abs_p90): each point's own largest sample, kept for comparison; it follows the radius."""
-    along = pf.offsets(radius, step)
-    each = samples.select(key, F.get(along, pf.argmax(pf.smoothed(F.col("profile"), max(0.5 / step, 0.5))).cast("int")).alias("o"))
-    return each.groupBy(key).agg(F.count("o").alias("n"), F.median("o").alias("median"), F.median(F.abs("o")).alias("abs_median"), F.percentile(F.abs("o"), F.lit(0.9)).alias("abs_p90"))
+def naive_alignment(samples: DataFrame, key: str, radius: float | str, step: float, noise: float = 1.0) -> DataFrame:
+    """Each point's own largest sample, kept for comparison with cells; it follows the radius.
+
+    Per key: points, mean, median and 90th percentile of the offsets' sizes, the
+    shares of one voxel and two or more, of peaks at the search's edge (which the
+    others leave out unless all are) and of peaks under three times the noise.
+    ``radius`` may be a column.
+    """
+    curve, r = F.col("__curve"), F.col(radius) if isinstance(radius, str) else F.lit(float(radius))
+    each = samples.select(key, r.alias("__r"), pf.smoothed(F.col("profile"), 0.5 / step).alias("__curve")).select(
+        key, "__r", ((pf.subvoxel_peak(curve) - (F.size(curve) - 1) / 2.0) * step).alias("o"), (F.array_max(curve) - F.least(F.get(curve, F.lit(0)), F.get(curve, F.size(curve) - 1))).alias("prominence"), pf.value_range(curve).alias("spread")
+    )
+    judged = each.withColumn("inner", F.abs("o") < F.col("__r") - step)
+    some = judged.groupBy(key).agg(F.count_if("inner").alias("__inner"))
+    kept = judged.join(some, key).withColumn("v", F.when(F.col("inner") | (F.col("__inner") == 0), F.col("o")))
+    size = F.abs("v")
+    return kept.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.median("v").alias("median"), F.median(size).alias("abs_median"), F.percentile(size, F.lit(0.9)).alias("abs_p90"), F.avg((size >= 1).cast("double")).alias("share_1"), F.avg((size >= 2).cast("double")).alias("share_2"),
+        (1 - F.avg(F.col("inner").cast("double"))).alias("unresolved_share"), F.median("prominence").alias("prominence"), F.median(F.col("prominence") / noise).alias("prominence_snr"), F.avg((F.col("prominence") / noise < 3).cast("double")).alias("flat_share"), F.median("spread").alias("spread"),
+    )
 
 
 def oriented(points: DataFrame, volume: DataFrame, keys: list[str], reach: float = 3.0) -> DataFrame:
@@ -196,9 +211,9 @@ def oriented(points: DataFrame, volume: DataFrame, keys: list[str], reach: float
 
 
 def oriented_by(points: DataFrame, field: DataFrame, keys: list[str]) -> DataFrame:
-    """Points with normals turned, for each of ``keys``, so that most agree with a field (keys[0], pid, gz, gy, gx)."""
+    """Points with normals turned, for each of ``keys``, so that the sum of their products with a field (keys[0], pid, gz, gy, gx) is positive."""
     dot = sum([F.col(f"n{a}") * F.col(f"g{a}") for a in AXES[1:]], F.col("nz") * F.col("gz"))
-    signs = points.join(field, [keys[0], "pid"]).groupBy(*keys).agg(F.when(F.sum(F.signum(dot)) < 0, -1.0).otherwise(1.0).alias("__sign"))
+    signs = points.join(field, [keys[0], "pid"]).groupBy(*keys).agg(F.when(F.sum(dot) < 0, -1.0).otherwise(1.0).alias("__sign"))
     return points.join(signs, keys).withColumns({f"n{a}": F.col(f"n{a}") * F.col("__sign") for a in AXES}).drop("__sign")
 
 
@@ -217,18 +232,20 @@ def cell_of(size: float) -> list[Column]:
     return [F.floor(F.col(a) / size).cast("int").alias(f"c{a}") for a in AXES]
 
 
-def aligned_cells(samples: DataFrame, key: str, radius: float, step: float, noise: float, cell: float = 64, least: int = 200, smooth: float = 0.5) -> DataFrame:
+def aligned_cells(samples: DataFrame, key: str, radius: float | str, step: float, noise: float | str, cell: float = 64, least: int = 200, smooth: float = 0.5) -> DataFrame:
     """Cells of a label with the offset of the ridge from it, and why a cell has none.
 
-    ``samples`` (key, z, y, x, profile).  The profile of a cell is the mean of its
-    points' profiles.  A peak at the search's edge is unresolved; that is asked
-    before the noise is; each cell has one status.
+    ``samples`` (key, z, y, x, profile); ``radius`` and ``noise`` may be columns of it
+    that each key has one value of.  The profile of a cell is the mean of its points'
+    profiles.  A peak at the search's edge is unresolved; that is asked before the
+    noise is; each cell has one status.
     """
-    grouped = mean_profiles(samples.select(key, *cell_of(cell), "profile"), [key, "cz", "cy", "cx"], "profile", least)
-    along = pf.offsets(radius, step)
+    own = samples.withColumns({"__r": F.col(radius) if isinstance(radius, str) else F.lit(float(radius)), "__n": F.col(noise) if isinstance(noise, str) else F.lit(float(noise))})
+    grouped = mean_profiles(own.select(key, "__r", "__n", *cell_of(cell), "profile"), [key, "__r", "__n", "cz", "cy", "cx"], "profile", least)
+    along = pf.offsets(F.col("__r"), step)
     curved = grouped.withColumn("curve", pf.smoothed(F.col("profile"), max(smooth / step, 0.5)))
-    found = curved.withColumn("offset", pf.peak_offset(F.col("curve"), along)).withColumn("snr", pf.value_range(F.col("profile")) / (F.lit(max(noise, 1e-12)) / F.sqrt("n")))
-    status = F.when(F.abs("offset") >= radius - 2 * step, "unresolved").when(F.col("snr") < 3, "low_snr").otherwise("ok")
+    found = curved.withColumn("offset", pf.peak_offset(F.col("curve"), along)).withColumn("snr", pf.value_range(F.col("profile")) / (F.greatest("__n", F.lit(1e-12)) / F.sqrt("n")))
+    status = F.when(F.abs("offset") >= F.col("__r") - 2 * step, "unresolved").when(F.col("snr") < 3, "low_snr").otherwise("ok")
     return found.select(key, "cz", "cy", "cx", "n", "offset", "snr", status.alias("status"))
 
 

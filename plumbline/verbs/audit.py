@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import profiles as pf
-from plumbline.operators import boxes, census, corpus, leakage, ranks, splits, surfaces, voxels
+from plumbline.operators import boxes, census, corpus, leakage, orientation, ranks, resampling, splits, surfaces, voxels, warp
 from plumbline.sources import tiff
 from plumbline.storage import written
 
@@ -52,29 +52,28 @@ def leak(names: DataFrame, sizes: DataFrame | None = None, size: int = 300, k: i
     }
 
 
-def label_points(label: DataFrame, k: int = 40) -> DataFrame:
-    """(volume, pid, z, y, x, nz, ny, nx): label voxels (volume, z, y, x) with unit normals of their ``k`` nearest ones.
+def label_points(label: DataFrame, volume: DataFrame | None = None, k: int = 40, ties: int = 10) -> DataFrame:
+    """(volume, pid, z, y, x, nz, ny, nx, component): label voxels (volume, z, y, x) with unit normals of their ``k`` nearest ones.
 
-    A normal is turned so that its longest part is positive; which side that is
-    says nothing about the surface, so only an offset's size and its changes count.
+    Signs run along the surface, so that normals of one component agree; with
+    ``volume`` (volume, z, y, x, value) each component faces the brighter side.
     """
     named = written(label.select("volume", F.concat_ws(",", "z", "y", "x").alias("pid"), *[F.col(a).cast("double").alias(a) for a in "zyx"]).dropDuplicates(["volume", "pid"]), "label-points")
-    facing = voxels.point_normals(named, "volume", "pid", k)
-    n = [F.col(f"n{a}") for a in "zyx"]
-    most = F.greatest(*[F.abs(c) for c in n])
-    sign = F.signum(F.when(F.abs(n[0]) == most, n[0]).when(F.abs(n[1]) == most, n[1]).otherwise(n[2]))
-    return named.join(facing.withColumns({f"n{a}": c * sign for a, c in zip("zyx", n, strict=True)}), ["volume", "pid"])
+    facing = written(named.join(voxels.point_normals(named, "volume", "pid", k), ["volume", "pid"]), "label-axes")
+    agreed = written(orientation.consistent_normals(facing, "volume", "pid", ties), "label-normals")
+    return agreed if volume is None else surfaces.oriented(agreed, volume, ["volume", "component"])
 
 
-def _sampled(volume: DataFrame, points: DataFrame, shape: tuple[int, int, int], radius: float, step: float) -> DataFrame:
-    """(volume, pid, z, y, x, profile) of the points whose whole walk is inside the volume."""
-    along = pf.offsets(radius, step)
+def _sampled(volume: DataFrame, points: DataFrame, shape: tuple[int, int, int], radius: float | str, step: float) -> DataFrame:
+    """(volume, pid, z, y, x, radius, profile) of the points whose whole walk is inside the volume."""
+    points = points.withColumn("radius", F.lit(float(radius))) if not isinstance(radius, str) else points
+    r = F.col("radius")
     point, normal = F.struct("z", "y", "x"), F.struct(*[F.col(f"n{a}").alias(a) for a in "zyx"])
-    inside = points.where(pf.walk_inside(point, normal, radius, shape))
-    walked = inside.select("volume", "pid", F.posexplode(pf.walk(point, normal, along)).alias("i", "p")).select("volume", F.struct("pid", "i").alias("at"), *[F.col(f"p.{a}").alias(a) for a in "zyx"])
+    inside = points.where(pf.walk_inside(point, normal, r, shape))
+    walked = inside.select("volume", "pid", F.posexplode(pf.walk(point, normal, pf.offsets(r, step))).alias("i", "p")).select("volume", F.struct("pid", "i").alias("at"), *[F.col(f"p.{a}").alias(a) for a in "zyx"])
     sampled = voxels.trilinear(walked, volume, "volume", "at", outside="clamp", shape=dict(zip("zyx", shape, strict=True))).select("volume", "at.pid", "at.i", "sample")
     profiles = sampled.groupBy("volume", "pid").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "sample"))), lambda s: s["sample"]).alias("profile"))
-    return inside.select("volume", "pid", "z", "y", "x").join(profiles, ["volume", "pid"])
+    return inside.select("volume", "pid", "z", "y", "x", "radius").join(profiles, ["volume", "pid"])
 
 
 def ridge_spacing(volume: DataFrame, points: DataFrame, shape: tuple[int, int, int], most: float = 45.0, step: float = 0.5) -> DataFrame:
@@ -84,44 +83,67 @@ def ridge_spacing(volume: DataFrame, points: DataFrame, shape: tuple[int, int, i
     return means.select("volume", pf.neighbour_ridges(pf.smoothed(F.col("profile"), max(2.0 / step, 1.0)), pf.offsets(reach, step)).alias("n")).select("volume", "n.*")
 
 
-def align(volume: DataFrame, points: DataFrame, shape: tuple[int, int, int], radius: float = 6.0, step: float = 0.5, cell: float = 64, least: int = 200, least_snr: float = 2.0) -> tuple[DataFrame, DataFrame]:
+def align(volume: DataFrame, points: DataFrame, shape: tuple[int, int, int], radius: float | None = None, step: float = 0.5, cell: float = 64, least: int = 200, least_snr: float = 2.0, resamples: int = 200, naive: bool = False) -> tuple[DataFrame, DataFrame]:
     """Cells and summary of where a label lies relative to the ridge.
 
     ``volume`` (volume, z, y, x, value); ``points`` (volume, pid, z, y, x, nz, ny,
     nx): label points with unit normals.  A point counts if its whole walk is
-    inside the volume.  The summary's ``global_offset`` is null where the mean
-    profile's contrast is under ``least_snr`` times the volume's noise, or the
-    noise could not be estimated; the raw figure stays beside it.
+    inside the volume.  Without a radius, each volume's own follows from the spacing
+    of its ridges.  The summary's ``global_offset`` is null where the mean profile's
+    contrast is under ``least_snr`` times the volume's noise, or the noise could not
+    be estimated; the raw figure stays beside it, with its bootstrap interval.
+    ``naive``: with the points' own largest samples, for comparison.
     """
-    rows = written(_sampled(volume, points, shape, radius, step), "profiles")
+    spacing = None
+    if radius is None:
+        spacing = written(ridge_spacing(volume, points, shape), "spacing")
+        points = points.drop("radius").join(spacing.select("volume", "radius"), "volume", "left").withColumn("radius", F.coalesce("radius", F.lit(6.0)))
     noises = written(voxels.noise_sigma(volume, "volume"), "noise")
-    noise = noises.agg(F.median("noise_sigma")).first()[0]
-    cells = written(surfaces.aligned_cells(rows, "volume", radius, step, noise or 1e-6, cell, least), "cells")
-    along, smooth = pf.offsets(radius, step), max(0.5 / step, 0.5)
-    whole = surfaces.mean_profiles(rows, ["volume"], "profile").join(noises, "volume", "left").select(
-        "volume", F.col("n").alias("n_points"), "noise_sigma", pf.value_range(F.col("profile")).alias("contrast"), pf.peak_offset(pf.smoothed(F.col("profile"), smooth), along).alias("global_offset_raw")
+    rows = written(_sampled(volume, points, shape, "radius" if radius is None else radius, step).join(noises, "volume", "left").withColumn("noise_sigma", F.coalesce("noise_sigma", F.lit(1e-6))), "profiles")
+    cells = written(surfaces.aligned_cells(rows, "volume", "radius", step, "noise_sigma", cell, least), "cells")
+    along, smooth = pf.offsets(F.col("radius"), step), max(0.5 / step, 0.5)
+    whole = surfaces.mean_profiles(rows, ["volume", "radius"], "profile").join(noises, "volume", "left").select(
+        "volume", F.col("n").alias("n_points"), "radius", "noise_sigma", pf.value_range(F.col("profile")).alias("contrast"), pf.peak_offset(pf.smoothed(F.col("profile"), smooth), along).alias("global_offset_raw")
     )
     snr = F.col("contrast") / F.col("noise_sigma")
     reliable = F.coalesce((snr >= least_snr) & (F.col("noise_sigma") > 1e-5), F.lit(False))
     gate = whole.withColumns({"global_snr": snr, "reliable": reliable}).withColumn("global_offset", F.when(F.col("reliable"), F.col("global_offset_raw")))
+    interval = resampling.peak_bootstrap(rows, "volume", "pid", "profile", along, smooth, resamples)
+    gate = gate.join(interval.withColumnsRenamed({"low": "global_low", "high": "global_high"}), "volume", "left")
+    if spacing is not None:
+        gate = gate.join(spacing.drop("radius").withColumnsRenamed({"centre": "ridge_at", "positive": "ridge_pos", "negative": "ridge_neg"}), "volume", "left")
+    if naive:
+        own = surfaces.naive_alignment(rows, "volume", "radius", step, noises.agg(F.median("noise_sigma")).first()[0] or 1e-6)
+        gate = gate.join(own.withColumnsRenamed({c: f"naive_{c}" for c in own.columns if c != "volume"}), "volume", "left")
     return cells, gate.join(surfaces.alignment_summary(cells, "volume"), "volume", "left")
 
 
-def regularise(label: DataFrame, cells: DataFrame, cell: float = 64, most: float = 4.0, least_cells: int = 2) -> DataFrame:
-    """(volume, z, y, x, shift, status): each label point's correction along its normal.
+def regularise(points: DataFrame, cells: DataFrame, summary: DataFrame, shape: tuple[int, int, int], cell: float = 64, most: float = 4.0, smooth: float = 0.5, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """The label with its cells drawn to the volume's own offset, and a report of every volume.
 
-    A cell's correction is its offset less the volume's median offset, averaged
-    with the cells around it and cut at ``most``.  A volume with fewer resolved
-    cells is refused, not moved.
+    ``points`` as ``label_points`` gives them; ``cells`` and ``summary`` as ``align``
+    does.  A volume without a resolved cell, or whose global offset is unreliable, or
+    whose cells agree already, comes out as it is, with the reason.
     """
-    ok = cells.where("status = 'ok'")
-    middle = ok.groupBy("volume").agg(F.median("offset").alias("middle"), F.count(F.lit(1)).alias("n_cells"))
-    delta = ok.join(middle, "volume").select("volume", F.col("cz").alias("z"), F.col("cy").alias("y"), F.col("cx").alias("x"), (F.col("offset") - F.col("middle")).alias("delta"))
-    near = voxels.shifted(delta, [(0, 0, 0), *voxels.ALL_AROUND], ["volume", "delta"]).groupBy("volume", "z", "y", "x").agg(F.avg("delta").alias("delta")).select("volume", F.col("z").alias("cz"), F.col("y").alias("cy"), F.col("x").alias("cx"), "delta")
-    placed = label.select("volume", "z", "y", "x", *surfaces.cell_of(cell)).join(near, ["volume", "cz", "cy", "cx"], "left").join(middle, "volume", "left")
-    enough = F.coalesce(F.col("n_cells") >= least_cells, F.lit(False))
-    shift = F.greatest(F.lit(-most), F.least(F.lit(most), F.coalesce("delta", F.lit(0.0))))
-    return placed.select("volume", "z", "y", "x", F.when(enough, shift).alias("shift"), F.when(enough, "moved").otherwise("refused: too few resolved cells").alias("status"))
+    ok = cells.where("status = 'ok'").groupBy("volume").agg(F.count(F.lit(1)).alias("n_resolved"))
+    told = summary.select("volume", "global_offset_raw", "reliable").join(ok, "volume", "full_outer")
+    before = points.groupBy("volume").agg(F.count(F.lit(1)).alias("voxels_before"))
+    told = before.join(told, "volume", "left").withColumns({"n_resolved": F.coalesce("n_resolved", F.lit(0)), "reliable": F.coalesce("reliable", F.lit(False))})
+    open_ = told.where("reliable and n_resolved > 0").select("volume")
+    deltas = written(warp.delta_cells(cells.join(open_, "volume", "left_semi"), summary, shape, cell, smooth), "delta-cells")
+    far = deltas.groupBy("volume").agg(F.max(F.least(F.abs("value"), F.lit(float(most)))).alias("max_abs_shift"))
+    on_label = warp.field_at(points, deltas, shape, cell, "pid").groupBy("volume").agg(F.avg(F.least(F.abs("shift"), F.lit(float(most)))).alias("mean_abs_shift_on_label"))
+    told = written(told.join(far, "volume", "left").join(on_label, "volume", "left"), "regularise")
+    moving = told.where("reliable and n_resolved > 0 and max_abs_shift >= 1e-3").select("volume")
+    own = points.join(moving, "volume", "left_semi")
+    old = points.select("volume", *[F.col(a).cast("int").alias(a) for a in "zyx"])
+    new = warp.warped(old.join(moving, "volume", "left_semi"), own, deltas.join(moving, "volume", "left_semi"), shape, cell, most, threshold)
+    out = written(new.unionByName(old.join(moving, "volume", "left_anti")), "regularised")
+    both = old.withColumn("was", F.lit(1)).join(out.withColumn("now", F.lit(1)), ["volume", "z", "y", "x"], "full_outer").groupBy("volume")
+    counts = both.agg(F.count("now").alias("voxels_after"), F.count_if(F.col("was").isNull() | F.col("now").isNull()).alias("voxels_moved"))
+    reason = F.when(F.col("n_resolved") == 0, "no resolved cells").when(~F.col("reliable"), "global offset unreliable").when(F.col("max_abs_shift") < 1e-3, "every cell already agrees with the volume")
+    report = told.join(counts, "volume", "left").withColumns({"reason": reason, "changed": F.coalesce(F.col("voxels_moved") > 0, F.lit(False))})
+    return out, report
 
 
 def sheetswitch(mesh: DataFrame, volume: DataFrame, plant: float = 0.0, window: int = 0, every: int = 1, z_threshold: float = surfaces.Z_THRESHOLD, steps: int = surfaces.FEW_STEPS) -> DataFrame:

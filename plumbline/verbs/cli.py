@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import argparse
 import os
+from functools import reduce
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import census, surfaces
 from plumbline.operators.splits import write_splits
-from plumbline.sources import reports, tables, tiff
+from plumbline.sources import reports, stacks, tables, tiff
 from plumbline.storage import written
 from plumbline.verbs import audit
 
@@ -41,14 +42,17 @@ def parser() -> argparse.ArgumentParser:
     switch.add_argument("--z-threshold", type=float, default=surfaces.Z_THRESHOLD)
     switch.add_argument("--steps", type=int, default=surfaces.FEW_STEPS)
     align = verbs.add_parser("align", help="offset of labels from the ridge in the scan")
-    align.add_argument("--min-global-snr", type=float, default=2.0)
-    regularise = verbs.add_parser("regularise", help="each label point's correction along its normal")
+    align.add_argument("--naive", action="store_true", help="with the points' own largest samples")
+    align.add_argument("--bootstrap", type=int, default=200)
+    regularise = verbs.add_parser("regularise", help="labels whose cells agree with their volume's own offset")
     regularise.add_argument("--max-shift", type=float, default=4.0)
+    regularise.add_argument("--smooth", type=float, default=0.5, help="in cells")
     for verb in (align, regularise):
         verb.add_argument("--images", required=True)
         verb.add_argument("--labels", required=True)
         verb.add_argument("--surface-class", type=int, default=1)
-        verb.add_argument("--radius", type=float, default=6.0)
+        verb.add_argument("--radius", type=float, help="of the search; by default from the spacing of the ridges")
+        verb.add_argument("--min-global-snr", type=float, default=2.0)
         verb.add_argument("--cell", type=int, default=64)
         verb.add_argument("--min-per-cell", type=int, default=200)
     sheet = verbs.add_parser("onsheet", help="verdicts from blocks (mesh, range, peak_offset) in a Parquet table")
@@ -61,17 +65,17 @@ def parser() -> argparse.ArgumentParser:
 
 
 def _aligned(spark: SparkSession, args):
-    """Cells, summaries and label points of all volumes, one pass for each shape."""
+    """For each shape of volumes: the shape, its volumes, label points, cells and summary."""
     heads = tiff.volume_headers(spark, args.labels).where("error is null").select(F.col("name").alias("volume"), "n_pages", "height", "width")
     image = tiff.voxels(tiff.volume_planes(spark, args.images), keep_zero=True)
     label = tiff.voxels(tiff.volume_planes(spark, args.labels)).where(F.col("value") == args.surface_class)
-    points = written(audit.label_points(label), "points")
-    cells = summary = None
+    image = written(image, "images")
+    points = written(audit.label_points(label, image), "points")
     for size in heads.select("n_pages", "height", "width").distinct().collect():  # as many rows as there are shapes
-        own = heads.where((F.col("n_pages") == size[0]) & (F.col("height") == size[1]) & (F.col("width") == size[2])).select("volume")
-        found = audit.align(image.join(own, "volume", "left_semi"), points.join(own, "volume", "left_semi"), tuple(size), args.radius, cell=args.cell, least=args.min_per_cell, least_snr=getattr(args, "min_global_snr", 2.0))
-        cells, summary = found if cells is None else (cells.unionByName(found[0]), summary.unionByName(found[1]))
-    return cells, summary, points
+        own = heads.where((F.col("n_pages") == size[0]) & (F.col("height") == size[1]) & (F.col("width") == size[2]))
+        mine = points.join(own, "volume", "left_semi")
+        cells, summary = audit.align(image.join(own, "volume", "left_semi"), mine, tuple(size), args.radius, cell=args.cell, least=args.min_per_cell, least_snr=args.min_global_snr, resamples=getattr(args, "bootstrap", 0), naive=getattr(args, "naive", False))
+        yield tuple(size), own, mine, cells, written(summary, "summary")
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -95,13 +99,19 @@ def main(argv: list[str] | None = None) -> int:
         write_splits(found["folds"].select("fold", "role", F.col("id").alias("name")), f"{args.out}/splits_final.json")
         reports.write_html(f"{args.out}/leakage.html", "leakage", {}, {k: found[k] for k in ("overlap", "usual", "random", "stats")})
     elif args.verb in ("align", "regularise"):
-        cells, summary, points = _aligned(spark, args)
-        if cells is None:
+        found = list(_aligned(spark, args))
+        if not found:
             return 2
-        reports.write_csv(summary, f"{args.out}/align.csv")
-        reports.write_csv(cells, f"{args.out}/cells.csv")
+        union = lambda k: reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [f[k] for f in found])
+        reports.write_csv(union(4), f"{args.out}/align.csv")
+        reports.write_csv(union(3), f"{args.out}/cells.csv")
         if args.verb == "regularise":
-            reports.write_csv(audit.regularise(points.select("volume", "z", "y", "x"), cells, args.cell, args.max_shift), f"{args.out}/shifts.csv")
+            told = []
+            for shape, own, points, cells, summary in found:
+                label, report = audit.regularise(points, cells, summary, shape, args.cell, args.max_shift, args.smooth)
+                told.append(report)
+                stacks.write_stacks(stacks.pages(label.withColumn("value", F.lit(args.surface_class)), own), f"{args.out}/labels")
+            reports.write_csv(reduce(lambda x, y: x.unionByName(y), told), f"{args.out}/regularise.csv")
     elif args.verb == "onsheet":
         blocks = spark.read.parquet(args.blocks)
         reports.write_csv(audit.onsheet(blocks, args.baseline), f"{args.out}/onsheet.csv")

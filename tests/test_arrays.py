@@ -184,9 +184,10 @@ def test_alignment_finds_a_planted_offset(spark):
     p = spark.createDataFrame(points, "volume string, pid int, z double, y double, x double, nz double, ny double, nx double")
     cells, summary = audit.align(_voxels(spark, a), p, (40, 24, 24), radius=8.0, cell=12, least=20)
     assert summary.first().median == pytest.approx(3.0, abs=0.3)
-    moved = audit.regularise(p.select("volume", "z", "y", "x"), cells, cell=12)
-    assert {r.status for r in moved.collect()} == {"moved"} and moved.selectExpr("max(abs(shift))").first()[0] < 0.6
-    assert audit.regularise(p.select("volume", "z", "y", "x"), cells.limit(0), cell=12).first().shift is None
+    r = summary.first()
+    assert r.global_low <= r.global_offset_raw <= r.global_high and r.global_high - r.global_low < 0.5
+    auto = audit.align(_voxels(spark, a), p, (40, 24, 24), cell=12, least=20, resamples=0, naive=True)[1].first()
+    assert auto.radius == 6.0 and np.isnan(auto.global_low) and auto.global_offset_raw == pytest.approx(3.0, abs=0.3) and auto.naive_abs_median == pytest.approx(3.0, abs=0.5)
 
 
 def test_mad_floor_gives_zero_scores(spark):
@@ -307,4 +308,8 @@ def test_interpolation_and_naive_alignment(spark):
     offsets = np.arange(-6, 6.25, 0.5)
     rows = spark.createDataFrame([("v", [float(x) for x in np.exp(-0.5 * (offsets - c) ** 2)]) for c in (-2.0, 1.0, 1.5)], "volume string, profile array<double>")
     r = surfaces.naive_alignment(rows, "volume", 6, 0.5).first()
-    assert (r.n, r["median"], r.abs_median) == (3, 1.0, 1.5)
+    assert (r.n, r["median"], r.abs_median) == (3, pytest.approx(1.0, abs=0.02), pytest.approx(1.5, abs=0.02))
+    assert (r.unresolved_share, r.share_2, r["mean"]) == (0.0, pytest.approx(1 / 3), pytest.approx(1 / 6, abs=0.02))
+    edge = spark.createDataFrame([("v", [float(x) for x in np.exp(-0.5 * (offsets - c) ** 2)]) for c in (1.0, 5.9)], "volume string, profile array<double>")
+    r = surfaces.naive_alignment(edge, "volume", 6, 0.5).first()
+    assert r.unresolved_share == 0.5 and r["mean"] == pytest.approx(1.0, abs=0.02)

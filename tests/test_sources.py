@@ -167,7 +167,11 @@ def test_align_regularise_and_onsheet_verbs(spark, tmp_path):
     r = spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "out" / "align.csv")).first()
     assert not r.reliable and r.global_offset is None and r.global_offset_raw == pytest.approx(3.0, abs=0.3)
     assert cli.main(["regularise", *args]) == 0
-    assert spark.read.option("header", True).csv(str(tmp_path / "out" / "shifts.csv")).where("status = 'moved'").count() == 24 * 24
+    told = spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "out" / "regularise.csv")).first()
+    assert told.reliable and told.voxels_before == 24 * 24 and told.n_resolved == 4
+    new = tiff.voxels(tiff.volume_planes(spark, str(tmp_path / "out" / "labels")))
+    assert new.count() == told.voxels_after and new.selectExpr("max(abs(z - 17))").first()[0] <= 1
+    assert tiff.volume_headers(spark, str(tmp_path / "out" / "labels")).first().n_pages == 40
     spark.createDataFrame([(m, float(v), 0.5) for m, c in (("a", 20), ("b", 4)) for v in range(c, c + 9)], "mesh string, range double, peak_offset double").write.parquet(str(tmp_path / "blocks"))
     assert cli.main(["onsheet", "--blocks", str(tmp_path / "blocks"), "--baseline", "a", "--compare", "b", "a", "--out", str(tmp_path / "out")]) == 0
     got = {r.mesh: r.verdict for r in spark.read.option("header", True).csv(str(tmp_path / "out" / "onsheet.csv")).collect()}
