@@ -121,11 +121,14 @@ def consistent_normals(points: DataFrame, key: str, point_id: str, k: int = 10)
     near = knn_edges(own, key, point_id, k).select(F.struct(F.col(key), F.col("a").alias(point_id)).alias("a"), F.struct(F.col(key), F.col("b").alias(point_id)).alias("b"))
     near = written(near, "near")
     sets = connected_components(near).select(F.col("node").alias("__id"), F.col("component").alias("__set"))
-    grouped = own.join(sets, "__id", "left").withColumn("__set", F.coalesce("__set", "__id"))
-    bridges = nearest_foreign(grouped, key, "__set", "__id").select("a", "b")
+    grouped = written(own.join(sets, "__id", "left").withColumn("__set", F.coalesce("__set", "__id")), "sets")
+    several = grouped.groupBy(key).agg(F.min("__set").alias("l"), F.max("__set").alias("h")).where("l <> h").select(key)
+    ties = near
+    if not several.isEmpty():
+        ties = near.union(nearest_foreign(grouped.join(several, key, "left_semi"), key, "__set", "__id").select("a", "b"))
     side = lambda s: own.select(F.col("__id").alias(s), *[F.col(f"n{a}").alias(f"{s}{a}") for a in AXES])
     dot = reduce(lambda s, t: s + t, [F.col(f"a{a}") * F.col(f"b{a}") for a in AXES])
-    weighed = near.union(bridges).join(side("a"), "a").join(side("b"), "b").select("a", "b", (1.0 - F.abs(dot) + 1e-6).alias("weight"), (dot < 0).alias("flip"))
+    weighed = ties.join(side("a"), "a").join(side("b"), "b").select("a", "b", (1.0 - F.abs(dot) + 1e-6).alias("weight"), (dot < 0).alias("flip"))
     signs = spanning_signs(weighed)
     out = own.join(signs.withColumnRenamed("node", "__id"), "__id", "left")
     sign = F.coalesce("sign", F.lit(1.0))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from plumbline.storage import written
 
@@ -76,19 +82,52 @@ def _normal_cdf(z: Column) -> Column:
     return F.when(z >= 0, 1 - upper).otherwise(upper)
 
 
+EXACT_SIZE = 8  #: a smaller sample up to which p is exact where no values are tied
+
+
+def lower_tail(n1: int, n2: int, u: int) -> float:
+    """P(U <= u) for samples without ties, by counting: the places of the smaller sample are a partition in a box.
+
+    The counts are the coefficients of prod (1 - q^(n + i)) / (1 - q^i), in whole numbers.
+    """
+    m, n = sorted((int(n1), int(n2)))
+    u = int(u)
+    if u < 0:
+        return 0.0
+    if 2 * u >= m * n:  # the other tail is shorter
+        return 1.0 - lower_tail(m, n, m * n - u - 1) if u < m * n else 1.0
+    counts = np.zeros(u + 1, object)
+    counts[0] = 1
+    for i in range(1, m + 1):  # divided by 1 - q^i: running sums in steps of i
+        for r in range(min(i, u + 1)):
+            counts[r::i] = np.cumsum(counts[r::i])
+    for i in range(1, m + 1):
+        if n + i <= u:
+            counts[n + i :] = counts[n + i :] - counts[: u + 1 - n - i]
+    return float(Fraction(int(counts.sum()), math.comb(m + n, m)))
+
+
+@F.pandas_udf(DoubleType())
+def _exact_p(n1: pd.Series, n2: pd.Series, u: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(a) else lower_tail(a, b, c) for a, b, c in zip(n1, n2, u, strict=True)], dtype=float)
+
+
 def mann_whitney_less(rows: DataFrame, keys: list[str], group: Column, value: str) -> DataFrame:
-    """Keys, n1, n2, U of the first sample and the one-sided p that it lies lower.
+    """Keys, n1, n2, U of the first sample, the one-sided p that it lies lower, and whether p is exact.
 
-    Average ranks over ties; p by the normal approximation with tie and
-    continuity correction.
+    Average ranks over ties.  p is exact where the smaller sample has up to
+    ``EXACT_SIZE`` rows and no two values are equal, else by the normal approximation
+    with tie and continuity correction.
     """
     s = _rank_sums(rows, keys, group, value)
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     s = s.withColumn("u", F.col("r1") - n1 * (n1 + 1) / 2)
-    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
-    s = s.withColumn("zscore", F.when(sd > 0, (F.col("u") - n1 * n2 / 2 + 0.5) / sd))
-    return s.select(*keys, "n1", "n2", "u", "zscore", F.coalesce(_normal_cdf(F.col("zscore")), F.lit(1.0)).alias("p"))
+    sd = F.when(n > 1, F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1)))))
+    exact = (F.col("ties") == 0) & (F.least("n1", "n2") <= EXACT_SIZE) & (F.least("n1", "n2") > 0)
+    s = s.withColumns({"zscore": F.when(sd > 0, (F.col("u") - n1 * n2 / 2 + 0.5) / sd), "exact": exact})
+    counted = _exact_p(*[F.when(exact, F.col(c)) for c in ("n1", "n2", "u")])
+    return s.select(*keys, "n1", "n2", "u", "zscore", F.coalesce(counted, _normal_cdf(F.col("zscore")), F.lit(1.0)).alias("p"), "exact")
 
 
 def auc(rows: DataFrame, keys: list[str], positive: Column, value: str) -> DataFrame:

@@ -174,6 +174,42 @@ def arc_lengths(points: DataFrame, keys: list[str], place: str) -> DataFrame:
     return points.withColumn("__step", F.coalesce(step, F.lit(0.0))).withColumn("arc", F.sum("__step").over(line.rowsBetween(Window.unboundedPreceding, 0))).drop("__step")
 
 
+def strip_places(points: DataFrame, keys: list[str], place: str, values: list[str], step: float = 1.0, least: int = 8) -> DataFrame:
+    """(keys, i, arc, values): ``values`` of a line of points (keys, place, z, y, x, values) at even steps of arc length.
+
+    A line of ``least`` points or more gets one place for each ``step`` of its length,
+    two at the least, from its first point to its last.  Each segment makes the places
+    that lie on it, so a line is never in one row; points that coincide make none.
+    """
+    line = Window.partitionBy(*keys).orderBy(place)
+    run = arc_lengths(points, keys, place)
+    ends = run.groupBy(*keys).agg(F.max("arc").alias("__total"), F.count(F.lit(1)).alias("__n")).where((F.col("__n") >= least) & (F.col("__total") > 0))
+    seg = run.select(*keys, place, "arc", *values, F.lead("arc").over(line).alias("__to"), *[F.lead(v).over(line).alias(f"__{v}") for v in values]).join(ends, keys)
+    last = F.greatest(F.lit(2), F.floor(F.col("__total") / step)) - 1
+    gap = F.col("__total") / last
+    first = lambda c: F.when(F.col(c) >= F.col("__total"), last).otherwise(F.least(last, F.ceil(F.col(c) / gap)))
+    until = F.when(F.col("__to") >= F.col("__total"), last).otherwise(first("__to") - 1)
+    open_ = seg.where(F.col("__to") > F.col("arc")).withColumns({"__first": first("arc").cast("long"), "__until": until.cast("long"), "__gap": gap}).where("__first <= __until")
+    each = open_.withColumn("i", F.explode(F.sequence("__first", "__until")))
+    share = (F.col("i") * F.col("__gap") - F.col("arc")) / (F.col("__to") - F.col("arc"))
+    at = F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
+    return each.select(*keys, "i", (F.col("i") * F.col("__gap")).alias("__arc"), *[(F.col(v) + at * (F.col(f"__{v}") - F.col(v))).alias(v) for v in values]).withColumnRenamed("__arc", "arc")
+
+
+def cross_sections(mesh: DataFrame, volume: DataFrame, reach: float, step: float = 1.0, every: int = 1) -> DataFrame:
+    """(mesh, r, i, depth, sample): the volume beside every ``every``-th row of a surface, one column for each ``step`` of arc.
+
+    ``mesh`` with normals (mesh, r, c, z, y, x, nz, ny, nx, valid), ``volume`` (mesh, z, y, x, value).
+    """
+    own = mesh.where(F.col("valid") & (F.col("r") % every == 0))
+    placed = strip_places(own, ["mesh", "r"], "c", [*AXES, *[f"n{a}" for a in AXES]], step)
+    long = F.sqrt(reduce(lambda s, t: s + t, [F.col(f"n{a}") ** 2 for a in AXES])) + 1e-9
+    depths = F.explode(pf.offsets(reach, step)).alias("depth")
+    walked = placed.select("mesh", "r", "i", *AXES, *[(F.col(f"n{a}") / long).alias(f"n{a}") for a in AXES], depths)
+    points = walked.select("mesh", F.struct("r", "i", "depth").alias("at"), *[(F.col(a) + F.col(f"n{a}") * F.col("depth")).alias(a) for a in AXES])
+    return trilinear(points, volume, "mesh", "at").select("mesh", "at.r", "at.i", "at.depth", "sample")
+
+
 def naive_alignment(samples: DataFrame, key: str, radius: float | str, step: float, noise: float = 1.0) -> DataFrame:
     """Each point's own largest sample, kept for comparison with cells; it follows the radius.
 

@@ -8,7 +8,7 @@ from plumbline.functions import profiles as pf
 from plumbline.operators import census, corpus, leakage, ranks, surfaces, voxels
 from plumbline.operators import boxes as bx
 from plumbline.plans.proxies import BOXES_SQL, VOXELS_SQL, line_voxels, part_boxes, table
-from plumbline.plans.registry import _GRID_SQL, _PROFILE_SQL, _grid, components_sql, profiles, query, rounded
+from plumbline.plans.registry import _GRID_SQL, _PROFILE_SQL, _grid, components_sql, normal_p_sql, profiles, query, rounded
 from plumbline.sources import reports, zarr
 from plumbline.streaming import resume
 
@@ -196,20 +196,21 @@ def _mann_whitney_sql(rows: str, key: str) -> str:
     """The rank-sum test in SQL over ``rows`` (key, g, v)."""
     return f"""{rows}, r AS (SELECT {key}, g, rank() OVER (PARTITION BY {key} ORDER BY v) + (count(*) OVER (PARTITION BY {key}, v) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY {key}, v) AS t FROM b),
 s AS (SELECT {key}, count(*) FILTER (g) AS n1, count(*) FILTER (NOT g) AS n2, sum(rk) FILTER (g) AS r1, sum(CAST(t * t - 1 AS DOUBLE)) AS ties FROM r GROUP BY ALL)
-SELECT {key}, n1, n2, round(r1 - n1 * (n1 + 1) / 2.0, 3) AS u, round((r1 - n1 * (n1 + 1) / 2.0 - n1 * n2 / 2.0 + 0.5) / sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1.0)))), 5) AS zscore FROM s"""
+SELECT {key}, n1, n2, round(r1 - n1 * (n1 + 1) / 2.0, 3) AS u, round(z, 5) AS zscore, CASE WHEN ties > 0 OR least(n1, n2) > 8 THEN round({normal_p_sql("z")}, 5) END AS p_normal
+FROM (SELECT *, (r1 - n1 * (n1 + 1) / 2.0 - n1 * n2 / 2.0 + 0.5) / sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1.0)))) AS z FROM s)"""
 
 
 @query(_mann_whitney_sql("""WITH b AS (SELECT setting, c_mktsegment = 'BUILDING' AS g, c_custkey // setting AS block, avg(c_acctbal) AS v FROM customer, (SELECT CAST(unnest([8, 12, 16]) AS INTEGER) AS setting) GROUP BY ALL)""", "setting"))
 def robustness_grid(spark, sf_dir):
     found = ranks.robustness_grid(table(spark, sf_dir, "customer"), [8, 12, 16], "c_custkey", F.col("c_mktsegment") == "BUILDING", "c_acctbal")
-    return found.select("setting", "n1", "n2", F.round("u", 3).alias("u"), F.round("zscore", 5).alias("zscore"))
+    return found.select("setting", "n1", "n2", F.round("u", 3).alias("u"), F.round("zscore", 5).alias("zscore"), F.when(~F.col("exact"), F.round("p", 5)).alias("p_normal"))
 
 
 @query(_mann_whitney_sql("WITH b AS (SELECT 'pooled' AS series, c_nationkey < 10 AS g, c_acctbal AS v FROM customer)", "series"))
 def pooled_mann_whitney(spark, sf_dir):
     """Both series' blocks as one sample each: no key but a constant."""
     found = ranks.mann_whitney_less(table(spark, sf_dir, "customer").withColumn("series", F.lit("pooled")), ["series"], F.col("c_nationkey") < 10, "c_acctbal")
-    return found.select("series", "n1", "n2", F.round("u", 3).alias("u"), F.round("zscore", 5).alias("zscore"))
+    return found.select("series", "n1", "n2", F.round("u", 3).alias("u"), F.round("zscore", 5).alias("zscore"), F.when(~F.col("exact"), F.round("p", 5)).alias("p_normal"))
 
 
 @query(f"""WITH {VOXELS_SQL}, {_blur_sql(2.0)}

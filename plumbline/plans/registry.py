@@ -239,11 +239,19 @@ _RANKS_SQL = """r AS (SELECT c_nationkey, c_mktsegment = 'BUILDING' AS g, c_acct
 s AS (SELECT c_nationkey, count(*) FILTER (g) AS n1, count(*) FILTER (NOT g) AS n2, coalesce(sum(rk) FILTER (g), 0) AS r1, sum(CAST(t * t - 1 AS DOUBLE)) AS ties FROM r GROUP BY ALL)"""
 
 
+def normal_p_sql(z: str) -> str:
+    """The normal distribution function, to 1e-7, as SQL."""
+    t = f"(1 / (1 + 0.2316419 * abs({z})))"
+    upper = f"(exp(-{z} * {z} / 2) * 0.3989422804014327 * {t} * (0.319381530 + {t} * (-0.356563782 + {t} * (1.781477937 + {t} * (-1.821255978 + {t} * 1.330274429)))))"
+    return f"CASE WHEN {z} >= 0 THEN 1 - {upper} ELSE {upper} END"
+
+
 @query(f"""WITH {_RANKS_SQL}, u AS (SELECT *, r1 - n1 * (n1 + 1) / 2.0 AS u, sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1.0)))) AS sd FROM s)
-SELECT c_nationkey, n1, n2, round(u, 4) AS u, round(CASE WHEN sd > 0 THEN (u - n1 * n2 / 2.0 + 0.5) / sd END, 5) AS zscore FROM u""")
+SELECT c_nationkey, n1, n2, round(u, 4) AS u, round(z, 5) AS zscore, CASE WHEN NOT exact THEN round(coalesce({normal_p_sql("z")}, 1), 5) END AS p_normal, exact
+FROM (SELECT *, CASE WHEN sd > 0 THEN (u - n1 * n2 / 2.0 + 0.5) / sd END AS z, ties = 0 AND least(n1, n2) BETWEEN 1 AND 8 AS exact FROM u)""")
 def mann_whitney(spark, sf_dir):
     found = ranks.mann_whitney_less(table(spark, sf_dir, "customer"), ["c_nationkey"], F.col("c_mktsegment") == "BUILDING", "c_acctbal")
-    return found.select("c_nationkey", "n1", "n2", F.round("u", 4).alias("u"), F.round("zscore", 5).alias("zscore"))
+    return found.select("c_nationkey", "n1", "n2", F.round("u", 4).alias("u"), F.round("zscore", 5).alias("zscore"), F.when(~F.col("exact"), F.round("p", 5)).alias("p_normal"), "exact")
 
 
 @query(f"""WITH {_RANKS_SQL} SELECT c_nationkey, n1 AS n_pos, n2 AS n_neg, round(CASE WHEN n1 > 0 AND n2 > 0 THEN 1 - (r1 - n1 * (n1 + 1) / 2.0) / (n1 * n2) END, 6) AS auc FROM s""")

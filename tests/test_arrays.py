@@ -186,6 +186,8 @@ def test_alignment_finds_a_planted_offset(spark):
     assert summary.first().median == pytest.approx(3.0, abs=0.3)
     r = summary.first()
     assert r.global_low <= r.global_offset_raw <= r.global_high and r.global_high - r.global_low < 0.5
+    weak = audit.align(_voxels(spark, a), p, (40, 24, 24), radius=8.0, cell=12, least=20, least_snr=1000.0, resamples=0)[1].first()
+    assert not weak.reliable and weak.global_offset is None and weak.global_offset_raw == pytest.approx(3.0, abs=0.3)
     auto = audit.align(_voxels(spark, a), p, (40, 24, 24), cell=12, least=20, resamples=0, naive=True)[1].first()
     assert auto.radius == 6.0 and np.isnan(auto.global_low) and auto.global_offset_raw == pytest.approx(3.0, abs=0.3) and auto.naive_abs_median == pytest.approx(3.0, abs=0.5)
 

@@ -135,3 +135,48 @@ def test_erosion_in_blocks(spark):
             want &= np.roll(wide, s, a)[1:-1, 1:-1, 1:-1]
     assert {(r.z, r.y, r.x) for r in voxels.eroded(df, "volume", shape).collect()} == set(map(tuple, np.argwhere(want).tolist()))
     assert voxels.eroded(df.where(F.lit(False)), "volume", shape).count() == 0
+
+
+def test_rank_sum_tails_are_counted():
+    from itertools import combinations
+
+    from plumbline.operators import ranks
+
+    for n1, n2 in ((1, 1), (2, 3), (4, 4), (5, 3), (1, 9)):
+        sums = [sum(c) - n1 * (n1 - 1) // 2 for c in combinations(range(n1 + n2), n1)]
+        for u in range(-1, n1 * n2 + 2):
+            assert ranks.lower_tail(n1, n2, u) == pytest.approx(np.mean([s <= u for s in sums])), (n1, n2, u)
+    assert 0.49 < ranks.lower_tail(8, 5000, 20_000) < 0.51
+
+
+def test_exact_and_normal_p(spark):
+    from itertools import combinations
+
+    from plumbline.operators import ranks
+
+    rng = np.random.default_rng(11)
+    rows = [("small", i < 5, float(v)) for i, v in enumerate(rng.permutation(14))] + [("tied", i < 5, float(v)) for i, v in enumerate([1, 1, 2, 3, 4, 5, 6, 7, 8])] + [("large", i < 20, float(v)) for i, v in enumerate(rng.random(50))] + [("empty", True, 1.0)]
+    df = spark.createDataFrame(rows, "k string, g boolean, v double")
+    got = {r.k: r for r in ranks.mann_whitney_less(df, ["k"], F.col("g"), "v").collect()}
+    assert {k for k, r in got.items() if r.exact} == {"small"}
+    own = [sum(c) - 10 for c in combinations(range(14), 5)]
+    assert got["small"].p == pytest.approx(np.mean([s <= got["small"].u for s in own]))
+    assert got["empty"].p == 1.0 and 0 < got["large"].p < 1
+
+
+def test_cross_sections_step_along_the_arc(spark):
+    from plumbline.operators import surfaces
+
+    rows = [("m", 0, c, 10.0 + (3.0 * max(c - 5, 0)), 4.0, 4.0 * min(c, 5) + 2.0, 1.0, 0.0, 0.0, True) for c in range(10)] + [("m", 1, c, 1.0, 1.0, float(c), 1.0, 0.0, 0.0, True) for c in range(5)]
+    mesh = spark.createDataFrame(rows, "mesh string, r int, c int, z double, y double, x double, nz double, ny double, nx double, valid boolean")
+    placed = surfaces.strip_places(mesh, ["mesh", "r"], "c", ["z", "x"], 1.0).orderBy("r", "i").collect()
+    total = 5 * 4.0 + 4 * 3.0
+    assert {r.r for r in placed} == {0} and [r.i for r in placed] == list(range(32))
+    want = np.linspace(0, total, 32)
+    assert [r.arc for r in placed] == pytest.approx(list(want))
+    assert [r.z for r in placed] == pytest.approx([10 + max(w - 20, 0) for w in want]) and [r.x for r in placed] == pytest.approx([2 + min(w, 20) for w in want])
+    volume = spark.createDataFrame([("m", z, 4, x, float(z)) for z in range(0, 40) for x in range(0, 30)], "mesh string, z int, y int, x int, value double")
+    got = surfaces.cross_sections(mesh, volume, 2.0).collect()
+    assert len(got) == 32 * 5
+    for r in got:
+        assert r.sample == pytest.approx(placed[r.i].z + r.depth)

@@ -163,9 +163,6 @@ def test_align_regularise_and_onsheet_verbs(spark, tmp_path):
     assert cli.main(["align", *args]) == 0
     r = spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "out" / "align.csv")).first()
     assert r.reliable and r.global_offset == pytest.approx(3.0, abs=0.3) and r["median"] == pytest.approx(3.0, abs=0.3) and r.global_snr > 2
-    assert cli.main(["align", *args, "--min-global-snr", "1000"]) == 0
-    r = spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "out" / "align.csv")).first()
-    assert not r.reliable and r.global_offset is None and r.global_offset_raw == pytest.approx(3.0, abs=0.3)
     assert cli.main(["regularise", *args]) == 0
     told = spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "out" / "regularise.csv")).first()
     assert told.reliable and told.voxels_before == 24 * 24 and told.n_resolved == 4
@@ -182,7 +179,7 @@ def test_align_regularise_and_onsheet_verbs(spark, tmp_path):
 @pytest.mark.parametrize("name", ["split_leakage", "midrank", "mean_profiles", "voxel_erosion", "overlap_components", "pooled_mann_whitney", "robustness_grid", "containment_choice", "random_split_baseline", "nearest_seed", "box_gaps", "onsheet_blocks", "profile_peaks", "voxel_planarity"])
 def test_registered_queries_match_their_sql(spark, sf, name):
     import duckdb
-    from plumbline.plans import more, registry  # noqa: F401  (more adds its queries)
+    from plumbline.plans import more, registry, shapes  # noqa: F401  (they add their queries)
 
     con = duckdb.connect()
     for t in "customer supplier part orders lineitem events documents embeddings".split():
