@@ -4,11 +4,15 @@
    at most ``TRAIN_ROWS`` rows a domain are used; its words are all those of these
    rows whose evidence for a domain is high enough.
 2. Every document gets a posterior over the domains from all its words.
-3. Projected-gradient least squares finds rates r >= 0, starting from 1, so
-   that the expected domain tokens sum(r * tokens * posterior) meet the targets.
-   A step is one aggregation (K sums and K * K curvature sums) over the rows
-   that are still above zero; r follows from the K numbers of each step, so no
-   state is kept for a document.  A step that widens the squared gap is halved.
+3. Projected-gradient least squares finds rates r >= 0 so that the expected domain
+   tokens sum(r * tokens * posterior) meet the targets.  The gradient of the squared
+   gap for a rate is its posterior times the gap, so steps add up to one number a
+   domain, m, and the projection is taken of their sum: r = max(0, 1 + m . posterior).
+   Of all rates that meet the targets these are nearest to 1 (tokens as weights).  No
+   state is kept for a document.  A step is one aggregation over all rows, which tries
+   two directions, the gap and the gap scaled by the curvature of the rows above zero,
+   at several lengths, and takes the least squared gap.  Steps end when every target
+   is met to ``CLOSE``, or when none narrows the gap.
 
 DataFrame functions only.  The words of the model, which the labelled sample
 bounds, are the only broadcast side; a document's words never leave its task but
@@ -39,7 +43,9 @@ LEAST_DOCS = 3  #: a word of the model occurs in so many labelled documents
 LEAST_EVIDENCE = 60.0  #: and its likelihood ratio statistic for some domain is so high; of 12, 60, 120 and 250 it told held-out labels best
 FIT_STEPS = 16
 RIDGE = 0.3
-STEPS = 12
+CLOSE = 1e-5  #: of all tokens
+LENGTHS = (1.0, 0.7, 0.4, 0.2, 0.1, 0.03, 0.01, 0.001)
+STALLED = 1e-3  #: a step that narrows the squared gap by a lesser share is the last
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -163,45 +169,51 @@ def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
     return [r[n] / r[i] if r[i] else 0.0 for i, r in enumerate(rows)]
 
 
-def fit_rates(soft: DataFrame, domains: list[str], targets: dict[str, float], steps: int = STEPS) -> tuple[DataFrame, list[dict[str, float]]]:
-    """``soft`` with ``rate``, and the domain totals before each step.
+def fit_rates(soft: DataFrame, domains: list[str], targets: dict[str, float]) -> tuple[DataFrame, list[dict[str, float]]]:
+    """``soft`` with ``rate``, and the domain totals before each step and at the end.
 
-    ``targets``: tokens wanted of each domain.  A row's change counts with its
-    tokens, so the gradient of the squared gap for a rate is -posterior . gap; it
-    is scaled by the curvature of the rows above zero, then the rate is cut at
-    zero.
+    ``targets``: tokens wanted of each domain.
     """
-    k = range(len(domains))
+    k, m = range(len(domains)), len(domains)
     p = [F.col(f"p{i}") for i in k]
     want = [float(targets[d]) for d in domains]
 
-    def rated(moves: list[list[float]]) -> Column:
-        if not moves:
-            return F.lit(1.0)
-        taken = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in moves])
-        return F.aggregate(taken, F.lit(1.0), lambda r, c: F.greatest(F.lit(0.0), r + sum((c[i] * p[i] for i in k[1:]), c[0] * p[0])))
-
-    kept: list[list[float]] = []
-    least, step, history = math.inf, [0.0 for _ in k], []
-    moves = kept
-    for _ in range(steps):
-        mass = [F.sum(F.col("rate") * F.col("n_tokens") * p[i]) for i in k]
-        curve = [F.sum(F.when(F.col("rate") > 0, F.col("n_tokens") * p[i] * p[j]).otherwise(0.0)) for i in k for j in k]
-        got = [float(x or 0.0) for x in soft.withColumn("rate", rated(moves)).agg(*mass, *curve).first()]
-        totals, flat = got[: len(domains)], got[len(domains) :]
-        history.append(dict(zip(domains, totals, strict=True)))
+    def rated(moves: list[float]) -> Column:
+        return F.greatest(F.lit(0.0), sum((moves[i] * p[i] for i in k), F.lit(1.0)))
+
+    def measured(tried: list[list[float]]) -> list[list[float]]:
+        """For each of the tried moves the domain totals."""
+        rows = soft.select("n_tokens", *p, *[rated(c).alias(f"r{t}") for t, c in enumerate(tried)])
+        got = rows.agg(*[F.sum(F.col(f"r{t}") * F.col("n_tokens") * p[i]) for t in range(len(tried)) for i in k]).first()
+        return [[float(x or 0.0) for x in got[t * m : (t + 1) * m]] for t in range(len(tried))]
+
+    def curvature(moves: list[float]) -> list[list[float]]:
+        """Over the rows above zero, sum of tokens times the product of two posteriors."""
+        got = soft.where(rated(moves) > 0).agg(*[F.sum(F.col("n_tokens") * p[i] * p[j]) for i in k for j in k]).first()
+        return [[float(got[i * m + j] or 0.0) for j in k] for i in k]
+
+    moves = [0.0 for _ in k]
+    (totals,) = measured([moves])
+    history = [dict(zip(domains, totals, strict=True))]
+    while True:
         gap = [w - t for w, t in zip(want, totals, strict=True)]
         square = sum(g * g for g in gap)
-        if square < least:
-            least, kept = square, moves
-            if max(abs(g) for g in gap) <= 1e-6 * max(1.0, sum(want)):
-                break
-            ridge = 1e-6 * max(flat, default=0.0) + 1e-12
-            step = _solve([[flat[i * len(domains) + j] + (ridge if i == j else 0.0) for j in k] for i in k], gap)
-        else:  # beyond the least gap on this line
-            step = [x / 2 for x in step]
-        moves = [*kept, step]
-    return soft.withColumn("rate", rated(kept)), history
+        if max((abs(g) for g in gap), default=0.0) <= CLOSE * max(1.0, sum(want)):
+            break
+        curve = curvature(moves)
+        ridge = 1e-9 * max(map(max, curve), default=0.0) + 1e-12
+        scaled = _solve([[curve[i][j] + (ridge if i == j else 0.0) for j in k] for i in k], gap)
+        bent = sum(gap[i] * curve[i][j] * gap[j] for i in k for j in k)
+        plain = [g * square / bent if bent > 0 else 0.0 for g in gap]
+        tried = [[a + length * x for a, x in zip(moves, c, strict=True)] for c in (scaled, plain) for length in LENGTHS]
+        found = measured(tried)
+        squares = [sum((w - t) ** 2 for w, t in zip(want, got, strict=True)) for got in found]
+        best = min(range(len(tried)), key=squares.__getitem__)
+        if squares[best] >= (1 - STALLED) * square:
+            break
+        moves, totals = tried[best], found[best]
+        history.append(dict(zip(domains, totals, strict=True)))
+    return soft.withColumn("rate", rated(moves)), history
 
 
 def rates(docs: DataFrame, labels: DataFrame, shares: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,6 +222,10 @@ def rates(docs: DataFrame, labels: DataFrame, shares: dict[str, float], id_col:
     ``shares``: wanted share of all tokens for each domain of ``labels``
     (doc_id, domain); a domain without one keeps its expected share of the rest.
     """
+    if docs.isEmpty():
+        kind = docs.schema[id_col].dataType.simpleString()
+        names = sorted(r[0] for r in labels.where("domain is not null").select("domain").distinct().limit(65).collect())
+        return docs.sparkSession.createDataFrame([], f"doc_id {kind}, n_tokens long, {''.join(f'`p_{d}` double, ' for d in names)}rate double")
     domains, bias, table = fit_classifier(docs, labels, id_col, text_col)
     soft = written(posteriors(docs, domains, bias, table, id_col, text_col), "mix-soft")
     now = soft.agg(F.sum("n_tokens"), *[F.sum(F.col("n_tokens") * F.col(f"p{i}")) for i in range(len(domains))]).first()

@@ -321,12 +321,34 @@ def test_rates_against_least_squares(spark):
         best = np.linalg.norm(np.array(list(targets.values())) - (rate * n) @ p)
         known = [np.linalg.norm([targets[d] - h[d] for d in targets]) for h in history]
         assert (r >= 0).all() and abs(np.linalg.norm(gap) - min(known)) < 1e-6 * sum(targets.values())
-        if targets["a"]:  # a target within reach is met; at the edge of the cone the fit has STEPS steps
+        if targets["a"]:  # a target within reach is met; at the edge of the cone steps grow small
             assert best < 1 and np.linalg.norm(gap) < 1
         else:
             assert np.linalg.norm(gap) < 0.5 * known[0]
 
 
+@pytest.mark.parametrize("share", [0.02, 0.05, 0.3])
+def test_rates_of_nearly_hard_posteriors_meet_their_targets(spark, share):
+    """Texts whose words tell their domain, with a soft edge: targets are met to a tenth of a per cent."""
+    rng = np.random.default_rng(12)
+    kind = rng.choice(3, 3000, p=[0.82, 0.08, 0.10])
+    p = np.where(rng.random((3000, 1)) < 0.9, 0.99 * np.eye(3)[kind] + 0.01 / 3, rng.dirichlet([2, 1, 1], 3000))
+    n = rng.integers(1, 3000, 3000)
+    soft = spark.createDataFrame([(int(n[k]), *map(float, p[k])) for k in range(3000)], "n_tokens long, p0 double, p1 double, p2 double")
+    now = (n[:, None] * p).sum(0)
+    targets = {"good": (1 - share) * n.sum() * now[0] / (now[0] + now[1]), "poor": (1 - share) * n.sum() * now[1] / (now[0] + now[1]), "toxic": share * n.sum()}
+    rated, history = mixing.fit_rates(soft, list(targets), targets)
+    got = rated.agg(*[F.sum(F.col("rate") * F.col("n_tokens") * F.col(f"p{i}")) for i in range(3)], F.min("rate")).first()
+    assert all(abs(got[i] - t) < 1e-3 * n.sum() for i, t in enumerate(targets.values())) and got[3] >= 0
+    assert len(history) < 12
+
+
+def test_mixing_of_an_empty_table(spark):
+    labels = spark.createDataFrame([(1, "good"), (2, "bad")], "doc_id long, domain string")
+    got = mixing.rates(empty(spark), labels, {"bad": 0.1})
+    assert got.collect() == [] and got.columns == ["doc_id", "n_tokens", "p_bad", "p_good", "rate"]
+
+
 def test_mixing(spark):
     docs = spark.createDataFrame([(k, ("fine words here " if k % 4 else "nasty trash there ") * (3 + k % 5) + f"doc{k}", "x") for k in range(400)] + [(900, None, "x"), (901, "", "x"), (5, "fine words here", "x")], "doc_id long, text string, rate string")
     labels = spark.createDataFrame([(k, "good" if k % 4 else "bad") for k in range(0, 200)], "doc_id long, domain string")
