@@ -32,11 +32,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.kit import begins, unused
-from plumbline.llm.shared_files import shard_bits
+from plumbline.llm.shared_files import HashSet, shard_bits, shared_folder, without_ids
 from plumbline.storage import written
 
 RUN_BITS = 5  #: quotient bits besides those that deal filters to shards: runs of a filter
-BROADCAST_FINGERPRINTS = 200_000  #: 1.6 MB; more of them are joined by a shuffle
 
 _ONE_SPACE = bytes.maketrans(b"\t\n\v\f\r", b"     ")
 
@@ -143,14 +142,19 @@ def repeated(prints: DataFrame) -> DataFrame:
     return filters.groupBy("shard").applyInPandas(_merge_shard(bits), "fp long, n long")
 
 
-def _normal_rows(batches):
-    begins("prints")
-    for batch in batches:
-        norms = [normalised(v.as_buffer().to_pybytes() if v.is_valid else b"") for v in batch.column(1)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in norms], pa.int64()), pa.array(norms, pa.binary())],
-            names=["doc_id", "fp", "norm"],
-        )
+def _suspects(folder: str, bits: int):
+    """Normalised texts whose fingerprint is stored, with it; all others end in the scan."""
+
+    def run(batches):
+        begins("prints")
+        wanted = HashSet.opened(folder, bits)
+        for batch in batches:
+            norms = [normalised(v.as_buffer().to_pybytes() if v.is_valid else b"") for v in batch.column(1)]
+            fps = np.array([xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in norms], np.int64)
+            hit = np.flatnonzero(wanted.contains(fps.view(np.uint64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hit)), pa.array(fps[hit]), pa.array([norms[k] for k in hit], pa.binary())], names=["doc_id", "fp", "norm"])
+
+    return run
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,13 +164,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows with that id one is kept.
     """
     prints = written(fingerprints(docs, id_col, text_col), "prints")
-    often = written(repeated(prints), "repeated")
-    few = often.count() <= BROADCAST_FINGERPRINTS
+    folder, bits = shared_folder(docs.sparkSession, "repeated"), shard_bits(docs.sparkSession)
+    HashSet.write(repeated(prints).select(F.col("fp").alias("h")), folder, bits)
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("fp", T.LongType()), T.StructField("norm", T.BinaryType())])
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_normal_rows, schema)
-    keys = often.select("fp")
-    suspects = texts.join(F.broadcast(keys) if few else keys, "fp", "left_semi")
+    suspects = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_suspects(folder, bits), schema)
     groups = (
         suspects.groupBy("fp", "norm")
         .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
@@ -188,10 +190,19 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    own, sha = (unused(n, docs.columns) for n in ("kept_id", "kept_sha"))
-    verdict = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(own), F.col("text_sha256").alias(f"{sha}_of"))
+    """The rows of ``docs`` that stay, with all their columns.
+
+    The ids that go are asked in the scan.  Only rows whose id is repeated and has
+    rows of both kinds are told apart by their texts.
+    """
+    sha = unused("kept_sha", docs.columns)
+    judged = exact_duplicates(docs, id_col, text_col).groupBy("doc_id", "text_sha256").agg(F.bool_or("kept").alias("stays"), F.count(F.lit(1)).alias("rows"))
+    pairs = written(judged, "pairs")
+    one = F.min("stays") & (F.sum("rows") == 1)
+    fates = pairs.groupBy(F.col("doc_id").alias("id")).agg(F.when(one, "stays").when(~F.max("stays"), "goes").otherwise("looked at").alias("fate"))
+    stay, doubtful = without_ids(docs, id_col, written(fates, "fates"))
     norm = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    keyed = docs.withColumn(sha, F.sha2(norm, 256))
-    left = keyed.join(verdict, keyed[id_col].eqNullSafe(verdict[own]) & (keyed[sha] == verdict[f"{sha}_of"]), "left_semi")
-    return left.dropDuplicates([id_col, sha]).drop(sha)
+    keyed = doubtful.withColumn(sha, F.sha2(norm, 256))
+    kept = pairs.where("stays").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    told = keyed.join(kept, keyed[id_col].eqNullSafe(kept["__id"]) & (keyed[sha] == kept["__sha"]), "left_semi").dropDuplicates([id_col, sha]).drop(sha)
+    return stay.unionByName(told)

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.kit import begins, lists, mix64, row_slices, unique_in_rows, utf8, windows, words
-from plumbline.llm.shared_files import HashSet, shard_bits, shared_folder
+from plumbline.llm.shared_files import HashSet, shard_bits, shared_folder, without_ids
 from plumbline.operators.graph import connected_components
 from plumbline.storage import written
 
@@ -48,7 +48,6 @@ RECALL = 0.9995
 MOST_HASHES = 128
 MOST_ROWS = 2048  #: nodes of a block
 MOST_GRAMS = 2_000_000  #: n-grams of a block, but for one node's own
-BROADCAST_IDS = 200_000  #: ids that are broadcast (some MB); more of them are joined by a shuffle
 COLUMNS = 1024  #: n-grams in one matrix product
 SEED = 0x5EED
 
@@ -300,12 +299,8 @@ def representatives(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORD
     of them names its class; of repeated rows (same id and text) one stays.
     """
     members, _ = similarity_classes(docs, threshold, n, id_col, text_col)
-    ids = written(members.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("class_id")).alias("stays"), F.count(F.lit(1)).alias("rows")), "stays")
-    gone = ids.where("not stays").select(F.col("doc_id").alias("__gone"))
-    few = gone.count() <= BROADCAST_IDS  # then no text is shuffled
-    kept = docs.join(F.broadcast(gone) if few else gone, docs[id_col] == gone["__gone"], "left_anti")
-    twice = ids.where("stays and rows > 1").select(F.col("doc_id").alias("__twice"))
-    if twice.isEmpty():
-        return kept
-    once = kept.join(twice, kept[id_col] == twice["__twice"], "left_semi").dropDuplicates([id_col, text_col])
-    return kept.join(twice, kept[id_col] == twice["__twice"], "left_anti").unionByName(once)
+    own = F.col("doc_id") == F.col("class_id")
+    fate = F.when(F.col("doc_id").isNull() | (F.bool_or(own) & (F.count(F.lit(1)) == 1)), "stays").when(F.bool_or(own), "looked at").otherwise("goes")
+    fates = written(members.groupBy("doc_id").agg(fate.alias("fate")).select(F.col("doc_id").alias("id"), "fate"), "fates")
+    stay, doubtful = without_ids(docs, id_col, fates)
+    return stay.unionByName(doubtful.dropDuplicates([id_col, text_col]))

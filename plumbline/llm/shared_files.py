@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.storage import scratch_path
 
@@ -117,6 +118,42 @@ class HashSet:
         return out
 
 
+def asked(folder: str, bits: int):
+    """A function of a column of 64-bit hashes: whether the stored set holds them.
+
+    Only the hashes go to Python; the rows' other columns stay where they are.
+    """
+
+    @F.pandas_udf(T.BooleanType())
+    def contains(h: pd.Series) -> pd.Series:
+        return pd.Series(HashSet.opened(folder, bits).contains(h.to_numpy().view(np.uint64)))
+
+    return contains
+
+
+def without_ids(docs: DataFrame, id_col: str, fates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` that stay, and those that have to be looked at again.
+
+    ``fates`` (id, fate): one row for each id of ``docs``, which stays, goes or is looked
+    at.  The hashes of ids that do not stay are stored and asked in the scan, so no text
+    is shuffled, however many go; ids that stay but share such a hash come back by a join.
+    """
+    spark = docs.sparkSession
+    bits, folder, looked_at = shard_bits(spark), shared_folder(spark, "gone"), shared_folder(spark, "looked-at")
+    hashed = fates.select("id", "fate", F.xxhash64("id").alias("h"))
+    HashSet.write(hashed.where("fate <> 'stays'").select("h").distinct(), folder, bits)
+    own = F.xxhash64(id_col)
+    stay = docs.where(~asked(folder, bits)(own))
+    misled = hashed.where("fate = 'stays'").where(asked(folder, bits)("h")).select(F.col("id").alias("__id"))
+    if not misled.isEmpty():
+        stay = stay.unionByName(docs.join(misled, docs[id_col].eqNullSafe(misled["__id"]), "left_semi"))
+    doubtful = hashed.where("fate = 'looked at'")
+    if not HashSet.write(doubtful.select("h").distinct(), looked_at, bits):
+        return stay, docs.limit(0)
+    few = doubtful.select(F.col("id").alias("__id"))
+    return stay, docs.where(asked(looked_at, bits)(own)).join(few, docs[id_col].eqNullSafe(few["__id"]), "left_semi")
+
+
 class HashCounts(HashSet):
     """64-bit hashes with a count each, stored likewise."""
 
