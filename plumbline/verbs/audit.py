@@ -46,8 +46,13 @@ def leak(names: DataFrame, sizes: DataFrame | None = None, size: int = 300, k: i
     safe = written(leakage.with_buffer_zone(blocked, graph), "folds")
     numbered = splits._numbered(b.select("name"))[0].select(F.col("name").alias("id"), F.col("i").cast("long").alias("i"))
     ids = graph.join(numbered.withColumnRenamed("id", "a").withColumnRenamed("i", "ia"), "a").join(numbered.withColumnRenamed("id", "b").withColumnRenamed("i", "ib"), "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"), "fraction")
+    n = b.count()
+    if n * trials <= splits.MOST_NAMES:
+        random = splits.random_trials(b.sparkSession, n, ids, k, trials)
+    else:  # such shuffles are drawn in one place; beyond their bound trials go by md5
+        random = splits.hashed_trials(b.select("id"), graph, k, trials)
     return {
-        "unparsed": unparsed, "overlap": boxes.overlap_summary(graph), "usual": leakage.split_leakage(folds, graph), "random": splits.random_trials(b.sparkSession, b.count(), ids, k, trials),
+        "unparsed": unparsed, "overlap": boxes.overlap_summary(graph), "usual": leakage.split_leakage(folds, graph), "random": random,
         "folds": safe, "stats": leakage.fold_stats(blocked, safe), "residual": leakage.residual_leaks(safe, graph), "splits": splits.splits_json(safe.select("fold", "role", F.col("id").alias("name"))),
     }
 

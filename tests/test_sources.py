@@ -146,6 +146,12 @@ def test_scan_and_leakage_verbs(spark, tmp_path):
     assert cli.main(["leakage", "--names-file", str(names), "--trials", "3", "--out", str(tmp_path / "out")]) == 0
     split = json.loads((tmp_path / "out" / "splits_final.json").read_text())
     assert len(split) == 5 and sorted(n for f in split for n in f["val"]) == sorted(x.removesuffix(".tif") for x in names.read_text().split())
+    few = spark.createDataFrame([(f"s1_z{z}_y0_x0",) for z in range(0, 1500, 150)], "name string")
+    drawn = audit.leak(few, k=3, trials=4)["random"].first()
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(audit.splits, "MOST_NAMES", 20)
+        hashed = audit.leak(few, k=3, trials=4)["random"].first()
+    assert hashed.trials == drawn.trials == 4 and 0 < hashed.contaminated_pct_mean <= 100
     (tmp_path / "empty.txt").write_text("\n")
     assert cli.main(["leakage", "--names-file", str(tmp_path / "empty.txt"), "--out", str(tmp_path / "out")]) == 2
 
