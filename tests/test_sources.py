@@ -50,6 +50,78 @@ def test_tiff_headers_planes_and_errors(spark, tmp_path):
     assert {(r.volume, r.n, r.s) for r in v} == {(n, int((a > 0).sum()), float(a.sum())) for n in ("one", "two")}
 
 
+def striped_tiff(path, a, tall, order="<", deflate=False):
+    """Pages of strips of ``tall`` rows; all directories come after all samples."""
+    out, pages = bytearray((b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 0)), []
+    for page in a:
+        strips = []
+        for y in range(0, a.shape[1], tall):
+            data = page[y : y + tall].astype(page.dtype.newbyteorder(order)).tobytes()
+            data = zlib.compress(data) if deflate else data
+            strips.append((len(out), len(data)))
+            out += data
+        pages.append(strips)
+    link = 4
+    for strips in pages:
+        arrays = len(out)
+        out += struct.pack(f"{order}{2 * len(strips)}I", *[o for o, _ in strips], *[n for _, n in strips])
+        struct.pack_into(order + "I", out, link, len(out))
+        n = len(strips)
+        tags = [(256, 4, 1, a.shape[2]), (257, 4, 1, a.shape[1]), (258, 3, 1, a.dtype.itemsize * 8), (259, 3, 1, 8 if deflate else 1), (273, 4, n, arrays if n > 1 else strips[0][0]), (277, 3, 1, 1), (278, 4, 1, tall), (279, 4, n, arrays + 4 * n if n > 1 else strips[0][1]), (339, 3, 1, 1)]
+        out += struct.pack(order + "H", len(tags))
+        for tag, t, count, v in tags:
+            out += struct.pack(order + "HHI", tag, t, count) + (struct.pack(order + "HH", v, 0) if t == 3 else struct.pack(order + "I", v))
+        link = len(out)
+        out += struct.pack(order + "I", 0)
+    path.write_bytes(bytes(out))
+
+
+@pytest.mark.parametrize("order, deflate", [("<", False), (">", True)])
+def test_headers_ranges_and_boxes_read_only_their_bytes(spark, tmp_path, order, deflate):
+    a = np.random.default_rng(0).integers(0, 60000, (40, 96, 80)).astype(np.uint16)
+    striped_tiff(tmp_path / "a vol.tif", a, 8, order, deflate)
+    size = (tmp_path / "a vol.tif").stat().st_size
+    head = tiff.volume_headers(spark, str(tmp_path)).first()
+    assert (head.n_pages, head.height, head.width, head.dtype) == (40, 96, 80, "uint16") and head.file_size == size
+    assert head.bytes_read < 45 * tiff.DIRECTORY_BYTES < size / 40
+    assert tiff.volume_headers(spark, str(tmp_path), 2048).first().bytes_read == 2048
+    whole = tiff.volume_planes(spark, str(tmp_path)).collect()
+    assert len(whole) == 40 and all((np.frombuffer(r.data, r.dtype).reshape(96, 80) == a[r.z]).all() for r in whole)
+    assert sum(r.bytes_read for r in whole) < 1.05 * size
+    some = tiff.volume_planes(spark, str(tmp_path), 10, 14).collect()
+    assert sorted(r.z for r in some) == [10, 11, 12, 13] and sum(r.bytes_read for r in some) < 0.13 * size
+    box = tiff.volume_box(spark, str(tmp_path), (-3, 20, 70), (6, 30, 900))
+    assert sum(r.bytes_read for r in box.collect()) < 0.04 * size  # 6 of 40 pages, 2 of 12 strips each
+    got = {(r.z, r.y, r.x): r.value for r in tiff.voxels(box, keep_zero=True).collect()}
+    assert got == {(z, y, x): float(a[z, y, x]) for z in range(6) for y in range(20, 30) for x in range(70, 80)}
+    assert tiff.volume_box(spark, str(tmp_path), (0, 96, 0), (2, 99, 9)).count() == 0
+
+
+def test_one_volume_is_read_by_many_tasks_and_breaks_are_rows(spark, tmp_path):
+    a = np.arange(50 * 4 * 4).reshape(50, 4, 4).astype(np.uint8)
+    striped_tiff(tmp_path / "v.tif", a, 4)
+    tasks = tiff.volume_planes(spark, str(tmp_path)).select(F.spark_partition_id().alias("p"), "z").groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert len(tasks) > 1 and sum(r.n for r in tasks) == 50
+    whole = (tmp_path / "v.tif").read_bytes()
+    (tmp_path / "v.tif").write_bytes(whole[: len(whole) - 300])  # the chain of directories breaks
+    rows = tiff.volume_planes(spark, str(tmp_path)).collect()
+    good = [r for r in rows if r.error is None]
+    assert 40 < len(good) < 50 and len(rows) == len(good) + 1
+    assert all((np.frombuffer(r.data, r.dtype).reshape(4, 4) == a[r.z]).all() for r in good)
+    (tmp_path / "none").mkdir()
+    assert tiff.volume_planes(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_tifxyz_in_strips(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    rng = np.random.default_rng(1)
+    grid = {a: rng.integers(0, 200, (1, 37, 5)).astype(np.uint8) for a in "xyz"}
+    for a, v in grid.items():
+        striped_tiff(tmp_path / "m" / f"{a}.tif", v, 6)
+    rows = tiff.tifxyz(spark, str(tmp_path)).collect()
+    assert len(rows) == 37 * 5 and all((r.z, r.y, r.x) == tuple(float(grid[a][0, r.r, r.c]) for a in "zyx") for r in rows)
+
+
 def test_tifxyz(spark, tmp_path):
     (tmp_path / "m1").mkdir()
     grid = {a: np.arange(12, dtype=np.float32).reshape(3, 4) + k for k, a in enumerate("xyz")}
