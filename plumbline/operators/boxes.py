@@ -14,19 +14,20 @@ AXES = ("z", "y", "x")
 PATCH_NAME = r"^([A-Za-z0-9.]+)_z(\d+)_y(\d+)_x(\d+)$"  #: fixed format: volume, then the origin
 
 
-def parse_names(names: DataFrame, sizes: DataFrame | None = None, fallback: int = 300) -> tuple[DataFrame, DataFrame]:
+def parse_names(names: DataFrame, sizes: DataFrame | None = None, fallback: int | tuple[int, int, int] = 300) -> tuple[DataFrame, DataFrame]:
     """Boxes of the names that follow the pattern, and the names that do not.
 
     ``sizes`` (name, sz, sy, sx) gives real sizes; a name without one gets the
-    fallback along every axis.
+    fallback: one size for every axis, or three as z, y, x.
     """
+    own = dict(zip(AXES, (fallback,) * 3 if isinstance(fallback, int) else fallback, strict=True))
     fits = F.col("name").rlike(PATCH_NAME)
     part = lambda k: F.regexp_extract("name", PATCH_NAME, k)
     parsed = names.where(fits).select("name", part(1).alias("volume"), *[part(k + 2).cast("long").alias(f"{a}0") for k, a in enumerate(AXES)])
     if sizes is None:
-        sized = parsed.select("*", *[F.lit(fallback).alias(f"s{a}") for a in AXES])
+        sized = parsed.select("*", *[F.lit(own[a]).alias(f"s{a}") for a in AXES])
     else:
-        sized = parsed.join(sizes, "name", "left").withColumns({f"s{a}": F.coalesce(f"s{a}", F.lit(fallback)) for a in AXES})
+        sized = parsed.join(sizes, "name", "left").withColumns({f"s{a}": F.coalesce(f"s{a}", F.lit(own[a])) for a in AXES})
     boxes = sized.select("name", "volume", *[f"{a}0" for a in AXES], *[(F.col(f"{a}0") + F.col(f"s{a}")).alias(f"{a}1") for a in AXES])
     return boxes, names.where(~F.coalesce(fits, F.lit(False)))
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.boxes import AXES, intersection, volume_of
+
 
 def declared_folds(assigned: DataFrame, k: int) -> DataFrame:
     """(fold, role, id) from (id, fold): a row is validation in its fold and training in the others."""
@@ -111,3 +113,47 @@ def worst(pairs: DataFrame, n: int = 10) -> DataFrame:
     return pairs.orderBy("iou", "a", "b").limit(n)
 
 
+def shared_boxes(pairs: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(pairs, z0, z1, y0, y1, x0, x1): what the boxes (id, z0, ..., x1) of ``a`` and ``b`` have in common; pairs within a buffer alone have nothing."""
+    bounds = [f"{x}{e}" for x in AXES for e in (0, 1)]
+    for side in "ab":
+        pairs = pairs.join(boxes.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in bounds]), side)
+    both = pairs.withColumns(intersection("a_", "b_")).drop(*[f"{s}_{c}" for s in "ab" for c in bounds])
+    return both.where("z0 < z1 and y0 < y1 and x0 < x1")
+
+
+def training_boxes(folds: DataFrame, graph: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(id, b, bounds): what each validation patch shares with each training patch of its own fold."""
+    val = folds.where("role = 'val'").select("fold", F.col("id").alias("a"))
+    train = folds.where("role = 'train'").select("fold", F.col("id").alias("b"))
+    met = graph.select("a", "b").join(val, "a").join(train, ["fold", "b"]).select("a", "b").distinct()
+    return shared_boxes(met, boxes).withColumnRenamed("a", "id")
+
+
+def pair_consistency(voxels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """IoU, Dice and disagreement of two patches' labels in the box they share.
+
+    ``voxels`` (id, z, y, x): labelled voxels in global coordinates; ``pairs`` (a, b,
+    bounds) as ``shared_boxes`` gives them.  Voxels without a label are never rows: what
+    is shuffled is the labelled voxels inside the pairs' boxes.  Two labels that are
+    both empty agree fully.
+    """
+    bounds = [f"{x}{e}" for x in AXES for e in (0, 1)]
+    sides = F.explode(F.array(F.struct(F.lit(1).alias("s"), F.col("a").alias("id")), F.struct(F.lit(2).alias("s"), F.col("b").alias("id")))).alias("side")
+    asked = pairs.select("a", "b", *bounds, sides).select("a", "b", *bounds, "side.s", F.col("side.id").alias("id"))
+    inside = [(F.col(f"v.{x}") >= F.col(f"w.{x}0")) & (F.col(f"v.{x}") < F.col(f"w.{x}1")) for x in AXES]
+    met = voxels.select("id", *AXES).alias("v").join(asked.alias("w"), (F.col("v.id") == F.col("w.id")) & inside[0] & inside[1] & inside[2])
+    each = met.groupBy("w.a", "w.b", *[f"v.{x}" for x in AXES]).agg(F.bit_or("w.s").alias("on"))
+    counts = each.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_union"), F.count_if(F.col("on") == 3).alias("n_both"))
+    told = pairs.join(counts, ["a", "b"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_union", "n_both")}).withColumn("n_voxels", volume_of())
+    union, both = F.col("n_union"), F.col("n_both")
+    return told.select(
+        "a", "b", "n_voxels", F.when(union == 0, 1.0).otherwise(both / union).alias("iou"), F.when(union == 0, 1.0).otherwise(2 * both / (union + both)).alias("dice"),
+        (union - both).alias("n_disagreeing"), ((union - both) / F.col("n_voxels")).alias("disagreement"),
+    )
+
+
+def drawn_pairs(graph: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """A sampling operator: ``n`` of the graph's pairs (a < b), those of least md5."""
+    draw = F.md5(F.concat_ws("#", F.lit(str(seed)), F.col("a").cast("string"), F.col("b").cast("string")))
+    return graph.where("a < b").select("a", "b").distinct().orderBy(draw, "a", "b").limit(n)

@@ -59,3 +59,15 @@ def write_html(path: str, title: str, cards: dict, tables: dict[str, DataFrame])
     body = "".join(card(k, v) for k, v in cards.items()) + "".join(f"<h2>{html.escape(k)}</h2>{table(df)}" for k, df in tables.items())
     with open(path, "w") as out:
         out.write(f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>{body}")
+
+
+def write_summary(path: str, parts: dict) -> None:
+    """Values and the rows of small tables, one to a key, as an indented JSON file; a table of one row is that row."""
+    held = {}
+    for name, part in parts.items():
+        if isinstance(part, DataFrame):
+            rows = [r.asDict(recursive=True) for r in part.limit(TABLE_ROWS).collect()]
+            part = rows[0] if len(rows) == 1 else rows
+        held[name] = part
+    with open(path, "w") as out:
+        json.dump(held, out, indent=2, default=str)

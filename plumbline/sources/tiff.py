@@ -46,15 +46,15 @@ HEADER_ARROW, INDEX_ARROW, PLANE_ARROW = arrow(HEADER_SCHEMA), arrow(INDEX_SCHEM
 class ByteRanges:
     """A file's bytes by place, and how many were read; ``first``: nothing beyond the first bytes is ever asked for."""
 
-    def __init__(self, path: str, size: int, first: int | None = None):
+    def __init__(self, path: str, size: int | None = None, first: int | None = None):
         if path.startswith("file:"):
             system, at = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
         else:
             system, at = fs.FileSystem.from_uri(quote(path, safe=":/@"))
         self.file = system.open_input_file(at)
-        self.size, self.bytes_read, self.head = size, 0, None
+        self.size, self.bytes_read, self.head = self.file.size() if size is None else size, 0, None
         if first is not None:
-            self.size = min(size, first)
+            self.size = min(self.size, first)
             self.head = self.get(0, self.size)
 
     def get(self, place: int, n: int) -> bytes:
@@ -126,13 +126,14 @@ def header(source: ByteRanges, size: int, whole: bool) -> dict:
     return out
 
 
-def files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, name, length) of the TIFF files under a path."""
+def files(spark: SparkSession, path: str, names: DataFrame | None = None) -> DataFrame:
+    """(path, name, length) of the TIFF files under a path; ``names`` (name): of these alone."""
     listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.tif*").option("recursiveFileLookup", "true").load(path)
-    return listed.select("path", stem(F.element_at(F.split("path", "/"), -1)).alias("name"), "length")
+    named = listed.select("path", stem(F.element_at(F.split("path", "/"), -1)).alias("name"), "length")
+    return named if names is None else named.join(names.select("name").distinct(), "name", "left_semi").select("path", "name", "length")
 
 
-def volume_headers(spark: SparkSession, path: str, first_bytes: int | None = None) -> DataFrame:
+def volume_headers(spark: SparkSession, path: str, first_bytes: int | None = None, names: DataFrame | None = None) -> DataFrame:
     """HEADER_SCHEMA rows of all TIFF files under a path; ``first_bytes``: only those are looked at."""
 
     def parse(batches):
@@ -149,7 +150,7 @@ def volume_headers(spark: SparkSession, path: str, first_bytes: int | None = Non
                 rows.append(row)
             yield pa.RecordBatch.from_pylist(rows, HEADER_ARROW)
 
-    return files(spark, path).mapInArrow(parse, HEADER_SCHEMA)
+    return files(spark, path, names).mapInArrow(parse, HEADER_SCHEMA)
 
 
 def page_index(listed: DataFrame, z_from: int = 0, z_to: int | None = None) -> DataFrame:
@@ -199,7 +200,7 @@ def samples(source: ByteRanges, page: dict, y_from: int = 0, y_to: int | None =
     return first * tall, a.reshape(min(last * tall, height) - first * tall, width)
 
 
-def volume_planes(spark: SparkSession, path: str, z_from: int = 0, z_to: int | None = None, rows: tuple[int, int | None] = (0, None), columns: tuple[int, int | None] = (0, None)) -> DataFrame:
+def volume_planes(spark: SparkSession, path: str, z_from: int = 0, z_to: int | None = None, rows: tuple[int, int | None] = (0, None), columns: tuple[int, int | None] = (0, None), names: DataFrame | None = None) -> DataFrame:
     """PLANE_SCHEMA rows of the pages in the z range, cut to the ranges of rows and columns, one row each.
 
     Ranges are cut to the volume; a page that they miss gives no row.  Of a page only
@@ -234,7 +235,7 @@ def volume_planes(spark: SparkSession, path: str, z_from: int = 0, z_to: int | N
         if source is not None:
             source.file.close()
 
-    listed = files(spark, path)
+    listed = files(spark, path, names)
     total = listed.agg(F.sum("length")).first()[0] or 0
     tasks = max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
     index = page_index(listed, z_from, z_to)

@@ -6,37 +6,99 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import profiles as pf
-from plumbline.operators import boxes, census, corpus, leakage, orientation, ranks, resampling, splits, surfaces, voxels, warp
+from plumbline.operators import boxes, census, corpus, leakage, morphology, orientation, ranks, resampling, splits, surfaces, voxels, warp
 from plumbline.sources import tiff
 from plumbline.storage import written
 
 
-def scan(spark: SparkSession, labels: str, images: str | None = None, headers_only: bool = False) -> dict[str, DataFrame]:
-    """Header census of a collection, and, unless ``headers_only``, its label schemes and thickness by class."""
-    heads = tiff.volume_headers(spark, labels, tiff.HEADER_BYTES if headers_only else None)
-    rows = heads.select("name", F.concat_ws("x", "n_pages", "height", "width").alias("shape"), F.concat_ws("x", "height", "width").alias("plane_shape"), "compression", "file_size", "error")
+SHEET_MOST = 0.5  #: share of a class's voxels that may outlast the erosions before it counts as a region
+
+
+def scan(spark: SparkSession, labels: str, images: str | None = None, headers_only: bool = False, deep: bool = False, names: DataFrame | None = None, sample: int = 0, seed: int = 0) -> dict[str, DataFrame]:
+    """Header census of a collection, and, unless ``headers_only``, what ``label_audit`` finds in its labels.
+
+    ``names`` (name) keeps to these volumes, and ``sample`` to so many drawn ones, before
+    anything but the listing is read.
+    """
+    if sample:
+        listed = tiff.files(spark, labels, names).select("name")
+        if images:
+            listed = listed.union(tiff.files(spark, images, names).select("name"))
+        names = written(census.seeded_sample(listed.distinct(), "name", sample, seed), "scan-names")
+    heads = written(tiff.volume_headers(spark, labels, tiff.HEADER_BYTES if headers_only else None, names), "scan-headers")
+    rows = heads.select("name", F.concat_ws("x", "n_pages", "height", "width").alias("shape"), F.concat_ws("x", "height", "width").alias("plane_shape"), "dtype", "compression", "file_size", "error")
     if images:
-        pairs = census.pair(tiff.volume_headers(spark, images, tiff.HEADER_BYTES).select("name", "path"), heads.select("name", "path"))
-        sides = pairs.select("name", F.col("image").isNotNull().alias("has_image"), F.col("label").isNotNull().alias("has_label"))
+        seen = tiff.volume_headers(spark, images, tiff.HEADER_BYTES, names).select("name", "path", F.col("error").alias("image_error"))
+        pairs = census.pair(seen, heads.select("name", "path"))
+        sides = pairs.select("name", F.col("image").isNotNull().alias("has_image"), F.col("label").isNotNull().alias("has_label")).join(seen.drop("path"), "name", "left")
         rows = rows.join(sides, "name", "full_outer")
     else:
-        rows = rows.withColumn("has_image", F.lit(True)).withColumn("has_label", F.lit(True))
-    rows = rows.withColumn("image_error", F.lit(None).cast("string"))
+        rows = rows.withColumns({"has_image": F.lit(True), "has_label": F.lit(True), "image_error": F.lit(None).cast("string")})
     if not headers_only:
         rows = rows.withColumn("plane_shape", F.lit(None).cast("string"))
     out = census.header_census(rows) | {"rows": rows}
     if headers_only:
         return out
-    all_voxels = tiff.voxels(tiff.volume_planes(spark, labels), keep_zero=True)
+    all_voxels = tiff.voxels(tiff.volume_planes(spark, labels, names=names), keep_zero=True)
     v = written(all_voxels.withColumn("value", F.col("value").cast("int")), "scan-voxels")
     shape = heads.where("error is null").select(F.col("name").alias("volume"), F.col("n_pages").alias("sz"), F.col("height").alias("sy"), F.col("width").alias("sx"))
-    schemes = census.label_scheme(v, shape)
-    of = schemes.groupBy("volume").agg(F.concat_ws(",", F.transform(F.sort_array(F.collect_list("value")), lambda x: x.cast("string"))).alias("scheme"))
-    return out | {"schemes": schemes, "mode": census.mode_scheme(of, "scheme"), "off_scheme": census.off_scheme(of.withColumn("all", F.lit(0)), ["all"], "scheme").drop("all")}
+    schemes, classes, surfaces_ = label_audit(v, shape, deep, seed=seed)
+    of = schemes.groupBy("volume").agg(F.concat_ws(",", F.transform(F.sort_array(F.collect_list("value")), lambda x: x.cast("string"))).alias("scheme"), F.sum("fraction").alias("__read"))
+    told = of.join(surfaces_, "volume", "left").withColumnRenamed("volume", "name")
+    read = F.coalesce("__read", F.lit(0.0))
+    lost = F.when(F.col("error").isNull() & F.col("has_label"), F.when(read == 0, "no page could be read").when(read < 1 - 1e-9, "some pages could not be read"))
+    rows = written(rows.join(told, "name", "left").withColumn("label_read_error", lost).drop("__read"), "scan-rows")
+    of = of.drop("__read")
+    thickest = rows.where("surface_thickness_p95 is not null").select("name", "surface_class", *[c for c in surfaces_.columns if c.startswith("surface_") and c != "surface_class"])
+    return out | {
+        "rows": rows, "schemes": schemes, "classes": classes, "mode": census.mode_scheme(of, "scheme"), "off_scheme": census.off_scheme(of.withColumn("all", F.lit(0)), ["all"], "scheme").drop("all"),
+        "surface_classes": census.counted(rows.where("scheme is not null"), "surface_class"), "thickest": thickest.orderBy(F.desc("surface_thickness_p95"), "name"),
+    }
+
 
+def label_audit(v: DataFrame, shape: DataFrame, deep: bool = False, most: int = voxels.MOST_EROSIONS, samples: int | None = 4000, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Schemes, classes and surface classes of label volumes.
 
-def leak(names: DataFrame, sizes: DataFrame | None = None, size: int = 300, k: int = 5, buffer: int = 0, mode: str = "block", trials: int = 20) -> dict[str, DataFrame]:
-    """Overlap of patches, the leakage of the usual split, and a split without it."""
+    ``v`` (volume, z, y, x, value) with zeros, ``shape`` (volume, sz, sy, sx).  The first
+    four classes other than zero of each volume are measured, each by itself, as a thin
+    sheet and a bulky region have no thickness in common.  A class of which half outlasts
+    the erosions is a region: its ``skipped`` says so and only its thickness is given.
+    Components, planarity and, if ``deep``, junctions of the others follow.  All volumes
+    and classes are measured together, whatever their shapes.  A volume without a sheet
+    has a null ``surface_class``.
+    """
+    schemes = written(census.label_scheme(v, shape), "schemes")
+    listed = schemes.groupBy("volume").agg(census.class_list(F.collect_list("value")).alias("c"))
+    # A class's key carries its volume's sizes, so that one pass serves volumes of all shapes.
+    classes = listed.select("volume", F.explode("c").alias("value")).join(shape, "volume").withColumn("cls", F.concat_ws("|", "value", "sz", "sy", "sx", "volume"))
+    sizes = {a: F.split_part("cls", F.lit("|"), F.lit(k)).cast("int") for k, a in enumerate("zyx", 2)}
+    masks = written(v.join(classes.select("volume", "value", "cls"), ["volume", "value"]).select("cls", "z", "y", "x"), "class-voxels")
+    thick = written(voxels.thickness_stats(masks, "cls", sizes, most).drop("n"), "class-thickness")
+    sheets = masks.join(thick.where(F.col("saturated") < SHEET_MOST).select("cls"), "cls", "left_semi")
+    labelled = written(voxels.components(sheets, "cls"), "class-components")
+    found = classes.join(schemes.select("volume", "value", "n", "fraction", "border_touch"), ["volume", "value"])
+    found = found.join(thick.withColumnsRenamed({c: f"thickness_{c}" for c in ("median", "p95", "max", "mean")}), "cls", "left")
+    found = found.join(voxels.component_stats(labelled, "cls"), "cls", "left").join(voxels.planarity_summary(voxels.planarity(labelled, "cls"), "cls"), "cls", "left")
+    if deep:
+        found = found.join(morphology.junction_density(morphology.junctions(sheets, "cls", samples=samples, seed=seed), "cls"), "cls", "left")
+    why = F.format_string("thickness saturated for %.0f%% of voxels: a region, not a sheet", 100 * F.col("saturated"))
+    found = written(found.withColumn("skipped", F.when(F.col("saturated") >= SHEET_MOST, why)).drop("cls", "sz", "sy", "sx"), "classes")
+    of = {"fraction": "fraction", "thickness_p95": "thickness_p95", "components": "n_components", "fragment_share": "fragment_share", "worst_planarity": "worst_planarity"} | ({"junction_fraction": "junction_fraction"} if deep else {})
+    best = census.surface_class(found).withColumnRenamed("thickness_median", "surface_thickness_median")
+    own = found.select("volume", F.col("value").alias("surface_class"), *[F.col(c).alias(f"surface_{n}") for n, c in of.items()])
+    return schemes, found, best.join(own, ["volume", "surface_class"], "left")
+
+
+def leak(names: DataFrame, sizes: DataFrame | None = None, size: int | tuple[int, int, int] = 300, k: int = 5, buffer: int = 0, mode: str = "block", trials: int = 20, surface: DataFrame | None = None, measure_seen: bool = False, consistency: int = 0, present: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Overlap of patches, the leakage of the usual split, and a split without it.
+
+    ``surface`` (name, z, y, x): the labelled surface's voxels, in each patch's own
+    coordinates.  With it, ``measure_seen`` gives the share of each validation patch's
+    surface that training patches cover too, under both splits, and ``consistency``
+    asks so many overlapping pairs whether they agree on what they share; ``present``
+    (name): the patches that have a label volume (all, if not given), as a pair of which
+    one has none is not asked.
+    """
     parsed, unparsed = boxes.parse_names(names, sizes, size)
     b = written(parsed.withColumn("id", F.col("name")), "boxes")
     graph = written(boxes.overlap_graph(b, buffer), "graph")
@@ -51,10 +113,26 @@ def leak(names: DataFrame, sizes: DataFrame | None = None, size: int = 300, k: i
         random = splits.random_trials(b.sparkSession, n, ids, k, trials)
     else:  # such shuffles are drawn in one place; beyond their bound trials go by md5
         random = splits.hashed_trials(b.select("id"), graph, k, trials)
-    return {
+    out = {
         "unparsed": unparsed, "overlap": boxes.overlap_summary(graph), "usual": leakage.split_leakage(folds, graph), "random": random,
         "folds": safe, "stats": leakage.fold_stats(blocked, safe), "residual": leakage.residual_leaks(safe, graph), "splits": splits.splits_json(safe.select("fold", "role", F.col("id").alias("name"))),
     }
+    if surface is None or not (measure_seen or consistency):
+        return out
+    placed = surface.join(b.select("name", *[F.col(f"{a}0").alias(f"__{a}") for a in "zyx"]), "name")
+    on = written(placed.select(F.col("name").alias("id"), *[(F.col(a) + F.col(f"__{a}")).alias(a) for a in "zyx"]), "surface-voxels")
+    if measure_seen:
+        for kind, split in (("usual", folds), ("blocked", safe)):
+            each = written(leakage.seen_fraction(on.join(split.where("role = 'val'").select("id").distinct(), "id", "left_semi"), leakage.training_boxes(split, graph, b)), "seen")
+            out |= {f"seen_{kind}": each, f"seen_{kind}_summary": leakage.seen_summary(each)}
+    if consistency:
+        asked = leakage.drawn_pairs(graph, consistency)
+        for side in "ab" if present is not None else "":
+            asked = asked.join(present.select(F.col("name").alias(side)).distinct(), side, "left_semi")
+        pairs = leakage.shared_boxes(asked, b)
+        agreed = written(leakage.pair_consistency(on, pairs), "consistency")
+        out |= {"consistency": leakage.consistency_summary(agreed), "worst": leakage.worst(agreed)}
+    return out
 
 
 def label_points(label: DataFrame, volume: DataFrame | None = None, k: int = 40, ties: int = 10) -> DataFrame:

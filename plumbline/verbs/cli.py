@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import census, surfaces
+from plumbline.operators import boxes, surfaces
 from plumbline.operators.splits import write_splits
 from plumbline.sources import reports, stacks, tables, tiff
 from plumbline.storage import written
@@ -23,12 +23,19 @@ def parser() -> argparse.ArgumentParser:
     scan.add_argument("--labels", required=True)
     scan.add_argument("--images")
     scan.add_argument("--headers-only", action="store_true")
+    scan.add_argument("--deep", action="store_true", help="also count places where the label forks")
     scan.add_argument("--names-file", help="keep to these names")
     scan.add_argument("--sample", type=int, default=0, help="a seeded sample of so many volumes")
     scan.add_argument("--seed", type=int, default=0)
     leak = verbs.add_parser("leakage", help="patches that share space, and a split that does not leak")
-    leak.add_argument("--names-file", required=True)
-    leak.add_argument("--patch-size", type=int, default=300)
+    leak.add_argument("--labels", help="label volumes: their names, unless there is a names file, and their real sizes")
+    leak.add_argument("--images", help="image volumes, for names that have no label")
+    leak.add_argument("--names-file")
+    leak.add_argument("--patch-size", type=int, nargs="+", default=[300], help="of volumes that cannot be read: one value, or three as z y x")
+    leak.add_argument("--assume-patch-size", action="store_true", help="take --patch-size for all and read no volume")
+    leak.add_argument("--surface-class", type=int, default=1)
+    leak.add_argument("--measure-seen", action="store_true", help="share of each validation patch's surface that training patches cover")
+    leak.add_argument("--consistency", type=int, default=0, metavar="N", help="ask N overlapping pairs whether their labels agree")
     leak.add_argument("--k", type=int, default=5)
     leak.add_argument("--buffer", type=int, default=0)
     leak.add_argument("--mode", choices=("block", "component"), default="block")
@@ -78,26 +85,57 @@ def _aligned(spark: SparkSession, args):
         yield tuple(size), own, mine, cells, written(summary, "summary")
 
 
+def _leakage(spark: SparkSession, args) -> int:
+    if len(args.patch_size) not in (1, 3) or not (args.names_file or args.labels):
+        return 2
+    size = args.patch_size[0] if len(args.patch_size) == 1 else tuple(args.patch_size)
+    if args.names_file:
+        names = tables.names(spark, args.names_file)
+    else:
+        names = tiff.files(spark, args.labels).select("name")
+        names = (names.union(tiff.files(spark, args.images).select("name")) if args.images else names).distinct()
+    names = written(names, "names")
+    if names.isEmpty() or boxes.parse_names(names)[0].isEmpty():
+        return 2
+    sizes = surface = present = None
+    if args.labels:
+        present = tiff.files(spark, args.labels, names).select("name")
+        if not args.assume_patch_size:
+            heads = tiff.volume_headers(spark, args.labels, names=names).where("error is null")
+            sizes = written(heads.groupBy("name").agg(F.max("n_pages").alias("sz"), F.max("height").alias("sy"), F.max("width").alias("sx")), "sizes")
+        if args.measure_seen or args.consistency:
+            label = tiff.voxels(tiff.volume_planes(spark, args.labels, names=names), keep_zero=args.surface_class == 0)
+            surface = label.where(F.col("value") == args.surface_class).withColumnRenamed("volume", "name")
+    found = audit.leak(names, sizes, size, args.k, args.buffer, args.mode, args.trials, surface, args.measure_seen, args.consistency, present)
+    told = {k: found[k] for k in ("overlap", "random", "stats", "seen_usual_summary", "seen_blocked_summary", "consistency", "worst") if k in found}
+    shapes = {} if sizes is None else {"sizes_read": sizes.count(), "distinct_sizes": sizes.groupBy("sz", "sy", "sx").count().orderBy(F.desc("count"), "sz", "sy", "sx")}
+    counts = {"n_patches": names.count() - found["unparsed"].count(), "n_unparsed": found["unparsed"].count(), "n_residual": found["residual"].count(), "buffer": args.buffer}
+    reports.write_summary(f"{args.out}/leakage.json", found["usual"].first().asDict() | counts | shapes | told)
+    for kind in ("usual", "blocked"):
+        if f"seen_{kind}" in found:
+            reports.write_csv(found[f"seen_{kind}"], f"{args.out}/seen_{kind}.csv")
+    write_splits(found["folds"].select("fold", "role", F.col("id").alias("name")), f"{args.out}/splits_final.json")
+    reports.write_html(f"{args.out}/leakage.html", "leakage", counts, {"usual": found["usual"]} | told)
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     os.makedirs(args.out, exist_ok=True)
     if args.verb == "scan":
         keep = tables.names(spark, args.names_file) if args.names_file else None
-        found = audit.scan(spark, args.labels, args.images, args.headers_only)
-        rows = found["rows"] if keep is None else found["rows"].join(keep, "name", "left_semi")
-        if args.sample:
-            rows = census.seeded_sample(rows, "name", args.sample, args.seed)
-        reports.write_csv(rows, f"{args.out}/scan.csv")
-        reports.write_html(f"{args.out}/scan.html", "scan", {"volumes": found["rows"].count()}, {k: v for k, v in found.items() if k != "rows"})
-    elif args.verb == "leakage":
-        names = tables.names(spark, args.names_file)
-        if names.isEmpty():
+        found = audit.scan(spark, args.labels, args.images, args.headers_only, args.deep, keep, args.sample, args.seed)
+        volumes = found["rows"].count()
+        if not volumes:
             return 2
-        found = audit.leak(names, None, args.patch_size, args.k, args.buffer, args.mode, args.trials)
-        reports.write_json(found["usual"], f"{args.out}/leakage.json")
-        write_splits(found["folds"].select("fold", "role", F.col("id").alias("name")), f"{args.out}/splits_final.json")
-        reports.write_html(f"{args.out}/leakage.html", "leakage", {}, {k: found[k] for k in ("overlap", "usual", "random", "stats")})
+        reports.write_csv(found["rows"], f"{args.out}/scan.csv")
+        if "classes" in found:
+            reports.write_csv(found["classes"], f"{args.out}/classes.csv")
+        reports.write_summary(f"{args.out}/scan_summary.json", {"n_volumes": volumes} | {k: v for k, v in found.items() if k in ("by_shape", "by_compression", "unreadable", "unpaired", "mode", "off_scheme", "surface_classes")})
+        reports.write_html(f"{args.out}/scan.html", "scan", {"volumes": volumes}, {k: v for k, v in found.items() if k != "rows"})
+    elif args.verb == "leakage":
+        return _leakage(spark, args)
     elif args.verb in ("align", "regularise"):
         found = list(_aligned(spark, args))
         if not found:

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 from plumbline.operators import corpus
+from plumbline.operators.morphology import arms
 from plumbline.sources import meshes, reports, tables, tiff, zarr
 from plumbline.streaming import resume
 from plumbline.verbs import audit, cli
@@ -228,6 +229,112 @@ def test_scan_and_leakage_verbs(spark, tmp_path):
     assert cli.main(["leakage", "--names-file", str(tmp_path / "empty.txt"), "--out", str(tmp_path / "out")]) == 2
 
 
+def patch_volumes(folder):
+    """Three patches of two shapes that overlap, one of which disagrees in a corner, and one that has no coordinates."""
+    folder.mkdir()
+    truth = np.zeros((30, 30, 40), np.uint8)
+    truth[10, :, :] = 1
+    truth[:, 5, 7] = 1
+    at = {"s1_z0_y0_x0": (20, 20, 20), "s1_z0_y0_x10": (20, 20, 20), "s1_z5_y0_x20": (16, 24, 20)}
+    held = {}
+    for name, shape in at.items():
+        z, y, x = (int(part[1:]) for part in name.split("_")[1:])
+        a = truth[z : z + shape[0], y : y + shape[1], x : x + shape[2]].copy()
+        if x == 10:
+            a[10, :4, :4] = 0
+        held[name] = ((z, y, x), a)
+        write_tiff(folder / f"{name}.tif", a)
+    write_tiff(folder / "odd.tif", truth[:4, :4, :4])
+    return held
+
+
+def test_leakage_verb_with_labels(spark, tmp_path):
+    held = patch_volumes(tmp_path / "labels")
+    out = tmp_path / "out"
+    assert cli.main(["leakage", "--labels", str(tmp_path / "labels"), "--k", "3", "--trials", "2", "--measure-seen", "--consistency", "9", "--out", str(out)]) == 0
+    told = json.loads((out / "leakage.json").read_text())
+    assert (told["n_patches"], told["n_unparsed"], told["sizes_read"], told["overlap"]["n_pairs"], told["n_residual"]) == (3, 1, 4, 2, 0)
+
+    def placed(name):
+        (z, y, x), a = held[name]
+        return {(i + z, j + y, k + x) for i, j, k in np.argwhere(a == 1)}
+
+    def within(points, name):
+        (low, a) = held[name]
+        return {p for p in points if all(lo <= q < lo + n for q, lo, n in zip(p, low, a.shape, strict=True))}
+
+    want, ious = {}, []
+    for a in held:  # three folds of three patches: all others train
+        own = placed(a)
+        want[a] = len(set().union(*[within(own, b) for b in held if b != a])) / len(own)
+        for b in held:
+            if a < b and within(own, b) | within(placed(b), a):
+                p, q = within(own, b), within(placed(b), a)
+                ious.append(len(p & q) / len(p | q))
+    seen = {r.id: float(r.seen) for r in spark.read.option("header", True).csv(str(out / "seen_usual.csv")).collect()}
+    assert seen == pytest.approx(want) and told["seen_usual_summary"]["mean"] == pytest.approx(np.mean(list(want.values())))
+    assert told["seen_blocked_summary"]["max"] == 0.0
+    assert told["consistency"]["n_pairs"] == 2 and told["consistency"]["min"] == pytest.approx(min(ious)) and told["worst"][0]["a"] == "s1_z0_y0_x0"
+    names = tmp_path / "names.txt"
+    names.write_text("s1_z0_y0_x0\ns1_z0_y0_x10\ns1_z0_y0_x25\n")
+    assert cli.main(["leakage", "--names-file", str(names), "--labels", str(tmp_path / "labels"), "--assume-patch-size", "--patch-size", "20", "20", "9", "--k", "2", "--trials", "1", "--out", str(out)]) == 0
+    told = json.loads((out / "leakage.json").read_text())
+    assert told["overlap"]["n_pairs"] == 0 and "sizes_read" not in told
+    names.write_text("odd\n")
+    assert cli.main(["leakage", "--names-file", str(names), "--out", str(out)]) == 2
+
+
+def test_pair_consistency_equals_the_dense_one(spark):
+    from plumbline.operators import leakage
+
+    rng = np.random.default_rng(2)
+    boxes = {"p": (0, 0, 0), "q": (2, 3, 1), "r": (4, 0, 0), "s": (90, 0, 0)}
+    rows = [(n, z + i, y + j, x + k, bool(rng.random() < 0.4)) for n, (z, y, x) in boxes.items() for i, j, k in np.ndindex(6, 6, 6) if n != "s" or (i, j, k) != (0, 0, 0)]
+    dense = spark.createDataFrame([tuple(map(lambda v: v.item() if hasattr(v, "item") else v, r)) for r in rows], "id string, z int, y int, x int, on boolean")
+    bounds = spark.createDataFrame([(n, z, z + 6, y, y + 6, x, x + 6) for n, (z, y, x) in boxes.items()], "id string, z0 int, z1 int, y0 int, y1 int, x0 int, x1 int")
+    graph = spark.createDataFrame([(a, b) for a in boxes for b in boxes if a != b], "a string, b string")
+    pairs = leakage.shared_boxes(leakage.drawn_pairs(graph, 99), bounds)
+    got = {(r.a, r.b): r for r in leakage.pair_consistency(dense.where("on").drop("on"), pairs).collect()}
+    want = {(r.a, r.b): r for r in leakage.overlap_consistency(dense).collect()}
+    assert got.keys() == want.keys() == {("p", "q"), ("p", "r"), ("q", "r")}
+    for k, w in want.items():
+        assert (got[k].n_voxels, got[k].iou, got[k].dice, got[k].disagreement) == pytest.approx((w.n_voxels, w.iou, w.dice, w.disagreement))
+    empty = leakage.pair_consistency(dense.where("id = 's'").drop("on"), pairs).collect()
+    assert all((r.iou, r.dice, r.n_disagreeing) == (1.0, 1.0, 0) for r in empty)
+    assert leakage.drawn_pairs(graph, 2).count() == 2
+
+
+def test_scan_verb_finds_the_surface(spark, tmp_path):
+    (tmp_path / "labels").mkdir()
+    flat = np.zeros((24, 26, 28), np.uint8)
+    flat[:9] = 2  # a region
+    flat[14:17] = 1  # a sheet of three voxels
+    fork = np.zeros((24, 24, 24), np.uint8)
+    fork[12, :, :13] = 3
+    for k in range(12):
+        fork[12 + k // 2, :, 12 + k] = fork[12 - k // 2, :, 12 + k] = 3
+    bulk = np.full((20, 20, 20), 4, np.uint8)
+    for name, a in (("flat", flat), ("fork", fork), ("bulk", bulk)):
+        write_tiff(tmp_path / "labels" / f"{name}.tif", a)
+    (tmp_path / "labels" / "broken.tif").write_bytes(b"II*\0")
+    out = tmp_path / "out"
+    assert cli.main(["scan", "--labels", str(tmp_path / "labels"), "--deep", "--out", str(out)]) == 0
+    read = lambda n: spark.read.option("header", True).option("inferSchema", True).csv(str(out / n)).collect()
+    rows = {r.name: r for r in read("scan.csv")}
+    assert (rows["flat"].surface_class, rows["fork"].surface_class, rows["bulk"].surface_class, rows["broken"].surface_class) == (1, 3, None, None)
+    assert rows["flat"].surface_thickness_median == 2.0 and rows["flat"].surface_thickness_p95 == 4.0 and rows["flat"].surface_components == 1
+    padded = np.pad(flat == 1, 5)  # a volume's corners cut the shell, so that a few voxels of the flat sheet count
+    pieces = arms(np.stack([padded[z : z + 11, y : y + 11, x : x + 11] for z, y, x in np.argwhere(flat == 1)]), 5)
+    assert rows["flat"].surface_junction_fraction == pytest.approx((pieces >= 2).mean()) and (pieces >= 2).mean() < 0.05 < rows["fork"].surface_junction_fraction
+    assert rows["broken"].error and rows["flat"].label_read_error is None
+    classes = {(r.volume, r.value): r for r in read("classes.csv")}
+    assert "region" in classes["bulk", 4].skipped and classes["bulk", 4].n_components is None and classes["flat", 1].skipped is None
+    told = json.loads((out / "scan_summary.json").read_text())
+    assert told["n_volumes"] == 4 and told["unreadable"] == {"name": "broken"} and {(r["surface_class"], r["n"]) for r in told["surface_classes"]} == {(1, 1), (3, 1), (None, 1)}
+    assert cli.main(["scan", "--labels", str(tmp_path / "labels"), "--headers-only", "--sample", "2", "--out", str(out)]) == 0
+    assert len(read("scan.csv")) == 2
+
+
 def test_align_regularise_and_onsheet_verbs(spark, tmp_path):
     rng = np.random.default_rng(4)
     z = np.arange(40)
