@@ -399,7 +399,7 @@ def _placed(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return edges
 
 
-def displaced_vertices(vertices: DataFrame, facing: DataFrame, distance: float) -> DataFrame:
+def displaced_vertices(vertices: DataFrame, facing: DataFrame, distance: Column | float) -> DataFrame:
     """A planted control: the vertices beyond the median of the mesh's widest axis pushed along their normals."""
     low_high = vertices.groupBy("mesh").agg(*[(F.max(a) - F.min(a)).alias(f"s{a}") for a in AXES], *[F.median(a).alias(f"m{a}") for a in AXES])
     widest = F.when((F.col("sz") >= F.col("sy")) & (F.col("sz") >= F.col("sx")), F.col("z") > F.col("mz")).when(F.col("sy") >= F.col("sx"), F.col("y") > F.col("my")).otherwise(F.col("x") > F.col("mx"))

@@ -1,4 +1,8 @@
-"""Zarr v2 arrays: metadata through ``from_json``, chunks as block rows."""
+"""Zarr v2 arrays: metadata through ``from_json``, chunks as block rows.
+
+Spark lists chunk files without their content; a box, or a draw of chunks, is a filter
+on that listing, so that only the chunks asked for are read.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators.splits import numbered
+from plumbline.sources.tiff import ByteRanges
+from plumbline.storage import written
+
 META_SCHEMA = "shape array<int>, chunks array<int>, dtype string, order string, compressor struct<id:string>, dimension_separator string"
 
 BLOCK_SCHEMA = "array string, bz int, by int, bx int, shape array<int>, chunks array<int>, dtype string, data binary, status string"
@@ -17,19 +25,34 @@ _INTS = pa.list_(pa.int32())
 BLOCK_ARROW = pa.schema([("array", pa.string()), *[(f"b{a}", pa.int32()) for a in "zyx"], ("shape", _INTS), ("chunks", _INTS), ("dtype", pa.string()), ("data", pa.binary()), ("status", pa.string())])
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as Spark would open it."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    return own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(own).toString()
+
+
 def meta_texts(spark: SparkSession, arrays: list[str]) -> DataFrame:
-    """(array, text): the ``.zarray`` of each array.
+    """(array, text): the ``.zarray`` of each array, or of array ``0`` of a group; null where neither can be read.
 
-    Spark's file listing passes over names that begin with a dot, so these few
-    short files are opened through the Hadoop file system.
+    Spark's file listing passes over names that begin with a dot, so tasks open these
+    by their names.
     """
-    jvm, rows = spark.sparkContext._jvm, []
-    for array in arrays:
-        path = jvm.org.apache.hadoop.fs.Path(f"{array.rstrip('/')}/.zarray")
-        stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(path)
-        rows.append((array.rstrip("/"), jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
-        stream.close()
-    return spark.createDataFrame(rows, "array string, text string")
+
+    def read(batches):
+        for batch in batches:
+            for given in batch.column(0).to_pylist():
+                found = {"array": given, "text": None}
+                for array in (given, f"{given}/0"):
+                    try:
+                        with ByteRanges(f"{array}/.zarray") as source:
+                            found = {"array": array, "text": source.get(0, source.size).decode()}
+                            break
+                    except Exception:  # noqa: BLE001, S112  an array without metadata is a row
+                        continue
+                yield pa.RecordBatch.from_pylist([found], pa.schema([("array", pa.string()), ("text", pa.string())]))
+
+    rows = [(qualified(spark, array),) for array in arrays]
+    return spark.createDataFrame(rows, "array string").repartition(max(1, len(rows))).mapInArrow(read, "array string, text string")
 
 
 def array_meta(texts: DataFrame) -> DataFrame:
@@ -39,24 +62,42 @@ def array_meta(texts: DataFrame) -> DataFrame:
     return parsed.select("array", "m.shape", "m.chunks", "m.dtype", F.col("m.compressor.id").alias("codec"), F.coalesce("m.dimension_separator", F.lit(".")).alias("separator"), error.alias("error"))
 
 
-def blocks(spark: SparkSession, meta: DataFrame, array: str) -> DataFrame:
-    """(array, bz, by, bx, shape, chunks, dtype, data, status) of one array's stored chunks.
+def chunk_files(spark: SparkSession, meta: DataFrame, array: str, low: tuple[int, int, int] | None = None, high: tuple[int, int, int] | None = None) -> DataFrame:
+    """(array, bz, by, bx, shape, chunks, dtype, codec, path, length) of one array's stored chunks; with a box [low, high), of those that it touches."""
+    pattern = r"/(\d+)[./](\d+)[./](\d+)$"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(array).where(F.col("path").rlike(pattern))
+    full = qualified(spark, array)
+    told = meta.where("error is null").where(F.col("array").isin(full, f"{full}/0")).first()
+    keyed = files.select(*[F.regexp_extract("path", pattern, k + 1).cast("int").alias(f"b{a}") for k, a in enumerate("zyx")], "path", "length")
+    joined = keyed.withColumn("array", F.lit(told.array if told else None).cast("string")).join(meta.where("error is null"), "array")
+    if low is not None:
+        for k, a in enumerate("zyx"):
+            side = F.get("chunks", F.lit(k))
+            joined = joined.where((F.col(f"b{a}") * side < high[k]) & ((F.col(f"b{a}") + 1) * side > low[k]))
+    return joined.select("array", "bz", "by", "bx", "shape", "chunks", "dtype", "codec", "path", "length")
+
 
-    A chunk that cannot be decoded or has the wrong length is void, as one that
+def blocks(spark: SparkSession, meta: DataFrame, array: str, low: tuple[int, int, int] | None = None, high: tuple[int, int, int] | None = None) -> DataFrame:
+    """BLOCK_SCHEMA rows of one array's stored chunks, or of those that a box [low, high) touches."""
+    return read_chunks(chunk_files(spark, meta, array, low, high))
+
+
+def read_chunks(listed: DataFrame) -> DataFrame:
+    """BLOCK_SCHEMA rows of ``chunk_files``.
+
+    A chunk that cannot be read or decoded, or has the wrong length, is void, as one that
     is not there: its ``status`` says why and ``data`` is null.
     """
-    pattern = r"/(\d+)[./](\d+)[./](\d+)$"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(array).where(F.col("path").rlike(pattern))
-    keyed = files.select(F.lit(array.rstrip("/")).alias("array"), *[F.regexp_extract("path", pattern, k + 1).cast("int").alias(f"b{a}") for k, a in enumerate("zyx")], "content")
-    joined = keyed.join(meta.where("error is null"), "array").select("array", "bz", "by", "bx", "shape", "chunks", "dtype", "codec", "content")
 
     def decode(batches):
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                raw, codec = r.pop("content"), r.pop("codec")
+                path, size, codec = r.pop("path"), r.pop("length"), r.pop("codec")
                 r["status"] = "ok"
                 try:
+                    with ByteRanges(path, size) as source:
+                        raw = source.get(0, size)
                     if codec == "zlib":
                         raw = zlib.decompress(raw)
                     elif codec == "gzip":
@@ -71,7 +112,7 @@ def blocks(spark: SparkSession, meta: DataFrame, array: str) -> DataFrame:
                 out.append(r)
             yield pa.RecordBatch.from_pylist(out, BLOCK_ARROW)
 
-    return joined.mapInArrow(decode, BLOCK_SCHEMA)
+    return listed.mapInArrow(decode, BLOCK_SCHEMA)
 
 
 def voxels(block_rows: DataFrame) -> DataFrame:
@@ -109,3 +150,31 @@ def layer_profiles(voxel_rows: DataFrame, key: list[str], layers: int, area: int
     p = levels.select(*key, (F.col("n") / area).alias("coverage"), profile.alias("p")).where(F.col("coverage") >= least)
     middle = layers // 2
     return p.select(*key, "coverage", (F.array_max("p") - F.array_min("p")).alias("range"), F.get("p", F.lit(middle)).alias("at_zero"), (F.array_position("p", F.array_max("p")) - 1 - middle).cast("double").alias("peak_offset"))
+
+
+def drawn_profiles(spark: SparkSession, meta: DataFrame, array: str, n: int = 100, seed: int = 0, least: float = 0.5) -> DataFrame:
+    """(mesh, by, bx, n, range, at_zero, peak_offset) of ``n`` chunks of a surface volume, drawn until enough are accepted.
+
+    A sampling operator.  Chunks of the first layer of blocks, each as deep as the whole
+    band, are tried in the order of their md5, without replacement; one whose surface
+    covers less than ``least`` of its area, or that cannot be decoded, is passed over.
+    Each pass reads twice what is missing and eight more; the draw ends early after four
+    candidates for each row of blocks, or when none are left.  The result depends on
+    the seed alone, and no more chunks are read than were tried.
+    """
+    listed = chunk_files(spark, meta, array).where("bz = 0")
+    draw = F.md5(F.concat_ws("#", F.lit(str(seed)), "by", "bx"))
+    order = written(numbered(listed.withColumn("__draw", draw), "__draw", "by", "bx"), "chunk-order")
+    size = order.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("by").alias("rows"), F.first("chunks").alias("chunks")).first()
+    end, at, kept, out = min(size.n, 4 * size["rows"]), 0, 0, None
+    while out is None or (kept < n and at < end):
+        until = min(end, at + 2 * (n - kept) + 8)
+        tried = order.where((F.col("place") >= at) & (F.col("place") < until))
+        layers, tall, wide = size.chunks or (1, 1, 1)
+        v = voxels(read_chunks(tried.drop("__draw", "place").repartition(spark.sparkContext.defaultParallelism)))
+        keyed = v.withColumns({"by": F.floor(F.col("y") / tall).cast("int"), "bx": F.floor(F.col("x") / wide).cast("int")})
+        found = layer_profiles(keyed.where(F.col("value") > 0), ["by", "bx"], layers, tall * wide, least).join(tried.select("by", "bx", "place"), ["by", "bx"])
+        found = written(found.select("place", F.lit(array.rstrip("/")).alias("mesh"), "by", "bx", F.round(F.col("coverage") * tall * wide).cast("long").alias("n"), "range", "at_zero", "peak_offset"), "drawn")
+        kept, at = kept + found.count(), until
+        out = found if out is None else out.unionByName(found)
+    return out.orderBy("place").limit(n).drop("place")

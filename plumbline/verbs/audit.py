@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import profiles as pf
@@ -229,8 +229,16 @@ def regularise(points: DataFrame, cells: DataFrame, summary: DataFrame, shape: t
     return out, report
 
 
+def _spacings(real: DataFrame) -> DataFrame:
+    """(mesh, winding_spacing) of the meshes that have one."""
+    return real.where(F.col("winding_spacing").isNotNull() & ~F.isnan("winding_spacing")).select("mesh", "winding_spacing")
+
+
 def sheetswitch(mesh: DataFrame, volume: DataFrame, plant: float = 0.0, window: int = 0, every: int = 1, z_threshold: float = surfaces.Z_THRESHOLD, steps: int = surfaces.FEW_STEPS) -> DataFrame:
-    """Seams of delivered surfaces, and, with ``plant``, of the same ones with one half displaced."""
+    """Seams of delivered surfaces, and, with ``plant``, of the same ones with one half displaced by so many windings.
+
+    A surface whose winding spacing cannot be measured is not planted.
+    """
     own = mesh
     if window:
         best = surfaces.best_window(own, window)
@@ -241,13 +249,74 @@ def sheetswitch(mesh: DataFrame, volume: DataFrame, plant: float = 0.0, window:
     real = surfaces.sheet_switches(own, volume, z_threshold, steps).withColumn("kind", F.lit("real"))
     if not plant:
         return real
-    moved = surfaces.displaced(surfaces.normals(own), plant).select("mesh", "r", "c", "z", "y", "x", "valid")
+    real = written(real, "switches")
+    moved = surfaces.displaced(surfaces.normals(own).join(_spacings(real), "mesh"), plant * F.col("winding_spacing")).select("mesh", "r", "c", "z", "y", "x", "valid")
     return real.unionByName(surfaces.sheet_switches(written(moved, "planted"), volume, z_threshold, steps).withColumn("kind", F.lit("plant")))
 
 
+def triangle_sheetswitch(vertices: DataFrame, faces: DataFrame, volume: DataFrame, plant: float = 0.0, z_threshold: float = surfaces.Z_THRESHOLD, steps: int = surfaces.FEW_STEPS, span: float = 0.4) -> DataFrame:
+    """``sheetswitch`` for triangle meshes; ``span``: how far across a mesh a seam must run."""
+    real = surfaces.triangle_switches(vertices, faces, volume, z_threshold, steps, span=span).withColumn("kind", F.lit("real"))
+    if not plant:
+        return real
+    real = written(real, "switches")
+    own = vertices.join(_spacings(real), "mesh")
+    moved = written(surfaces.displaced_vertices(own, surfaces.triangle_normals(vertices, faces), plant * F.col("winding_spacing")), "planted")
+    return real.unionByName(surfaces.triangle_switches(moved, faces.join(_spacings(real).select("mesh"), "mesh", "left_semi"), volume, z_threshold, steps, span=span).withColumn("kind", F.lit("plant")))
+
+
+def reach_box(points: DataFrame, longest: float, plant: float = 0.0, margin: int = 8) -> tuple[tuple[int, int, int], tuple[int, int, int]] | None:
+    """The box around all points (z, y, x) that holds every walk along their normals; None without points.
+
+    ``longest``: the longest edge, which bounds the grid step that the walk's length
+    follows from; a winding is no longer than such a walk, so ``plant`` of them are so
+    many walks more.
+    """
+    most = int(max(margin, 6.0 * longest, 40.0) * (1.0 + abs(plant))) + 3
+    ends = points.agg(*[f(a) for a in "zyx" for f in (F.min, F.max)]).first()
+    if ends[0] is None:
+        return None
+    return tuple(int(ends[k]) - most for k in (0, 2, 4)), tuple(int(ends[k]) + most + 1 for k in (1, 3, 5))
+
+
+def sheet_blocks(mesh: DataFrame, volume: DataFrame, reach: float = 70.0, step: float = 1.0, tile: int = 12, most: int = 6, seed: int = 0) -> DataFrame:
+    """(mesh, tr, tc, n, range, at_zero, peak_offset) of ``most`` accepted tiles of each grid mesh, in the order of their md5.
+
+    ``volume`` (z, y, x, value).  The tiles that have enough vertices are known from
+    the mesh alone; of those only the first three times ``most`` are walked at a time,
+    until every mesh has its tiles or none are left.
+    """
+    facing = written(surfaces.normals(mesh).where("valid"), "facing")
+    size = mesh.groupBy("mesh").agg(F.max("r").alias("__rows"), F.max("c").alias("__cols"))
+    at = {"tr": F.floor(F.col("r") / tile).cast("int"), "tc": F.floor(F.col("c") / tile).cast("int")}
+    tiles = facing.withColumns(at).groupBy("mesh", "tr", "tc").agg(F.count(F.lit(1)).alias("__filled")).join(size, "mesh")
+    whole = tiles.where(((F.col("tr") + 1) * tile <= F.col("__rows") + 1) & ((F.col("tc") + 1) * tile <= F.col("__cols") + 1) & (F.col("__filled") >= tile * tile // 2))
+    draw = F.md5(F.concat_ws("#", F.lit(str(seed)), F.col("mesh").cast("string"), "tr", "tc"))
+    order = written(whole.withColumn("__turn", F.row_number().over(Window.partitionBy("mesh").orderBy(draw, "tr", "tc"))).select("mesh", "tr", "tc", "__turn"), "tiles")
+    scan, pass_, out, open_ = volume.withColumn("key", F.lit(0)), 3 * most, None, order.select("mesh").distinct()
+    at_turn = 0
+    while True:
+        chosen = order.where((F.col("__turn") > at_turn) & (F.col("__turn") <= at_turn + pass_)).join(open_, "mesh", "left_semi")
+        own = facing.withColumns(at).join(chosen, ["mesh", "tr", "tc"])
+        walked = own.select(F.lit(0).alias("key"), "mesh", "r", "c", F.posexplode(pf.walk(F.struct("z", "y", "x"), F.struct(*[F.col(f"n{a}").alias(a) for a in "zyx"]), pf.offsets(reach, step))).alias("i", "p"))
+        points = walked.select("key", F.struct("mesh", "r", "c", "i").alias("at"), *[F.col(f"p.{a}").alias(a) for a in "zyx"])
+        sampled = voxels.trilinear(points, scan, "key", "at").select("at.*", "sample")
+        profiles = sampled.groupBy("mesh", "r", "c").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "sample"))), lambda s: s["sample"]).alias("profile"))
+        found = written(surfaces.block_profiles(profiles, "mesh", tile, reach, step).join(chosen, ["mesh", "tr", "tc"]), "blocks")
+        out = found if out is None else out.unionByName(found)
+        at_turn += pass_
+        enough = out.groupBy("mesh").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= most).select("mesh")
+        open_ = order.where(F.col("__turn") > at_turn).select("mesh").distinct().join(enough, "mesh", "left_anti")
+        if open_.isEmpty():
+            break
+    first = F.row_number().over(Window.partitionBy("mesh").orderBy("__turn"))
+    return out.withColumn("__first", first).where(F.col("__first") <= most).drop("__first", "__turn")
+
+
 def onsheet(blocks: DataFrame, baseline: str | None = None, key: str = "mesh") -> DataFrame:
     """Spread of block ranges per surface, with a verdict against the baseline surface's median."""
-    s = ranks.spread_summary(blocks, [key], "range").join(blocks.groupBy(key).agg(F.median(F.abs("peak_offset")).alias("peak_offset_abs_median")), key)
+    columns = [F.sum("n").alias("n_columns")] if "n" in blocks.columns else []
+    s = ranks.spread_summary(blocks, [key], "range").join(blocks.groupBy(key).agg(F.median(F.abs("peak_offset")).alias("peak_offset_abs_median"), *columns), key)
     if baseline is None:
         return s.withColumn("verdict", F.lit(None).cast("string"))
     base = s.where(F.col(key) == baseline).agg(F.max("median")).first()[0]

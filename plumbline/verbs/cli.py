@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import boxes, surfaces
 from plumbline.operators.splits import write_splits
-from plumbline.sources import reports, stacks, tables, tiff
+from plumbline.sources import meshes, reports, stacks, tables, tiff, windows, zarr
 from plumbline.storage import written
 from plumbline.verbs import audit
 
@@ -43,7 +43,7 @@ def parser() -> argparse.ArgumentParser:
     switch = verbs.add_parser("sheetswitch", help="surfaces that jump to a neighbouring layer")
     switch.add_argument("--mesh", required=True)
     switch.add_argument("--volume", required=True)
-    switch.add_argument("--plant", type=float, default=0.0)
+    switch.add_argument("--plant", type=float, default=0.0, help="also displace one half by so many windings, as a control")
     switch.add_argument("--window", type=int, default=0)
     switch.add_argument("--decimate", type=int, default=1)
     switch.add_argument("--z-threshold", type=float, default=surfaces.Z_THRESHOLD)
@@ -62,8 +62,19 @@ def parser() -> argparse.ArgumentParser:
         verb.add_argument("--min-global-snr", type=float, default=2.0)
         verb.add_argument("--cell", type=int, default=64)
         verb.add_argument("--min-per-cell", type=int, default=200)
-    sheet = verbs.add_parser("onsheet", help="verdicts from blocks (mesh, range, peak_offset) in a Parquet table")
-    sheet.add_argument("--blocks", required=True)
+    switch.add_argument("--min-span", type=float, default=0.4, help="of triangle meshes: how far across the mesh a seam runs")
+    switch.add_argument("--margin", type=int, default=8, help="voxels beyond the surface's box; never less than the walk needs")
+    sheet = verbs.add_parser("onsheet", help="does a surface lie on a sheet?")
+    sheet.add_argument("--blocks", help="ready blocks (mesh, range, peak_offset) in a Parquet table")
+    sheet.add_argument("--surface-volume", nargs="+", default=[], metavar="ZARR", help="chunks are drawn from these")
+    sheet.add_argument("--mesh", help="folder of grid meshes, walked in --volume")
+    sheet.add_argument("--volume")
+    sheet.add_argument("--chunks", type=int, default=100)
+    sheet.add_argument("--tiles", type=int, default=6, help="tiles of each mesh")
+    sheet.add_argument("--block-size", type=int, default=12, help="cells along a tile's side")
+    sheet.add_argument("--reach", type=float, default=70.0)
+    sheet.add_argument("--step", type=float, default=1.0)
+    sheet.add_argument("--seed", type=int, default=0)
     sheet.add_argument("--baseline")
     sheet.add_argument("--compare", nargs=2, metavar=("A", "B"))
     for verb in (scan, leak, switch, align, regularise, sheet):
@@ -119,6 +130,70 @@ def _leakage(spark: SparkSession, args) -> int:
     return 0
 
 
+def _kinds(spark: SparkSession, path: str) -> set[str]:
+    """Which of tif, obj and ply lie under a path: a few rows, whatever the number of files."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return {r[0] for r in listed.select(F.lower(F.regexp_extract("path", r"\.(tif|obj|ply)$", 1))).distinct().collect()} - {""}
+
+
+def _grids(spark: SparkSession, args, plant: float = 0.0):
+    """Grid meshes, their volume's part that the walks reach, or None where no vertex is valid."""
+    mesh = written(tiff.tifxyz(spark, args.mesh), "mesh")
+    valid = mesh.where("valid")
+    edges = surfaces.grid_edges(mesh).where("both").agg(F.max(surfaces._length("a", "b"))).first()[0] or 0.0
+    box = audit.reach_box(valid, edges * max(1, getattr(args, "decimate", 1)), plant, max(getattr(args, "margin", 8), int(getattr(args, "reach", 0)) + 1))
+    return None if box is None else (mesh, written(windows.volume_window(spark, args.volume, *box), "window"))
+
+
+def _sheetswitch(spark: SparkSession, args) -> int:
+    """Grid and triangle meshes of a path, each kind in its own table; the volume is read around the surfaces alone."""
+    kinds, flagged, n = _kinds(spark, args.mesh), [], 0
+    if not kinds:
+        return 2
+    out = {}
+    if "tif" in kinds:
+        found = _grids(spark, args, args.plant)
+        if found:
+            out["sheetswitch"] = audit.sheetswitch(*found, args.plant, args.window, args.decimate, args.z_threshold, args.steps)
+    tables_ = [read(spark, args.mesh) for kind, read in (("obj", meshes.obj), ("ply", meshes.ply)) if kind in kinds]
+    if tables_:
+        vertices, faces = (written(reduce(lambda x, y: x.unionByName(y), [t[k] for t in tables_]), "triangles") for k in (0, 1))
+        longest = surfaces._placed(surfaces.unique_edges(faces, ("mesh",)), vertices).agg(F.max(surfaces._length("a", "b"))).first()[0]
+        box = audit.reach_box(vertices, longest or 0.0, args.plant, args.margin)
+        if box and longest is not None:
+            volume = written(windows.volume_window(spark, args.volume, *box), "window")
+            out["sheetswitch_triangles"] = audit.triangle_sheetswitch(vertices, faces, volume, args.plant, args.z_threshold, args.steps, args.min_span)
+        reports.write_csv(meshes.errors(spark, args.mesh), f"{args.out}/mesh_errors.csv")
+    for name, found in out.items():
+        found = written(found, name)
+        reports.write_csv(found, f"{args.out}/{name}.csv")
+        real = found.where("kind = 'real'")
+        n += real.count()
+        flagged += [r.asDict() for r in real.where("n_seams > 0").select("mesh", "n_seams", "max_z").orderBy(F.desc("max_z"), "mesh").limit(reports.TABLE_ROWS).collect()]
+    reports.write_summary(f"{args.out}/sheetswitch_summary.json", {"n_meshes": n, "z_threshold": args.z_threshold, "flagged": sorted(flagged, key=lambda r: (-r["max_z"], r["mesh"]))[: reports.TABLE_ROWS]})
+    return 0
+
+
+def _sheet_blocks(spark: SparkSession, args):
+    """Blocks of all sources that were named, and the surfaces that gave none; None without a source."""
+    sources, named = [], []
+    columns = ["mesh", "n", "range", "at_zero", "peak_offset"]
+    if args.blocks:
+        sources.append(spark.read.parquet(args.blocks))
+    for store in args.surface_volume:
+        named.append(store.rstrip("/"))
+        sources.append(zarr.drawn_profiles(spark, zarr.array_meta(zarr.meta_texts(spark, [store])), store, args.chunks, args.seed).select(*columns))
+    if args.mesh and args.volume:
+        found = _grids(spark, args)
+        if found:
+            named += [r[0] for r in found[0].select("mesh").distinct().collect()]  # the surfaces of one call
+            sources.append(audit.sheet_blocks(*found, args.reach, args.step, args.block_size, args.tiles, args.seed).select(*columns))
+    if not sources:
+        return None, []
+    blocks = written(reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), sources), "blocks")
+    return blocks, sorted(set(named) - {r[0] for r in blocks.select("mesh").distinct().collect()})
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
@@ -151,15 +226,17 @@ def main(argv: list[str] | None = None) -> int:
                 stacks.write_stacks(stacks.pages(label.withColumn("value", F.lit(args.surface_class)), own), f"{args.out}/labels")
             reports.write_csv(reduce(lambda x, y: x.unionByName(y), told), f"{args.out}/regularise.csv")
     elif args.verb == "onsheet":
-        blocks = spark.read.parquet(args.blocks)
-        reports.write_csv(audit.onsheet(blocks, args.baseline), f"{args.out}/onsheet.csv")
+        blocks, empty = _sheet_blocks(spark, args)
+        if blocks is None:
+            return 2
+        told = audit.onsheet(blocks, args.baseline).withColumn("error", F.lit(None).cast("string"))
+        if empty:
+            told = told.unionByName(spark.createDataFrame([(m, "no usable blocks") for m in empty], "mesh string, error string"), allowMissingColumns=True)
+        reports.write_csv(told, f"{args.out}/onsheet.csv")
         if args.compare:
             reports.write_json(audit.compare(blocks, *args.compare), f"{args.out}/compare.json")
     else:
-        mesh = tiff.tifxyz(spark, args.mesh)
-        volume = tiff.voxels(tiff.volume_planes(spark, args.volume)).drop("volume")
-        found = audit.sheetswitch(mesh, volume, args.plant, args.window, args.decimate, args.z_threshold, args.steps)
-        reports.write_csv(found, f"{args.out}/sheetswitch.csv")
+        return _sheetswitch(spark, args)
     return 0
 
 

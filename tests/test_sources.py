@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from plumbline.operators import corpus
 from plumbline.operators.morphology import arms
-from plumbline.sources import meshes, reports, tables, tiff, zarr
+from plumbline.sources import meshes, reports, tables, tiff, windows, zarr
 from plumbline.streaming import resume
 from plumbline.verbs import audit, cli
 from pyspark.sql import functions as F
@@ -157,6 +157,96 @@ def test_zarr_blocks(spark, tmp_path):
     assert zarr.box_blocks(blocks, (0, 0, 0), (3, 3, 3), (4, 4, 4)).count() == 1
 
 
+def write_zarr(root, a, chunks, separator="."):
+    root.mkdir(parents=True)
+    (root / ".zarray").write_text(json.dumps({"shape": list(a.shape), "chunks": list(chunks), "dtype": a.dtype.str, "order": "C", "compressor": {"id": "zlib"}, "dimension_separator": separator}))
+    for at in np.ndindex(*[-(-n // c) for n, c in zip(a.shape, chunks, strict=True)]):
+        part = a[tuple(slice(i * c, (i + 1) * c) for i, c in zip(at, chunks, strict=True))]
+        whole = np.zeros(chunks, a.dtype)
+        whole[tuple(slice(n) for n in part.shape)] = part
+        if whole.any():
+            path = root / separator.join(map(str, at))
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_bytes(zlib.compress(whole.tobytes()))
+
+
+def test_windows_of_zarr_and_tiff_agree(spark, tmp_path):
+    a = np.random.default_rng(5).integers(1, 250, (20, 22, 18)).astype(np.uint8)
+    write_zarr(tmp_path / "group.zarr" / "0", a, (8, 8, 8), "/")
+    (tmp_path / "group.zarr" / "0" / "2" / "2" / "2").write_bytes(b"junk")  # outside the box
+    write_tiff(tmp_path / "v.tif", a)
+    low, high = (5, -4, 3), (11, 9, 99)
+    want = {(z, y, x): float(a[z, y, x]) for z in range(5, 11) for y in range(9) for x in range(3, 18)}
+    for path in ("group.zarr", "v.tif"):
+        got = windows.volume_window(spark, str(tmp_path / path), low, high).collect()
+        assert {(r.z, r.y, r.x): r.value for r in got} == want
+    meta = zarr.array_meta(zarr.meta_texts(spark, [str(tmp_path / "group.zarr"), str(tmp_path / "none.zarr")]))
+    assert {r.array.rsplit("/", 2)[-2:][0] + "/" + r.array.rsplit("/", 1)[-1]: r.error for r in meta.collect()}["group.zarr/0"] is None
+    assert meta.where("error is not null").count() == 1
+    assert zarr.chunk_files(spark, meta, str(tmp_path / "group.zarr"), low, high).count() == 2 * 2 * 3
+    with pytest.raises(ValueError, match="unreadable"):
+        windows.volume_window(spark, str(tmp_path / "none.zarr"), low, high)
+
+
+def test_chunks_are_drawn_until_enough_are_accepted(spark, tmp_path):
+    import hashlib
+
+    rng = np.random.default_rng(6)
+    a = rng.integers(1, 200, (9, 4 * 8, 4 * 6)).astype(np.uint8)
+    order = sorted(np.ndindex(8, 6), key=lambda b: hashlib.md5(f"3#{b[0]}#{b[1]}".encode()).hexdigest())
+    part = lambda b: (slice(None), slice(4 * b[0], 4 * b[0] + 4), slice(4 * b[1], 4 * b[1] + 4))
+    for b in order[:13]:  # the first pass of 14 finds one: all others cover a quarter
+        a[part(b)][:, 2:, :] = 0
+        a[part(b)][:, :, 2:] = 0
+    store = tmp_path / "s.zarr"
+    write_zarr(store / "0", a, (9, 4, 4))
+    for b in order[13 + 10 + 2 :]:  # nor may what comes after the second pass count
+        (store / "0" / f"0.{b[0]}.{b[1]}").write_bytes(b"junk")
+    meta = zarr.array_meta(zarr.meta_texts(spark, [str(store)]))
+    for shuffles in ("2", "5"):
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        got = zarr.drawn_profiles(spark, meta, str(store), 3, 3).collect()
+        assert [(r.by, r.bx) for r in got] == [tuple(map(int, b)) for b in order[13:16]]
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for r in got:
+        means = a[part((r.by, r.bx))].reshape(9, 16).mean(1)
+        assert (r.n, r.range, r.at_zero, r.peak_offset) == pytest.approx((16, means.max() - means.min(), means[4], means.argmax() - 4))
+    few = zarr.drawn_profiles(spark, meta, str(store), 99, 3)
+    assert few.count() == 12  # 48 chunks at most 4 a row: 32 tried, 13 thin ones and 7 junk
+
+
+def test_sheetswitch_and_onsheet_verbs(spark, tmp_path):
+    from test_arrays import _sheet_mesh, _wrapped
+
+    rng = np.random.default_rng(3)
+    write_zarr(tmp_path / "scan.zarr", _wrapped(side=52).astype(np.uint8), (16, 16, 16))
+    v, f = _sheet_mesh()
+    (tmp_path / "tri").mkdir()
+    bumps = rng.normal(0, 0.2, len(v))
+    for name, far in (("flat", 0.0), ("cut", 16.0)):
+        points = [f"v {x} {y} {z + bumps[i] + (far if x > 24 else 0)}" for _, i, z, y, x in v]
+        (tmp_path / "tri" / f"{name}.obj").write_text("\n".join([*points, *(f"f {a + 1} {b + 1} {c + 1}" for _, _, a, b, c in f)]))
+    (tmp_path / "tri" / "bad.ply").write_bytes(b"ply\nformat binary_little_endian 1.0\nend_header\n")
+    r, c = np.indices((16, 16))
+    for name, z in (("on", 22.0), ("off", 30.0)):
+        (tmp_path / "tri" / name).mkdir()
+        for axis, values in (("z", z + bumps.reshape(16, 16)), ("y", 3.0 * r + 2), ("x", 3.0 * c + 2)):
+            write_tiff(tmp_path / "tri" / name / f"{axis}.tif", values.astype(np.float32))
+    out, read = tmp_path / "out", lambda n: {r.mesh: r for r in spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "out" / n)).collect()}
+    assert cli.main(["sheetswitch", "--mesh", str(tmp_path / "tri"), "--volume", str(tmp_path / "scan.zarr"), "--out", str(out)]) == 0
+    got = read("sheetswitch_triangles.csv")
+    assert got["flat"].n_seams == 0 and got["cut"].n_seams == 1 and got["cut"].winding_spacing == pytest.approx(16, abs=1)
+    assert read("sheetswitch.csv")["on"].n_seams == 0 and set(read("mesh_errors.csv")) == {"bad"}
+    told = json.loads((out / "sheetswitch_summary.json").read_text())
+    assert told["n_meshes"] == 4 and [r["mesh"] for r in told["flagged"]] == ["cut"]
+    args = ["onsheet", "--mesh", str(tmp_path / "tri"), "--volume", str(tmp_path / "scan.zarr"), "--reach", "4", "--block-size", "4", "--tiles", "5", "--baseline", "on", "--out", str(out)]
+    write_zarr(tmp_path / "empty.zarr", np.pad(np.ones((3, 1, 1), np.uint8), ((0, 0), (0, 7), (0, 7))), (3, 8, 8))
+    assert cli.main([*args, "--surface-volume", str(tmp_path / "empty.zarr")]) == 0
+    sheets = read("onsheet.csv")
+    assert sheets["on"].n == 5 and sheets["on"].n_columns == 80 and sheets["on"].peak_offset_abs_median <= 1 < sheets["off"].peak_offset_abs_median
+    assert sheets[str(tmp_path / "empty.zarr")].error == "no usable blocks"
+
+
 def test_obj_and_ply(spark, tmp_path):
     (tmp_path / "a.obj").write_text("# c\nv 1 2 3\nv 4 5 6\nv 7 8 9\nv 1 1 1\nvn 0 0 1\nf 1/1/1 2/2 3 4\nf -3 -2 -1\n")
     (tmp_path / "none.obj").write_text("v 1 2 3\n")
