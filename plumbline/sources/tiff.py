@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators.census import stem
+from plumbline.storage import written
 
 HEADER_BYTES = 2048
 #: Fixed values of the TIFF format.
@@ -29,8 +30,7 @@ COMPRESSIONS = {1: "NONE", 5: "LZW", 8: "ADOBE_DEFLATE", 32773: "PACKBITS", 3294
 KINDS = {(8, 1): "uint8", (16, 1): "uint16", (32, 1): "uint32", (32, 3): "float32", (64, 3): "float64", (8, 2): "int8", (16, 2): "int16"}
 PAGE_OVERHEAD = 166  #: bytes of one page's directory in the collections at hand
 DIRECTORY_BYTES = 256  #: read at a directory's place; a longer one is read again
-PAGES_TOGETHER = 16  #: pages of a file that one task reads in a row
-TASK_BYTES = 64 << 20  #: bytes of files for each task that reads pages
+TASK_BYTES = 64 << 20  #: stored bytes for each task that reads pages
 
 HEADER_SCHEMA = "path string, name string, width int, height int, dtype string, compression string, n_pages int, depth_inferred boolean, file_size long, error string, bytes_read long"
 _ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
@@ -204,9 +204,9 @@ def volume_planes(spark: SparkSession, path: str, z_from: int = 0, z_to: int | N
     """PLANE_SCHEMA rows of the pages in the z range, cut to the ranges of rows and columns, one row each.
 
     Ranges are cut to the volume; a page that they miss gives no row.  Of a page only
-    the strips that hold the rows are read.  Pages go to tasks in runs of
-    ``PAGES_TOGETHER``, so one large volume is read by many; what is shuffled is the
-    index of the pages, never samples.
+    the strips that hold the rows are read.  Pages go to tasks by ranges of file and z, so
+    that one large volume is read by many, each in a row; what is written first and
+    shuffled is the index of the pages, never samples.
     """
     z_from, y_from, x_from = max(0, z_from), max(0, rows[0]), max(0, columns[0])
     y_to, x_to = rows[1], columns[1]
@@ -235,11 +235,14 @@ def volume_planes(spark: SparkSession, path: str, z_from: int = 0, z_to: int | N
         if source is not None:
             source.file.close()
 
-    listed = files(spark, path, names)
-    total = listed.agg(F.sum("length")).first()[0] or 0
-    tasks = max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
-    index = page_index(listed, z_from, z_to)
-    return index.repartition(tasks, "path", F.floor(F.col("z") / PAGES_TOGETHER)).sortWithinPartitions("path", "z").mapInArrow(decode, PLANE_SCHEMA)
+    index = written(page_index(files(spark, path, names), z_from, z_to), "pages")
+    return index.repartitionByRange(_tasks(index), "path", "z").sortWithinPartitions("path", "z").mapInArrow(decode, PLANE_SCHEMA)
+
+
+def _tasks(index: DataFrame) -> int:
+    """Tasks for the pages of a written index, by their stored bytes."""
+    stored = index.agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, n: s + n))).first()[0] or 0
+    return max(index.sparkSession.sparkContext.defaultParallelism, -(-stored // TASK_BYTES))
 
 
 def volume_box(spark: SparkSession, path: str, low: tuple[int, int, int], high: tuple[int, int, int]) -> DataFrame:
@@ -272,13 +275,12 @@ def tifxyz(spark: SparkSession, path: str) -> DataFrame:
     named = files(spark, path).where(F.col("path").rlike(r"/[xyz]\.tif$"))
     parts = F.split("path", "/")
     schema = "mesh string, r int, c int, axis string, v double"
-    index = page_index(named, 0, 1)
+    index = written(page_index(named, 0, 1), "pages")
     broken = index.where("error is not null").select("path", "error").first()
     if broken:
         raise ValueError(f"{broken.path}: {broken.error}")
     strip = F.explode(F.sequence(F.lit(0), F.floor((F.col("height") - 1) / F.col("strip_rows")))).alias("strip")
     each = index.select("*", F.element_at(parts, -2).alias("mesh"), F.substring(F.element_at(parts, -1), 1, 1).alias("axis"), strip)
-    tasks = max(spark.sparkContext.defaultParallelism, -(-(named.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES))
 
     def spread(batches):
         for batch in batches:
@@ -288,6 +290,6 @@ def tifxyz(spark: SparkSession, path: str) -> DataFrame:
                 r, c = np.indices(a.shape, np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([row["mesh"]] * a.size, pa.string()), pa.array((r + np.int32(at)).ravel()), pa.array(c.ravel()), pa.array([row["axis"]] * a.size, pa.string()), pa.array(a.ravel().astype(float))], names=["mesh", "r", "c", "axis", "v"])
 
-    read = each.repartition(tasks, "path", F.floor(F.col("strip") / PAGES_TOGETHER)).mapInArrow(spread, schema)
+    read = each.repartitionByRange(_tasks(index), "path", "strip").mapInArrow(spread, schema)
     wide = read.groupBy("mesh", "r", "c").agg(*[F.max(F.when(F.col("axis") == a, F.col("v"))).alias(a) for a in "zyx"])
     return missing_as_invalid(wide)
