@@ -7,21 +7,24 @@
 2. The hashes of n-grams that stand in more than one document are stored as
    sorted arrays in the shared folder.  A second scan selects the same positions,
    asks the arrays, and drops the suffixes whose n-gram is in one document alone.
-3. N-grams that begin more than ``HOT_ROWS`` suffixes are settled by windows: all
-   ``LEAST``-word windows around their positions are hashed, and those that stand in
-   more than one document are stored as arrays that a last scan asks.  So each
-   suffix is held against all others, and a frequent passage is only counted.
-4. Of the other n-grams, suffixes carry the hashes of the ``LEAST - GRAM`` words
-   after the n-gram and of those before it, which is as far as a passage of
-   ``LEAST`` words around it can reach.  They are sorted by n-gram and content, so
-   that suffixes of one n-gram are neighbours; these are compared, the match is
-   extended to both sides, and LEAST words or more make a span of both documents.
+3. Suffixes carry the hashes of the ``LEAST - GRAM`` words after the n-gram and of
+   those before it, which is as far as a passage of ``LEAST`` words around it can
+   reach.  They are sorted by n-gram and by the words that follow, so that suffixes
+   of one n-gram are neighbours, and within a task once more by the words before.
+   Two suffixes share as many words as the least number that any two neighbours
+   between them share; so the neighbours' matches tell, for every length to the
+   right, which suffixes agree that far, and to the left which agree in the rest of
+   ``LEAST`` words.  Those of both are extended both ways to a span, without pairs.
+4. N-grams that begin more than ``SORTED_ROWS`` suffixes are no task's group.  They are
+   settled by windows: all ``LEAST``-word windows around their positions are hashed,
+   and those that stand in more than one document are stored as arrays that a last
+   scan asks.  So a frequent passage is only counted.
 5. Spans that overlap or touch are merged for each document.
 
 N-grams, windows and carried words are equal by 64-bit hashes.  Nothing is missed:
 a passage of ``LEAST`` words in two documents has a selected position in it, at the
-same place of the passage in both, whose n-gram has either few suffixes, all of
-which are compared, or windows, one of which is the passage.
+same place of the passage in both, whose n-gram has either a sorted group with both
+suffixes in it, or windows, one of which is the passage.
 
 Cases: null, empty and short texts have no suffix and no span; they do not appear
 in the result.  A passage that repeats only within one document gives none.  Rows
@@ -36,7 +39,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,7 +49,7 @@ from plumbline.storage import written
 
 LEAST = 50
 GRAM = 20
-HOT_ROWS = 2  #: an n-gram with more suffixes is settled by windows; of others, all pairs are compared
+SORTED_ROWS = 2048  #: suffixes of one n-gram that a task sorts, about 1 MB; an n-gram with more is settled by windows
 CARRIED_ROWS = 8192  #: suffixes in a batch with their words
 
 
@@ -193,30 +195,54 @@ def _fixed(rows: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows)])
 
 
-def _shared_words(values: np.ndarray, known: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many values rows ``a`` and ``b`` share from their beginning, of the ``known`` ones of each."""
-    differs = values[a] != values[b]
-    same = np.where(differs.any(1), differs.argmax(1), values.shape[1])
-    return np.minimum(same, np.minimum(known[a], known[b]))
+def _agreeing(values: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """For each row and each number of words k, a number of the rows with its n-gram and its first k words; rows are sorted."""
+    differs = values[1:] != values[:-1]
+    common = np.where(differs.any(1), differs.argmax(1), values.shape[1])
+    common[h[1:] != h[:-1]] = -1
+    out = np.zeros((len(h), values.shape[1] + 1), np.int64)
+    out[1:] = np.cumsum(common[:, None] < np.arange(values.shape[1] + 1), axis=0)
+    return out
+
+
+def _others(group: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each row the least document number of its group that is not its own, or -1."""
+    order = np.lexsort((doc, group))
+    g, d = group[order], doc[order]
+    head = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+    size = np.diff(np.append(head, len(g)))
+    least = np.repeat(d[head], size)
+    none = np.iinfo(np.int64).max
+    second = np.repeat(np.minimum.reduceat(np.where(d == least, none, d), head), size)
+    out = np.empty(len(g), np.int64)
+    out[order] = np.where(d == least, np.where(second == none, -1, second), least)
+    return out
 
 
 def _compared(rows: pa.Table, least: int, gram: int) -> pa.RecordBatch:
-    """Spans of all pairs of rows of one n-gram and different documents; rows are sorted by n-gram."""
+    """A span for each row that shares ``least`` words with one of its n-gram in another document; rows are sorted by n-gram and ``right``."""
     column = lambda c: rows.column(c).combine_chunks()
-    doc, h, at = column("doc_id"), column("h").to_numpy(), column("at").to_numpy()
-    sides = {c: np.frombuffer(b"".join(column(c).to_pylist()), np.uint64).reshape(len(h), least - gram) for c in ("left", "right")}
-    known = {c: column(k).to_numpy() for c, k in (("left", "before"), ("right", "after"))}
-    found, step = [], 1
-    while len(a := np.flatnonzero(h[step:] == h[:-step])):
-        b = a + step
-        left, right = (_shared_words(sides[c], known[c], a, b) for c in ("left", "right"))
-        far = left + right + gram >= least
-        other = pc.not_equal(doc.take(pa.array(a)), doc.take(pa.array(b))).to_numpy(zero_copy_only=False)
-        a, b, left, right = (x[far & other] for x in (a, b, left, right))
-        found += [(a, at[a] - left, at[a] + gram + right, b), (b, at[b] - left, at[b] + gram + right, a)]
-        step += 1
-    own, low, high, other = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
-    return pa.RecordBatch.from_arrays([doc.take(pa.array(own)), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), doc.take(pa.array(other))], names=["doc_id", "low", "high", "other_id"])
+    doc, h, at, before, after = column("doc_id"), *(column(c).to_numpy() for c in ("h", "at", "before", "after"))
+    side, n = least - gram, len(h)
+    left, right = (np.frombuffer(b"".join(column(c).to_pylist()), np.int64).reshape(n, side) for c in ("left", "right"))
+    follows = _agreeing(right, h)
+    keyed = np.ascontiguousarray(np.concatenate([h[:, None], left], axis=1))
+    by_left = np.argsort(keyed.view(np.dtype((np.void, keyed.shape[1] * 8))).reshape(-1), kind="stable")
+    precedes = np.empty_like(follows)
+    precedes[by_left] = _agreeing(left[by_left], h[by_left])
+    _, named, code = np.unique(doc.to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)
+    most_left, most_right, other = np.full(n, -1), np.full(n, -1), np.full(n, len(named))
+    for k in range(side + 1):
+        full = np.flatnonzero((after >= k) & (before >= side - k))
+        if len(full):
+            met = _others(follows[full, k] * n + precedes[full, side - k], code[full])
+            full, met = full[met >= 0], met[met >= 0]
+            most_right[full] = k
+            most_left[full] = np.maximum(most_left[full], side - k)
+            other[full] = np.minimum(other[full], met)
+    own = np.flatnonzero(most_right >= 0)
+    low, high = at[own] - most_left[own], at[own] + gram + most_right[own]
+    return pa.RecordBatch.from_arrays([doc.take(pa.array(own)), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), doc.take(pa.array(named[other[own]]))], names=["doc_id", "low", "high", "other_id"])
 
 
 def _compare(least: int, gram: int):
@@ -251,7 +277,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, id_col
     found = suffixes(docs, least, gram, id_col, text_col)
     shared = written(found.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("h", "n"), "shared")
     folder, bits = shared_folder(spark, "suffixes"), shard_bits(spark)
-    HashSet.write(shared.where(F.col("n") <= HOT_ROWS).select("h"), folder, bits)
+    HashSet.write(shared.where(F.col("n") <= SORTED_ROWS).select("h"), folder, bits)
     ints, binaries = [T.StructField(c, T.IntegerType()) for c in ("at", "before", "after")], [T.StructField(c, T.BinaryType()) for c in ("left", "right")]
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("h", T.LongType()), *ints, *binaries])
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -259,7 +285,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, id_col
     array = carried.repartition("h").sortWithinPartitions("h", "right", "left", "doc_id", "at")
     out = T.StructType([T.StructField("doc_id", kind), T.StructField("low", T.IntegerType()), T.StructField("high", T.IntegerType()), T.StructField("other_id", kind)])
     spans = array.mapInArrow(_compare(least, gram), out)
-    return merged(spans.union(_window_spans(rows, shared.where(F.col("n") > HOT_ROWS).select("h"), least, gram)))
+    return merged(spans.union(_window_spans(rows, shared.where(F.col("n") > SORTED_ROWS).select("h"), least, gram)))
 
 
 def merged(spans: DataFrame) -> DataFrame:

@@ -141,9 +141,10 @@ def test_bands_meet_the_recall():
     assert bands * rows <= 128 and 1 - (1 - 0.8**rows) ** bands >= 0.9995
 
 
-@pytest.mark.parametrize("hot", [1000, 2])
-def test_repeated_spans(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", hot)
+@pytest.mark.parametrize("most", [2048, 3, 1])
+def test_repeated_spans(spark, monkeypatch, most):
+    """Every covered word, with all n-grams sorted, with some, and with windows alone."""
+    monkeypatch.setattr(suffix_dedup, "SORTED_ROWS", most)
     docs = awkward(spark)
     passage = " ".join(f"shared{k}" for k in range(57))
     extra = [(4000 + k, f"own{k} " * (3 * k + 1) + passage + f" end{k}" * (2 * k), "en", "s", 1, "g", 1.0) for k in range(6)]
@@ -184,3 +185,29 @@ def test_spans_hidden_by_half_matches(spark):
     rows = [(i, " ".join(w), "en", "s", 1, "g", 1.0) for i, w in texts.items()]
     got = suffix_dedup.repeated_spans(spark.createDataFrame(rows, empty(spark).schema)).collect()
     assert sorted((r.doc_id, r.start_word, r.end_word, r.other_id) for r in got) == [(1, 1, 51, 2), (2, 1, 51, 1)]
+
+
+def test_partners_of_sorted_suffixes(spark):
+    """Random halves around one n-gram: spans and the least partner of each document are those of all pairs."""
+    rng = np.random.default_rng(3)
+    gram, texts = [f"g{k}" for k in range(20)], {}
+    for i in range(60):
+        cuts, kinds = rng.integers(5, 40, 2), rng.integers(0, 4, 2)
+        halves = [[f"{side}{k}" if k < cut else f"{side}{k}.{kind}" for k in range(rng.integers(cut, 41))] for side, cut, kind in zip("lr", cuts, kinds, strict=True)]
+        texts[i] = [*halves[0][::-1], *gram, *halves[1]]
+    spans, partner = {}, {}
+    for i, a in texts.items():
+        for j, b in texts.items():
+            if i == j:
+                continue
+            p, q = a.index("g0"), b.index("g0")
+            left = next((k for k in range(min(p, q)) if a[p - 1 - k] != b[q - 1 - k]), min(p, q))
+            x, y = a[p + 20 :], b[q + 20 :]
+            right = next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
+            if left + right + 20 >= 50:
+                spans.setdefault(i, set()).update(range(p - left, p + 20 + right))
+                partner[i] = min(partner.get(i, j), j)
+    rows = [(i, " ".join(w), "en", "s", 1, "g", 1.0) for i, w in texts.items()]
+    got = suffix_dedup.repeated_spans(spark.createDataFrame(rows, empty(spark).schema)).collect()
+    assert {r.doc_id: set(range(r.start_word, r.end_word)) for r in got} == spans and len(spans) > 20
+    assert {r.doc_id: r.other_id for r in got} == partner
