@@ -16,9 +16,10 @@
    right, which suffixes agree that far, and to the left which agree in the rest of
    ``LEAST`` words.  Those of both are extended both ways to a span, without pairs.
 4. N-grams that begin more than ``SORTED_ROWS`` suffixes are no task's group.  They are
-   settled by windows: all ``LEAST``-word windows around their positions are hashed,
-   and those that stand in more than one document are stored as arrays that a last
-   scan asks.  So a frequent passage is only counted.
+   settled by windows: all ``LEAST``-word windows around their positions are hashed
+   (of a slice of texts the least and the greatest document of each window stand for
+   all), and those in more than one document are stored as arrays that a last scan
+   asks.  So a frequent passage is only counted.
 5. Spans that overlap or touch are merged for each document.
 
 N-grams, windows and carried words are equal by 64-bit hashes.  Nothing is missed:
@@ -119,6 +120,16 @@ def _windows_of(data: np.ndarray, offsets: np.ndarray, least: int, gram: int, fr
     return row, starts - first[:-1][row], out
 
 
+def _least_and_greatest(doc: np.ndarray, row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash): of the rows with one hash, that of the least document number and that of the greatest."""
+    order = np.lexsort((doc, h))
+    doc, row, h = doc[order], row[order], h[order]
+    change = h[1:] != h[:-1]
+    first, last = np.flatnonzero(np.append(True, change)[: len(h)]), np.flatnonzero(np.append(change, True)[: len(h)])
+    kept = np.concatenate([first, last[doc[last] != doc[first]]])
+    return row[kept], h[kept]
+
+
 def _window_spans(rows: DataFrame, frequent: DataFrame, least: int, gram: int) -> DataFrame:
     """(doc_id, low, high, other_id): spans of the windows around frequent n-grams that several documents hold."""
     spark, kind = rows.sparkSession, rows.schema["doc_id"].dataType
@@ -131,7 +142,9 @@ def _window_spans(rows: DataFrame, frequent: DataFrame, least: int, gram: int) -
             data, offsets = utf8(batch.column(1))
             for i, j in row_slices(offsets):
                 row, _, h = _windows_of(data, offsets[i : j + 1], least, gram, wanted)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(row)), pa.array(h.view(np.int64))], names=["doc_id", "h"])
+                doc = batch.column(0).slice(i, j - i)
+                row, h = _least_and_greatest(np.unique(doc.to_numpy(zero_copy_only=False), return_inverse=True)[1][row], row, h)
+                yield pa.RecordBatch.from_arrays([doc.take(pa.array(row)), pa.array(h.view(np.int64))], names=["doc_id", "h"])
 
     spelled = rows.mapInArrow(spell, T.StructType([T.StructField("doc_id", kind), T.StructField("h", T.LongType())]))
     shared = written(spelled.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b"), "windows")
