@@ -69,7 +69,8 @@ def overlap_pairs(boxes: DataFrame, buffer: int = 0, id_col: str = "id", cell: i
     while y and x gaps equal to it do.  ``cell``: edge of the grid that deals
     boxes out (by default the largest edge of any box plus the buffer); a box
     goes to each cell it touches, and a pair is kept in the cell that holds the
-    lower corner of the two boxes' common region.
+    lower corner of the two boxes' common region.  Both sides grow with the table,
+    and Spark takes a side for as small as its file, so the join is told to shuffle.
     """
     if cell is None:
         edges = [F.max(F.col(f"{x}1") - F.col(f"{x}0")) for x in AXES]
@@ -92,7 +93,7 @@ def overlap_pairs(boxes: DataFrame, buffer: int = 0, id_col: str = "id", cell: i
     home = F.lit(True)
     for x in AXES:
         home = home & (F.col(f"c{x}") == F.floor(F.greatest(f"a_{x}0", f"b_{x}0") / cell))
-    pairs = left.join(right, ["volume", *[f"c{x}" for x in AXES]]).where(first & near & home)
+    pairs = left.join(right.hint("merge"), ["volume", *[f"c{x}" for x in AXES]]).where(first & near & home)
     pairs = pairs.withColumn("a_volume", F.col("volume")).withColumn("b_volume", F.col("volume"))
     return pairs.select("volume", F.col(f"a_{id_col}").alias("a"), F.col(f"b_{id_col}").alias("b"), overlap_fraction("a_", "b_").alias("fraction"))
 

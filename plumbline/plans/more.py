@@ -246,7 +246,7 @@ def box_gaps(spark, sf_dir):
     boxes = part_boxes(spark, sf_dir)
     side = lambda p: boxes.select(F.col("id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in boxes.columns if c != "id"])
     pairs = bx.overlap_pairs(boxes, 30).select("a", "b")
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", bx.gap("a_", "b_").alias("gap"))
+    return pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", bx.gap("a_", "b_").alias("gap"))
 
 
 @query("""SELECT metric, count(v) AS n_measurable, count(*) AS n_attempted, round(median(v), 4) AS median, round(avg(v), 4) AS mean, min(v) AS least, max(v) AS most FROM (
