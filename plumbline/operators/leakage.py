@@ -2,7 +2,8 @@
 
 ``folds`` is (fold, role, id) with role ``train`` or ``val``, as declared: the
 training set is what the table says, not the complement of the validation set.
-``graph`` is (a, b, fraction) in both directions.
+``graph`` is (a, b, fraction) in both directions.  Folds and graph grow with the
+table, so their joins are told to shuffle.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ def contaminated(folds: DataFrame, graph: DataFrame) -> DataFrame:
     """(fold, id, shared): validation rows and the largest fraction shared with a training row; null if none."""
     val = folds.where("role = 'val'").select("fold", "id")
     train = folds.where("role = 'train'").select("fold", F.col("id").alias("b"))
-    touched = val.join(graph.withColumnRenamed("a", "id"), "id").join(train, ["fold", "b"]).groupBy("fold", "id").agg(F.max("fraction").alias("shared"))
-    return val.join(touched, ["fold", "id"], "left")
+    touched = val.join(graph.withColumnRenamed("a", "id").hint("merge"), "id").join(train.hint("merge"), ["fold", "b"]).groupBy("fold", "id").agg(F.max("fraction").alias("shared"))
+    return val.join(touched.hint("merge"), ["fold", "id"], "left")
 
 
 def split_leakage(folds: DataFrame, graph: DataFrame) -> DataFrame:
@@ -41,8 +42,8 @@ def split_leakage(folds: DataFrame, graph: DataFrame) -> DataFrame:
 def with_buffer_zone(folds: DataFrame, graph: DataFrame) -> DataFrame:
     """``folds`` without the training rows that touch their fold's validation rows."""
     val = folds.where("role = 'val'").select("fold", F.col("id").alias("v"))
-    touching = graph.select(F.col("a").alias("v"), F.col("b").alias("id")).join(val, "v").select("fold", "id").distinct()
-    train = folds.where("role = 'train'").join(touching, ["fold", "id"], "left_anti")
+    touching = graph.select(F.col("a").alias("v"), F.col("b").alias("id")).join(val.hint("merge"), "v").select("fold", "id").distinct()
+    train = folds.where("role = 'train'").join(touching.hint("merge"), ["fold", "id"], "left_anti")
     return train.select("fold", "role", "id").union(folds.where("role = 'val'").select("fold", "role", "id"))
 
 
