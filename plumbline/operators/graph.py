@@ -13,16 +13,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
 
     Each round takes the least label among a node's neighbours and then that
     label's own label, so chains shorten geometrically.  Rounds are written to
-    the shared folder; only the number of changes reaches the driver.
+    the shared folder; only the number of changes reaches the driver.  Their files are
+    far smaller than their rows, so the joins are told to shuffle.
     """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     both = written(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
     labels = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).select(F.col("u").alias("node"), "label"), "labels")
     for _ in range(rounds):
-        near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels["node"] == near["u"]).select("node", "label", F.least("label", "near").alias("least"))
+        near = both.join(labels.select(F.col("node").alias("v"), "label").hint("merge"), "v").groupBy("u").agg(F.min("label").alias("near"))
+        step = labels.join(near.hint("merge"), labels["node"] == near["u"]).select("node", "label", F.least("label", "near").alias("least"))
         jump = labels.select(F.col("node").alias("least"), F.col("label").alias("further"))
-        moved = written(step.join(jump, "least").select("node", F.col("label").alias("old"), F.least("least", "further").alias("label")), "labels")
+        moved = written(step.join(jump.hint("merge"), "least").select("node", F.col("label").alias("old"), F.least("least", "further").alias("label")), "labels")
         labels = moved.select("node", "label")
         if moved.where("old <> label").isEmpty():
             break

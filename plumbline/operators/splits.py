@@ -158,11 +158,11 @@ def blocked_kfold(boxes: DataFrame, graph: DataFrame, k: int = 5, mode: str = "b
         keyed = blocks(boxes, factor).select("id", F.concat_ws("/", "volume", *[f"b{a}" for a in AXES]).alias("group"))
     elif mode == "component":
         named = connected_components(graph)
-        keyed = boxes.join(named.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").cast("string").alias("group"))
+        keyed = boxes.join(named.withColumnRenamed("node", "id").hint("merge"), "id", "left").select("id", F.coalesce("component", "id").cast("string").alias("group"))
     else:
         raise ValueError(f"unknown mode {mode!r}")
     folds = deal_groups(keyed.groupBy("group").agg(F.count(F.lit(1)).alias("n")), k)
-    return keyed.join(folds, "group").select("id", "fold")
+    return keyed.join(folds.hint("merge"), "group").select("id", "fold")
 
 
 def splits_json(folds: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
+
 from plumbline.operators import boxes, graph, leakage, splits
 
 
@@ -153,3 +155,24 @@ def test_a_cluster_must_name_its_shared_folder():
     bare = SimpleNamespace(getConf=lambda: SimpleNamespace(get=lambda k: None), getCheckpointDir=lambda: None, master="spark://host:7077")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(SimpleNamespace(sparkContext=bare))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_joins_of_growing_sides_are_not_broadcast(spark):
+    """Ranges of many rows have tiny files or none: their estimated size says nothing of their rows."""
+    from plumbline.operators import boxes as bx
+    from plumbline.operators import graph, leakage
+
+    k = F.col("id")
+    boxes = spark.range(40).select("id", F.lit("v").alias("volume"), *[(k * 5).alias(f"{a}0") for a in "zyx"], *[(k * 5 + 8).alias(f"{a}1") for a in "zyx"])
+    pairs = bx.overlap_pairs(boxes)
+    assert "Broadcast" not in _plan(pairs) and pairs.count() == 39
+    folds, both = leakage.declared_folds(boxes.select("id", (k % 5).alias("fold")), 5), bx.overlap_graph(boxes)
+    kept = leakage.with_buffer_zone(folds, both)
+    for found in (leakage.contaminated(folds, both), kept, leakage.residual_leaks(kept, both)):
+        assert "Broadcast" not in _plan(found)
+    assert leakage.residual_leaks(kept, both).count() == 0
+    assert {r["component"] for r in graph.connected_components(pairs).collect()} == {0}
