@@ -78,9 +78,9 @@ def components(voxels: DataFrame, key: str, steps: list[tuple[int, int, int]] =
     named = written(voxels.select(key, *AXES).distinct().withColumn("id", F.concat_ws(",", *[F.col(c).cast("string") for c in (key, *AXES)])), "voxels")
     half = [d for d in steps if d > (0, 0, 0)]
     beside = shifted(named, half, [key, "id"]).withColumnRenamed("id", "a")
-    edges = beside.join(named.withColumnRenamed("id", "b"), [key, *AXES]).select("a", "b")
+    edges = beside.join(named.withColumnRenamed("id", "b").hint("merge"), [key, *AXES]).select("a", "b")
     found = connected_components(edges).withColumnRenamed("node", "id")
-    return named.join(found, "id", "left").select(key, *AXES, F.coalesce("component", "id").alias("component"))
+    return named.join(found.hint("merge"), "id", "left").select(key, *AXES, F.coalesce("component", "id").alias("component"))
 
 
 def component_stats(labelled: DataFrame, key: str, least: int = 64) -> DataFrame:
