@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.splits import numbered
+from plumbline.storage import written
+
+CHUNK = 64  #: places of bounds and sizes in which an item and a holder meet as rows
+
 
 def truthy(c: Column | str) -> Column:
     """``true`` in any case, as text."""
@@ -83,21 +90,38 @@ def joined_by_name_or_prefix(left: DataFrame, right: DataFrame, name: str = "nam
 def choose_containing(items: DataFrame, holders: DataFrame, keys: list[str], size: str, bounds: tuple[str, str], order: list[str]) -> DataFrame:
     """Each item with the first holder (by ``order``) of its key whose bounds contain its size; null if none.
 
-    Holders are dealt to bands of sizes as wide as their mean bounds, or a 64th of
-    the widest ones, and an item meets those of its key and band.
+    Bounds and sizes are numbered together by key and value, so that a holder is a
+    run of places.  Places are dealt to chunks of ``CHUNK``: an item meets the holders that
+    begin or end in its chunk, and of those that cover the chunk whole only the first, kept
+    for runs of chunks whose length is a power of two.  No item meets all its holders.
     """
     low, high = bounds
-    wide = F.col(high) - F.col(low)
-    widths = holders.agg(F.avg(wide).alias("mean"), F.max(wide).alias("most")).first()
-    band = max(float(widths["mean"] or 0), float(widths["most"] or 0) / 64, 1e-9)
-    at = lambda c: F.floor(F.col(c) / band)
-    dealt = holders.where(wide >= 0).withColumn("__band", F.explode(F.sequence(at(low), at(high))))
-    condition = (F.col("i.__band") == F.col("h.__band")) & (F.col(f"i.{size}") >= F.col(f"h.{low}")) & (F.col(f"i.{size}") <= F.col(f"h.{high}"))
-    for k in keys:
-        condition = (F.col(f"i.{k}") == F.col(f"h.{k}")) & condition
-    joined = items.withColumn("__band", at(size)).alias("i").join(dealt.alias("h"), condition, "left")
-    pick = F.when(F.col(f"h.{low}").isNotNull(), F.struct(*[F.col(f"h.{o}").alias(o) for o in order]))
-    return joined.groupBy(*[F.col(f"i.{c}").alias(c) for c in items.columns]).agg(F.min(pick).alias("holder"))
+    has_keys = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys], F.lit(True))
+    own = written(items.distinct().withColumn("__id", F.monotonically_increasing_id()), "items")
+    pick = F.struct(*[F.col(o) for o in order]).alias("__pick")
+    held = holders.where((F.col(high) - F.col(low) >= 0) & has_keys).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(low).alias("__low"), F.col(high).alias("__high"), pick)
+    held = written(numbered(held, "__pick", "__low", "__high", *[f"__k{i}" for i in range(len(keys))]).withColumnRenamed("place", "__id"), "holders")  # the least id is the first holder
+    by = [f"__k{i}" for i in range(len(keys))]
+    sides = [held.select(*by, F.col(c).alias("__at"), F.lit(k).alias("__kind"), "__id") for k, c in ((0, "__low"), (2, "__high"))]
+    sized = own.where(F.col(size).isNotNull() & has_keys).select(*[F.col(k).alias(b) for k, b in zip(keys, by, strict=True)], F.col(size).alias("__at"), F.lit(1).alias("__kind"), "__id")
+    placed = numbered(sides[0].unionByName(sized).unionByName(sides[1]), *by, "__at", "__kind", "__id").select("__kind", "__id", F.col("place").alias("__p"))
+    placed = written(placed.withColumn("__chunk", F.floor(F.col("__p") / CHUNK)), "places")
+    points = placed.where("__kind = 1").drop("__kind")
+    side = lambda k, n: placed.where(f"__kind = {k}").select(F.col("__id").alias("__h"), F.col("__p").alias(f"__{n}"), F.col("__chunk").alias(f"__c{n}"))
+    runs = written(side(0, "l").join(side(2, "r").hint("merge"), "__h"), "runs")
+    ends = runs.select("__h", "__l", "__r", F.explode(F.array_distinct(F.array("__cl", "__cr"))).alias("__chunk"))
+    inside = points.join(ends.hint("merge"), "__chunk").where("__l < __p and __p < __r").groupBy("__id").agg(F.min("__h").alias("__inner"))
+    levels = F.explode(F.sequence(F.lit(0), F.lit(int(placed.agg(F.max("__chunk")).first()[0] or 0).bit_length()))).alias("__level")
+    first, until = F.expr("shiftright(__cl + shiftleft(1L, __level), __level)"), F.expr("shiftright(__cr, __level)")  # whole runs of that length: from first up to until
+    each = runs.where("__cl + 1 < __cr").select("__h", "__cl", "__cr", levels).select("__h", "__level", first.alias("__a"), until.alias("__b")).where("__a < __b")
+    left = F.when(F.col("__a") % 2 == 1, F.col("__a"))
+    right = F.when((F.col("__b") % 2 == 1) & (F.col("__a") + F.col("__a") % 2 < F.col("__b")), F.col("__b") - 1)
+    nodes = each.select("__h", "__level", F.explode(F.array_compact(F.array(left, right))).alias("__node")).groupBy("__level", "__node").agg(F.min("__h").alias("__outer"))
+    asked = points.select("__chunk").distinct().select("__chunk", levels).withColumn("__node", F.expr("shiftright(__chunk, __level)"))
+    cover = asked.join(nodes.hint("merge"), ["__level", "__node"]).groupBy("__chunk").agg(F.min("__outer").alias("__outer"))
+    best = points.join(cover.hint("merge"), "__chunk", "left").join(inside.hint("merge"), "__id", "left").select("__id", F.least("__inner", "__outer").alias("__h"))
+    chosen = best.join(held.select(F.col("__id").alias("__h"), F.col("__pick").alias("holder")).hint("merge"), "__h").select("__id", "holder")
+    return own.join(chosen.hint("merge"), "__id", "left").select(*items.columns, "holder")
 
 
 def decision(rows: DataFrame, keys: list[str], positive: Column, chosen: Column, least: int = 10, precision: float = 0.8, lift: float = 2.0) -> DataFrame:

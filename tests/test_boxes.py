@@ -176,3 +176,57 @@ def test_joins_of_growing_sides_are_not_broadcast(spark):
         assert "Broadcast" not in _plan(found)
     assert leakage.residual_leaks(kept, both).count() == 0
     assert {r["component"] for r in graph.connected_components(pairs).collect()} == {0}
+
+
+def test_containing_holders_meet_items_in_bounded_numbers(spark):
+    """Wide holders that all contain all items: pairs are not rows, and the first holder is that of all pairs."""
+    from plumbline.operators import corpus
+
+    r = random.Random(5)
+    held = [(r.choice((0, 0, 0, 1, None)), lo, lo + r.choice((0.0, 1.0, 40.0, 900.0)), i) for i in range(900) for lo in (float(r.randrange(-500, 500)),)] + [(0, 5.0, 1.0, -1)]
+    items = [(i, r.choice((0, 0, 0, 1, 2, None)), r.choice((None, *[float(r.randrange(-550, 1450))] * 20))) for i in range(900)]
+    holders, sized = spark.createDataFrame(held, "k int, low double, high double, h int"), spark.createDataFrame(items, "i int, k int, size double")
+    got = {r["i"]: r["holder"] and tuple(r["holder"]) for r in corpus.choose_containing(sized, holders, ["k"], "size", ("low", "high"), ["low", "h"]).collect()}
+    want = {i: min(((lo, h) for hk, lo, hi, h in held if s is not None and hk is not None and hk == k and lo <= s <= hi), default=None) for i, k, s in items}
+    assert got == want
+    wide = spark.range(3000).select(F.lit(0).alias("k"), (-F.col("id") - 1.0).alias("low"), (F.col("id") + 3000.0).alias("high"), "id")
+    many = spark.range(3000).select(F.col("id").alias("i"), F.lit(0).alias("k"), (F.col("id") + 0.0).alias("size"))
+    found = corpus.choose_containing(many, wide, ["k"], "size", ("low", "high"), ["low"])
+    assert {r["holder"]["low"] for r in found.collect()} == {-3000.0}
+    assert _most_rows(spark) < 500_000  # of 9 million pairs
+
+
+def test_foreign_search_of_mixed_points_keeps_few_pairs(spark, tmp_path, monkeypatch):
+    """Pairs of cells stay about as many as the cells where groups are mixed, and the pair found is the nearest."""
+    from plumbline.operators import orientation
+
+    kept, write = [], orientation.written
+
+    def counted(df, tag):
+        out = write(df, tag)
+        if tag == "foreign-pairs":
+            kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(orientation, "written", counted)
+    r = random.Random(3)
+    points = [(i, "k", i % 5, r.random() * 100, r.random() * 100, r.random() * 100) for i in range(1500)]
+    got = {row["g"]: (row["a"], row["b"]) for row in orientation.nearest_foreign(spark.createDataFrame(points, "id int, k string, g int, z double, y double, x double"), "k", "g", "id").collect()}
+    far = lambda p, q: sum((s - t) ** 2 for s, t in zip(p[3:], q[3:], strict=True))
+    assert got == {g: min((far(p, q), p[0], q[0]) for p in points if p[2] == g for q in points if q[2] != g)[1:] for g in range(5)}
+    assert max(kept) < 4 * len(points)
+
+
+def _most_rows(spark):
+    """The most rows that an operator of any query so far has given out."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    java = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava
+    most = 0
+    for run in list(java(store.executionsList()))[-12:]:
+        values = store.executionMetrics(run.executionId())
+        for node in java(store.planGraph(run.executionId()).allNodes()):
+            for metric in java(node.metrics()):
+                value = values.get(metric.accumulatorId())
+                if metric.name() == "number of output rows" and value.isDefined():
+                    most = max(most, int(value.get().replace(",", "")))
+    return most
