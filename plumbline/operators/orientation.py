@@ -72,7 +72,9 @@ def nearest_foreign(points: DataFrame, key: str, group: str, point_id: str) -> D
 
     Cells are refined from one that holds the whole key: pairs of a group's cell and
     a cell with foreign points go on while the least distance of their boxes is
-    within the group's bound, the smallest of the pairs' largest distances.  A cell
+    within the group's bound, the smallest of the pairs' largest distances.  The
+    bound starts from the finest cells that a group shares with others: where points
+    are mixed it is near the answer, so few pairs but a cell's own go on.  A cell
     counts once, however many groups are in it, so neither the number of groups nor
     their sizes bounds the search.  Ties go to the smaller ids; a key of one group
     has no row.
@@ -84,6 +86,14 @@ def nearest_foreign(points: DataFrame, key: str, group: str, point_id: str) -> D
     fine = placed.groupBy(key, "g", *[f"c{a}" for a in AXES]).agg(*[f(a).alias(f"{n}{a}") for a in AXES for f, n in ((F.min, "l"), (F.max, "h"))])
     fine = written(fine.withColumns({"g0": F.col("g"), "g1": F.col("g")}), "foreign-cells")
     top = int(placed.agg(F.max(F.greatest(*[f"c{a}" for a in AXES]))).first()[0] or 0).bit_length()
+    foreign = (F.col("g0") != F.col("g")) | (F.col("g1") != F.col("g"))
+    length = lambda v: F.sqrt(reduce(lambda s, x: s + x, [x * x for x in v]))
+    across = length([F.greatest(F.col(f"hb{a}") - F.col(f"la{a}"), F.col(f"ha{a}") - F.col(f"lb{a}")) for a in AXES])
+    apart = length([F.greatest(F.col(f"lb{a}") - F.col(f"ha{a}"), F.col(f"la{a}") - F.col(f"hb{a}"), F.lit(0.0)) for a in AXES])
+    own = fine.select(key, "g", *[f"c{a}" for a in AXES], *[F.col(f"{s}{a}").alias(f"{s}a{a}") for a in AXES for s in "lh"])
+    shared = _boxes(fine, 0, [], key).select(key, "g0", "g1", *[f"c{a}" for a in AXES], *[F.col(f"{s}{a}").alias(f"{s}b{a}") for a in AXES for s in "lh"])
+    start = own.join(shared.hint("merge"), [key, *[f"c{a}" for a in AXES]]).where(foreign).groupBy(key, "g").agg(F.min(across).alias("start"))
+    start = written(start, "foreign-start")
     pairs = None
     for level in range(top, -1, -1):
         own = _boxes(fine, level, ["g"], key).drop("g0", "g1")
@@ -93,18 +103,15 @@ def nearest_foreign(points: DataFrame, key: str, group: str, point_id: str) -> D
             met = own.join(any_, key)
         else:
             up = lambda s: [F.shiftright(f"c{s}{a}", 1).alias(f"p{s}{a}") for a in AXES]
-            met = pairs.join(own.select("*", *up("a")), [key, "g", *[f"pa{a}" for a in AXES]]).join(any_.select("*", *up("b")), [key, *[f"pb{a}" for a in AXES]])
-        met = met.where((F.col("g0") != F.col("g")) | (F.col("g1") != F.col("g")))
-        apart = [F.greatest(F.col(f"lb{a}") - F.col(f"ha{a}"), F.col(f"la{a}") - F.col(f"hb{a}"), F.lit(0.0)) for a in AXES]
-        across = [F.greatest(F.col(f"hb{a}") - F.col(f"la{a}"), F.col(f"ha{a}") - F.col(f"lb{a}")) for a in AXES]
-        length = lambda v: F.sqrt(reduce(lambda s, x: s + x, [x * x for x in v]))
+            met = pairs.join(own.select("*", *up("a")).hint("merge"), [key, "g", *[f"pa{a}" for a in AXES]]).join(any_.select("*", *up("b")).hint("merge"), [key, *[f"pb{a}" for a in AXES]])
         cells = [F.col(f"c{s}{a}").alias(f"p{s}{a}") for s in "ab" for a in AXES]
-        told = written(met.select(key, "g", *cells, length(apart).alias("low"), length(across).alias("high")), "foreign-pairs")
-        bound = told.groupBy(key, "g").agg(F.min("high").alias("bound"))
-        pairs = told.join(bound, [key, "g"]).where(F.col("low") <= F.col("bound") * (1 + 1e-9)).drop("low", "high", "bound")
+        told = met.where(foreign).select(key, "g", *cells, apart.alias("low"), across.alias("high")).join(start, [key, "g"], "left")
+        told = written(told.where(F.col("start").isNull() | (F.col("low") <= F.col("start") * (1 + 1e-9))), "foreign-pairs")
+        bound = told.groupBy(key, "g").agg(F.least(F.min("high"), F.min("start")).alias("bound"))
+        pairs = told.join(bound, [key, "g"]).where(F.col("low") <= F.col("bound") * (1 + 1e-9)).drop("low", "high", "start", "bound")
     first = placed.select(key, "g", F.col("id").alias("a"), *[F.col(a).alias(f"a{a}") for a in AXES], *[F.col(f"c{a}").alias(f"pa{a}") for a in AXES])
     second = placed.select(key, F.col("g").alias("other"), F.col("id").alias("b"), *[F.col(a).alias(f"b{a}") for a in AXES], *[F.col(f"c{a}").alias(f"pb{a}") for a in AXES])
-    both = pairs.join(first, [key, "g", *[f"pa{a}" for a in AXES]]).join(second, [key, *[f"pb{a}" for a in AXES]]).where(F.col("other") != F.col("g"))
+    both = pairs.join(first.hint("merge"), [key, "g", *[f"pa{a}" for a in AXES]]).join(second.hint("merge"), [key, *[f"pb{a}" for a in AXES]]).where(F.col("other") != F.col("g"))
     distance = length([F.col(f"a{a}") - F.col(f"b{a}") for a in AXES])
     best = both.groupBy(key, "g").agg(F.min(F.struct(distance.alias("distance"), "a", "b")).alias("m"))
     return best.select(key, F.col("g").alias(group), "m.a", "m.b", "m.distance")
