@@ -19,8 +19,13 @@ cut into as many pieces as it needs.  ``pieces`` reads the id and the text alone
 from __future__ import annotations
 
 import base64
+import re
+import sys
+from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
+from itertools import islice
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +39,15 @@ from plumbline.operators.splits import numbered
 SEQUENCE = 1024
 END_ID = 2
 MOST_SLOTS = 200_000  #: slots that are broadcast (10 MB); a longer plan is joined by a shuffle
-CACHE_CHUNKS = 400_000  #: chunks of text whose ids a worker remembers
+CACHE_CHUNKS = 250_000  #: chunks of text whose ids a worker remembers
+MOST_IDS = 500_000  #: ids in a batch of pieces
 SPLIT = r"(?<=\S)(?= \S)"  #: before a single space between two characters that are no white space
 
 _TOKENIZERS: dict = {}
 
 
-class ChunkTokenizer:
-    """Ids of a byte-level BPE, remembered for chunks of text.
+class ChunkTokenizer(dict):
+    """Ids of a byte-level BPE, remembered for chunks of text: chunk -> little-endian uint32 ids.
 
     A text is cut before single spaces between characters that are no white
     space.  The vocabulary's pattern always starts a token there and does not
@@ -51,39 +57,47 @@ class ChunkTokenizer:
     """
 
     def __init__(self, tokenizer_path: str, ranks_path: str | None, pattern: str | None, ordinary: bool = False):
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(tokenizer_path)
-        self.whole.encode_special_tokens = ordinary
+        self.path, self.ordinary, self.fast, self._whole = tokenizer_path, ordinary, None, None
         self.marks = [] if ordinary else [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.fast = None
         if ranks_path:
             import tiktoken
 
             with open(ranks_path, "rb") as lines:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, bytes] = {}
-        self.recent: dict[str, bytes] = {}
+            self._whole = None  # few texts need it, and each worker would hold it
+        self.mark = commonprefix(self.marks)
+
+    @property
+    def whole(self):
+        """The tokenizer file itself, read when a chunk needs it."""
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self.path)
+            self._whole.encode_special_tokens = self.ordinary
+        return self._whole
 
     def _encode(self, chunk: str) -> bytes:
-        if self.fast is None or (self.marks and any(m in chunk for m in self.marks)):
+        if self.fast is None or (self.marks and self.mark in chunk and any(m in chunk for m in self.marks)):
             ids = self.whole.encode(chunk, add_special_tokens=False).ids
         else:
             ids = self.fast.encode_ordinary(chunk)
-        return np.array(ids, "<u4").tobytes()
-
-    def _of(self, chunk: str) -> bytes:
-        found = self.known.get(chunk) or self.recent.get(chunk)
-        if found is None:
-            if chunk[-1:] in ",.!" and chunk[-2:-1].isalpha():  # a letter and a mark are never one token
-                found = self._of(chunk[:-1]) + self._of(chunk[-1])
-            else:
-                found = self._encode(chunk)
-            if len(chunk) <= 64:
-                if len(self.recent) >= CACHE_CHUNKS // 2:  # the older half goes
-                    self.known, self.recent = self.recent, {}
-                self.recent[chunk] = found
+        packed = array("I", ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
+
+    def __missing__(self, chunk: str) -> bytes:
+        if chunk[-1:] in ",.!" and chunk[-2:-1].isalpha():  # a letter and a mark are never one token
+            found = self[chunk[:-1]] + self[chunk[-1]]
+        else:
+            found = self._encode(chunk)
+        if len(chunk) <= 64:
+            if len(self) >= CACHE_CHUNKS:  # the older half goes
+                for old in list(islice(self, CACHE_CHUNKS // 2)):
+                    del self[old]
+            self[chunk] = found
         return found
 
     def ids(self, text: str) -> bytes:
@@ -91,15 +105,12 @@ class ChunkTokenizer:
         if not text:
             return b""
         if "  " in text or any(x in text for x in (" \n", "\n ", "\t", "\r", "\v", "\f", "\x85", "\xa0")) or not _plain(text):
-            import re
-
             chunks = re.split(SPLIT, text)
         else:
             chunks = text.split(" ")
             head, rest = chunks[0], chunks[1:]
             chunks = [head, *[" " + x for x in rest]] if head else [" " + x for x in rest]
-        known, of = self.known, self._of
-        return b"".join([known.get(c) or of(c) for c in chunks if c])
+        return b"".join(map(self.__getitem__, chunks))
 
 
 def _plain(text: str) -> bool:
@@ -143,7 +154,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None,
                     ids.append(own[4 * low : 4 * high])
                     low, high, k = high, high + size, k + 1
                 held += n
-                if held > 4_000_000:
+                if held > MOST_IDS:
                     yield _piece_batch(batch, at, piece, start, length, ids)
                     at, piece, start, length, ids, held = [], [], [], [], [], 0
             yield _piece_batch(batch, at, piece, start, length, ids)

@@ -369,3 +369,14 @@ def test_posteriors_of_awkward_rows(spark):
     got = mixing.rates(docs, labels, {"other": 0.3}).collect()
     assert len(got) == docs.count()
     assert {r.doc_id: r.n_tokens for r in got}[1001] == 0
+
+
+def test_tokenizer_holds_little_and_packs_small_batches(monkeypatch):
+    """Workers that have a JVM beside them keep no second tokenizer, and a bounded number of chunks that stay right after they go."""
+    tok = packing.ChunkTokenizer(JSON, RANKS, PATTERN)
+    assert tok._whole is None and packing.MOST_IDS <= 500_000
+    monkeypatch.setattr(packing, "CACHE_CHUNKS", 10)
+    words = " ".join(f"wort{i}" for i in range(50))
+    for text in (words, words, "a <|endoftext|> b, c. d!"):
+        assert tok.ids(text) == np.array(tok.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert len(tok) <= 10
