@@ -185,11 +185,20 @@ def search_edges(references: DataFrame, key: str, k: int) -> DataFrame:
     return boxes.select(key, "__n", edge.alias("__edge"), F.sqrt(sum([F.col(f"s{a}") ** 2 for a in AXES[1:]], F.col("sz") ** 2)).alias("__reach"))
 
 
+def _cells_within(placed: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep, z, y, x): each query with its own cell and those around it within the edge, or all 27 where the edge covers the key's box."""
+    moves = F.explode(F.array(*[F.struct(*[F.lit(s).alias(f"d{a}") for a, s in zip(AXES, step, strict=True)]) for step in [(0, 0, 0), *ALL_AROUND]]))
+    beyond = [F.col(f"q{a}") / F.col("__edge") - F.col(a) for a in AXES]  # place within the cell, in edges
+    away = [F.when(F.col(f"__d.d{a}") == 1, 1 - b).when(F.col(f"__d.d{a}") == -1, b).otherwise(0.0) for a, b in zip(AXES, beyond, strict=True)]
+    within = (sum([w * w for w in away[1:]], away[0] * away[0]) <= 1 + 1e-9) | (F.col("__edge") >= F.col("__reach"))
+    return placed.withColumn("__d", moves).where(within).select(*keep, *[(F.col(a) + F.col(f"__d.d{a}")).alias(a) for a in AXES])
+
+
 def nearest_points(queries: DataFrame, references: DataFrame, key: str, query_id: str, reference_id: str, k: int) -> DataFrame:
     """(key, query_id, neighbour, distance, turn): the k nearest references of every query of the same key.
 
     Both sides are (key, id, z, y, x).  They are dealt to cells and a query meets
-    the 27 cells around it; the first edge follows from the key's mean density.
+    those of the 27 cells around it that lie within the edge; the first edge follows from the key's mean density.
     Queries whose k-th neighbour is not within the edge go on with the edge
     doubled, until it covers the key's box; so the result is complete.  Ties go
     to the smaller id; a key of fewer references gives all of them.
@@ -205,8 +214,8 @@ def nearest_points(queries: DataFrame, references: DataFrame, key: str, query_id
     while True:
         sized = scale.withColumn("__edge", F.col("__edge") * grow)
         cell = lambda p: [F.floor(F.col(f"{p}{a}") / F.col("__edge")).cast("long").alias(a) for a in AXES]  # noqa: B023, E731
-        spread = shifted(left.join(sized, key).select("*", *cell("q")), [(0, 0, 0), *ALL_AROUND], [key, "__q", *[f"q{a}" for a in AXES], "__edge", "__reach", "__have"])
-        placed = own.join(sized.select(key, "__edge"), key).select(key, "neighbour", *[f"n{a}" for a in AXES], *cell("n"))
+        spread = _cells_within(left.join(sized, key).select("*", *cell("q")), [key, "__q", *[f"q{a}" for a in AXES]])
+        placed = own.join(sized, key).select(key, "neighbour", *[f"n{a}" for a in AXES], *cell("n"), "__edge", "__reach", "__have")
         pairs = spread.join(placed, [key, *AXES]).select(key, "__q", "neighbour", distance.alias("distance"), "__edge", "__reach", "__have")
         near = pairs.where((F.col("distance") <= F.col("__edge")) | (F.col("__edge") >= F.col("__reach")))
         best = near.withColumn("turn", turn).where(F.col("turn") <= k)

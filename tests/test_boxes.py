@@ -230,3 +230,21 @@ def _most_rows(spark):
                 if metric.name() == "number of output rows" and value.isDefined():
                     most = max(most, int(value.get().replace(",", "")))
     return most
+
+
+def test_neighbour_search_visits_only_cells_within_the_edge(spark):
+    """The least numbers are those of brute force, and a query is dealt to fewer than the 27 cells around it."""
+    from plumbline.operators import voxels
+
+    r = random.Random(8)
+    points = [(i, "k", r.random() * 50, r.random() * 50, r.random() * 50) for i in range(3000)]
+    table = spark.createDataFrame(points, "id int, k string, z double, y double, x double")
+    got = {}
+    for row in voxels.nearest_neighbours(table, "k", "id", 3).collect():
+        got.setdefault(row["id"], []).append((row["turn"], row["neighbour"]))
+    far = lambda p, q: sum((s - t) ** 2 for s, t in zip(p[2:], q[2:], strict=True))
+    for p in points[::60]:
+        near = sorted((far(p, q), q[0]) for q in points)[:3]
+        assert [n for _, n in sorted(got[p[0]])] == [n for _, n in near]
+    placed = table.select("k", F.col("id").alias("q"), *[F.col(a).alias(f"q{a}") for a in "zyx"], *[F.floor(F.col(a) / 5).alias(a) for a in "zyx"], F.lit(5.0).alias("__edge"), F.lit(90.0).alias("__reach"))
+    assert voxels._cells_within(placed, ["k", "q"]).count() < 22 * len(points)
