@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from plumbline.llm.kit import begins, lists, mix64, row_slices, unique_in_rows, utf8, windows, words
 from plumbline.llm.shared_files import HashSet, shard_bits, shared_folder, without_ids
-from plumbline.operators.graph import connected_components
+from plumbline.operators.graph import hub_components
 from plumbline.storage import written
 
 WORDS = 5
@@ -233,7 +233,7 @@ def _placed(buckets: DataFrame, nodes: DataFrame) -> DataFrame:
 
     ``nodes`` (node, n_set).  ``kind`` tells components (0) from buckets (1).
     """
-    tied = connected_components(buckets, "hub", "node")
+    tied = hub_components(buckets)
     sized = written(tied.join(nodes, "node").select("node", "component", "n_set"), "tied")
     cost = buckets.select("node", "n").join(sized, "node").groupBy("component").agg(F.sum("n").alias("pairs"))
     shapes = sized.groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_set").alias("grams"))
@@ -281,7 +281,7 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = W
     at = lambda end: named.withColumnsRenamed({"node": end, "name": f"{end}_name"})
     links = pairs.join(at("a"), "a").join(at("b"), "b").select(F.least("a_name", "b_name").alias("a"), F.greatest("a_name", "b_name").alias("b"), "j")
 
-    roots = sums.where("whole").select("node", "root").unionByName(connected_components(sums.where("not whole"), "node", "root").withColumnRenamed("component", "root"))
+    roots = sums.where("whole").select("node", "root").unionByName(hub_components(sums.where("not whole"), "node", "root").withColumnRenamed("component", "root"))
     classes = roots.join(named, "node").groupBy("root").agg(F.min("name").alias("class_id"))
     degrees = sums.groupBy("node").agg(F.sum("links").alias("links"))
     linked = written(roots.join(classes, "root").select("node", "class_id").join(degrees, "node"), "classes")

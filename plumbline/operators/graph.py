@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.storage import written
@@ -30,3 +30,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return labels.select("node", F.col("label").alias("component"))
+
+
+def hub_components(ties: DataFrame, node: str = "node", hub: str = "hub") -> DataFrame:
+    """(node, component) of nodes tied to hubs, where each hub is tied to itself; a component is its smallest hub.
+
+    The least of a node's hubs stands for the node and is tied to its other hubs, so
+    the rounds run on distinct pairs of hubs: however often the nodes of a large
+    group are tied to the same hubs, a pair of them is one edge.
+    """
+    own = ties.select(F.col(node).alias("node"), F.col(hub).alias("hub")).distinct()
+    least = written(own.withColumn("least", F.min("hub").over(Window.partitionBy("node"))), "hubs")
+    found = connected_components(least.select("least", "hub").where("least <> hub").distinct(), "least", "hub").withColumnRenamed("node", "least")
+    return least.select("node", "least").distinct().join(found.hint("merge"), "least", "left").select("node", F.coalesce("component", "least").alias("component"))

@@ -119,6 +119,34 @@ def test_all_links_of_a_large_group(spark, monkeypatch, block):
     assert len(reps) > 90 and sorted((r.a, r.b) for r in links.collect()) == sorted(p for p in near if set(p) <= reps)
 
 
+def test_rounds_of_a_large_group_run_on_pairs_of_hubs(spark, monkeypatch):
+    """200 near copies meet in many buckets; the components' rounds take few edges for them, and the classes stay."""
+    from plumbline.operators import graph
+
+    rng, base = np.random.default_rng(11), [f"word{k}" for k in range(160)]
+    rows = []
+    for k in range(200):
+        w = list(base)
+        w[int(rng.integers(160))] = f"changed{k}"
+        rows.append((k, " ".join(w), "en", "s", 1, "g", 1.0))
+    edges, write = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, tag: edges.append(df.count()) or write(df, tag) if tag == "edges" else write(df, tag))
+    monkeypatch.setattr(ngram_join, "MOST_ROWS", 60)
+    members, _ = ngram_join.similarity_classes(spark.createDataFrame(rows, empty(spark).schema))
+    assert {r.class_id for r in members.collect()} == {0}
+    assert edges and max(edges) < 200  # both directions; before, an edge for each node and bucket
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_hub_components_are_those_of_all_ties(spark, seed):
+    from plumbline.operators import graph
+
+    rng = np.random.default_rng(seed)
+    groups = [sorted(set(map(int, rng.choice(300, 3)))) for _ in range(90)]
+    ties = spark.createDataFrame([(n, g[0]) for g in groups for n in g], "node long, hub long")
+    assert {tuple(r) for r in graph.hub_components(ties).collect()} == {tuple(r) for r in graph.connected_components(ties, "node", "hub").collect()} | {(g[0], g[0]) for g in groups if len(g) == 1 and sum(g[0] in h for h in groups) == 1}
+
+
 def test_repeated_ids_and_rows(spark):
     """Rows of one id with different texts are judged each by its text; of repeated rows one stays."""
     a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
