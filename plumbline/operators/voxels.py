@@ -22,6 +22,8 @@ AXES = ("z", "y", "x")
 FACES = [d for d in product((-1, 0, 1), repeat=3) if sum(map(abs, d)) == 1]
 ALL_AROUND = [d for d in product((-1, 0, 1), repeat=3) if any(d)]
 MOST_EROSIONS = 24  #: rungs of the thickness ladder
+ONE_PASS = 4  #: erosions of one pass over the blocks
+PASS_SIDE = 32  #: side of its blocks
 LEAST_CLOUD = 8  #: voxels that a plane is fitted to
 
 
@@ -48,21 +50,45 @@ def erosion_depth(voxels: DataFrame, key: str, shape: dict[str, int], most: int
 
     A key's peeling stops after ``most`` erosions, or after ``probe`` or more once
     over a ``bulk`` share of its voxels still stands: that is no sheet.  Voxels
-    left then are ``standing``, and their depth is a lower bound.
+    left then are ``standing``, and their depth is a lower bound.  Blocks whose halo
+    is ``ONE_PASS`` deep take that many erosions at a time, and only what is left of
+    keys that go on is dealt again.
     """
-    left = written(voxels.select(key, *AXES).distinct(), "erosion")
+    left = written(voxels.select(key, *[F.col(a).cast("int").alias(a) for a in AXES]).distinct(), "erosion")
     total = left.groupBy(key).agg(F.count(F.lit(1)).alias("total"))
-    depths = left.select("*", F.lit(1).alias("depth"), F.lit(False).alias("standing"))
-    for step in range(1, most + 1):
-        after = written(eroded(left, key, shape), "erosion")
-        alive = after.groupBy(key).agg(F.count(F.lit(1)).alias("alive")).join(total, key)
-        stops = F.lit(True) if step == most else (F.col("alive") > bulk * F.col("total")) & F.lit(step >= probe)
-        judged = written(after.join(alive.select(key, stops.alias("standing")), key), "erosion")
-        if judged.isEmpty():
+    depths = None
+    for done in range(0, most, ONE_PASS):
+        steps = min(ONE_PASS, most - done)
+
+        def work(c: np.ndarray, corner: list[int], sides: list[int]):
+            there = ~np.isnan(c)
+            beyond = np.zeros_like(there)  # places outside of the volume are no background
+            for k in range(3):
+                place = np.arange(c.shape[k]) + corner[k] - ONE_PASS
+                beyond |= ((place < 0) | (place >= sides[k])).reshape([-1 if k == n else 1 for n in range(3)])
+            inner = (slice(ONE_PASS, -ONE_PASS),) * 3
+            alive, depth = there | beyond, np.ones_like(c[inner], np.int64)
+            for _ in range(steps):  # noqa: B023
+                after = alive.copy()
+                for k in range(3):
+                    after &= np.roll(alive, 1, k) & np.roll(alive, -1, k)
+                alive = after | beyond
+                depth += alive[inner]
+            return there[inner], {"d": depth}
+
+        found = written(blocks.each_block(blocks.blocks(left, key, None, PASS_SIDE, ONE_PASS), key, work, {"d": "long"}, PASS_SIDE, ONE_PASS, shape), "erosion")
+        counts = found.groupBy(key).agg(*[F.count_if(F.col("d") > s).alias(f"n{s}") for s in range(1, steps + 1)]).join(total, key)
+        stops = [F.when(F.lit(done + s == most) | (F.lit(done + s >= probe) & (F.col(f"n{s}") > bulk * F.col("total"))), done + s) for s in range(1, steps + 1)]
+        depth, stop = F.col("d") + done, F.col("stop")
+        judged = found.join(counts.select(key, F.coalesce(*stops).alias("stop")), key).withColumn("standing", F.coalesce(depth > stop, F.lit(False)))
+        judged = judged.select(key, *AXES, F.least(depth, stop).cast("int").alias("depth"), "standing", (stop.isNull() & (F.col("d") > steps)).alias("open"))
+        judged = written(judged, "erosion")
+        ended = judged.where("not open").drop("open")
+        depths = ended if depths is None else depths.unionByName(ended)
+        left = judged.where("open").select(key, *AXES)
+        if left.isEmpty():
             break
-        depths = depths.union(judged.select(key, *AXES, (F.lit(step + 1) - F.col("standing").cast("int")).alias("depth"), "standing"))
-        left = judged.where("not standing").drop("standing")
-    return depths.groupBy(key, *AXES).agg(F.max("depth").alias("depth"), F.bool_or("standing").alias("standing"))
+    return depths
 
 
 def thickness_stats(voxels: DataFrame, key: str, shape: dict[str, int], most: int = MOST_EROSIONS) -> DataFrame:

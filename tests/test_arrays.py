@@ -77,6 +77,14 @@ def test_erosion_and_components(spark):
     assert flat.planarity == pytest.approx(0.0) and flat.e1 == pytest.approx(20 / 3 * 81 / 80, rel=1e-6)
 
 
+def test_full_volumes_are_dealt_to_blocks_once(spark, monkeypatch):
+    """Four erosions are one pass, so a volume that stops at the probe is dealt once (four times before)."""
+    dealt, deal = [], voxels.blocks.blocks
+    monkeypatch.setattr(voxels.blocks, "blocks", lambda *a, **k: dealt.append(1) or deal(*a, **k))
+    full = voxels.erosion_depth(_voxels(spark, np.ones((40, 6, 6))), "volume", {"z": 40, "y": 6, "x": 6})
+    assert {(r.depth, r.standing) for r in full.collect()} == {(4, True)} and len(dealt) == 1
+
+
 def test_planarity_is_the_least_share_of_the_trace(spark):
     rng = np.random.default_rng(8)
     bent = np.zeros((14, 14, 14), bool)
