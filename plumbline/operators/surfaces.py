@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import profiles as pf
+from plumbline.operators import blocks as bk
 from plumbline.operators.graph import connected_components
 from plumbline.operators.ranks import MAD_SCALE, line_scores
 from plumbline.operators.voxels import AXES, covariances, principal_axis, trilinear, with_eigenvalues
@@ -307,25 +309,34 @@ def block_profiles(samples: DataFrame, key: str, tile: int, along_radius: float,
     return means.where(F.array_max(p) > 0).select(key, "tr", "tc", "n", pf.value_range(p).alias("range"), pf.at_middle(p).alias("at_zero"), F.get(along, pf.argmax(p).cast("int")).alias("peak_offset"))
 
 
-def _edge_points(edges: DataFrame, ids: list[str], steps: int) -> DataFrame:
-    """``steps`` points along each edge: (ids, i, z, y, x)."""
-    t = F.col("i") / float(steps - 1)
-    each = edges.select(*ids, *[f"{p}{a}" for p in "ab" for a in AXES], F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("i"))
-    return each.select(*ids, "i", *[(F.col(f"a{a}") + (F.col(f"b{a}") - F.col(f"a{a}")) * t).alias(a) for a in AXES])
+def _volume_blocks(volume: DataFrame) -> DataFrame:
+    """(bz, by, bx, at, v): blocks of a volume (z, y, x, value), written, so that Spark knows how small they are."""
+    return written(bk.blocks(volume.withColumn("key", F.lit(0)), "key").drop("key"), "volume-blocks")
 
 
 def edge_dips(edges: DataFrame, volume: DataFrame, ids: list[str], steps: int = FEW_STEPS) -> DataFrame:
-    """(ids, dip): lower end minus lowest inner sample along each edge, in a volume (z, y, x, value)."""
-    points = _edge_points(edges, ids, steps).withColumn("key", F.lit(0)).withColumn("pid", F.struct(*ids, "i"))
-    sampled = trilinear(points, volume.withColumn("key", F.lit(0)), "key", "pid").select("pid.*", "sample")
-    ends, inner = F.col("i").isin(0, steps - 1), ~F.col("i").isin(0, steps - 1)
-    return sampled.groupBy(*ids).agg((F.min(F.when(ends, F.col("sample"))) - F.min(F.when(inner, F.col("sample")))).alias("dip"))
+    """(ids, dip): lower end minus lowest inner sample along each of the (distinct) edges, in a volume (z, y, x, value).
+
+    An edge is a walk that meets the blocks it passes; a block gives its least end and
+    inner sample and how many there are, so samples are never rows.  Where a sample's
+    block is not there, it is zero.
+    """
+    walks = edges.select(*ids, *[F.col(f"a{a}").alias(f"o{a}") for a in AXES], *[(F.col(f"b{a}") - F.col(f"a{a}")).alias(f"d{a}") for a in AXES], F.lit(steps).alias("n"), F.lit(0.0).alias("first"), F.lit(1.0 / (steps - 1)).alias("gap"))
+
+    def least(here, samples):
+        low = np.where(here, samples, np.inf)
+        end = np.isin(np.arange(steps), (0, steps - 1))
+        return np.stack([low[:, end].min(1), low[:, ~end].min(1), here[:, end].sum(1), here[:, ~end].sum(1)], 1).ravel()
+
+    met = bk.walk_results(bk.walk_lists(walks, [], ids), _volume_blocks(volume), least, "array<double>", [])
+    each = met.select("r", F.posexplode("walks").alias("k", "w")).select(*[F.col(f"w.{i}").alias(i) for i in ids], *[F.get("r", F.col("k") * 4 + j).alias(f"r{j}") for j in range(4)])
+    return each.groupBy(*ids).agg((F.min("r0") - F.min("r1")).alias("dip"))
 
 
 def surface_intensity(mesh: DataFrame, volume: DataFrame) -> DataFrame:
     """(mesh, level, spread): median and 1.4826 MAD of the volume at the valid vertices."""
-    points = mesh.where("valid").withColumn("key", F.lit(0)).withColumn("pid", F.struct("mesh", "r", "c"))
-    sampled = trilinear(points, volume.withColumn("key", F.lit(0)), "key", "pid").select("pid.mesh", "sample")
+    points = mesh.where("valid").withColumn("key", F.lit(0))
+    sampled = written(trilinear(points, volume.withColumn("key", F.lit(0)), "key", "mesh").select("mesh", "sample"), "levels")
     level = sampled.groupBy("mesh").agg(F.median("sample").alias("level"))
     return sampled.join(level, "mesh").groupBy("mesh").agg(F.first("level").alias("level"), (MAD_SCALE * F.median(F.abs(F.col("sample") - F.col("level")))).alias("spread"))
 
@@ -343,12 +354,19 @@ def along_walk() -> Column:
 
 
 def spacing_profiles(facing: DataFrame, volume: DataFrame, walks: DataFrame) -> DataFrame:
-    """(mesh, n, profile): mean intensity along the unit normals of points (mesh, pid, z, y, x, nz, ny, nx)."""
-    each = facing.join(walks, "mesh").select("mesh", "pid", *AXES, *[f"n{a}" for a in AXES], "span", "along_step", F.explode(F.sequence(F.lit(0), F.col("n_along") - 1)).alias("i"))
-    o = F.col("i") * F.col("along_step") - F.col("span")
-    points = each.select(F.lit(0).alias("key"), F.struct("mesh", "pid", "i").alias("at"), *[(F.col(a) + F.col(f"n{a}") * o).alias(a) for a in AXES])
-    sampled = trilinear(points, volume.withColumn("key", F.lit(0)), "key", "at").select("at.mesh", "at.i", "sample")
-    means = sampled.groupBy("mesh", "i").agg(F.avg("sample").alias("v"), F.count(F.lit(1)).alias("n"))
+    """(mesh, n, profile): mean intensity along the unit normals of points (mesh, pid, z, y, x, nz, ny, nx).
+
+    Walks meet the blocks they pass, and a list of them gives one sum for each place of
+    the profile, so samples are never rows; a sample outside of the blocks is zero.
+    """
+    each = facing.join(walks, "mesh").select("mesh", *[F.col(a).alias(f"o{a}") for a in AXES], *[F.col(f"n{a}").alias(f"d{a}") for a in AXES], F.col("n_along").alias("n"), (-F.col("span")).alias("first"), F.col("along_step").alias("gap"))
+    rows = _volume_blocks(volume)
+    ends = rows.agg(*[f(f"b{a}") for a in AXES for f in (F.min, F.max)]).first()
+    within = tuple((1, 0) if ends[0] is None else (ends[2 * k], ends[2 * k + 1]) for k in range(3))
+    met = bk.walk_results(bk.walk_lists(each, ["mesh"], [], within=within), rows, lambda here, samples: samples.sum(0), "array<double>", ["mesh"], "inner")
+    sums = met.select("mesh", F.posexplode("r").alias("i", "s")).groupBy("mesh", "i").agg(F.sum("s").alias("s"))
+    places = facing.groupBy("mesh").agg(F.count(F.lit(1)).alias("n")).join(walks, "mesh").select("mesh", "n", F.explode(F.sequence(F.lit(0), F.col("n_along") - 1)).alias("i"))
+    means = places.join(sums, ["mesh", "i"], "left").select("mesh", "i", "n", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("v"))
     return means.groupBy("mesh").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("profile"))
 
 
