@@ -323,3 +323,11 @@ def test_interpolation_and_naive_alignment(spark):
     edge = spark.createDataFrame([("v", [float(x) for x in np.exp(-0.5 * (offsets - c) ** 2)]) for c in (1.0, 5.9)], "volume string, profile array<double>")
     r = surfaces.naive_alignment(edge, "volume", 6, 0.5).first()
     assert r.unresolved_share == 0.5 and r["mean"] == pytest.approx(1.0, abs=0.02)
+
+
+def test_samples_of_walks_are_no_rows(spark, monkeypatch):
+    """Edges and normals meet the volume by lists of walks; before, each sample was a row of ``trilinear``."""
+    monkeypatch.setattr(surfaces, "trilinear", None)
+    volume = spark.createDataFrame([(z, 0, 0, float(z)) for z in range(40)], "z int, y int, x int, value double")
+    edges = spark.createDataFrame([(1, 2.0, 0.0, 0.0, 34.0, 0.0, 0.0), (2, 90.0, 0.0, 0.0, 99.0, 0.0, 0.0)], "id int, az double, ay double, ax double, bz double, by double, bx double")
+    assert {(r.id, r.dip) for r in surfaces.edge_dips(edges, volume, ["id"]).collect()} == {(1, 2.0 - 4.0), (2, 0.0)}
