@@ -5,7 +5,14 @@ from __future__ import annotations
 import json
 import random
 
+try:
+    from _md5 import md5  # the interpreter's own: OpenSSL's takes three times as long for a short text
+except ImportError:
+    from hashlib import md5
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -74,20 +81,107 @@ def random_trials(spark: SparkSession, n: int, graph: DataFrame, k: int = 5, tri
     )
 
 
-def hashed_trials(ids: DataFrame, graph: DataFrame, k: int = 5, trials: int = 200, seed: int = 0) -> DataFrame:
+def _dealt(ids: DataFrame, graph: DataFrame, n: int, k: int, trials: int, seed: int, width: int, chunk: int, span: int) -> tuple[DataFrame, bool]:
+    """(chunk, id, folds) of the ids on an edge, a byte a trial, and whether ``width`` bytes of each md5 told all ids apart.
+
+    Chunks of ids hash theirs for all trials and send the md5s, packed, to ranges of a
+    trial's order; a range ranks its own and sends the places back to the chunks.  An
+    id off the graph is counted there, but nothing comes back for it.
+    """
+    bits = max(0, (n - 1) // span).bit_length()
+    touched = graph.select(F.col("a").alias("id")).union(graph.select("b")).distinct().withColumn("own", F.lit(True))
+    flagged = ids.select("id").join(touched.hint("merge"), "id", "left")
+    text = F.coalesce(F.concat(F.lit("#"), F.col("id").cast("string")), F.lit(""))
+    held = F.struct(text.alias("text"), F.coalesce("own", F.lit(False)).alias("own"), "id")
+    dealt = flagged.select(F.pmod(F.xxhash64("id"), F.lit(-(-n // chunk))).alias("chunk"), held.alias("row"))
+    chunks = written(dealt.groupBy("chunk").agg(F.collect_list("row").alias("rows")), "chunks")
+
+    def sent(batches):
+        for batch in batches:
+            for number, rows in zip(batch["chunk"].to_pylist(), batch["rows"], strict=True):
+                texts = [t.encode() for t in rows.values.field("text").to_pylist()]
+                own = rows.values.field("own").to_numpy(zero_copy_only=False)
+                for trial in range(trials):
+                    head = f"{seed}#{trial}".encode()
+                    drawn = np.frombuffer(b"".join([md5(head + t).digest()[:width] for t in texts]), np.uint8).reshape(-1, width)
+                    part = drawn[:, :4].copy().view(">u4").ravel().astype(np.int64) >> (32 - bits)
+                    order = np.argsort(part, kind="stable")
+                    out = []
+                    for at in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+                        mine = at[own[at]]
+                        out.append({"trial": trial, "part": int(part[at[0]]), "chunk": number, "at": mine.astype("<u4").tobytes(), "drawn": drawn[mine].tobytes() + drawn[at[~own[at]]].tobytes()})
+                    yield pa.RecordBatch.from_pylist(out, pieces)
+
+    def ranked(key, group):
+        sizes = np.array([len(d.as_py()) // width for d in group["drawn"]])
+        drawn = np.frombuffer(b"".join(group["drawn"].to_pylist()), np.uint8).reshape(-1, width)
+        words = [np.ascontiguousarray(drawn[:, i : i + 8]).view(">u8").ravel().astype(np.uint64) for i in range(0, width, 8)]
+        order = np.argsort(words[0], kind="stable") if width == 8 else np.lexsort(words[::-1])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        tied = width < 16 and bool((words[0][order[1:]] == words[0][order[:-1]]).any())
+        starts, many = np.cumsum(sizes) - sizes, [len(a.as_py()) // 4 for a in group["at"]]
+        back = [(place[s : s + m] % k).astype(np.uint8).tobytes() for s, m in zip(starts, many, strict=True)]
+        told = {"trial": group["trial"], "part": group["part"], "chunk": group["chunk"], "at": group["at"], "place": pa.array(back, pa.binary()), "n": pa.array([len(order)] * len(back), pa.int64()), "tied": pa.array([tied] * len(back))}
+        return pa.table(told)
+
+    def gathered(key, rows, back):
+        rows = rows["rows"].combine_chunks()
+        rows = (rows.chunk(0) if isinstance(rows, pa.ChunkedArray) else rows).values
+        folds = np.zeros((len(rows), trials), np.uint8)
+        for trial, base, at, place in zip(back["trial"].to_pylist(), back["base"].to_pylist(), back["at"].to_pylist(), back["place"].to_pylist(), strict=True):
+            folds[np.frombuffer(at, "<u4"), trial] = (np.frombuffer(place, np.uint8).astype(np.int64) + base) % k
+        own = np.flatnonzero(rows.field("own").to_numpy(zero_copy_only=False))
+        mine = rows.field("id").take(pa.array(own))
+        return pa.table({"chunk": pa.array([key[0].as_py()] * len(own), pa.int64()), "id": mine, "folds": pa.array([folds[i].tobytes() for i in own], pa.binary())})
+
+    kept = "trial int, part long, chunk long, at binary"
+    pieces = pa.schema([("trial", pa.int32()), ("part", pa.int64()), ("chunk", pa.int64()), ("at", pa.binary()), ("drawn", pa.binary())])
+    back = chunks.repartition(min(4096, -(-n // chunk))).mapInArrow(sent, f"{kept}, drawn binary").groupBy("trial", "part").applyInArrow(ranked, f"{kept}, place binary, n long, tied boolean")
+    back = written(back, "ranks")
+    sizes = back.groupBy("trial", "part").agg(F.first("n").alias("n"))
+    before = Window.partitionBy("trial").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of the trial
+    base = sizes.select("trial", "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) % k).alias("base"))
+    placed = back.join(base.hint("merge"), ["trial", "part"]).select("chunk", "trial", "base", "at", "place")
+    kind = ids.schema["id"].dataType.simpleString()
+    folds = chunks.groupBy("chunk").cogroup(placed.groupBy("chunk")).applyInArrow(gathered, f"chunk long, id {kind}, folds binary")
+    return written(folds, "folds"), not back.where("tied").isEmpty()
+
+
+def hashed_trials(ids: DataFrame, graph: DataFrame, k: int = 5, trials: int = 200, seed: int = 0, width: int = 8, chunk: int = 32768, span: int = 262144) -> DataFrame:
     """The statistics of ``random_trials`` for any number of ids: each trial deals the ids in the order of their md5.
 
     ``ids`` (id); ``graph`` (a, b, fraction), both directions.  The folds of a
     trial are even, as those of a shuffle; nothing but the result reaches the driver.
+    An id's draws stay packed: no id and trial is a row.  ``width``: bytes of an md5 that
+    are sent first (8 or 16), all 16 where two ids share those; ``chunk``: most ids hashed
+    together; ``span``: most ids of a trial ranked together, both on average.
     """
-    each = ids.select("id", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
-    drawn = each.withColumn("draw", F.md5(F.concat_ws("#", F.lit(str(seed)), F.col("trial").cast("string"), F.col("id").cast("string"))))
-    placed = numbered(drawn, "trial", "draw", "id")
+    if not 1 <= k <= 256 or width not in (8, 16):
+        raise ValueError("1 to 256 folds, 8 or 16 bytes of md5")
     n = max(1, ids.count())
-    dealt = written(placed.select("trial", "id", (F.pmod(F.col("place"), F.lit(n)) % k).cast("int").alias("fold")), "trials")
-    other = dealt.select("trial", F.col("id").alias("b"), F.col("fold").alias("other"))
-    touched = dealt.join(graph.withColumnRenamed("a", "id"), "id").join(other, ["trial", "b"]).where("fold <> other").groupBy("trial", "id").agg(F.max("fraction").alias("shared"))
-    per_trial = touched.groupBy("trial").agg((100.0 * F.count(F.lit(1)) / n).alias("contaminated"), (100.0 * F.sum("shared") / n).alias("shared"))
+    graph = written(graph.select("a", "b", "fraction"), "graph")
+    deal = lambda w: _dealt(ids, graph, n, k, trials, seed, w, min(chunk, max(1024, n // 64)), span)
+    folds, tied = deal(width)
+    if tied:
+        folds, _ = deal(16)
+    other = folds.select(F.col("id").alias("b"), F.col("folds").alias("other"))
+    met = graph.join(other.hint("merge"), "b").join(folds.withColumnRenamed("id", "a").hint("merge"), "a").select("chunk", "a", "fraction", "folds", "other")
+
+    def counted(key, edges):
+        edges = edges.sort_by("a")
+        sides = [np.frombuffer(b"".join(edges[c].to_pylist()), np.uint8).reshape(-1, trials) for c in ("folds", "other")]
+        share = np.array(edges["fraction"].to_pylist(), float)[:, None]
+        names = edges["a"].combine_chunks()
+        names = names.chunk(0) if isinstance(names, pa.ChunkedArray) else names
+        first = np.flatnonzero(np.r_[True, pc.not_equal(names[1:], names[:-1]).to_numpy(zero_copy_only=False)])
+        apart = sides[0] != sides[1]
+        hit = np.logical_or.reduceat(apart, first)
+        most = np.maximum.reduceat(np.where(apart & ~np.isnan(share), share, -np.inf), first)
+        return pa.table({"trial": pa.array(range(trials), pa.int32()), "hit": pa.array(hit.sum(0), pa.int64()), "most": pa.array(np.where(most > -np.inf, most, 0.0).sum(0), pa.float64())})
+
+    each = met.groupBy("chunk").applyInArrow(counted, "trial int, hit long, most double")
+    per_trial = each.groupBy("trial").agg((100.0 * F.sum("hit") / n).alias("contaminated"), (100.0 * F.sum("most") / n).alias("shared"))
     all_trials = ids.sparkSession.range(trials).select(F.col("id").cast("int").alias("trial")).join(per_trial, "trial", "left").fillna(0.0)
     return all_trials.agg(
         F.lit(k).alias("k"), F.lit(trials).alias("trials"), F.avg("contaminated").alias("contaminated_pct_mean"),

@@ -1,6 +1,7 @@
 """Overlap join, leakage and splits against brute force."""
 
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,6 +142,34 @@ def test_hashed_trials(spark):
     assert got.contaminated_pct_mean == pytest.approx(sum(shares) / 6) and got.mean_max_shared_pct == pytest.approx(sum(fractions) / 6)
 
 
+@pytest.mark.parametrize("twice", [[], [4, 30]])
+def test_no_id_and_trial_of_hashed_trials_is_a_row(spark, monkeypatch, twice):
+    """Ids that occur twice share the whole md5, so that they are told apart by none of its bytes."""
+    import hashlib
+
+    n, k, trials = 1200, 3, 12
+    rows = [*range(n), *twice]
+    edges = [(a, b, 0.1 * (a % 7 + 1)) for a in range(0, n, 2) for b in (a - 2, a + 2) if 0 <= b < n]
+    shares, fractions = [], []
+    for trial in range(trials):
+        folds = {}
+        for p, i in enumerate(sorted(rows, key=lambda i: (hashlib.md5(f"0#{trial}#p{i}".encode()).hexdigest(), i))):
+            folds.setdefault(i, []).append(p % k)
+        hit = {}
+        for a, b, f in edges:
+            if any(x != y for x in folds[a] for y in folds[b]):
+                hit[a] = max(hit.get(a, 0), f)
+        shares.append(100 * len(hit) / len(rows))
+        fractions.append(100 * sum(hit.values()) / len(rows))
+    count, write = [], splits.written
+    monkeypatch.setattr(splits, "written", lambda df, tag: count.append(df.count()) or write(df, tag))
+    ids = spark.createDataFrame([(f"p{i}",) for i in rows], "id string")
+    found = splits.hashed_trials(ids, spark.createDataFrame([(f"p{a}", f"p{b}", f) for a, b, f in edges], "a string, b string, fraction double"), k, trials, span=300).first()
+    assert found.contaminated_pct_mean == pytest.approx(sum(shares) / trials) and found.mean_max_shared_pct == pytest.approx(sum(fractions) / trials)
+    assert found.contaminated_pct_sd == pytest.approx(statistics.stdev(shares))
+    assert max(count) < 2 * n  # ids and trials were rows: 14400 of them
+
+
 def test_places_follow_the_order(spark):
     rows = [(i * 37 % 101, i % 3) for i in range(101)]
     got = splits.numbered(spark.createDataFrame(rows, "a long, n long"), "n", "a").collect()
