@@ -182,33 +182,67 @@ def combined_chance(terminals: DataFrame) -> DataFrame:
     return terminals.agg(F.count(F.lit(1)).alias("n_series"), F.count_if("is_worst").alias("n_worst"), F.when(F.count_if(~F.col("is_worst")) == 0, F.exp(F.sum(F.log("chance")))).alias("combined_p"))
 
 
+def _resampled(rows: DataFrame, first: int, resamples: int) -> DataFrame:
+    """``rows`` (with ``__id``) once a resample ``__b`` that they are in, with their weight ``__w``; in resample -1 each row is once."""
+    u = F.pmod(F.xxhash64("__id", "__b"), F.lit(1 << 30)) / float(1 << 30)
+    # inverse of the Poisson(1) distribution function, to 8
+    steps, total, term = [], 0.0, 0.36787944117144233
+    for k in range(8):
+        total += term
+        steps.append(total)
+        term /= k + 1
+    weight = sum([(u >= s).cast("int") for s in steps[1:]], (u >= steps[0]).cast("int"))
+    each = rows.withColumn("__b", F.explode(F.sequence(F.lit(first), F.lit(resamples - 1))))
+    return each.withColumn("__w", F.when(F.col("__b") < 0, 1).otherwise(weight)).where("__w > 0")
+
+
+RANGE_ROWS = 8192  #: rows of a range of values, on average
+MOST_RANGES = 1000
+
+
+def _resampled_medians(values: DataFrame, keys: list[str], resamples: int) -> DataFrame:
+    """(keys, __b, __s): the median of ``__v`` in each resample; resample -1 is the rows as they are.
+
+    Weights are summed over ranges of values first; only the ranges that hold the
+    middle of a resample are counted value by value.
+    """
+    ranges = min(MOST_RANGES, 1 + values.count() // RANGE_ROWS)
+    ranged = written(values.repartitionByRange(ranges, *keys, "__v").withColumn("__part", F.spark_partition_id()), "ranges")
+    sums = _resampled(ranged, -1, resamples).groupBy(*keys, "__b", "__part").agg(F.sum("__w").alias("__own"))
+    each = Window.partitionBy(*keys, "__b")  # a row for each range of the key
+    upto, total = F.sum("__own").over(each.orderBy("__part")), F.sum("__own").over(each)
+    placed = sums.select(*keys, "__b", "__part", (upto - F.col("__own")).alias("__before"), upto.alias("__upto"), F.floor((total + 1) / 2).alias("__low"), (F.floor(total / 2) + 1).alias("__high"))
+    middles = written(placed.where("(__low > __before and __low <= __upto) or (__high > __before and __high <= __upto)"), "middles")
+    near = ranged.join(middles.select(*keys, "__part").distinct().hint("merge"), [*keys, "__part"], "left_semi")
+    of = [*keys, "__b", "__part"]
+    met = _resampled(near, -1, resamples).join(middles.hint("merge"), of).groupBy(*of, "__v", "__before", "__low", "__high").agg(F.sum("__w").alias("__w"))
+    reached = met.withColumn("__upto", F.col("__before") + F.sum("__w").over(Window.partitionBy(*of).orderBy("__v")))
+    low, high = (F.min(F.when(F.col("__upto") >= F.col(c), F.col("__v"))) for c in ("__low", "__high"))
+    return reached.groupBy(*keys, "__b").agg(low.alias("__l"), high.alias("__h")).select(*keys, "__b", F.when(F.col("__l") == F.col("__h"), F.col("__l")).otherwise(0.5 * F.col("__l") + 0.5 * F.col("__h")).alias("__s"))
+
+
 def bootstrap(rows: DataFrame, keys: list[str], row_id: str, value: str, resamples: int = 200, statistic: str = "avg", least: int = 3) -> DataFrame:
     """Keys, n, estimate, low and high: 2.5 and 97.5 percentiles over resamples.
 
     Poisson bootstrap: a row's weight in a resample comes from a hash of its id
     and the resample, so weights are the same wherever the row is, no resample
     needs the group in one place, and each resample is a weighted sum (``avg``) or
-    a weighted ``median``, which keeps the counts of distinct values.  Groups
-    under ``least`` rows give nulls.
+    a weighted ``median``, found by ranges of values, so no task holds the values of
+    a resample.  Groups under ``least`` rows give nulls.
     """
     if statistic not in ("avg", "median"):
         raise ValueError("avg or median is resampled")
     if not keys:
         return bootstrap(rows.withColumn("__all", F.lit(0)), ["__all"], row_id, value, resamples, statistic, least).drop("__all")
-    each = rows.where(F.col(value).isNotNull()).select(*keys, F.col(row_id).alias("__id"), F.col(value).cast("double").alias("__v"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("__b"))
-    u = F.pmod(F.xxhash64("__id", "__b"), F.lit(1 << 30)) / float(1 << 30)
-    # inverse of the Poisson(1) distribution function, to 8
-    steps, total, term = [], 0.0, 0.36787944117144233
-    for k in range(8):
-        total += term
-        steps.append(total)
-        term /= k + 1
-    weight = sum([(u >= s).cast("int") for s in steps[1:]], (u >= steps[0]).cast("int"))
-    weighted = each.withColumn("__w", weight).where("__w > 0")
-    of = F.sum(F.col("__w") * F.col("__v")) / F.sum("__w") if statistic == "avg" else F.percentile("__v", F.lit(0.5), F.col("__w"))
-    sums = weighted.groupBy(*keys, "__b").agg(of.alias("__s"))
+    values = rows.where(F.col(value).isNotNull()).select(*keys, F.col(row_id).alias("__id"), F.col(value).cast("double").alias("__v"))
+    if statistic == "avg":
+        sums = _resampled(values, 0, resamples).groupBy(*keys, "__b").agg((F.sum(F.col("__w") * F.col("__v")) / F.sum("__w")).alias("__s"))
+        plain = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("estimate"))
+    else:
+        medians = written(_resampled_medians(values, keys, resamples), "medians")
+        sums = medians.where("__b >= 0")
+        plain = rows.groupBy(*keys).agg(F.count(value).alias("n")).join(medians.where("__b < 0").select(*keys, F.col("__s").alias("estimate")), keys)
     spread = sums.groupBy(*keys).agg(F.percentile("__s", F.lit(0.025)).alias("low"), F.percentile("__s", F.lit(0.975)).alias("high"))
-    plain = rows.groupBy(*keys).agg(F.count(value).alias("n"), (F.avg(value) if statistic == "avg" else F.median(value)).alias("estimate"))
     joined = plain.join(spread, keys)
     enough = F.col("n") >= least
     return joined.select(*keys, "n", F.when(enough, F.col("estimate")).alias("estimate"), F.when(enough, F.col("low")).alias("low"), F.when(enough, F.col("high")).alias("high"), F.when(enough, (F.col("low") > 0) | (F.col("high") < 0)).alias("excludes_zero"))

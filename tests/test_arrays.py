@@ -302,6 +302,23 @@ def test_bootstraps_of_medians_and_pairs(spark):
     assert whole.low < np.mean(v) < whole.high
 
 
+def test_medians_of_resamples_are_found_in_ranges(spark, monkeypatch):
+    """Ties, constant keys, NaN, one or two rows: the medians are those of weighted percentiles."""
+    monkeypatch.setattr(ranks, "RANGE_ROWS", 40)
+    rng = np.random.default_rng(15)
+    rows = [(k, i, float(x) + 0.0) for k, values in {"even": rng.normal(0, 3, 201).round(1), "same": np.full(90, 2.5), "two": [1.0, 4.0], "one": [7.0], "far": [*rng.normal(1e6, 1, 60), np.nan, np.nan]}.items() for i, x in enumerate(values)]
+    df = spark.createDataFrame([*rows, ("even", 900, None), ("none", 901, None)], "k string, id long, v double")
+    values = df.where("v is not null").select("k", F.col("id").alias("__id"), F.col("v").alias("__v"))
+    got = ranks._resampled_medians(values, ["k"], 30)
+    want = ranks._resampled(values, -1, 30).groupBy("k", "__b").agg(F.percentile("__v", F.lit(0.5), F.col("__w")).alias("__s"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select("k", "__b", "__s").collect()))
+    read = []
+    monkeypatch.setattr(ranks, "written", lambda frame, tag, write=ranks.written: read.append((tag, frame.count())) or write(frame, tag))
+    found = {r.k: r for r in ranks.bootstrap(df, ["k"], "id", "v", 30, "median").collect()}
+    assert found["even"].n == 201 and found["even"].estimate == np.median([v for k, _, v in rows if k == "even"]) and found["two"].low is None and "none" not in found
+    assert [tag for tag, _ in read] == ["ranges", "middles", "medians"] and read[1][1] <= 2 * read[2][1]
+
+
 def test_normals_turn_to_the_brighter_side(spark):
     volume = _voxels(spark, np.broadcast_to((np.arange(20) + 1.0)[:, None, None], (20, 8, 8)))
     points = spark.createDataFrame([("v", k, 10.0, float(k), 4.0, s, 0.0, 0.0) for k, s in enumerate((-1.0, -1.0, 1.0, -1.0))], "volume string, pid int, z double, y double, x double, nz double, ny double, nx double")
