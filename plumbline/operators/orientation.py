@@ -7,10 +7,14 @@ edges, where neighbouring normals agree most.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.operators.graph import connected_components
 from plumbline.operators.voxels import AXES, knn_edges, search_edges
@@ -26,6 +30,65 @@ def _jumped(parents: DataFrame) -> DataFrame:
         parents = written(parents.join(onward, "p").select("c", F.col("q").alias("p"), (F.col("f") != F.col("g")).alias("f")), "forest")
 
 
+FOREST_EDGES = 1 << 20  #: edges that a task looks at together
+
+
+def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Places of the spanning forest's edges between nodes 0 to n - 1, for edges in the order of their weights."""
+    label, live, kept = np.arange(n), np.arange(len(a)), []
+    while True:
+        la, lb = label[a[live]], label[b[live]]
+        live, la, lb = (x[la != lb] for x in (live, la, lb))
+        if not len(live):
+            return np.unique(np.concatenate(kept)) if kept else live
+        best = np.full((2, n), len(a))
+        best[0, la[::-1]], best[1, lb[::-1]] = live[::-1], live[::-1]  # of a node's edges the first is written last
+        best = best.min(0)
+        own = np.flatnonzero(best < len(a))
+        ends = label[a[best[own]]], label[b[best[own]]]
+        up = np.arange(n)
+        up[own] = np.where(ends[0] == own, ends[1], ends[0])
+        both = own[(up[up[own]] == own) & (own < up[own])]
+        up[both] = both
+        while (up[up] != up).any():
+            up = up[up]
+        kept.append(best[own])
+        label = up[label]
+
+
+def _thinned(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (ea, eb, w, f) without edges that are the heaviest of a cycle among ``FOREST_EDGES`` of them.
+
+    No such edge is in the minimum spanning forest of all.  Edges are looked at as they
+    lie, then with those of the end that has more nodes together, so that even in a mixed
+    table a task sees few nodes for its edges.
+    """
+
+    def thin(rows: pa.Table) -> list[pa.RecordBatch]:
+        ends = [rows[c].to_numpy() for c in ("ea", "eb")]
+        w, f = rows["w"].combine_chunks(), rows["f"].combine_chunks()
+        flips = np.where(f.is_valid().to_numpy(zero_copy_only=False), f.fill_null(False).to_numpy(zero_copy_only=False), -1)
+        order = np.lexsort((flips, ends[1], ends[0], w.fill_null(0).to_numpy(zero_copy_only=False), w.is_valid().to_numpy(zero_copy_only=False)))  # nulls first, NaN last, as in Spark
+        nodes, codes = np.unique(np.concatenate(ends), return_inverse=True)
+        codes = codes.reshape(2, -1)[:, order]
+        return rows.take(pa.array(order[_forest(codes[0], codes[1], len(nodes))])).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            held.append(batch)
+            if sum(h.num_rows for h in held) >= FOREST_EDGES:
+                yield from thin(pa.Table.from_batches(held))
+                held = []
+        if held:
+            yield from thin(pa.Table.from_batches(held))
+
+    as_they_lie = written(pairs.mapInArrow(run, pairs.schema), "thinned")
+    low, high = as_they_lie.agg(F.approx_count_distinct("ea"), F.approx_count_distinct("eb")).first()
+    wide = "ea" if low > high else "eb"
+    return as_they_lie.repartition(wide).sortWithinPartitions(wide).mapInArrow(run, pairs.schema)
+
+
 def spanning_signs(edges: DataFrame, a: str = "a", b: str = "b", weight: str = "weight", flip: str = "flip", rounds: int = 64) -> DataFrame:
     """(node, component, sign) of every node on an edge.
 
@@ -33,11 +96,16 @@ def spanning_signs(edges: DataFrame, a: str = "a", b: str = "b", weight: str = "
     minimum spanning forest, found by rounds: each component takes its least edge,
     components joined that way become one (a sign bit goes with each), and of the
     edges between two components the least stays.  Edges of equal weight go by their
-    ends.  A component is named by its least node, whose sign is 1.
+    ends.  Where nodes are whole numbers, tasks drop edges that close a cycle among
+    their own first.  A component is named by its least node, whose sign is 1.
     """
     ends = F.least(a, b).alias("ea"), F.greatest(a, b).alias("eb")
     own = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    least = own.select(*ends, F.struct(F.col(weight).alias("w"), F.col(flip).alias("f")).alias("m")).groupBy("ea", "eb").agg(F.min("m").alias("m"))
+    pairs = own.select(*ends, F.col(weight).alias("w"), F.col(flip).alias("f"))
+    kinds = {c: type(pairs.schema[c].dataType) for c in pairs.columns}
+    if kinds["ea"] in (T.IntegerType, T.LongType) and kinds["w"] in (T.IntegerType, T.LongType, T.FloatType, T.DoubleType):
+        pairs = _thinned(pairs)
+    least = pairs.groupBy("ea", "eb").agg(F.min(F.struct("w", "f")).alias("m"))
     links = written(least.select(F.col("ea").alias("ca"), F.col("eb").alias("cb"), F.struct("m.w", "ea", "eb", "m.f").alias("e")), "links")
     nodes = links.select(F.explode(F.array("ca", "cb")).alias("node")).distinct().select("node", F.col("node").alias("c"), F.lit(False).alias("turned"))
     nodes = written(nodes, "nodes")

@@ -38,6 +38,21 @@ def test_spanning_signs_are_those_of_prim(spark):
     assert orientation.spanning_signs(df.limit(0)).collect() == []
 
 
+def test_edges_that_close_cycles_in_a_task_go_first(spark, monkeypatch):
+    """Ties, parallel edges, missing and NaN weights: signs are those of nodes by name, which are not thinned."""
+    rng = np.random.default_rng(4)
+    rows = [(int(a), int(b), float(w), bool(f)) for (a, b), w, f in zip(rng.integers(0, 60, (3000, 2)), rng.integers(0, 9, 3000), rng.integers(0, 2, 3000), strict=True)]
+    rows += [(70 + i, 71 + i, w, True) for i, w in enumerate([None, float("nan"), 0.0, -0.0, None])] + [(70, 75, float("nan"), False), (71, 75, None, False), (71, 75, None, True), (5, 5, 0.0, True), (None, 6, 0.0, True)]
+    df = spark.createDataFrame(rows, "a long, b long, weight double, flip boolean").repartition(3, "weight")
+    monkeypatch.setattr(orientation, "FOREST_EDGES", 400)
+    links, write = [], orientation.written
+    monkeypatch.setattr(orientation, "written", lambda frame, tag: links.append(frame.count()) or write(frame, tag) if tag == "links" else write(frame, tag))
+    got = {tuple(r) for r in orientation.spanning_signs(df).collect()}
+    assert links[0] < 500  # all pairs before: more than 1400
+    named = df.withColumns({c: F.lpad(F.col(c).cast("string"), 4, "0") for c in "ab"})
+    assert got == {(int(r.node), int(r.component), r.sign) for r in orientation.spanning_signs(named).collect()}
+
+
 @pytest.mark.parametrize("kind", ["clusters", "sheets", "many", "ties"])
 def test_nearest_foreign_points_are_those_of_all_distances(spark, kind):
     rng = np.random.default_rng(5)
