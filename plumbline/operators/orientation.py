@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ def _jumped(parents: DataFrame) -> DataFrame:
         parents = written(parents.join(onward, "p").select("c", F.col("q").alias("p"), (F.col("f") != F.col("g")).alias("f")), "forest")
 
 
-FOREST_EDGES = 1 << 20  #: edges that a task looks at together
+FOREST_EDGES = 1 << 21  #: edges that a task looks at together
 
 
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -59,17 +60,22 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 def _thinned(pairs: DataFrame) -> DataFrame:
     """``pairs`` (ea, eb, w, f) without edges that are the heaviest of a cycle among ``FOREST_EDGES`` of them.
 
-    No such edge is in the minimum spanning forest of all.  Edges are looked at as they
-    lie, then with those of the end that has more nodes together, so that even in a mixed
-    table a task sees few nodes for its edges.
+    No such edge is in the minimum spanning forest of all.  Edges are dealt by ranges of
+    the end that has more nodes, so that a task has all edges of most of these and sees
+    few nodes for its edges.  ``pairs`` are computed three times: for the numbers of
+    nodes, for the ranges and for the edges.
     """
 
     def thin(rows: pa.Table) -> list[pa.RecordBatch]:
         ends = [rows[c].to_numpy() for c in ("ea", "eb")]
         w, f = rows["w"].combine_chunks(), rows["f"].combine_chunks()
         flips = np.where(f.is_valid().to_numpy(zero_copy_only=False), f.fill_null(False).to_numpy(zero_copy_only=False), -1)
-        order = np.lexsort((flips, ends[1], ends[0], w.fill_null(0).to_numpy(zero_copy_only=False), w.is_valid().to_numpy(zero_copy_only=False)))  # nulls first, NaN last, as in Spark
-        nodes, codes = np.unique(np.concatenate(ends), return_inverse=True)
+        heavy, known = w.fill_null(0).to_numpy(zero_copy_only=False), w.is_valid().to_numpy(zero_copy_only=False)
+        order = np.lexsort((heavy, known))  # nulls first, NaN last, as in Spark
+        same = (heavy[order[1:]] == heavy[order[:-1]]) | ((heavy[order[1:]] != heavy[order[1:]]) & (heavy[order[:-1]] != heavy[order[:-1]]))
+        if (same & (known[order[1:]] == known[order[:-1]])).any():  # equal weights go by their ends
+            order = np.lexsort((flips, ends[1], ends[0], heavy, known))
+        codes, nodes = pd.factorize(np.concatenate(ends))
         codes = codes.reshape(2, -1)[:, order]
         return rows.take(pa.array(order[_forest(codes[0], codes[1], len(nodes))])).combine_chunks().to_batches()
 
@@ -83,10 +89,9 @@ def _thinned(pairs: DataFrame) -> DataFrame:
         if held:
             yield from thin(pa.Table.from_batches(held))
 
-    as_they_lie = written(pairs.mapInArrow(run, pairs.schema), "thinned")
-    low, high = as_they_lie.agg(F.approx_count_distinct("ea"), F.approx_count_distinct("eb")).first()
-    wide = "ea" if low > high else "eb"
-    return as_they_lie.repartition(wide).sortWithinPartitions(wide).mapInArrow(run, pairs.schema)
+    low, high = pairs.agg(F.approx_count_distinct("ea"), F.approx_count_distinct("eb")).first()
+    by = ["ea", "eb"] if low > high else ["eb", "ea"]
+    return pairs.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(run, pairs.schema)
 
 
 def spanning_signs(edges: DataFrame, a: str = "a", b: str = "b", weight: str = "weight", flip: str = "flip", rounds: int = 64) -> DataFrame:
