@@ -127,7 +127,7 @@ def _dealt(ids: DataFrame, graph: DataFrame, n: int, k: int, trials: int, seed:
 
     def gathered(key, rows, back):
         rows = rows["rows"].combine_chunks()
-        rows = (rows.chunk(0) if isinstance(rows, pa.ChunkedArray) else rows).values
+        rows = (rows.chunk(0) if isinstance(rows, pa.ChunkedArray) else rows).flatten()
         folds = np.zeros((len(rows), trials), np.uint8)
         for trial, base, at, place in zip(back["trial"].to_pylist(), back["base"].to_pylist(), back["at"].to_pylist(), back["place"].to_pylist(), strict=True):
             folds[np.frombuffer(at, "<u4"), trial] = (np.frombuffer(place, np.uint8).astype(np.int64) + base) % k
