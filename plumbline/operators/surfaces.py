@@ -318,18 +318,19 @@ def edge_dips(edges: DataFrame, volume: DataFrame, ids: list[str], steps: int =
     """(ids, dip): lower end minus lowest inner sample along each of the (distinct) edges, in a volume (z, y, x, value).
 
     An edge is a walk that meets the blocks it passes; a block gives its least end and
-    inner sample and how many there are, so samples are never rows.  Where a sample's
+    inner sample, so samples are never rows.  Where a sample's
     block is not there, it is zero.
     """
     walks = edges.select(*ids, *[F.col(f"a{a}").alias(f"o{a}") for a in AXES], *[(F.col(f"b{a}") - F.col(f"a{a}")).alias(f"d{a}") for a in AXES], F.lit(steps).alias("n"), F.lit(0.0).alias("first"), F.lit(1.0 / (steps - 1)).alias("gap"))
 
-    def least(here, samples):
-        low = np.where(here, samples, np.inf)
-        end = np.isin(np.arange(steps), (0, steps - 1))
-        return np.stack([low[:, end].min(1), low[:, ~end].min(1), here[:, end].sum(1), here[:, ~end].sum(1)], 1).ravel()
+    def least(walks: int, n: int, walk, i, samples):
+        low = np.full((walks, n), np.inf)
+        low[walk, i] = samples
+        end = np.isin(np.arange(n), (0, n - 1))
+        return np.stack([low[:, end].min(1), low[:, ~end].min(1)], 1).ravel()
 
     met = bk.walk_results(bk.walk_lists(walks, [], ids), _volume_blocks(volume), least, "array<double>", [])
-    each = met.select("r", F.posexplode("walks").alias("k", "w")).select(*[F.col(f"w.{i}").alias(i) for i in ids], *[F.get("r", F.col("k") * 4 + j).alias(f"r{j}") for j in range(4)])
+    each = met.select("r", F.posexplode("walks").alias("k", "w")).select(*[F.col(f"w.{i}").alias(i) for i in ids], *[F.get("r", F.col("k") * 2 + j).alias(f"r{j}") for j in range(2)])
     return each.groupBy(*ids).agg((F.min("r0") - F.min("r1")).alias("dip"))
 
 
@@ -358,13 +359,15 @@ def spacing_profiles(facing: DataFrame, volume: DataFrame, walks: DataFrame) ->
 
     Walks meet the blocks they pass, and a list of them gives one sum for each place of
     the profile, so samples are never rows; a sample outside of the blocks is zero.
+    The sums are written, so that no later join holds memory while the walks run.  An inner
+    explode would ask for the size of the results first, and so make them twice.
     """
     each = facing.join(walks, "mesh").select("mesh", *[F.col(a).alias(f"o{a}") for a in AXES], *[F.col(f"n{a}").alias(f"d{a}") for a in AXES], F.col("n_along").alias("n"), (-F.col("span")).alias("first"), F.col("along_step").alias("gap"))
     rows = _volume_blocks(volume)
     ends = rows.agg(*[f(f"b{a}") for a in AXES for f in (F.min, F.max)]).first()
     within = tuple((1, 0) if ends[0] is None else (ends[2 * k], ends[2 * k + 1]) for k in range(3))
-    met = bk.walk_results(bk.walk_lists(each, ["mesh"], [], within=within), rows, lambda here, samples: samples.sum(0), "array<double>", ["mesh"], "inner")
-    sums = met.select("mesh", F.posexplode("r").alias("i", "s")).groupBy("mesh", "i").agg(F.sum("s").alias("s"))
+    met = bk.walk_results(bk.walk_lists(each, ["mesh"], [], within=within), rows, lambda walks, n, walk, i, samples: np.bincount(i, samples, n), "array<double>", ["mesh"], "inner")
+    sums = written(met.select("mesh", F.posexplode_outer("r").alias("i", "s")).groupBy("mesh", "i").agg(F.sum("s").alias("s")), "walk-sums")
     places = facing.groupBy("mesh").agg(F.count(F.lit(1)).alias("n")).join(walks, "mesh").select("mesh", "n", F.explode(F.sequence(F.lit(0), F.col("n_along") - 1)).alias("i"))
     means = places.join(sums, ["mesh", "i"], "left").select("mesh", "i", "n", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("v"))
     return means.groupBy("mesh").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("profile"))
@@ -386,6 +389,7 @@ def sheet_switches(mesh: DataFrame, volume: DataFrame, z_threshold: float = Z_TH
     spacing cannot be measured, is not adequate, and what seams are left are set
     aside as unreliable.  ``max_z`` is always reported.
     """
+    volume = written(volume.select(*AXES, "value"), "volume")
     edges = written(grid_edges(mesh).where("both"), "edges")
     dips = edge_dips(edges, volume, ["mesh", "axis", "line", "place"], steps)
     scores = written(line_scores(dips, ["mesh", "axis"], "line", "dip"), "scores")

@@ -348,3 +348,38 @@ def test_samples_of_walks_are_no_rows(spark, monkeypatch):
     volume = spark.createDataFrame([(z, 0, 0, float(z)) for z in range(40)], "z int, y int, x int, value double")
     edges = spark.createDataFrame([(1, 2.0, 0.0, 0.0, 34.0, 0.0, 0.0), (2, 90.0, 0.0, 0.0, 99.0, 0.0, 0.0)], "id int, az double, ay double, ax double, bz double, by double, bx double")
     assert {(r.id, r.dip) for r in surfaces.edge_dips(edges, volume, ["id"]).collect()} == {(1, 2.0 - 4.0), (2, 0.0)}
+
+
+def test_walks_make_only_the_samples_of_their_block(monkeypatch):
+    """Before, each walk of a list made all of its samples, however few lie in the block."""
+    from plumbline.operators import blocks
+
+    rng = np.random.default_rng(16)
+    made, samples = [], blocks._samples
+    monkeypatch.setattr(blocks, "MOST_SAMPLES", 64)
+    monkeypatch.setattr(blocks, "_samples", lambda *a: (made.append(len(w)) or (w, i) for w, i in samples(*a)))
+    o, d = list(rng.integers(-8, 40, (3, 90)) / 2.0), list(rng.choice([0.0, 0.5, -0.3, 1e-17, 1.0], (3, 90)))
+    n, first, gap, block, dense = 241, -60.0, 0.5, np.array([0, 1, 0]), rng.random((18, 18, 18))
+    w, i, got = blocks.walk_samples(o, d, n, first, gap, block, dense)
+    at = [a[:, None] + b[:, None] * (first + np.arange(n) * gap) for a, b in zip(o, d, strict=True)]
+    here = np.logical_and.reduce([np.floor(x / 16) == b for x, b in zip(at, block, strict=True)])
+    assert set(zip(w.tolist(), i.tolist(), strict=True)) == set(map(tuple, np.argwhere(here).tolist())) and len(w) == here.sum()
+    for k, j, s in zip(w, i, got, strict=True):
+        p = [x[k, j] - 16 * b + 1 for x, b in zip(at, block, strict=True)]
+        f = [int(np.floor(x)) for x in p]
+        assert s == pytest.approx(sum(np.prod([x - g if e else 1 - x + g for x, g, e in zip(p, f, c, strict=True)]) * dense[tuple(g + e for g, e in zip(f, c, strict=True))] for c in np.ndindex(2, 2, 2)))
+    assert sum(made) <= here.sum() + 4 * 90 and max(made) <= 64 + n < here.size
+
+
+def test_sums_of_walks_are_made_once(spark, monkeypatch):
+    """An explode that asks for the size of the results made them twice."""
+    plans, write = [], surfaces.written
+    monkeypatch.setattr(surfaces, "written", lambda df, tag: plans.append((tag, df._jdf.queryExecution().optimizedPlan().toString())) or write(df, tag))
+    volume = spark.createDataFrame([(z, 0, 0, float(z)) for z in range(40)], "z int, y int, x int, value double")
+    facing = spark.createDataFrame([("m", 20.0, 0.0, 0.0, 1.0, 0.0, 0.0), ("m", 10.0, 0.0, 0.0, 1.0, 0.0, 0.0)], "mesh string, z double, y double, x double, nz double, ny double, nx double")
+    walks = surfaces.walk_length(spark.createDataFrame([("m", 1.0)], "mesh string, grid_step double"))
+    r = surfaces.spacing_profiles(facing, volume, walks).first()
+    along = np.arange(len(r.profile)) * 0.5 - 40.0
+    ramp = lambda p: np.where((p >= 0) & (p <= 39), p, np.where((p > 39) & (p < 40), 39 * (40 - p), 0.0))
+    assert r.n == 2 and r.profile == pytest.approx(list((ramp(20 + along) + ramp(10 + along)) / 2))
+    assert [p.count("ArrowEvalPython") for tag, p in plans if tag == "walk-sums"] == [1]
