@@ -45,15 +45,42 @@ def eroded(voxels: DataFrame, key: str, shape: dict[str, int]) -> DataFrame:
     return blocks.each_block(blocks.blocks(voxels, key, None), key, work, {"n": "long"}).where(F.col("n") + edge >= 6).select(key, *AXES)
 
 
-def erosion_depth(voxels: DataFrame, key: str, shape: dict[str, int], most: int = MOST_EROSIONS, probe: int = 4, bulk: float = 0.5) -> DataFrame:
+def background_depth(voxels: DataFrame, key: str, shape: dict[str, int]) -> DataFrame:
+    """(key, z, y, x, depth): each voxel's city-block distance to the nearest place of its volume without one, which is how many erosions it takes.
+
+    Null where the volume has no such place, and for a voxel outside of it.  The
+    distance is taken along one axis after the other: what ends a run of voxels on a
+    line is background, so no path past it is shorter, and within the run the least of
+    distance and way counts.  So three windows over lines give any depth, however large.
+    """
+    sides = {a: F.lit(shape[a]) if isinstance(shape[a], int) else shape[a] for a in AXES}
+    inside = reduce(lambda s, t: s & t, [(F.col(a) >= 0) & (F.col(a) < sides[a]) for a in AXES])
+    out = voxels.select(key, *[F.col(a).cast("int").alias(a) for a in AXES]).distinct().withColumns({"__in": inside, "depth": F.lit(None).cast("int")})
+    for a in reversed(AXES):
+        here, line = F.col(a), [key, "__in", *[b for b in AXES if b != a]]
+        runs = out.withColumn("__run", here - F.row_number().over(Window.partitionBy(*line).orderBy(a)))
+        run = Window.partitionBy(*line, "__run")
+        ends = [F.when(F.min(a).over(run) > 0, here - F.min(a).over(run) + 1), F.when(F.max(a).over(run) < sides[a] - 1, F.max(a).over(run) - here + 1)]
+        upto = [w.rowsBetween(Window.unboundedPreceding, 0) for w in (run.orderBy(a), run.orderBy(F.desc(a)))]
+        ways = [F.min(F.col("depth") - here).over(upto[0]) + here, F.min(F.col("depth") + here).over(upto[1]) - here]
+        out = runs.withColumn("depth", F.least(*ends, *ways)).drop("__run")
+    return out.select(key, *AXES, F.when(F.col("__in"), F.col("depth")).alias("depth"))
+
+
+def erosion_depth(voxels: DataFrame, key: str, shape: dict[str, int], most: int | None = MOST_EROSIONS, probe: int = 4, bulk: float = 0.5) -> DataFrame:
     """(key, z, y, x, depth, standing): after how many erosions a voxel goes.
 
-    A key's peeling stops after ``most`` erosions, or after ``probe`` or more once
+    Without ``most``, depths are exact at any size and only voxels that no erosion
+    takes, in a volume without background, are ``standing``, with a null depth.  With
+    it this is the reference's ladder, which asks whether a mask is a sheet: a
+    key's peeling stops after ``most`` erosions, or after ``probe`` or more once
     over a ``bulk`` share of its voxels still stands: that is no sheet.  Voxels
     left then are ``standing``, and their depth is a lower bound.  Blocks whose halo
     is ``ONE_PASS`` deep take that many erosions at a time, and only what is left of
     keys that go on is dealt again.
     """
+    if most is None:
+        return background_depth(voxels, key, shape).withColumn("standing", F.col("depth").isNull())
     left = written(voxels.select(key, *[F.col(a).cast("int").alias(a) for a in AXES]).distinct(), "erosion")
     total = left.groupBy(key).agg(F.count(F.lit(1)).alias("total"))
     depths = None
@@ -91,8 +118,11 @@ def erosion_depth(voxels: DataFrame, key: str, shape: dict[str, int], most: int
     return depths
 
 
-def thickness_stats(voxels: DataFrame, key: str, shape: dict[str, int], most: int = MOST_EROSIONS) -> DataFrame:
-    """Per key: twice the depth as median, 95th percentile, maximum, mean, and the share still standing at the end."""
+def thickness_stats(voxels: DataFrame, key: str, shape: dict[str, int], most: int | None = None) -> DataFrame:
+    """Per key: twice the depth as median, 95th percentile, maximum, mean, and the share that stands.
+
+    Exact without ``most``, as ``erosion_depth`` is; the statistics of a volume without background are null then.
+    """
     t = 2.0 * F.col("depth")
     return erosion_depth(voxels, key, shape, most).groupBy(key).agg(
         F.count(F.lit(1)).alias("n"), F.median(t).alias("median"), F.percentile(t, F.lit(0.95)).alias("p95"), F.max(t).alias("max"), F.avg(t).alias("mean"), F.avg(F.col("standing").cast("double")).alias("saturated")

@@ -441,13 +441,10 @@ def voxel_erosion(spark, sf_dir):
 
 @query(f"""WITH {VOXELS_SQL}, g AS (SELECT volume, CAST(z AS INTEGER) AS z, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x FROM (SELECT DISTINCT volume FROM voxels), range(0, 24) a(z), range(0, 24) b(y), range(0, 24) c(x)),
 o AS (SELECT * FROM g ANTI JOIN voxels USING (volume, z, y, x)),
-d AS (SELECT v.volume, v.z, v.y, v.x, coalesce(min(abs(v.z - o.z) + abs(v.y - o.y) + abs(v.x - o.x)), 1000) AS depth FROM voxels v LEFT JOIN o ON v.volume = o.volume GROUP BY ALL),
-l AS (SELECT volume, s, count(*) FILTER (depth > s) AS alive, count(*) AS total FROM d, range(1, 25) t(s) GROUP BY ALL),
-e AS (SELECT volume, min(s) AS stop FROM l WHERE alive = 0 OR s = 24 OR (s >= 4 AND alive > 0.5 * total) GROUP BY volume),
-t AS (SELECT d.volume, CAST(2 * least(depth, stop) AS DOUBLE) AS t, (depth > stop)::INT AS standing FROM d JOIN e USING (volume))
-SELECT volume, count(*) AS n, round(median(t), 6) AS median, round(quantile_cont(t, 0.95), 6) AS p95, CAST(max(t) AS DOUBLE) AS max, round(avg(t), 6) AS mean, round(avg(standing), 6) AS saturated FROM t GROUP BY volume""")
+d AS (SELECT v.volume, v.z, v.y, v.x, CAST(2 * min(abs(v.z - o.z) + abs(v.y - o.y) + abs(v.x - o.x)) AS DOUBLE) AS t FROM voxels v LEFT JOIN o ON v.volume = o.volume GROUP BY ALL)
+SELECT volume, count(*) AS n, round(median(t), 6) AS median, round(quantile_cont(t, 0.95), 6) AS p95, max(t) AS max, round(avg(t), 6) AS mean, round(avg((t IS NULL)::INT), 6) AS saturated FROM d GROUP BY volume""")
 def voxel_thickness(spark, sf_dir):
-    """Erosion depths of every volume; a depth is the city-block distance to the nearest background."""
+    """Erosion depths of every volume, each to its end; a depth is the city-block distance to the nearest background."""
     return rounded(voxels.thickness_stats(line_voxels(spark, sf_dir), "volume", dict.fromkeys("zyx", 24)), "median", "p95", "mean", "saturated")
 
 

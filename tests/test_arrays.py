@@ -383,3 +383,25 @@ def test_sums_of_walks_are_made_once(spark, monkeypatch):
     ramp = lambda p: np.where((p >= 0) & (p <= 39), p, np.where((p > 39) & (p < 40), 39 * (40 - p), 0.0))
     assert r.n == 2 and r.profile == pytest.approx(list((ramp(20 + along) + ramp(10 + along)) / 2))
     assert [p.count("ArrowEvalPython") for tag, p in plans if tag == "walk-sums"] == [1]
+
+
+def test_depths_have_no_bound(spark):
+    """Exact to the last voxel; before, peeling stopped after 24 erosions, or where half of a volume stood after four."""
+    rng = np.random.default_rng(17)
+    deep, holes = np.ones((64, 4, 3), bool), rng.random((9, 10, 11)) < 0.97
+    deep[0, 1, 1] = False
+    masks = {"deep": deep, "holes": holes, "full": np.ones((5, 6, 4), bool)}
+    rows = [(f"{n}|{'|'.join(map(str, a.shape))}", *map(int, at)) for n, a in masks.items() for at in np.argwhere(a)] + [("holes|9|10|11", 9, 0, 0), ("holes|9|10|11", 0, 0, 0)]
+    df = spark.createDataFrame(rows, "volume string, z int, y int, x int")
+    sides = {a: F.split_part("volume", F.lit("|"), F.lit(k)).cast("int") for k, a in enumerate("zyx", 2)}
+    got = {(r.volume.split("|")[0], r.z, r.y, r.x): (r.depth, r.standing) for r in voxels.erosion_depth(df, "volume", sides, None).collect()}
+    holes[0, 0, 0] = True
+    for n, a in masks.items():
+        out = np.argwhere(~a)
+        for at in np.argwhere(a):
+            want = (int(np.abs(out - at).sum(1).min()), False) if len(out) else (None, True)
+            assert got.pop((n, *map(int, at))) == want
+    assert got == {("holes", 9, 0, 0): (None, True)}
+    stats = {r.volume.split("|")[0]: r for r in voxels.thickness_stats(df, "volume", sides).collect()}
+    assert stats["deep"]["max"] > 2 * 24 and stats["deep"].saturated == 0.0 and (stats["full"]["median"], stats["full"].saturated) == (None, 1.0)
+    assert {r.standing for r in voxels.erosion_depth(df.where("volume like 'deep%'"), "volume", sides).collect()} == {True, False}  # the ladder takes sizes from columns too
