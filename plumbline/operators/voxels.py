@@ -129,14 +129,51 @@ def thickness_stats(voxels: DataFrame, key: str, shape: dict[str, int], most: in
     )
 
 
-def components(voxels: DataFrame, key: str, steps: list[tuple[int, int, int]] = ALL_AROUND) -> DataFrame:
-    """(key, z, y, x, component): connected sets (26 neighbours by default), named by a hash of their least voxel."""
-    named = written(voxels.select(key, *AXES).distinct().withColumn("id", F.concat_ws(",", *[F.col(c).cast("string") for c in (key, *AXES)])), "voxels")
+def _least_of_sets(there: np.ndarray, steps: list[tuple[int, int, int]]) -> np.ndarray:
+    """The place, by its index in the flat cube, of the first voxel of the connected set that each voxel is in; only of use where ``there``."""
+    place, of = np.flatnonzero(there), np.full(there.shape, -1)
+    of[there] = np.arange(len(place))
+    ends = [np.empty((2, 0), np.int64)]
+    for d in steps:
+        a, b = (of[tuple(slice(max(s * k, 0), there.shape[n] + min(s * k, 0)) for n, k in enumerate(d))] for s in (-1, 1))
+        both = (a >= 0) & (b >= 0)
+        ends.append(np.stack([a[both], b[both]]))
+    pairs, least = np.concatenate(ends, 1), np.arange(len(place))
+    while pairs.size:
+        pairs = least[pairs]
+        pairs = pairs[:, pairs[0] != pairs[1]]
+        np.minimum.at(least, pairs.max(0), pairs.min(0))
+        while (least[least] != least).any():
+            least = least[least]
+    out = np.zeros(there.shape, np.int64)
+    out[there] = place[least]
+    return out
+
+
+def components(voxels: DataFrame, key: str, steps: list[tuple[int, int, int]] = ALL_AROUND, side: int = PASS_SIDE) -> DataFrame:
+    """(key, z, y, x, component): connected sets (26 neighbours by default), named by their least voxel.
+
+    Sets are found within blocks first, and their least voxels stand for them.  Only
+    voxels with a neighbour in another block are joined to it, so the rounds run on
+    pairs of blocks' sets and not on pairs of voxels.
+    """
     half = [d for d in steps if d > (0, 0, 0)]
-    beside = shifted(named, half, [key, "id"]).withColumnRenamed("id", "a")
-    edges = beside.join(named.withColumnRenamed("id", "b").hint("merge"), [key, *AXES]).select("a", "b")
-    found = connected_components(edges).withColumnRenamed("node", "id")
-    return named.join(found.hint("merge"), "id", "left").select(key, *AXES, F.coalesce("component", "id").alias("component"))
+
+    def work(c: np.ndarray):
+        there = ~np.isnan(c)
+        return there, {"place": _least_of_sets(there, half)}
+
+    found = blocks.each_block(blocks.blocks(voxels, key, None, side, 0), key, work, {"place": "long"}, side, 0)
+    within = [F.floor(F.col("place") / side**2), F.floor(F.col("place") / side) % side, F.col("place") % side]
+    root = F.struct(F.col(key).alias("key"), *[(F.floor(F.col(a) / side) * side + p).cast("int").alias(a) for a, p in zip(AXES, within, strict=True)])
+    named = written(found.select(key, *AXES, root.alias("root")), "voxels")
+    rim = reduce(lambda s, t: s | t, [F.pmod(F.col(a), F.lit(side)).isin(0, side - 1) for a in AXES])
+    beside = shifted(named.where(rim).select(key, *AXES, F.struct("root", *[F.floor(F.col(a) / side).alias(a) for a in AXES]).alias("own")), half, [key, "own"])
+    beside = beside.where(reduce(lambda s, t: s | t, [F.floor(F.col(a) / side) != F.col(f"own.{a}") for a in AXES])).select(key, *AXES, F.col("own.root").alias("a"))
+    edges = beside.join(named.where(rim).withColumnRenamed("root", "b").hint("merge"), [key, *AXES]).select("a", "b").distinct()
+    joined = connected_components(edges).withColumnRenamed("node", "root")
+    each = named.join(joined.hint("merge"), "root", "left").withColumn("component", F.coalesce("component", "root"))
+    return each.select(key, *AXES, F.concat_ws(",", *[F.col(f"component.{c}").cast("string") for c in ("key", *AXES)]).alias("component"))
 
 
 def component_stats(labelled: DataFrame, key: str, least: int = 64) -> DataFrame:
@@ -149,14 +186,14 @@ def component_stats(labelled: DataFrame, key: str, least: int = 64) -> DataFrame
 
 
 def planarity(labelled: DataFrame, key: str, most: int = 16, least: int = 64) -> DataFrame:
-    """(key, component, n, e1, e2, e3, planarity) of the ``most`` largest components of ``least`` voxels or more.
+    """(key, component, n, e1, e2, e3, planarity) of the ``most`` largest components of ``least`` voxels or more; of equal ones that with the least voxel first.
 
     Planarity is the least eigenvalue's share of the covariance's trace: 0 for a
     plane, a third for a ball; null where the trace is zero.  Eigenvalues of a
     symmetric 3 x 3 matrix have a closed form.
     """
-    each = labelled.groupBy(key, "component").agg(F.count(F.lit(1)).alias("n"), *covariances()).where(F.col("n") >= max(least, LEAST_CLOUD))
-    top = with_eigenvalues(each.withColumn("turn", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "component"))).where(F.col("turn") <= most))
+    each = labelled.groupBy(key, "component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*AXES)).alias("first"), *covariances()).where(F.col("n") >= max(least, LEAST_CLOUD))
+    top = with_eigenvalues(each.withColumn("turn", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "first"))).where(F.col("turn") <= most))
     return top.select(key, "component", "n", "e1", "e2", "e3", (F.col("e3") / F.nullif(F.col("czz") + F.col("cyy") + F.col("cxx"), F.lit(0.0))).alias("planarity"))
 
 

@@ -405,3 +405,27 @@ def test_depths_have_no_bound(spark):
     stats = {r.volume.split("|")[0]: r for r in voxels.thickness_stats(df, "volume", sides).collect()}
     assert stats["deep"]["max"] > 2 * 24 and stats["deep"].saturated == 0.0 and (stats["full"]["median"], stats["full"].saturated) == (None, 1.0)
     assert {r.standing for r in voxels.erosion_depth(df.where("volume like 'deep%'"), "volume", sides).collect()} == {True, False}  # the ladder takes sizes from columns too
+
+
+@pytest.mark.parametrize("steps", [voxels.ALL_AROUND, voxels.FACES])
+def test_components_are_pairs_of_blocks_only_where_blocks_meet(spark, monkeypatch, steps):
+    """Sets of many blocks are whole, and edges are pairs of blocks' sets; before, every pair of neighbouring voxels was an edge."""
+    rng = np.random.default_rng(18)
+    a, b = rng.random((13, 11, 17)) < (0.12 if len(steps) > 6 else 0.35), np.ones((12, 12, 12), bool)
+    rows = [(n, *(int(x) - 5 for x in at)) for n, m in (("a", a), ("b", b)) for at in np.argwhere(m)]
+    df = spark.createDataFrame([*rows, rows[0]], "volume string, z int, y int, x int")
+    edges, run = [], voxels.connected_components
+    monkeypatch.setattr(voxels, "connected_components", lambda e: edges.append(e.count()) or run(e))
+    left, want = set(rows), {}
+    for first in sorted(rows):
+        todo = [first] if first in left else []
+        while todo:
+            at = todo.pop()
+            if at in left:
+                left.remove(at)
+                want[at] = ",".join(map(str, first))
+                todo += [(at[0], at[1] + d[0], at[2] + d[1], at[3] + d[2]) for d in steps]
+    for side in (4, voxels.PASS_SIDE):
+        got = [(tuple(r[:4]), r[4]) for r in voxels.components(df, "volume", steps, side).select("volume", *"zyx", "component").collect()]
+        assert len(got) == len(want) and dict(got) == want
+    assert edges[1] < edges[0] < len(want)
